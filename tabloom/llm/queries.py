@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm import decontaminate, lattice_lm
+from tabloom.llm import decontaminate, histogram_sort, language_id, lattice_lm, mixing, token_ids
 from tabloom.llm.common import held_out, read
 
 #: Where the public vocabularies are, as a module with ``path(name)``.
@@ -18,10 +18,39 @@ def tokenizer_path(name: str) -> str:
     return importlib.import_module(TOKENIZERS).path(name)
 
 
+def op1_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sharded = histogram_sort.shard(read(spark, sf_dir, "documents").select("doc_id", "text"), 40)
+    return sharded.select(
+        "doc_id",
+        "size",
+        F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"),
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def op2_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_lm.score(read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), held_out(10, 0))
 
 
+def op3_frequency_ranked_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_ids.round_trip(read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = language_id.fit(docs, ~held_out(4, 2))
+    found = language_id.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out(4, 2).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op9_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
 def op10_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.annotate(docs, read(spark, sf_dir, "benchmark"))
@@ -36,6 +65,6 @@ def op10_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_lattice_likelihood, op10_suffix_automaton)}
+QUERIES = {f.__name__: f for f in (op1_histogram_sort, op2_lattice_likelihood, op3_frequency_ranked_ids, op4_language_id, op9_pivotal_mix, op10_suffix_automaton)}
 
 ORACLES: dict[str, str] = {}
