@@ -1,7 +1,64 @@
-"""Corpus pipeline (stages follow)."""
+"""Corpus pipeline: documents in, token ids out.
 
+Each stage takes what the one before kept, written as Parquet and read again, and
+works on its whole texts. All but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tabloom.llm import decontaminate, jaccard_join, language_id, mixing, token_ids
+from tabloom.llm.common import Store, drop_ids, read
+from tabloom.llm.queries import tokenizer_path
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that was learned; those rejected go."""
+    model = language_id.fit(docs, F.lit(True))
+    return language_id.identify(docs, model).where("not rejected").select(*COLUMNS)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of linked documents the one of the smallest doc_id stays."""
+    found = jaccard_join.join(docs)
+    return drop_ids(docs, found.where("n_shingles > 0 and doc_id != component_id").select("doc_id"), "doc_id").select(*COLUMNS)
+
+
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of benchmark items are cut out; documents that are mostly such passages go."""
+    cut = decontaminate.decontaminate(docs, read(spark, sf_dir, "benchmark"))
+    return cut.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long"))).select(*COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    return mixing.repeated(mixing.mix(docs), COLUMNS)
+
+
+def ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of each document, read back from the token files."""
+    return token_ids.round_trip(docs, tokenizer_path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("language ID", language),
+    ("n-gram Jaccard join", near_copies),
+    ("benchmark decontamination", benchmark_passages),
+    ("mixing sources to target weights", mix_sources),
+    ("token-ID / binary output", ids),
+]
+
+#: Trained weights, automata and a tokenizer have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = Store(spark, "pipeline")
+    docs = read(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = store.keep(stage(spark, docs, sf_dir), f"stage{i}")
+    return docs

@@ -85,3 +85,38 @@ def texts(batch: pa.RecordBatch, column: str) -> list[bytes]:
 def held_out(modulus: int, remainder: int):
     """crc32 of the id's decimal digits, by remainder; a null id is never held out."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus == remainder, F.lit(False))
+
+
+def cut_at(df: DataFrame, column: str, most: int) -> int:
+    """A count from which at most ``most`` rows of positive counts are left, as close as bands of 1/32 octave allow.
+
+    The driver gets a row for each band, whatever the size of ``df``.
+    """
+    band = F.floor(F.log2(column) * 32)
+    bands = df.where(F.col(column) > 0).groupBy(band.alias("band")).agg(F.count("*").alias("n"), F.min(column).alias("least")).collect()
+    left, cut = most, 1 << 62
+    for r in sorted(bands, key=lambda r: -r.band):
+        if r.n > left:
+            break
+        left, cut = left - r.n, r.least
+    return cut
+
+
+def drop_ids(df: DataFrame, ids: DataFrame, column: str, most: int = 2_000_000) -> DataFrame:
+    """Rows whose id is not in ``ids``: by broadcast while there are at most ``most`` of them, else by a join on both sides."""
+    ids = ids.select(column).distinct()
+    few = ids.limit(most + 1).count() <= most
+    return df.join(F.broadcast(ids) if few else ids, column, "left_anti")
+
+
+def parts(batch: list[bytes], most: int = 4_000_000) -> Iterator[list[bytes]]:
+    """Runs of texts of so many bytes (or one longer text)."""
+    part, size = [], 0
+    for text in batch:
+        if part and size + len(text) > most:
+            yield part
+            part, size = [], 0
+        part.append(text)
+        size += len(text)
+    if part:
+        yield part
