@@ -31,7 +31,9 @@ stored.
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,13 +42,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import Store, tasks, texts
+from tabloom.llm.common import Store, parts, tasks, texts
 
 END_ID = 1
 #: Ids after which a block is closed.
 BLOCK = 1 << 20
-#: Distinct chunks whose ids a worker remembers.
-REMEMBERED = 500_000
+#: Distinct chunks, and distinct words of them, whose ids a worker remembers.
+REMEMBERED = 600_000
+#: Bytes of texts after which a worker looks whether it remembers too many.
+STEP = 4_000_000
 
 _workers: dict[str, Encoder] = {}
 
@@ -54,12 +58,23 @@ _workers: dict[str, Encoder] = {}
 LENGTHS = (np.arange(256)[:, None] >> np.arange(0, 8, 2) & 3).astype(np.uint8) + np.uint8(1)
 _MASKS = np.array([0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
 
+#: Letters that lower case maps one to one and normalisation leaves, then marks: two words for the tokenizer.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-įı-ſ]+)([!-&(-/:-@\[-`{-~]*)\Z")
 
-class Encoder:
+
+def _byte_letters() -> str:
+    """The letter that stands for each byte in byte-level vocabularies: itself if visible in Latin-1, else from 256 on."""
+    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    other = iter(range(0x100, 0x200))
+    return "".join(chr(b) if b in visible else chr(next(other)) for b in range(256))
+
+
+class Encoder(dict):
     """The tokenizer, with the ids of chunks between ASCII white space remembered.
 
     The tokenizer's words never reach over white space, so a text's ids are its
-    chunks' ids in a row.
+    chunks' ids in a row. Chunks of plain letters and marks are two words at
+    most, which go straight to the tokenizer's model; all others take its whole way.
     """
 
     def __init__(self, path: str):
@@ -68,7 +83,13 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size()
-        self.known: dict[bytes, bytes] = {}
+        self.dtype = "<u2" if self.size <= 1 << 16 else "<u4"
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
+        self.words: dict[str, bytes] = {}
+        probe = "Probé, these: ÉÀß?!"
+        plain = b"".join(self._plain(*_PLAIN.match(c).groups()) for c in probe.split())
+        #: whether words by way of the model are this tokenizer's words
+        self.direct = plain == np.array(self.tokenizer.encode(probe, add_special_tokens=False).ids, self.dtype).tobytes()
 
     @staticmethod
     def of(path: str) -> Encoder:
@@ -76,22 +97,32 @@ class Encoder:
             _workers[path] = Encoder(path)
         return _workers[path]
 
+    def _word(self, word: str) -> bytes:
+        known = self.words.get(word)
+        if known is None:
+            own = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+            known = self.words[word] = array("H" if self.dtype == "<u2" else "I", [t.id for t in self.model.tokenize(own)]).tobytes()
+        return known
+
+    def _plain(self, letters: str, marks: str) -> bytes:
+        ids = self._word(letters.lower())
+        return ids + self._word(marks) if marks else ids
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        text = chunk.decode()
+        if self.direct and (plain := _PLAIN.match(text)):
+            ids = self._plain(*plain.groups())
+        else:
+            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+        self[chunk] = ids
+        return ids
+
     def encode(self, batch: list[bytes]) -> list[bytes]:
-        """Ids of each text as unsigned 32-bit little-endian integers."""
-        known = self.known
-        split = [text.split() for text in batch]
-        new = {c for chunks in split for c in chunks if c not in known}
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = {c for chunks in split for c in chunks}
-        todo = list(new)
-        for a in range(0, len(todo), 4096):
-            part = todo[a : a + 4096]
-            for c, e in zip(part, self.tokenizer.encode_batch_fast([c.decode() for c in part], add_special_tokens=False), strict=True):
-                known[c] = np.array(e.ids, "<u4").tobytes()
-        out = [b"".join(map(known.__getitem__, chunks)) for chunks in split]
-        if len(known) > 2 * REMEMBERED:  # one batch had very many
-            known.clear()
+        """Ids of each text as unsigned little-endian integers of ``dtype``."""
+        out = [b"".join(map(self.__getitem__, text.split())) for text in batch]
+        for known in (self, self.words):
+            if len(known) > REMEMBERED:
+                known.clear()
         return out
 
 
@@ -125,74 +156,77 @@ def _places(counts: np.ndarray) -> tuple[int, np.ndarray]:
     return int(padded.sum()), np.arange(int(counts.sum())) + np.repeat(starts - before, counts)
 
 
-def frequencies(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> np.ndarray:
-    """How often each id occurs, ends included; the driver gets one number for each id."""
+def tokenise(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataFrame:
+    """doc_id, tie (a hash of the text), ids (of the encoder's dtype, with the end) of each document; no shuffle."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("tie", F.xxhash64("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(tokenizer_path)
-        total = np.zeros(max(encoder.size, end_id + 1), np.int64)
+        end = np.array([end_id], encoder.dtype).tobytes()
+        for batch in batches:
+            ids = [x + end for some in parts(texts(batch, "text"), STEP) for x in encoder.encode(some)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tie"), pa.array(ids, pa.binary())], names=["doc_id", "tie", "ids"])
+
+    return docs.mapInArrow(run, "doc_id long, tie long, ids binary")
+
+
+def frequencies(tokens: DataFrame, size: int, dtype: str) -> np.ndarray:
+    """How often each id occurs; the driver gets one number for each id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, np.int64)
         for batch in batches:
-            for some in _parts(texts(batch, "text")):
-                ids = np.frombuffer(b"".join(encoder.encode(some)), "<u4")
-                total += np.bincount(ids, minlength=len(total))
-                total[end_id] += len(some)
+            for some in parts(batch.column("ids").to_pylist()):
+                total += np.bincount(np.frombuffer(b"".join(some), dtype), minlength=size)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["id", "n"])
 
-    got = docs.select("text").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
-    total = np.zeros(max(Encoder.of(tokenizer_path).size, end_id + 1), np.int64)
-    for r in got:
+    total = np.zeros(size, np.int64)
+    for r in tokens.select("ids").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         total[r.id] = r.n
     return total
 
 
-def _parts(batch: list[bytes], most: int = 4_000_000) -> Iterator[list[bytes]]:
-    """Runs of texts of so many bytes (or one longer text)."""
-    part, size = [], 0
-    for text in batch:
-        if part and size + len(text) > most:
-            yield part
-            part, size = [], 0
-        part.append(text)
-        size += len(text)
-    if part:
-        yield part
-
-
 _BLOCKS = "shard int, shard_start long, n_tokens long, doc_ids binary, nulls binary, counts binary, control binary, data binary"
 
 
 def write(docs: DataFrame, tokenizer_path: str, out: str, end_id: int = END_ID, shards: int | None = None) -> None:
-    """Writes the corpus to ``out``: counts ids, codes each document, then exchanges the coded documents once by doc_id."""
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    total = frequencies(docs, tokenizer_path, end_id)
-    order = np.lexsort((np.arange(len(total)), -total))
-    spark.createDataFrame(pa.table({"rank": np.arange(len(order), dtype=np.int32), "id": order.astype(np.int32)})).coalesce(1).write.parquet(f"{out}/ranks")
-    rank_of = np.empty(len(order), np.uint32)
-    rank_of[order] = np.arange(len(order), dtype=np.uint32)
-    held = spark.sparkContext.broadcast(rank_of)
+    """Writes the corpus to ``out``.
+
+    Texts are tokenised once; counting ids and finding the bounds of the shards
+    read the tokens. Then coded documents move once, to their shard.
+    """
+    spark, store = docs.sparkSession, Store(docs.sparkSession, "tokens")
+    encoder = Encoder.of(tokenizer_path)
+    dtype, size = encoder.dtype, max(encoder.size, end_id + 1)
+    tokens = store.keep(tokenise(docs, tokenizer_path, end_id), "tokens")
+    total = frequencies(tokens, size, dtype)
+    order = np.lexsort((np.arange(size), -total))
+    spark.createDataFrame(pa.table({"rank": np.arange(size, dtype=np.int32), "id": order.astype(np.int32)})).coalesce(1).write.parquet(f"{out}/ranks")
+    rank_of = np.empty(size, np.uint32)
+    rank_of[order] = np.arange(size, dtype=np.uint32)
+    shards = shards or tasks(spark)
+    cuts = tokens.agg(F.percentile_approx("doc_id", [i / shards for i in range(1, shards)], 20 * shards)).first()[0] if shards > 1 else None
+    held = spark.sparkContext.broadcast((rank_of, np.unique(np.array(cuts or [], np.int64))))
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, ranks = Encoder.of(tokenizer_path), held.value
-        end = np.array([end_id], "<u4").tobytes()
+        ranks, cuts = held.value
         for batch in batches:
-            at = 0
-            for some in _parts(texts(batch, "text")):
-                ids = [x + end for x in encoder.encode(some)]
-                counts = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-                coded = [pack(ranks[np.frombuffer(x, "<u4")], n[None]) for x, n in zip(ids, counts, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id").slice(at, len(some)),
-                        batch.column("tie").slice(at, len(some)),
-                        pa.array(counts),
-                        pa.array([c for c, _ in coded], pa.binary()),
-                        pa.array([d for _, d in coded], pa.binary()),
-                    ],
-                    names=["doc_id", "tie", "n", "control", "data"],
-                )
-                at += len(some)
+            ids = batch.column("ids").to_pylist()
+            counts = np.fromiter(map(len, ids), np.int64, len(ids)) // np.dtype(dtype).itemsize
+            coded = [pack(ranks[np.frombuffer(x, dtype)], n) for x, n in zip(ids, counts[:, None], strict=True)]
+            place = np.searchsorted(cuts, batch.column("doc_id").fill_null(-(1 << 63)).to_numpy(), "left")
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(place.astype(np.int32)),
+                    batch.column("doc_id"),
+                    batch.column("tie"),
+                    pa.array(counts),
+                    pa.array([c for c, _ in coded], pa.binary()),
+                    pa.array([d for _, d in coded], pa.binary()),
+                ],
+                names=["part", "doc_id", "tie", "n", "control", "data"],
+            )
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, start = TaskContext.get().partitionId(), 0
@@ -224,9 +258,10 @@ def write(docs: DataFrame, tokenizer_path: str, out: str, end_id: int = END_ID,
         if ids:
             yield close()
 
-    coded = docs.withColumn("tie", F.xxhash64("text")).mapInArrow(code, "doc_id long, tie long, n long, control binary, data binary")
-    ranged = coded.repartitionByRange(shards or tasks(spark), "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    coded = tokens.mapInArrow(code, "part int, doc_id long, tie long, n long, control binary, data binary")
+    ranged = coded.repartitionById(shards, "part").sortWithinPartitions("doc_id", "tie")
     ranged.mapInArrow(block, _BLOCKS).write.option("compression", "none").parquet(f"{out}/blocks")
+    store.drop()
 
 
 def read(spark: SparkSession, out: str) -> DataFrame:
