@@ -244,8 +244,8 @@ add("assembly_entity", assembly_sql("min(supp) AS out__min, max(supp) AS out__ma
 add("assembly_constant_period", assembly_sql("count(price)::INT AS out", "DATE '1996-01-01'", "DATE '1998-06-30'"), assembled([measure_row("COUNT", "INT", period_start='"1996-01-01"', period_end='"1998-06-30"')]))
 add("assembly_dynamic_period", assembly_sql("round(sum(price), 2) AS out", "(year_start - INTERVAL 1 YEAR)::DATE", "year_start"), assembled([measure_row("SUM", "FLOAT", period_start="{ DATEADD(YEAR, -1, [year_start]) }", period_end="[year_start]")]))
 add("assembly_dynamic_value", assembly_sql("count(CASE WHEN price > 100000 THEN supp END)::INT AS out"), assembled([measure_row("COUNT", "INT", "{IIF([price] > 100000, [supp], NULL)}")]))
-add("assembly_typed_output", assembly_sql("trunc(sum(price))::BIGINT AS total, sum(price / 1000)::DECIMAL(12,1) AS thousands, min(priority)[1:3] AS short").replace("sum(price / 1000)::DECIMAL(12,1)", "round(sum(price / 1000), 1)"),
-    lambda s, d: assembled([measure_row("SUM", "BIGINT", name="total"), measure_row("SUM", "DECIMAL(12,1)", "{[price] / 1000}", name="thousands"), measure_row("MIN", "VARCHAR(3)", "[priority]", name="short")])(s, d).withColumn("thousands", F.col("thousands").cast("double")))
+add("assembly_typed_output", assembly_sql("sum(floor(price))::BIGINT AS total, sum(floor(price))::DOUBLE AS exact, min(priority)[1:3] AS short"),
+    lambda s, d: assembled([measure_row("SUM", "BIGINT", "{FLOOR([price])}", name="total"), measure_row("SUM", "DECIMAL(14,1)", "{FLOOR([price])}", name="exact"), measure_row("MIN", "VARCHAR(3)", "[priority]", name="short")])(s, d).withColumn("exact", F.col("exact").cast("double")))
 add("assembly_duplicate_master", assembly_sql("count(price)::INT AS out", base=f"{_MASTER.format('unnest([1996, 1997])')} UNION ALL {_MASTER.format('1996')}"), assembled([measure_row("COUNT", "INT")], lambda s, d: master(s, d).unionByName(master(s, d).where("y = 1996"))))
 add("assembly_null_uid", assembly_sql("count(price)::INT AS out", base=f"SELECT nullif(c_custkey % 50, 0) AS c_custkey, y, year_start, year_end FROM ({_MASTER.format('unnest([1996, 1997])')})"), assembled([measure_row("COUNT", "INT")], lambda s, d: master(s, d).withColumn("c_custkey", F.expr("nullif(c_custkey % 50, 0)"))))
 add("assembly_overwrite_column", assembly_sql("count(price)::INT AS out"), assembled([measure_row("COUNT", "INT")], lambda s, d: master(s, d).withColumn("out", F.lit("old"))))
