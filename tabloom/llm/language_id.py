@@ -18,6 +18,7 @@ pass through.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabloom.llm.common import ALNUM, texts, with_fields
+from tabloom.llm.common import ALNUM, parts, texts, with_fields
 
 UND = "und"
 #: Most labelled rows that training takes, chosen by hash.
@@ -44,18 +45,29 @@ MARGIN = 0.5
 _REMEMBERED = 300_000
 
 
+def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets of the n-grams of all words between their marks: (length x place) buckets, which of them are whole, word starts."""
+    raw = np.frombuffer(b"".join([b"<" + w + b">" for w in words]), np.uint8).astype(np.uint64) + np.uint64(1)
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    ends = np.cumsum(sizes)
+    left = np.repeat(ends, sizes) - np.arange(len(raw))
+    found, whole = np.zeros((len(GRAMS), len(raw)), np.int64), np.zeros((len(GRAMS), len(raw)), bool)
+    for g, n in enumerate(GRAMS):
+        if len(raw) < n:
+            continue
+        h = np.full(len(raw) - n + 1, n, np.uint64)
+        for i in range(n):
+            h = (h ^ raw[i : len(raw) - n + 1 + i]) * np.uint64(0x100000001B3)
+            h ^= h >> np.uint64(29)
+        found[g, : len(h)] = (h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(47)
+        whole[g] = left >= n
+    return found, whole, ends - sizes
+
+
 def buckets(word: bytes) -> np.ndarray:
-    """Buckets of the n-grams of a word between its marks."""
-    raw = np.frombuffer(b"<" + word + b">", np.uint8).astype(np.uint64) + np.uint64(1)
-    out = []
-    for n in GRAMS:
-        if len(raw) >= n:
-            h = np.full(len(raw) - n + 1, n, np.uint64)
-            for i in range(n):
-                h = (h ^ raw[i : len(raw) - n + 1 + i]) * np.uint64(0x100000001B3)
-                h ^= h >> np.uint64(29)
-            out.append((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(47))
-    return np.concatenate(out).astype(np.int64) if out else np.zeros(0, np.int64)
+    """Buckets of one word's n-grams."""
+    found, whole, _ = grams([word])
+    return found[whole]
 
 
 class Model:
@@ -70,43 +82,52 @@ class Model:
     def __getstate__(self):
         return self.__dict__ | {"_row": {}, "_rows": self._rows[:0]}
 
-    def _word_rows(self, words: list[bytes]) -> np.ndarray:
+    def _places(self, words: list[bytes]) -> np.ndarray:
+        """Rows of the words; unknown ones are summed from their n-grams, all at once."""
         new = [w for w in set(words) if w not in self._row]
+        if len(self._row) + len(new) > _REMEMBERED:
+            self._row.clear()
+            self._rows = self._rows[:0]
+            new = list(set(words))
         if new:
-            if len(self._row) + len(new) > _REMEMBERED:
-                self._row.clear()
-                self._rows = self._rows[:0]
-                new = list(set(words))
             n, k = len(self._row), len(self.langs)
             if n + len(new) > len(self._rows):
                 self._rows = np.concatenate((self._rows, np.zeros((max(len(new), len(self._rows), 1024), k + 2))))
-            for i, w in enumerate(new, n):
-                b = buckets(w)
-                self._rows[i, :k], self._rows[i, k], self._rows[i, k + 1] = self.table[b].sum(0), len(b), self.seen[b].sum()
-                self._row[w] = i
-        return self._rows[np.fromiter(map(self._row.__getitem__, words), np.int64, len(words))]
-
-    def logits(self, text: bytes) -> tuple[np.ndarray, float] | None:
-        """Scores of the languages, and the part of n-grams that training saw; None without words."""
-        words = text.translate(ALNUM).split()
-        if not words:
-            return None
-        total = np.zeros(len(self.langs) + 2)
-        for a in range(0, len(words), 100_000):
-            total += self._word_rows(words[a : a + 100_000]).sum(0)
-        n = max(total[-2], 1)
-        return total[:-2] / n + self.bias, total[-1] / n
-
-    def predict(self, text: bytes) -> tuple[str, float, bool]:
-        """Language, calibrated probability, and whether to reject."""
-        if not text or not self.langs or not any(c.isalpha() for c in text.decode()):
-            return UND, 0.0, True
-        found = self.logits(text)
-        if found is None:
-            return UND, 0.0, True
-        p = softmax(found[0] / self.temperature)
-        best = int(p.argmax())
-        return self.langs[best], float(p[best]), bool(p[best] < self.least_score or found[1] < self.least_seen)
+            for a in range(0, len(new), 20_000):
+                some = new[a : a + 20_000]
+                found, whole, starts = grams(some)
+                each = np.zeros((found.shape[1], k + 2))
+                for b, ok in zip(found, whole, strict=True):
+                    each[ok, :k] += self.table[b[ok]]
+                    each[ok, k + 1] += self.seen[b[ok]]
+                each[:, k] = whole.sum(0)
+                self._rows[n + a : n + a + len(some)] = np.add.reduceat(each, starts)
+            self._row.update(zip(new, range(n, n + len(new)), strict=True))
+        return np.fromiter(map(self._row.__getitem__, words), np.int64, len(words))
+
+    def logits(self, batch: list[bytes]) -> list[tuple[np.ndarray, float] | None]:
+        """For each text: scores of the languages, and the part of n-grams that training saw; None without words."""
+        split = [text.translate(ALNUM).split() for text in batch]
+        doc = np.repeat(np.arange(len(split)), np.fromiter(map(len, split), np.int64, len(split)))
+        flat = list(chain.from_iterable(split))
+        total = np.zeros((len(split), len(self.langs) + 2))
+        for a in range(0, len(flat), 100_000):
+            own = doc[a : a + 100_000]
+            first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+            at = self._places(flat[a : a + 100_000])
+            total[own[first]] += np.add.reduceat(self._rows[at], first)
+        return [(t[:-2] / max(t[-2], 1) + self.bias, t[-1] / max(t[-2], 1)) if ws else None for t, ws in zip(total, split, strict=True)]
+
+    def predict(self, batch: list[bytes]) -> list[tuple[str, float, bool]]:
+        """For each text: language, calibrated probability, and whether to reject."""
+        out = [(UND, 0.0, True)] * len(batch)
+        asked = [i for i, text in enumerate(batch) if text and self.langs and any(c.isalpha() for c in text.decode())]
+        for i, found in zip(asked, self.logits([batch[i] for i in asked]) if asked else (), strict=True):
+            if found is not None:
+                p = softmax(found[0] / self.temperature)
+                best = int(p.argmax())
+                out[i] = self.langs[best], float(p[best]), bool(p[best] < self.least_score or found[1] < self.least_seen)
+        return out
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -127,9 +148,9 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> Model:
     known: dict[bytes, np.ndarray] = {}
     bags, labels = [], []
     for text, lang in fitted:
-        grams = [known[w] if w in known else known.setdefault(w, buckets(w)) for w in text.translate(ALNUM).split()]
-        if grams:
-            at, n = np.unique(np.concatenate(grams), return_counts=True)
+        own = [known[w] if w in known else known.setdefault(w, buckets(w)) for w in text.translate(ALNUM).split()]
+        if own:
+            at, n = np.unique(np.concatenate(own), return_counts=True)
             bags.append((at, n / n.sum()))
             labels.append(langs.index(lang))
     seen = np.zeros(BUCKETS, bool)
@@ -155,7 +176,8 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> Model:
 
 
 def _calibrate(model: Model, rows: list[tuple[bytes, str]]) -> None:
-    found = [(model.logits(t), model.langs.index(lang)) for t, lang in rows if lang in model.langs]
+    rows = [r for r in rows if r[1] in model.langs]
+    found = list(zip(model.logits([t for t, _ in rows]), [model.langs.index(lang) for _, lang in rows], strict=True)) if rows else []
     found = [(z[0], z[1], y) for z, y in found if z is not None]
     if not found:
         return
@@ -192,7 +214,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [held.value.predict(t) for t in texts(batch, "text")]
+            found = [x for some in parts(texts(batch, "text")) for x in held.value.predict(some)]
             lang, score, rejected = zip(*found, strict=True) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(n) for n in names), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())],
