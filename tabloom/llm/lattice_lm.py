@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import Store, texts
+from tabloom.llm.common import Store, cut_at, texts
 
 #: Most frequent words that are broadcast with their scores; all others are joined.
 HOT_WORDS = 100_000
@@ -101,17 +101,21 @@ class Lattice:
 
     def _find(self, hashes: np.ndarray) -> np.ndarray:
         """Piece indexes, -1 where there is none."""
-        at = ((hashes * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - self.bits)).astype(np.int64)
-        out = np.full(len(hashes), -1, np.int32)
-        todo = np.arange(len(hashes))
-        for _ in range(self.probes):
-            slot = self.values[at[todo]]
-            same = (self.keys[at[todo]] == hashes[todo]) & (slot >= 0)
+        at = ((hashes * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - self.bits)).view(np.int64)
+        out = self.values[at]
+        # most slots are empty, or hold the piece itself; few are looked up further on
+        todo = np.flatnonzero((out >= 0) & (self.keys[at] != hashes))
+        at = at[todo]
+        out[todo] = -1
+        for _ in range(self.probes - 1):
+            at = (at + 1) & ((1 << self.bits) - 1)
+            slot = self.values[at]
+            same = (self.keys[at] == hashes[todo]) & (slot >= 0)
             out[todo[same]] = slot[same]
-            todo = todo[~same & (slot >= 0)]
+            more = ~same & (slot >= 0)
+            todo, at = todo[more], at[more]
             if not len(todo):
                 break
-            at[todo] = (at[todo] + 1) & ((1 << self.bits) - 1)
         return out
 
     def _edges(self, block: np.ndarray) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
@@ -240,6 +244,19 @@ def count_words(docs: DataFrame, train: Column) -> DataFrame:
     return rows.mapInArrow(run, "word binary, c long, a long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("a").alias("a"))
 
 
+def gathered(batches: Iterator[pa.RecordBatch], rows: int = 150_000) -> Iterator[pa.Table]:
+    """Batches put together to so many rows, for array operations that are worth their call."""
+    some, n = [], 0
+    for batch in batches:
+        some.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(some)
+            some, n = [], 0
+    if n:
+        yield pa.Table.from_batches(some)
+
+
 def fit(counts: DataFrame, pieces: list[tuple[bytes, float]], ends: int, rounds: int = EM_ROUNDS) -> tuple[Lattice, float]:
     """The lattice of fitted pieces, and the natural log probability of an end.
 
@@ -253,8 +270,8 @@ def fit(counts: DataFrame, pieces: list[tuple[bytes, float]], ends: int, rounds:
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             uses = 0
-            for batch in batches:
-                uses = uses + held.value.expected(batch.column("word").to_pylist(), batch.column("c").to_numpy())
+            for table in gathered(batches):
+                uses = uses + held.value.expected(table.column("word").to_pylist(), table.column("c").to_numpy())
             if not isinstance(uses, int):
                 at = np.flatnonzero(uses)
                 yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(uses[at])], names=["piece", "uses"])
@@ -285,7 +302,7 @@ def score(docs: DataFrame, vocabulary_path: str, held_out: Column, hot: int = HO
     lattice, end = fit(counts, vocabulary(vocabulary_path), ends, rounds)
 
     real = counts.where("word != x''")
-    common = real.orderBy(F.desc("a"), "word").limit(hot).collect()
+    common = real.where(F.col("a") >= cut_at(real, "a", hot)).collect()
     keys = [bytes(r.word) for r in common]
     log10 = 1 / math.log(10)
     of_c = np.log10(np.array([r.c for r in common], float) + SMOOTHING)
@@ -328,9 +345,9 @@ def score(docs: DataFrame, vocabulary_path: str, held_out: Column, hot: int = HO
             )
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ws = batch.column("word").to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), pa.array(held.value.forward(ws) * log10)], names=["word", "c", "word_lat"])
+        for table in gathered(batches):
+            lat = held.value.forward(table.column("word").to_pylist()) * log10
+            yield from table.append_column("word_lat", pa.array(lat)).to_batches()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "held_out").mapInArrow(
         gather, "key long, word binary, tf long, head boolean, doc_id long, held_out boolean, base double, lat double, known long"
