@@ -65,21 +65,20 @@ def op8_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     of one with a smaller id go; French ones are counted anew, by letters and
     digits where it was by white space; and the first deltas are folded.
     """
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
     store = Store(spark, "token-rollup")
-    rollup = token_rollup.Rollup(spark, store.root)
-    space, alnum = (token_rollup.counted(docs, v) for v in ("space-1", "alnum-1"))
+    docs = read(spark, sf_dir, "documents")
+    counted = store.keep(docs.select("doc_id", "source", "lang", F.sha2("text", 256).alias("digest"), *(token_rollup.n_tokens(v).alias(v) for v in token_rollup.VERSIONS)), "counted")
+    rollup = token_rollup.Rollup(spark, f"{store.root}/rollup")
+    space, alnum = (counted.select("doc_id", "source", "lang", F.lit(v).alias("tokenizer"), F.col(f"`{v}`").alias("n_tokens")) for v in token_rollup.VERSIONS)
     rollup.apply("arrivals-space", inserts=space)
     rollup.apply("arrivals-alnum", inserts=alnum)
     rollup.compact()
-    digest = F.sha2("text", 256)
-    kept = docs.groupBy(digest.alias("h")).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    kept = counted.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
     repeats = space.unionByName(alnum).join(kept, "doc_id", "left_anti")
     rollup.apply("repeats", deletes=repeats)
-    anew = token_rollup.counted(docs, "space-1", token_rollup.VERSIONS["alnum-1"]).where("lang = 'fr'")
-    left = space.where("lang = 'fr'").join(kept, "doc_id", "left_semi")
-    revised = left.select("doc_id", "source", "lang", "tokenizer", F.col("n_tokens").alias("old_tokens")).join(anew.select("doc_id", F.col("n_tokens").alias("new_tokens")), "doc_id")
-    rollup.apply("french-anew", revisions=revised)
+    french = counted.where("lang = 'fr'").join(kept, "doc_id", "left_semi")
+    anew = french.select("source", "lang", F.lit("space-1").alias("tokenizer"), F.col("`space-1`").alias("old_tokens"), F.col("`alnum-1`").alias("new_tokens"))
+    rollup.apply("french-anew", revisions=anew)
     rollup.apply("repeats", deletes=repeats)
     return rollup.totals()
 

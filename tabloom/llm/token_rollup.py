@@ -22,7 +22,7 @@ from __future__ import annotations
 import re
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 GROUP = ["source", "lang", "tokenizer"]
@@ -123,7 +123,5 @@ def _sum(delta: DataFrame) -> DataFrame:
 VERSIONS = {"space-1": r"[^\x20\x09-\x0D]+", "alnum-1": r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"}
 
 
-def counted(docs: DataFrame, version: str, pattern: str | None = None) -> DataFrame:
-    """doc_id, source, lang, tokenizer, n_tokens."""
-    n = F.coalesce(F.regexp_count("text", F.lit(pattern or VERSIONS[version])), F.lit(0)).cast("long")
-    return docs.select("doc_id", "source", "lang", F.lit(version).alias("tokenizer"), n.alias("n_tokens"))
+def n_tokens(version: str, text: str = "text") -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(VERSIONS[version])), F.lit(0)).cast("long")
