@@ -2,6 +2,12 @@
 
 Each stage takes what the one before kept, written as Parquet and read again, and
 works on its whole texts. All but the last return the columns of ``documents``.
+
+Defined results, beside those of the operators: an id names one document, whose
+rows stand or fall together, and of equal rows one stays after the Jaccard join;
+documents without id or without words are no one's copy; texts that are null or
+hold no letter go at language identification; empty tables give empty results;
+columns beyond those of ``documents`` are dropped.
 """
 
 from __future__ import annotations
@@ -24,8 +30,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of linked documents the one of the smallest doc_id stays."""
+    docs = docs.select(*COLUMNS)
     found = jaccard_join.join(docs)
-    return drop_ids(docs, found.where("n_shingles > 0 and doc_id != component_id").select("doc_id"), "doc_id").select(*COLUMNS)
+    kept = drop_ids(docs, found.where("n_shingles > 0 and doc_id != component_id").select("doc_id"), "doc_id")
+    twice = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
+    if twice.limit(1).count():  # rows of one id: equal ones are merged, the others need no exchange
+        kept = kept.join(twice, "doc_id", "left_anti").unionByName(kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
+    return kept.select(*COLUMNS)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
