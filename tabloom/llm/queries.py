@@ -118,8 +118,36 @@ QUERIES = {
     )
 }
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SPACED = rf"list_filter(regexp_split_to_array({_LOWER}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+_ALNUM = rf"list_filter(regexp_split_to_array({_LOWER}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+
 #: The others have no SQL: training, learned weights, hash orders, graphs and tokenizers. Tests hold them against brute force.
 ORACLES: dict[str, str] = {
+    "op5_token_group_join": f"""
+        WITH RECURSIVE w AS (SELECT doc_id, {_SPACED} AS ws FROM documents),
+        s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) BETWEEN 1 AND 4 THEN [array_to_string(ws, ' ')]
+                     ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS g FROM w),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        met AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+        links AS (SELECT x, y FROM met JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 80 * (p.n + q.n - c)),
+        edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+        reach(x, y) AS (SELECT doc_id, doc_id FROM n UNION SELECT reach.x, edges.y FROM reach JOIN edges ON reach.y = edges.x),
+        least AS (SELECT x, min(y) AS component FROM reach GROUP BY x)
+        SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(component, w.doc_id) AS component_id
+        FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN least ON least.x = w.doc_id""",
+    "op10_suffix_automaton": f"""
+        WITH d AS (SELECT doc_id, {_ALNUM} AS ws FROM documents),
+        i AS (SELECT item_id, {_ALNUM} AS ws FROM benchmark),
+        k AS (SELECT item_id, ws, least(10, len(ws)) AS k FROM i WHERE len(ws) > 0),
+        windows AS (SELECT DISTINCT item_id, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda j: array_to_string(ws[j:j + k - 1], ' '))) AS g FROM k),
+        spots AS (SELECT doc_id, k, unnest(range(1, len(ws) - k + 2)) AS j, ws FROM d, (SELECT DISTINCT k FROM k) WHERE len(ws) >= k),
+        hits AS (SELECT doc_id, item_id, j, spots.k AS k FROM spots JOIN windows ON windows.k = spots.k AND windows.g = array_to_string(ws[j:j + spots.k - 1], ' ')),
+        words AS (SELECT doc_id, count(DISTINCT spot) AS n FROM (SELECT doc_id, unnest(range(j, j + k)) AS spot FROM hits) GROUP BY doc_id),
+        items AS (SELECT doc_id, count(DISTINCT item_id) AS n, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM hits GROUP BY doc_id)
+        SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(words.n, 0) AS n_hit, coalesce(items.n, 0) AS n_items,
+               sha256(coalesce(ids, '')) AS items_sha256, coalesce(words.n, 0) > 0 AS contaminated
+        FROM d LEFT JOIN words ON words.doc_id = d.doc_id LEFT JOIN items ON items.doc_id = d.doc_id""",
     "op8_token_rollup": r"""
         WITH counted AS (
             SELECT doc_id, source, lang, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS space,
