@@ -16,7 +16,8 @@ each group found so far the union of its members' tokens. One look at the matrix
 bounds a document's overlap with all groups; only groups that could hold a link
 are opened, and those that do merge. What is left are candidates in different
 components: these are held against whole groups in the same way, a union first,
-members only if it qualifies.
+members only if it qualifies. A few documents of each component ask first, which
+merges most of a large group of copies; then all that are left do.
 
 Lists of up to ``SMALL_LIST`` classes give their pairs; longer ones give a pair
 with their leader each, and later only pairs over different components.
@@ -37,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import Store, cut_at, tasks, texts
+from tabloom.llm.common import Store, tasks, texts
 from tabloom.llm.components import components
 
 SHINGLE = 5
@@ -45,21 +46,41 @@ SHINGLE = 5
 NUM, DEN = 80, 100
 #: Shingles looked through together for repeats, at least two sets of which make a shingle count as repeated.
 CHUNK = 4_000_000
-#: Repeated shingles from so many sets on are ordered last ...
-FREQUENT = 64
-#: ... the most frequent ones, as many as this, which bounds the broadcast.
-FREQUENT_MOST = 500_000
+#: Shingles that so many repeats were counted of are ordered last.
+FREQUENT = 2
+#: Cells of a class's sketch: how many of its shingles fall in each, 255 for that many or more.
+CELLS = 256
 SMALL_LIST = 8
 #: A task's part of a leader's group: documents and tokens.
 PART_DOCS, PART_TOKENS = 256, 300_000
 #: Documents in a group that queries are held against, and queries in a salt of it.
 GROUP, SALT = 64, 1000
-#: Bits of the filter for candidates' sets, at most; wrong hits only cost.
+#: Rounds in which a few documents of each component ask some groups of the largest one in their list, and how many; then all ask.
+WITNESS_ROUNDS, WITNESSES, ASKED = 2, 2, 4
+#: Bits of a broadcast filter. Wrong hits only cost: a set that nothing asks for, a shingle ordered last.
 FILTER_BITS = 1 << 26
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _POWERS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
-_words: dict[bytes, int] = {}
+
+
+class _Words(dict):
+    """Words to places in an array of their hashes."""
+
+    def __init__(self):
+        super().__init__()
+        self.hashes = np.zeros(1024, np.uint64)
+
+    def __missing__(self, word: bytes) -> int:
+        at = len(self)
+        if at == len(self.hashes):
+            self.hashes = np.concatenate((self.hashes, np.zeros_like(self.hashes)))
+        self.hashes[at] = xxhash.xxh3_64_intdigest(word)
+        self[word] = at
+        return at
+
+
+_words = _Words()
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -73,18 +94,17 @@ def shingles(text: bytes, k: int = SHINGLE) -> np.ndarray:
     ws = text.lower().split()
     if not ws:
         return np.zeros(0, np.uint64)
-    known = _words
-    if len(known) > 500_000:
-        known.clear()
-    for w in ws:
-        if w not in known:
-            known[w] = xxhash.xxh3_64_intdigest(w)
-    h = np.array([known[w] for w in ws], np.uint64)
+    if len(_words) > 500_000:
+        _words.clear()
+    at = np.fromiter(map(_words.__getitem__, ws), np.int64, len(ws))
+    h = _words.hashes[at]
     n = max(len(h) - k + 1, 1)
     out = np.full(n, min(len(h), k), np.uint64)
     for j in range(min(k, len(h))):
-        out = mix(out + h[j : j + n] * _POWERS[j % len(_POWERS)])
-    return np.unique(out)
+        out += h[j : j + n] * _POWERS[j]
+    out = mix(out)
+    out.sort()
+    return out[np.concatenate(([True], out[1:] != out[:-1]))]
 
 
 def identity(s: np.ndarray) -> int:
@@ -93,6 +113,17 @@ def identity(s: np.ndarray) -> int:
     return int(mix(total ^ (np.array([len(s)], np.uint64) * _POWERS[0])).view(np.int64)[0])
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """Counts of shingles by cell. The sum of the lesser counts of two sketches bounds the overlap."""
+    return np.minimum(np.bincount((s & np.uint64(CELLS - 1)).view(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes()
+
+
+def overlap_bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For rows of sketches; a cell that is full in both bounds nothing."""
+    low = np.minimum(a, b)
+    return np.where((low == 255).any(-1), 1 << 60, low.sum(-1, dtype=np.int64))
+
+
 def links(both: int, a: int, b: int) -> bool:
     return DEN * both >= NUM * (a + b - both)
 
@@ -123,7 +154,7 @@ def feasible(n1, i1, n2, i2):
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """kind 0: (doc_id, size, class) of a document; kind 1: (null, times, shingle) of a repeated shingle."""
+    """kind 0: (doc_id, size, class, sketch) of a document; kind 1: (null, times, shingle, null) of a repeated shingle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -142,28 +173,30 @@ def describe(docs: DataFrame) -> DataFrame:
             return _rows(1, None, times[few], every[first[few]].view(np.int64))
 
         for batch in batches:
-            sizes, names = [], []
+            sizes, names, sketches = [], [], []
             for text in texts(batch, "text"):
                 s = shingles(text)
                 name = identity(s)
                 sizes.append(len(s))
                 names.append(name)
+                sketches.append(None if name in seen or not len(s) else sketch(s))
                 if name not in seen:
                     seen.add(name)
                     held.append(s)
                     size += len(s)
                     if size > CHUNK:
                         yield repeats()
-            yield _rows(0, batch.column("doc_id"), np.array(sizes, np.int64), np.array(names, np.int64))
+            yield _rows(0, batch.column("doc_id"), np.array(sizes, np.int64), np.array(names, np.int64), sketches)
         if held:
             yield repeats()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "kind int, doc_id long, n long, h long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "kind int, doc_id long, n long, h long, sketch binary")
 
 
-def _rows(kind: int, ids, n: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
+def _rows(kind: int, ids, n: np.ndarray, h: np.ndarray, sketches: list | None = None) -> pa.RecordBatch:
     ids = pa.nulls(len(n), pa.int64()) if ids is None else ids
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind, np.int32)), ids, pa.array(n.astype(np.int64)), pa.array(h)], names=["kind", "doc_id", "n", "h"])
+    sketches = pa.nulls(len(n), pa.binary()) if sketches is None else pa.array(sketches, pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind, np.int32)), ids, pa.array(n.astype(np.int64)), pa.array(h), sketches], names=["kind", "doc_id", "n", "h", "sketch"])
 
 
 # pass two: prefixes, and posting lists of them
@@ -171,6 +204,21 @@ def _rows(kind: int, ids, n: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
 _ENTRY = np.dtype([("shingle", "<u8"), ("name", "<i8"), ("n", "<i4"), ("at", "<i4")])
 
 
+def filter_of(df: DataFrame, column: str) -> np.ndarray:
+    """A bit for each value of a long column, in ``FILTER_BITS`` bits: a bound on what the driver and the broadcast hold."""
+    word = F.shiftrightunsigned(F.col(column), 6).bitwiseAND(F.lit(FILTER_BITS // 64 - 1))
+    bit = F.expr(f"shiftleft(1L, cast({column} & 63 as int))")
+    found = df.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    bits = np.zeros(FILTER_BITS // 64, np.uint64)
+    bits[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    return bits
+
+
+def maybe_in(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    word = bits[((values >> np.uint64(6)) & np.uint64(len(bits) - 1)).view(np.int64)]
+    return (word >> (values & np.uint64(63))) & np.uint64(1) > 0
+
+
 def postings(docs: DataFrame, frequent: np.ndarray, parts: int) -> DataFrame:
     """names, sizes and places of the classes in each posting list of two classes or more.
 
@@ -203,10 +251,9 @@ def postings(docs: DataFrame, frequent: np.ndarray, parts: int) -> DataFrame:
                     seen.clear()
                 seen.add(name)
                 n, p = len(s), prefix(len(s))
-                if len(late):
-                    last = late[np.minimum(np.searchsorted(late, s), len(late) - 1)] == s
-                    if last.any():
-                        s = np.concatenate((s[~last], s[last]))
+                last = maybe_in(late, s)
+                if last.any():
+                    s = np.concatenate((s[~last], s[last]))
                 own = np.empty(p, _ENTRY)
                 own["shingle"], own["name"], own["n"], own["at"] = s[:p], name, n, np.arange(p)
                 waiting.append(own)
@@ -281,16 +328,87 @@ def first_pairs(lists: DataFrame) -> DataFrame:
     return lists.mapInArrow(run, "a long, b long").distinct()
 
 
+def _sketches(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, CELLS)
+
+
+def bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs whose sketches leave room for a link."""
+    a, b = (classes.select(F.col("name").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                n = least_overlap(batch.column("na").to_numpy(), batch.column("nb").to_numpy())
+                keep = overlap_bound(_sketches(batch.column("sa")), _sketches(batch.column("sb"))) >= n
+                yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    return pairs.join(a, "a").join(b, "b").mapInArrow(run, "a long, b long")
+
+
+def entries(lists: DataFrame) -> DataFrame:
+    """list, name, n, at of the longer lists."""
+    each = lists.where(F.size("names") > SMALL_LIST).select(F.xxhash64("names", "places").alias("list"), F.explode(F.arrays_zip("names", "sizes", "places")).alias("e"))
+    return each.select("list", F.col("e.names").alias("name"), F.col("e.sizes").alias("n"), F.col("e.places").alias("at"))
+
+
+def _by_list(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...], convert=lambda t, c: t.column(c).to_numpy()) -> Iterator[dict[str, np.ndarray]]:
+    """The rows of each list, of rows sorted by list; a few lists at a time are in memory."""
+    rest: list[pa.RecordBatch] = []
+
+    def lists(table: pa.Table) -> Iterator[dict[str, np.ndarray]]:
+        whole = {c: convert(table, c) for c in columns}
+        key = table.column("list").to_numpy()
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        for a, b in zip(first, np.append(first[1:], len(key)), strict=True):
+            yield {c: v[a:b] for c, v in whole.items()}
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rest.append(batch)
+        if batch.column("list")[-1] != rest[0].column("list")[0]:
+            table = pa.Table.from_batches(rest)
+            key = table.column("list").to_numpy()
+            cut = int(np.flatnonzero(key[1:] != key[:-1])[-1]) + 1
+            yield from lists(table.slice(0, cut))
+            rest = table.slice(cut).to_batches()
+    if rest:
+        yield from lists(pa.Table.from_batches(rest))
+
+
+def in_long_lists(lists: DataFrame, classes: DataFrame) -> DataFrame:
+    """Names in longer lists that places and sketches let link to another of the list."""
+    ready = entries(lists).join(classes.select("name", "sketch"), "name").repartition(tasks(lists.sparkSession), "list").sortWithinPartitions("list")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own in _by_list(batches, ("name", "n", "at", "sketch"), lambda t, c: _sketches(t.column(c)) if c == "sketch" else t.column(c).to_numpy()):
+            # by size: partners of a set are among those up to a quarter larger
+            order = np.argsort(own["n"], kind="stable")
+            name, n, at, cells = (own[c][order] for c in ("name", "n", "at", "sketch"))
+            could = np.zeros(len(n), bool)
+            most = np.searchsorted(n, DEN * n // NUM, "right")
+            for i in np.flatnonzero(feasible(n, at, n, at)):
+                to = i + 1 + np.flatnonzero(feasible(n[i], at[i], n[i + 1 : most[i]], at[i + 1 : most[i]]))
+                if could[i]:
+                    to = to[~could[to]]
+                for a in range(0, len(to), 4096):
+                    some = to[a : a + 4096]
+                    hit = some[overlap_bound(cells[some], cells[i]) >= least_overlap(n[i], n[some])]
+                    if len(hit):
+                        could[i] = True
+                        could[hit] = True
+            yield pa.RecordBatch.from_arrays([pa.array(name[could])], names=["name"])
+
+    return ready.mapInArrow(run, "name long").distinct()
+
+
 # pass three: the sets of candidates
 
 
 def candidate_sets(docs: DataFrame, names: DataFrame) -> DataFrame:
     """name and tokens (ascending unsigned 64-bit) of the named classes, one row each."""
-    word = F.shiftrightunsigned(F.col("name"), 6).bitwiseAND(F.lit(FILTER_BITS // 64 - 1))
-    bit = F.expr("shiftleft(1L, cast(name & 63 as int))")
-    found = names.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
-    bits = np.zeros(FILTER_BITS // 64, np.int64)
-    bits[found["word"].to_numpy()] = found["bits"].to_numpy()
+    bits = filter_of(names, "name")
     held = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,7 +419,7 @@ def candidate_sets(docs: DataFrame, names: DataFrame) -> DataFrame:
             for text in texts(batch, "text"):
                 s = shingles(text)
                 name = identity(s)
-                if name in seen or not int(bits[(name & 0xFFFFFFFFFFFFFFFF) >> 6 & (len(bits) - 1)]) >> (name & 63) & 1:
+                if name in seen or not maybe_in(bits, np.array([name], np.int64).view(np.uint64))[0]:
                     continue
                 if len(seen) > 1_000_000:
                     seen.clear()
@@ -400,43 +518,77 @@ def in_groups(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def grouped(names: DataFrame, roots: DataFrame) -> DataFrame:
-    """name, root and gid, the group of at most about ``GROUP`` classes of a component."""
+    """name, root, size (of the component) and gid, the group of at most about ``GROUP`` classes of it."""
     known = names.join(roots.withColumnRenamed("node", "name"), "name", "left").select("name", F.coalesce("root", "name").alias("root"))
-    sizes = known.groupBy("root").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
-    gid = F.xxhash64("root", F.pmod(F.xxhash64("name"), F.col("parts")))
-    return known.join(sizes, "root").select("name", "root", F.when(F.col("parts") == 1, F.col("root")).otherwise(gid).alias("gid"))
+    sizes = known.groupBy("root").agg(F.count("*").alias("size"))
+    parts = F.ceil(F.col("size") / GROUP).cast("int")
+    gid = F.xxhash64("root", F.pmod(F.xxhash64("name"), parts))
+    return known.join(sizes, "root").select("name", "root", "size", F.when(parts == 1, F.col("root")).otherwise(gid).alias("gid"))
+
 
+def open_pairs(pairs: DataFrame | None, lists: DataFrame, of: DataFrame, few: int | None = None, seed: int = 0) -> DataFrame:
+    """Queries (name, gid): feasible candidates of different components, where the smaller one asks.
 
-def open_pairs(pairs: DataFrame, lists: DataFrame, of: DataFrame) -> DataFrame:
-    """Queries (name, gid): feasible candidates whose component is another than the group's."""
-    a, b = (of.select(*(F.col(c).alias(f"{c}_{x}") for c in of.columns)) for x in "ab")
-    short = pairs.join(a, F.col("a") == F.col("name_a")).join(b, F.col("b") == F.col("name_b")).where("root_a != root_b").select(F.col("a").alias("name"), F.col("gid_b").alias("gid"))
-    long_ = lists.where(F.size("names") > SMALL_LIST).select(F.xxhash64("names", "places").alias("list"), F.explode(F.arrays_zip("names", "sizes", "places")).alias("e"))
-    entries = long_.select("list", F.col("e.names").alias("name"), F.col("e.sizes").alias("n"), F.col("e.places").alias("at")).join(of, "name")
-    mixed = entries.groupBy("list").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("list")
-    ready = entries.join(mixed, "list", "left_semi").repartition(tasks(pairs.sparkSession), "list").sortWithinPartitions("list", "gid")
+    With ``few``, so many documents of each component ask ``ASKED`` groups of the largest one in the list.
+    """
+    out = None
+    if pairs is not None:
+        a, b = (of.select(*(F.col(c).alias(f"{c}_{x}") for c in of.columns)) for x in "ab")
+        met = pairs.join(a, F.col("a") == F.col("name_a")).join(b, F.col("b") == F.col("name_b")).where("root_a != root_b")
+        a_asks = F.struct("size_a", "root_a") < F.struct("size_b", "root_b")
+        out = met.select(F.when(a_asks, F.col("a")).otherwise(F.col("b")).alias("name"), F.when(a_asks, F.col("gid_b")).otherwise(F.col("gid_a")).alias("gid"))
+    every = entries(lists).join(of, "name")
+    mixed = every.groupBy("list").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max(F.struct("size", "root")).alias("best")).where("low != high").select("list", "best")
+    # the largest component of a list never asks; documents of one group, size and place are alike when asked
+    asks = F.when(F.struct("size", "root") != F.col("best"), F.col("name"))
+    alike = every.join(mixed, "list").groupBy("list", "gid", "root", "size", "n", "at").agg(F.collect_set(asks).alias("names"))
+    ready = alike.repartition(tasks(lists.sparkSession), "list").sortWithinPartitions("list", "gid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        some = [b for b in batches if b.num_rows]
-        if not some:
-            return
-        table = pa.Table.from_batches(some)
-        whole = {c: table.column(c).to_numpy() for c in ("list", "name", "n", "at", "root", "gid")}
-        first = np.flatnonzero(np.concatenate(([True], whole["list"][1:] != whole["list"][:-1])))
-        for lo, hi in zip(first, np.append(first[1:], len(whole["list"])), strict=True):
-            name, n, at, root, gid = (whole[c][lo:hi] for c in ("name", "n", "at", "root", "gid"))
-            starts = np.flatnonzero(np.concatenate(([True], gid[1:] != gid[:-1])))
-            for s, e in zip(starts, np.append(starts[1:], len(gid)), strict=True):
-                ok = np.zeros(len(gid), bool)
-                for x in range(s, e):
-                    ok |= feasible(n, at, n[x], at[x])
-                # of two components the larger root's documents ask
-                ok &= root > root[s]
-                if ok.any():
-                    out = np.unique(name[ok])
-                    yield pa.RecordBatch.from_arrays([pa.array(out), pa.array(np.full(len(out), gid[s]))], names=["name", "gid"])
-
-    return short.unionByName(ready.mapInArrow(run, "name long, gid long")).distinct()
+        names, gids, held = [], [], 0
+        for x in _by_list(batches, ("n", "at", "root", "size", "gid", "names"), lambda t, c: t.column(c).to_pylist() if c == "names" else t.column(c).to_numpy()):
+            times = np.fromiter(map(len, x["names"]), np.int64, len(x["names"]))
+            y = {c: np.repeat(x[c], times) for c in ("n", "at", "root", "size")} | {"name": np.array([i for own in x["names"] for i in own], np.int64)}
+            if few is not None:
+                order = np.argsort(mix(y["name"].view(np.uint64) + np.uint64(seed)), kind="stable")
+                y = {c: v[order] for c, v in y.items()}
+            starts = np.flatnonzero(np.concatenate(([True], x["gid"][1:] != x["gid"][:-1])))
+            spans = list(zip(starts, np.append(starts[1:], len(x["gid"])), strict=True))
+            if few is not None:
+                best = max((x["size"][s], x["root"][s]) for s, _ in spans)
+                spans = [(s, e) for s, e in spans if (x["size"][s], x["root"][s]) == best]
+                turn = mix(np.array([x["gid"][s] for s, _ in spans], np.int64).view(np.uint64) + np.uint64(seed))
+                spans = [spans[i] for i in np.argsort(turn)[:ASKED]]
+            for s, e in spans:
+                size, root = x["size"][s], x["root"][s]
+                rows = np.flatnonzero((y["size"] < size) | ((y["size"] == size) & (y["root"] < root)))
+                ok = np.zeros(len(rows), bool)
+                for i in range(s, e):
+                    ok |= feasible(y["n"][rows], y["at"][rows], x["n"][i], x["at"][i])
+                rows = rows[ok]
+                if few is not None and len(rows):
+                    order = np.argsort(y["root"][rows], kind="stable")
+                    of_root = y["root"][rows[order]]
+                    first = np.flatnonzero(np.concatenate(([True], of_root[1:] != of_root[:-1])))
+                    rank = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+                    rows = rows[order[rank < few]]
+                if len(rows):
+                    names.append(np.unique(y["name"][rows]))
+                    gids.append(np.full(len(names[-1]), x["gid"][s]))
+                    held += len(names[-1])
+            if held > 400_000:
+                yield _queries(names, gids)
+                names, gids, held = [], [], 0
+        if held:
+            yield _queries(names, gids)
+
+    long_ = ready.mapInArrow(run, "name long, gid long")
+    return (long_ if out is None else out.unionByName(long_)).distinct()
+
+
+def _queries(names: list[np.ndarray], gids: list[np.ndarray]) -> pa.RecordBatch:
+    both = np.unique(np.stack((np.concatenate(names), np.concatenate(gids)), 1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, i])) for i in (0, 1)], names=["name", "gid"])
 
 
 def against_groups(queries: DataFrame, of: DataFrame, sets: DataFrame) -> DataFrame:
@@ -481,18 +633,21 @@ def join(docs: DataFrame) -> DataFrame:
     described = store.keep(describe(docs), "described")
     rows = described.where("kind = 0").select("doc_id", "n", F.col("h").alias("name"))
     times = described.where("kind = 1").groupBy("h").agg(F.sum("n").alias("times")).where(F.col("times") >= FREQUENT)
-    least = cut_at(times, "times", FREQUENT_MOST)
-    frequent = np.sort(times.where(F.col("times") >= least).select("h").toArrow()["h"].to_numpy().view(np.uint64))
-
-    lists = store.keep(postings(docs, frequent, tasks(spark)), "lists")
-    pairs = store.keep(first_pairs(lists), "pairs")
-    names = store.keep(
-        lists.where(F.size("names") > SMALL_LIST).select(F.explode("names").alias("name")).unionByName(pairs.select(F.explode(F.array("a", "b")).alias("name"))).distinct(),
-        "names",
-    )
+
+    classes = store.keep(described.where("kind = 0 and sketch is not null").select(F.col("h").alias("name"), "n", "sketch").dropDuplicates(["name"]), "classes")
+    lists = store.keep(postings(docs, filter_of(times, "h"), tasks(spark)), "lists")
+    pairs = store.keep(bounded(first_pairs(lists), classes), "pairs")
+    names = store.keep(pairs.select(F.explode(F.array("a", "b")).alias("name")).unionByName(in_long_lists(lists, classes)).distinct(), "names")
     sets = store.keep(candidate_sets(docs, names), "sets")
     edges = store.keep(in_groups(pairs, sets), "edges")
     roots = components(edges, store, "near")
+    for r in range(WITNESS_ROUNDS):
+        of = store.keep(grouped(names, roots), f"groups{r}")
+        asked = store.keep(open_pairs(None, lists, of, WITNESSES, r), f"asked{r}")
+        if not asked.limit(1).count():
+            break
+        edges = edges.unionByName(store.keep(against_groups(asked, of, sets), f"edges{r}"))
+        roots = components(edges, store, f"nearer{r}")
     of = store.keep(grouped(names, roots), "groups")
     more = store.keep(against_groups(open_pairs(pairs, lists, of), of, sets), "more")
     store.drop("lists", "pairs", "sets")
