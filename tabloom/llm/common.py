@@ -120,3 +120,14 @@ def parts(batch: list[bytes], most: int = 4_000_000) -> Iterator[list[bytes]]:
         size += len(text)
     if part:
         yield part
+
+
+_caches: dict[str, Callable[[], None]] = {}
+
+
+def take_worker(owner: str, clear: Callable[[], None] | None = None) -> None:
+    """To be called in a task: a reused Python worker remembers things for one operator at a time."""
+    for other in [o for o in _caches if o != owner]:
+        _caches.pop(other)()
+    if clear is not None:
+        _caches[owner] = clear

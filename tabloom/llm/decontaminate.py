@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabloom.llm.common import ALNUM, texts, with_fields
+from tabloom.llm.common import ALNUM, take_worker, texts, with_fields
 
 WINDOW = 10
 #: Words of items that one automaton holds; more items go into further automata, one pass each.
@@ -206,6 +206,7 @@ def _pass(docs: DataFrame, automaton: Automaton, first: bool) -> DataFrame:
     names = [f.name for f in schema.fields[:-3]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_worker("decontaminate")
         auto = held.value
         for batch in batches:
             counts, spans, items = [], [], []

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import Store, tasks, texts
+from tabloom.llm.common import Store, take_worker, tasks, texts
 from tabloom.llm.components import components
 
 SHINGLE = 5
@@ -94,7 +94,8 @@ def shingles(text: bytes, k: int = SHINGLE) -> np.ndarray:
     ws = text.lower().split()
     if not ws:
         return np.zeros(0, np.uint64)
-    if len(_words) > 500_000:
+    take_worker("jaccard", _words.clear)
+    if len(_words) > 300_000:
         _words.clear()
     at = np.fromiter(map(_words.__getitem__, ws), np.int64, len(ws))
     h = _words.hashes[at]

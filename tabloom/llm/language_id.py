@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabloom.llm.common import ALNUM, parts, texts, with_fields
+from tabloom.llm.common import ALNUM, parts, take_worker, texts, with_fields
 
 UND = "und"
 #: Most labelled rows that training takes, chosen by hash.
@@ -82,6 +82,9 @@ class Model:
     def __getstate__(self):
         return self.__dict__ | {"_row": {}, "_rows": self._rows[:0]}
 
+    def forget(self) -> None:
+        self._row, self._rows = {}, np.zeros((0, len(self.langs) + 2))
+
     def _places(self, words: list[bytes]) -> np.ndarray:
         """Rows of the words; unknown ones are summed from their n-grams, all at once."""
         new = [w for w in set(words) if w not in self._row]
@@ -213,6 +216,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     names = schema.names[:-3]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_worker("language", held.value.forget)
         for batch in batches:
             found = [x for some in parts(texts(batch, "text")) for x in held.value.predict(some)]
             lang, score, rejected = zip(*found, strict=True) if found else ((), (), ())

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import Store, cut_at, texts
+from tabloom.llm.common import Store, cut_at, take_worker, texts
 
 #: Most frequent words that are broadcast with their scores; all others are joined.
 HOT_WORDS = 100_000
@@ -222,6 +222,7 @@ def count_words(docs: DataFrame, train: Column) -> DataFrame:
     rows = docs.select("text", train.alias("train"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_worker("lattice")
         seen: dict[bool, Counter] = {True: Counter(), False: Counter()}
 
         def flush() -> pa.RecordBatch:
@@ -312,6 +313,7 @@ def score(docs: DataFrame, vocabulary_path: str, held_out: Column, hot: int = HO
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each document, under a word that can't be joined, and one for each of its rarer words."""
+        take_worker("lattice")
         index, logs, lats, known = frequent.value
         row = TaskContext.get().partitionId() << 36
         for batch in batches:

@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import Store, parts, tasks, texts
+from tabloom.llm.common import Store, parts, take_worker, tasks, texts
 
 END_ID = 1
 #: Ids after which a block is closed.
@@ -95,6 +95,7 @@ class Encoder(dict):
     def of(path: str) -> Encoder:
         if path not in _workers:
             _workers[path] = Encoder(path)
+        take_worker("tokens", _forget)
         return _workers[path]
 
     def _word(self, word: str) -> bytes:
@@ -126,6 +127,12 @@ class Encoder(dict):
         return out
 
 
+def _forget() -> None:
+    for encoder in _workers.values():
+        encoder.clear()
+        encoder.words.clear()
+
+
 def pack(ranks: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes]:
     """Control and data of documents whose ranks follow each other."""
     ranks = ranks.astype("<u4", copy=False)
