@@ -36,6 +36,13 @@ def work_dir(spark: SparkSession) -> str:
     return _own_dir[0]
 
 
+def bound_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Texts are long: fewer rows at a time between JVM and Python, so that a batch stays small in both."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
+        spark.conf.set(key, rows)
+
+
 class Store:
     """Tables written to the shared folder, so that a lost executor costs no lineage.
 
@@ -45,6 +52,7 @@ class Store:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        bound_batches(spark)
         self.root = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
         atexit.register(self.drop)
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabloom.llm.common import ALNUM, take_worker, texts, with_fields
+from tabloom.llm.common import ALNUM, bound_batches, take_worker, texts, with_fields
 
 WINDOW = 10
 #: Words of items that one automaton holds; more items go into further automata, one pass each.
@@ -196,6 +196,7 @@ def annotate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit:
 
 
 def _pass(docs: DataFrame, automaton: Automaton, first: bool) -> DataFrame:
+    bound_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(automaton)
     schema = with_fields(
         docs,
@@ -207,26 +208,36 @@ def _pass(docs: DataFrame, automaton: Automaton, first: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         take_worker("decontaminate")
-        auto = held.value
         for batch in batches:
-            counts, spans, items = [], [], []
-            before = [(None, None)] * batch.num_rows if first else zip(batch.column("hit_spans").to_pylist(), batch.column("hit_items").to_pylist(), strict=True)
-            for text, (old, olds) in zip(texts(batch, "text"), before, strict=True):
-                ws = words(text)
-                hit, found = auto.match(ws)
-                if old:
-                    hit, found = merge(hit + [(s["start"], s["end"]) for s in old]), found | set(olds)
-                counts.append(len(ws))
-                spans.append([{"start": a, "end": b} for a, b in hit])
-                items.append(sorted(found))
+            counts, spans, items = _hits(batch, held.value, first)
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(n) for n in names), pa.array(counts, pa.int64()), pa.array(spans, _ARROW_SPANS), pa.array(items, pa.list_(pa.string()))],
+                [
+                    *(batch.column(n) for n in names),
+                    pa.array(counts, pa.int64()),
+                    pa.array([[{"start": a, "end": b} for a, b in hit] for hit in spans], _ARROW_SPANS),
+                    pa.array(items, pa.list_(pa.string())),
+                ],
                 names=[f.name for f in schema.fields],
             )
 
     return docs.mapInArrow(run, schema)
 
 
+def _hits(batch: pa.RecordBatch, auto: Automaton, first: bool) -> tuple[list[int], list[list[tuple[int, int]]], list[list[str]]]:
+    """Words, hit spans and items of each text, with those of passes before."""
+    counts, spans, items = [], [], []
+    before = [(None, None)] * batch.num_rows if first else zip(batch.column("hit_spans").to_pylist(), batch.column("hit_items").to_pylist(), strict=True)
+    for text, (old, olds) in zip(texts(batch, "text"), before, strict=True):
+        ws = words(text)
+        hit, found = auto.match(ws)
+        if old:
+            hit, found = merge(hit + [(s["start"], s["end"]) for s in old]), found | set(olds)
+        counts.append(len(ws))
+        spans.append(hit)
+        items.append(sorted(found))
+    return counts, spans, items
+
+
 def n_hit() -> F.Column:
     """Words inside the spans."""
     return F.aggregate("hit_spans", F.lit(0).cast("long"), lambda t, s: t + (s["end"] - s["start"]))
@@ -251,21 +262,26 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     document with more than ``max_coverage`` of its words in spans goes.
     Documents without hits stay untouched.
     """
-    found = annotate(docs, benchmark, window)
-    kept = found.where(n_hit() <= F.col("n_words") * max_coverage)
-    schema = docs.schema
+    found, first, schema = docs, True, docs.schema
+    held = None
+    for automaton in automata(benchmark, window):
+        if held is not None:
+            found, first = _pass(found, held, first), False
+        held = automaton
+    bound_batches(docs.sparkSession)
+    last = docs.sparkSession.sparkContext.broadcast(held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The last pass also removes, so that a text goes to Python once."""
+        take_worker("decontaminate")
         for batch in batches:
-            hits = batch.column("hit_spans").to_pylist()
+            counts, spans, _ = _hits(batch, last.value, first)
+            keep = [sum(b - a for a, b in hit) <= n * max_coverage for n, hit in zip(counts, spans, strict=True)]
             new = [
-                text if not long else cut(text, long)
-                for text, spans in zip(batch.column("text").to_pylist(), hits, strict=True)
-                for long in [[(s["start"], s["end"]) for s in spans if s["end"] - s["start"] > max_span]]
+                cut(text, long) if kept and (long := [(a, b) for a, b in hit if b - a > max_span]) else text
+                for text, hit, kept in zip(batch.column("text").to_pylist(), spans, keep, strict=True)
             ]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(new, batch.column("text").type) if f.name == "text" else batch.column(f.name) for f in schema.fields],
-                names=schema.names,
-            )
+            columns = [pa.array(new, batch.column("text").type) if f.name == "text" else batch.column(f.name) for f in schema.fields]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names).filter(pa.array(keep, pa.bool_()))
 
-    return kept.mapInArrow(run, schema)
+    return found.mapInArrow(run, schema)

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabloom.llm.common import ALNUM, parts, take_worker, texts, with_fields
+from tabloom.llm.common import ALNUM, bound_batches, parts, take_worker, texts, with_fields
 
 UND = "und"
 #: Most labelled rows that training takes, chosen by hash.
@@ -148,14 +148,18 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> Model:
     fitted = [r for i, r in enumerate(rows) if i % CALIBRATE] if apart else rows
     rng = np.random.default_rng(seed)
     embed, linear, bias = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)), np.zeros((DIM, len(langs))), np.zeros(len(langs))
-    known: dict[bytes, np.ndarray] = {}
-    bags, labels = [], []
+    ats, shares, ends, labels = [], [], [0], []
     for text, lang in fitted:
-        own = [known[w] if w in known else known.setdefault(w, buckets(w)) for w in text.translate(ALNUM).split()]
-        if own:
-            at, n = np.unique(np.concatenate(own), return_counts=True)
-            bags.append((at, n / n.sum()))
+        if words := text.translate(ALNUM).split():
+            found, whole, _ = grams(words)
+            at, n = np.unique(found[whole], return_counts=True)
+            ats.append(at.astype(np.int32))
+            shares.append((n / n.sum()).astype(np.float32))
+            ends.append(ends[-1] + len(at))
             labels.append(langs.index(lang))
+    # two large arrays, which go back to the system at once
+    ats, shares = np.concatenate(ats or [np.zeros(0, np.int32)]), np.concatenate(shares or [np.zeros(0, np.float32)])
+    bags = [(ats[a:b], shares[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
     seen = np.zeros(BUCKETS, bool)
     for at, _ in bags:
         seen[at] = True
@@ -211,6 +215,7 @@ def sample(docs: DataFrame, learn: Column, most: int = SAMPLE) -> list[tuple[str
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """The frame with lang_pred, score and rejected; one narrow pass over whole texts."""
+    bound_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
     schema = with_fields(docs, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType()))
     names = schema.names[:-3]
