@@ -5,7 +5,10 @@ templates have them. A match votes for its diagonal, text position less template
 position; votes are summed by diagonal, diagonals that lie near each other merge
 (words put in or left out shift a passage to a neighbour), and the words of each
 merged span are compared with the template's. Templates of which enough is found
-give their label.
+give their label: the part of a template's words that stand on the diagonals of a
+span, in place. Votes alone drop a span only where they show that this part is
+too small. A template too short to keep a k-gram with as many words replaced as
+the coverage allows votes by shorter grams.
 
 Beside it, short phrases are counted wherever their words stand in a row.
 
@@ -16,6 +19,9 @@ beyond doc_id and text are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -71,11 +77,25 @@ def places(ws: str, phrase: list[str]) -> Column:
     return F.when(F.array_contains(ws, phrase[-1]), at).otherwise(F.array().cast("array<int>"))
 
 
-def template_table(spark: SparkSession, templates: list[tuple[str, str]], k: int) -> DataFrame:
-    """template, label, twords, and h, tpos for each k-gram (a template of fewer words can't vote)."""
+def votes_due(n: int, k: int, coverage: float) -> tuple[int, int]:
+    """Words of a gram by which a template of n words votes, and the votes it has at least on one diagonal that holds the coverage.
+
+    A replaced word costs a gram's length of votes at most; grams are as long as
+    leaves a vote, and of ``k`` words at most.
+    """
+    missing = max(m for m in range(n + 1) if m == 0 or (n - m) / n >= coverage)
+    due = {size: n - size + 1 - size * missing for size in range(k, 0, -1)}
+    return next(((size, least) for size, least in due.items() if least > 0), (1, 1))
+
+
+def template_table(spark: SparkSession, templates: list[tuple[str, str]], k: int, coverage: float) -> DataFrame:
+    """template, label, twords, gram and due (of ``votes_due``), and h, tpos for each gram."""
     rows = [(i, label, text) for i, (label, text) in enumerate(templates)]
     table = spark.createDataFrame(rows, "template int, label string, text string").select("template", "label", words("text").alias("twords"))
-    return table.select("*", F.posexplode(grams("twords", k)).alias("tpos", "h"))
+    rows = [(*r, *votes_due(len(r.twords), k, coverage)) for r in table.collect() if r.twords]
+    table = spark.createDataFrame(rows, "template int, label string, twords array<string>, gram int, due int")
+    each = F.coalesce(*(F.when(F.col("gram") == size, grams("twords", size)) for size in range(1, k + 1)))
+    return table.select("*", F.posexplode(each).alias("tpos", "h"))
 
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases: dict[str, str] = PHRASES, k: int = K, near: int = NEAR, coverage: float = COVERAGE) -> DataFrame:
@@ -87,13 +107,16 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases:
     that hold at least one k-gram of a template take part in the join.
     """
     spark, store = docs.sparkSession, Store(docs.sparkSession, "license-scan")
-    table = template_table(spark, templates, k).cache()
-    wanted = [r.h for r in table.select("h").distinct().collect()]
+    table = template_table(spark, templates, k, coverage).cache()
+    wanted: dict[int, list[int]] = {}
+    for r in table.select("gram", "h").distinct().collect():
+        wanted.setdefault(r.gram, []).append(r.h)
+    hit = reduce(or_, (F.arrays_overlap(grams("ws", size), F.array(*map(F.lit, hs))) for size, hs in sorted(wanted.items())), F.lit(False))
     read = docs.select(F.xxhash64("text").alias("_k"), F.xxhash64("doc_id", "text", F.lit(k)).alias("_d"), "doc_id", words("text").alias("ws"))
     found = F.concat(*(places("ws", p.split()) for p in phrases))
     labels = F.array_compact(F.array(*(F.when(F.size(places("ws", p.split())) > 0, F.lit(label)) for p, label in phrases.items())))
     base = store.keep(
-        read.withColumn("hit", F.arrays_overlap(grams("ws", k), F.array(*map(F.lit, wanted))))
+        read.withColumn("hit", hit)
         .withColumn("at", F.when(F.array_contains("ws", "license") if all("license" in p.split() for p in phrases) else F.lit(True), found))
         .select(
             "_k",
@@ -110,9 +133,10 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases:
     )
     key = ["_k", "_d"]
     candidates = base.where("ws is not null").select(*key, "ws")
+    held = (candidates.select(*key, F.lit(size).alias("gram"), F.posexplode(grams("ws", size)).alias("pos", "h")) for size in sorted(wanted) or [k])
     votes = (
-        candidates.select(*key, F.posexplode(grams("ws", k)).alias("pos", "h"))
-        .join(F.broadcast(table.select("h", "template", "tpos")), "h")
+        reduce(DataFrame.unionByName, held)
+        .join(F.broadcast(table.select("gram", "h", "template", "tpos")), ["gram", "h"])
         .groupBy(*key, "template", (F.col("pos") - F.col("tpos")).alias("diagonal"))
         .agg(F.count_distinct("tpos").alias("votes"))
     )
@@ -123,9 +147,9 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases:
         .groupBy(*key, "template", "span")
         .agg(F.sort_array(F.collect_list("diagonal")).alias("diagonals"), F.sum("votes").alias("votes"))
     )
-    whole = table.select("template", "label", "twords").distinct()
-    # enough votes for the coverage, were each shift to cost k - 1 of them
-    likely = merged.join(F.broadcast(whole), "template").where(F.col("votes") + (k - 1) * F.size("diagonals") >= coverage * F.size("twords"))
+    whole = table.select("template", "label", "twords", "due").distinct()
+    # on one diagonal the coverage needs that many votes; on several, words may change between them at any place
+    likely = merged.join(F.broadcast(whole), "template").where((F.size("diagonals") > 1) | (F.col("votes") >= F.col("due")))
     same = F.transform("twords", lambda w, i: F.exists("diagonals", lambda d: (i + d >= 0) & F.coalesce(F.get(F.col("ws"), F.greatest(i + d, F.lit(0))) == w, F.lit(False))))
     verified = (
         likely.join(candidates.dropDuplicates(key), key)

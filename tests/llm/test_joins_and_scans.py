@@ -251,6 +251,43 @@ def test_changed_notices_and_odd_texts(spark):
     assert license_scan.scan(df.where("false")).collect() == []
 
 
+def test_replaced_words_keep_their_label_down_to_the_coverage(spark):
+    """Any words replaced, as long as 0.8 of a template's stand in place; one more loses the label."""
+    rng, rows, want = np.random.default_rng(4), [], {}
+    asked = [
+        ("This work is released under a Creative Commons Attribution 4.0 International License.", "cc-by-4.0", 12 / 13),
+        ("This work is distributed under the GNU General Public License, version 3.", "gpl-3.0", 11 / 12),
+    ]
+    for label, text in license_scan.TEMPLATES:
+        ws = [w.decode() for w in WORD7.findall(lower(text))]
+        most = max(m for m in range(len(ws)) if (len(ws) - m) / len(ws) >= license_scan.COVERAGE)
+        for m in range(most + 2):
+            spread = [i * len(ws) // (m + 1) for i in range(1, m + 1)]
+            for gone in [spread, list(range(m)), [0, *range(len(ws) - m + 1, len(ws))][:m], *(rng.choice(len(ws), m, replace=False) for _ in range(4))]:
+                new = [f"other{i}" if i in set(gone) else w for i, w in enumerate(ws)]
+                asked.append((f"intro {' '.join(new)} end", label if m <= most else None, (len(ws) - m) / len(ws)))
+        for i in range(len(ws)):
+            if most:
+                asked.append((" ".join(ws[:i] + ["other"] + ws[i + 1 :]), label, (len(ws) - 1) / len(ws)))
+    for d, (text, label, part) in enumerate(asked):
+        rows.append((d, text))
+        want[d] = label, part
+    got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for d, (label, part) in want.items():
+        own = {s.label: s.part for s in got[d].spans}
+        assert (label is None and not own) or (label in own and own[label] == pytest.approx(part)), (rows[d], own)
+
+
+def test_votes_due_is_a_bound():
+    for n in range(1, 14):
+        for coverage in (0.6, 0.8, 1.0):
+            size, due = license_scan.votes_due(n, 3, coverage)
+            for bits in range(1 << n):
+                if bits.bit_count() / n >= coverage:
+                    votes = sum(bits >> i & (1 << size) - 1 == (1 << size) - 1 for i in range(n - size + 1))
+                    assert votes >= due >= 1
+
+
 def test_license_scan_runs_no_python(spark, sf_dir):
     plan = license_scan.scan(read(spark, sf_dir, "documents"))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|InArrow|ArrowEval", plan)
