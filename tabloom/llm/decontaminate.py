@@ -260,16 +260,26 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     A span of more than ``max_span`` words is cut out of its text (spans of
     whole shorter items are cut too where ``max_span`` is below their length); a
     document with more than ``max_coverage`` of its words in spans goes.
-    Documents without hits stay untouched.
+    Documents without hits stay untouched. Words that a cut brings together are
+    looked at again, until no span of more than ``max_span`` words is left.
     """
     found, first, schema = docs, True, docs.schema
-    held = None
+    held, every = None, []
     for automaton in automata(benchmark, window):
         if held is not None:
             found, first = _pass(found, held, first), False
+            every.append(docs.sparkSession.sparkContext.broadcast(held))
         held = automaton
     bound_batches(docs.sparkSession)
     last = docs.sparkSession.sparkContext.broadcast(held)
+    every.append(last)
+
+    def clean(text: str, hit: list[tuple[int, int]]) -> str:
+        while long := [(a, b) for a, b in hit if b - a > max_span]:
+            text = cut(text, long)
+            ws = words(text.encode())
+            hit = merge([span for auto in every for span in auto.value.match(ws)[0]])
+        return text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The last pass also removes, so that a text goes to Python once."""
@@ -277,10 +287,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
         for batch in batches:
             counts, spans, _ = _hits(batch, last.value, first)
             keep = [sum(b - a for a, b in hit) <= n * max_coverage for n, hit in zip(counts, spans, strict=True)]
-            new = [
-                cut(text, long) if kept and (long := [(a, b) for a, b in hit if b - a > max_span]) else text
-                for text, hit, kept in zip(batch.column("text").to_pylist(), spans, keep, strict=True)
-            ]
+            new = [clean(text, hit) if kept and hit else text for text, hit, kept in zip(batch.column("text").to_pylist(), spans, keep, strict=True)]
             columns = [pa.array(new, batch.column("text").type) if f.name == "text" else batch.column(f.name) for f in schema.fields]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names).filter(pa.array(keep, pa.bool_()))
 

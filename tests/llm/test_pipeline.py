@@ -2,6 +2,7 @@
 
 import importlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -58,6 +59,36 @@ def test_benchmark_passages_are_gone_and_clean_texts_untouched(spark, sf_dir, st
     assert cut
 
 
+def test_short_items_are_cut_too(spark, tmp_path, monkeypatch):
+    """Items of one word and more, with passages that come together only by a cut."""
+    rng = np.random.default_rng(6)
+    items = [(1, "zebra"), (2, "left right"), (3, "One two, three four five"), (4, " ".join(f"n{i}" for i in range(9))), (5, " ".join(f"w{i}" for i in range(12)))]
+    items += [(6, "ab " + items[2][1]), (7, " ".join(["again"] * 3))]
+    said = [t for _, t in items] + ["left zebra right", "left left zebra right right", " ".join(f"w{i}" for i in range(3, 13)), "one two three", "again"]
+    docs = []
+    for i in range(60):
+        parts = [f"x{i}y{j}" for j in range(int(rng.integers(20, 60)))]
+        for at in rng.integers(0, len(parts), int(rng.integers(0, 4))):
+            parts.insert(at, said[rng.integers(len(said))].upper())
+        docs.append((i, " ".join(parts), "en", "a", 1))
+    docs += [(60, "a zebra b c", "en", "a", 11), (61, None, "en", "a", None), (62, items[2][1], "en", "a", 1)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    for limit in (10**6, 12):
+        monkeypatch.setattr(decontaminate.automata, "__defaults__", (limit,))
+        df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+        new = {r.doc_id: r for r in corpus_pipeline.benchmark_passages(spark, df, f"file://{tmp_path}").collect()}
+        changed = 0
+        for d, text, *_ in docs:
+            n, hit, *_ = brute_hits(text, items)
+            assert (d in new) == (hit <= 0.5 * n)
+            if d in new:
+                assert brute_hits(new[d].text, items)[1] == 0 and (hit > 0 or new[d].text == text)
+                kept = (new[d].text or "").split()
+                assert [w for w in kept if w.startswith("x")] == [w for w in (text or "").split() if w.startswith("x")]
+                changed += hit > 0
+        assert changed > 20 and new[60].text == "a  b c" and new[60].n_chars == 6 and 62 not in new
+
+
 def test_mix_takes_near_targets(stages):
     size = lambda t: len(decontaminate.re.findall(r"[^\x20\x09-\x0D]+", t or ""))
     before, after = stages[3].collect(), stages[4].collect()
