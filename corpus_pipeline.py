@@ -41,7 +41,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All that op10 finds is cut out, windows and whole shorter items of any length; documents that are mostly such passages go."""
-    cut = decontaminate.decontaminate(docs, read(spark, sf_dir, "benchmark"), max_span=0)
+    cut = decontaminate.decontaminate(docs, read(spark, sf_dir, "benchmark"), max_span=0, unnamed=True)
     return cut.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long"))).select(*COLUMNS)
 
 

@@ -7,8 +7,10 @@ an occurrence of ``window`` consecutive item words, or of a whole item that has
 fewer.
 
 Defined results: a null or empty text has no words and no hits; an item with
-null id or text, or without words, takes no part; repeated items count once by
-id; columns beyond the named ones pass through; an empty benchmark hits nothing.
+null text, or without words, takes no part; one with null id does where
+``unnamed`` says so (as in op10 and the pipeline): its passages are hits, but it
+is in no list of items; repeated items count once by id; columns beyond the named
+ones pass through; an empty benchmark hits nothing.
 """
 
 from __future__ import annotations
@@ -39,7 +41,7 @@ def words(text: bytes) -> list[bytes]:
 class Automaton:
     """Generalised suffix automaton of items, with the items behind each window."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int = WINDOW):
         self.window = window
         self.ids: dict[bytes, int] = {}
         coded = [(name, [self.ids.setdefault(w, len(self.ids)) for w in ws]) for name, ws in items if ws]
@@ -80,7 +82,7 @@ class Automaton:
             p = link[p]
         return copy
 
-    def _mark(self, coded: list[tuple[str, list[int]]]) -> None:
+    def _mark(self, coded: list[tuple[str | None, list[int]]]) -> None:
         """Per state, the passages (length, items) that are whole windows, longest suffix first."""
         own: dict[tuple[int, int], set[str]] = {}
         pairs = set()
@@ -92,7 +94,7 @@ class Automaton:
                 for c in ws[at : at + k]:
                     state = self.next[state][c]
                 # one state holds one passage of a length, but may hold passages of several lengths
-                own.setdefault((state, k), set()).add(name)
+                own.setdefault((state, k), set()).update(() if name is None else (name,))
         by_state: dict[int, list[tuple[int, frozenset]]] = {}
         for (state, k), names in own.items():
             by_state.setdefault(state, []).append((k, frozenset(names)))
@@ -169,19 +171,19 @@ SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.Str
 _ARROW_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
-def automata(benchmark: DataFrame, window: int, limit: int = AUTOMATON_WORDS) -> Iterator[Automaton]:
-    """One automaton for each ``limit`` words of items; items are read block by block."""
+def automata(benchmark: DataFrame, window: int, limit: int = AUTOMATON_WORDS, unnamed: bool = False) -> Iterator[Automaton]:
+    """One automaton for each ``limit`` words of items, those with null ids only where ``unnamed``; items are read block by block."""
     size = F.size(F.split("text", r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"))
-    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
+    items = benchmark.where("text is not null" if unnamed else "item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
     total = items.agg(F.sum(size)).first()[0] or 0
     blocks = total // limit + 1
     for block in range(blocks):
         some = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        rows = sorted((r.item_id, r.text) for r in some.collect())
+        rows = sorted(((r.item_id, r.text) for r in some.collect()), key=lambda r: (r[0] is None, r[0] or "", r[1]))
         yield Automaton([(name, words(text.encode())) for name, text in rows], window)
 
 
-def annotate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: int = AUTOMATON_WORDS) -> DataFrame:
+def annotate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: int = AUTOMATON_WORDS, unnamed: bool = False) -> DataFrame:
     """Adds n_words, hit_spans (word positions, merged) and hit_items to each document; no shuffle.
 
     The automaton is broadcast; its size is bounded by ``limit`` words, and a
@@ -189,7 +191,7 @@ def annotate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit:
     """
     out = docs.drop("n_words", "hit_spans", "hit_items")
     first = True
-    for automaton in automata(benchmark, window, limit):
+    for automaton in automata(benchmark, window, limit, unnamed):
         out = _pass(out, automaton, first)
         first = False
     return out
@@ -254,7 +256,7 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join([*keep, raw[at:]]).decode()
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_span: int = WINDOW - 1, max_coverage: float = 0.5) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_span: int = WINDOW - 1, max_coverage: float = 0.5, unnamed: bool = False) -> DataFrame:
     """Removes what the benchmark has from the texts; the columns stay as they were.
 
     A span of more than ``max_span`` words is cut out of its text (spans of
@@ -265,7 +267,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     """
     found, first, schema = docs, True, docs.schema
     held, every = None, []
-    for automaton in automata(benchmark, window):
+    for automaton in automata(benchmark, window, unnamed=unnamed):
         if held is not None:
             found, first = _pass(found, held, first), False
             every.append(docs.sparkSession.sparkContext.broadcast(held))

@@ -90,7 +90,7 @@ def op9_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    found = decontaminate.annotate(docs, read(spark, sf_dir, "benchmark"))
+    found = decontaminate.annotate(docs, read(spark, sf_dir, "benchmark"), unnamed=True)
     hit = decontaminate.n_hit()
     return found.select(
         "doc_id",

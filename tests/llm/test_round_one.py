@@ -6,10 +6,12 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tabloom.llm import decontaminate, histogram_sort, language_id, lattice_lm, mixing, queries, token_ids
 from tabloom.llm.common import read
 
@@ -299,6 +301,23 @@ def test_small_alphabet_short_items_and_blocks(spark, limit):
         assert (r.n_words, r.n_hit, len(r.hit_items)) == (n, hit, n_items)
 
 
+def test_items_without_id_are_hit_and_cut_but_not_listed(spark, tmp_path):
+    """As the query's SQL has it; the pipeline cuts their passages."""
+    items = [(None, " ".join(f"n{i}" for i in range(12))), (None, "zebra fish"), (1, "zebra fish"), (2, "one two three"), (None, "one two three four"), (None, None)]
+    docs = [(1, f"a {'b ' * 20}{items[0][1]} c"), (2, "a b zebra fish c d"), (3, "a b one two three four c d e"), (4, "clean"), (5, None)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    df = spark.createDataFrame([(*d, "en", "a", 1) for d in docs], DOCS)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    want = sorted(con.execute(queries.ORACLES["op10_suffix_automaton"]).fetchall())
+    assert sorted(map(tuple, queries.op10_suffix_automaton(spark, f"file://{tmp_path}").collect())) == want
+    assert [(r[2], r[3]) for r in want] == [(12, 0), (2, 1), (4, 1), (0, 0), (0, 0)]
+    left = {r.doc_id: r.text for r in corpus_pipeline.benchmark_passages(spark, df, f"file://{tmp_path}").collect()}
+    assert left == {1: f"a {'b ' * 20} c", 2: "a b  c d", 3: "a b  c d e", 4: "clean", 5: None}
+
+
 def test_single_word_item_and_removal(spark):
     bench = spark.createDataFrame([(1, "zebra"), (2, " ".join(f"w{i}" for i in range(12)))], "item_id long, text string")
     passage = " ".join(f"W{i}," for i in range(12))
