@@ -6,8 +6,9 @@ Both are trained together by stochastic gradient descent in numpy. Part of the
 sample is kept apart: it sets the temperature of the probabilities, and the
 probability and n-gram coverage below which a text is rejected.
 
-The classifier is fitted on a bounded sample of labelled rows (``SAMPLE``);
-prediction takes every whole text of all rows.
+The classifier is fitted on a bounded sample of labelled rows (``SAMPLE``, and
+up to ``LEAST`` for each language, so that each one with a labelled text that has
+words is learned); prediction takes every whole text of all rows.
 
 Defined results: a text that is null or has no letter gets ``und`` with score 0
 and is rejected; without any labelled text everything gets ``und``. Rows are
@@ -17,6 +18,7 @@ pass through.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
@@ -29,8 +31,10 @@ from pyspark.sql import types as T
 from tabloom.llm.common import ALNUM, bound_batches, parts, take_worker, texts, with_fields
 
 UND = "und"
-#: Most labelled rows that training takes, chosen by hash.
+#: Labelled rows that training takes, chosen by hash and dealt to the languages by their shares.
 SAMPLE = 4_000
+#: A language of a smaller share gives about so many rows all the same, or all that it has.
+LEAST = 50
 BUCKETS = 1 << 17
 DIM = 16
 GRAMS = (2, 3, 4)
@@ -38,11 +42,12 @@ EPOCHS = 5
 #: Small samples are gone through more often, for so many steps at least.
 STEPS = 12_000
 RATE = 4.0
-#: A fifth of the sample calibrates.
+#: A fifth of the sample of each language calibrates.
 CALIBRATE = 5
 #: Part of the least calibration value below which a text is rejected.
 MARGIN = 0.5
 _REMEMBERED = 300_000
+_HAS_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 
 
 def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -139,13 +144,18 @@ def softmax(z: np.ndarray) -> np.ndarray:
 
 
 def train(rows: list[tuple[str, str]], seed: int = 7) -> Model:
-    """Fits (text, language) rows; every fifth row calibrates."""
+    """Fits (text, language) rows; every fifth row of a language calibrates."""
     rows = [(t.encode(), lang) for t, lang in rows if t.strip()]
+    rows = [r for r in rows if r[0].translate(ALNUM).strip()]
     langs = sorted({lang for _, lang in rows})
     if not langs:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros(0), np.zeros(BUCKETS, bool))
-    apart = rows[::CALIBRATE] if len(rows) > 20 * CALIBRATE else []
-    fitted = [r for i, r in enumerate(rows) if i % CALIBRATE] if apart else rows
+    apart, fitted, times = [], rows, Counter()
+    if len(rows) > 20 * CALIBRATE:
+        fitted = []
+        for r in rows:
+            times[r[1]] += 1
+            (fitted if times[r[1]] % CALIBRATE else apart).append(r)
     rng = np.random.default_rng(seed)
     embed, linear, bias = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)), np.zeros((DIM, len(langs))), np.zeros(len(langs))
     ats, shares, ends, labels = [], [], [0], []
@@ -163,10 +173,13 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> Model:
     seen = np.zeros(BUCKETS, bool)
     for at, _ in bags:
         seen[at] = True
-    epochs = max(EPOCHS, -(-STEPS // max(len(bags), 1)))
-    steps, step = epochs * len(bags), 0
+    # rows of a language that has few come up more often
+    have = np.bincount(labels, minlength=len(langs))
+    turns = np.repeat(np.arange(len(bags)), [-(-LEAST // have[y]) for y in labels])
+    epochs = max(EPOCHS, -(-STEPS // max(len(turns), 1)))
+    steps, step = epochs * len(turns), 0
     for _ in range(epochs if bags else 0):
-        for i in rng.permutation(len(bags)):
+        for i in rng.permutation(turns):
             rate = RATE * (1 - step / steps)
             step += 1
             at, share = bags[i]
@@ -203,14 +216,30 @@ def _calibrate(model: Model, rows: list[tuple[bytes, str]]) -> None:
         model.least_seen = MARGIN * float(np.array([f[1] for f in found])[right].min())
 
 
-def sample(docs: DataFrame, learn: Column, most: int = SAMPLE) -> list[tuple[str, str]]:
-    """At most ``most`` labelled rows, chosen by hash: the only rows that come to the driver."""
-    rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    n = rows.count()
-    h = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
-    some = rows if n <= most else rows.where(h < int((1 << 30) * most / n))
-    got = some.select("text", "lang", h.alias("h")).limit(2 * most).collect()
-    return [(r.text, r.lang) for r in sorted(got, key=lambda r: (r.h, r.lang, r.text))][:most]
+def sample(docs: DataFrame, learn: Column, most: int = SAMPLE, least: int = LEAST) -> list[tuple[str, str]]:
+    """Labelled rows with words, chosen by hash: the only rows that come to the driver.
+
+    Each language gives its share of ``most``, but ``least`` or more where it has
+    them; so there are at most ``most`` rows and ``least`` for each language.
+    The row of a language's smallest hash is always taken.
+    """
+    h = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)).alias("h")
+    rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").rlike(_HAS_WORD)).select("text", "lang", h)
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("h").alias("first")).collect()
+    n = sum(r.n for r in counts)
+    share = {r.lang: max(least, most * r.n // n) if n > most else r.n for r in counts}
+    # in small numbers chance counts: more are asked for, and the first ones taken
+    ends = [(r.lang, max(r.first + 1, int((1 << 30) * max(share[r.lang], 2 * least) / r.n)) if n > most else 1 << 30) for r in counts]
+    few = docs.sparkSession.createDataFrame(ends, "lang string, end long")
+    some = rows.join(F.broadcast(few), "lang").where("h < end")
+    # rows that repeat come once, with their number
+    got = some.groupBy("lang", "h", "text").agg(F.count("*").alias("times")).collect()
+    taken, left = [], dict(share)
+    for r in sorted(got, key=lambda r: (r.h, r.lang, r.text)):
+        times = min(r.times, left[r.lang])
+        left[r.lang] -= times
+        taken += [(r.text, r.lang)] * times
+    return taken
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

@@ -202,6 +202,24 @@ def test_foreign_text_is_rejected_and_odd_rows_are_und(spark, sf_dir):
     assert {r.lang_pred for r in language_id.identify(odd(spark), nothing).collect()} == {"und"}
 
 
+def test_rare_languages_are_learned_from_a_bounded_sample(spark):
+    """One language in 4000 rows and more, one of a single row, one of equal rows only, one without words at first."""
+    rng = np.random.default_rng(8)
+    known = {x: ["".join(rng.choice(list(x), int(n))) for n in rng.integers(3, 8, 40)] for x in ("abcdef", "ghijkl", "mnopqr", "stuv")}
+    say = lambda x: " ".join(rng.choice(known[x], 30))
+    rows = [(say("abcdef"), "l1") for _ in range(12_000)] + [(say("ghijkl"), "l2") for _ in range(9_000)] + [(say("mnopqr"), "rare") for _ in range(4)]
+    rows += [(say("stuv"), "once")] + [("... !", "rare")] * 200
+    docs = spark.createDataFrame([(i, t, lang, "a", 1) for i, (t, lang) in enumerate(rows)] + [(None, "wxyz wxyzz zyx " * 10, "equal", "a", 1)] * 300, DOCS)
+    taken = Counter(lang for _, lang in language_id.sample(docs, F.lit(True)))
+    assert set(taken) == {"l1", "l2", "rare", "once", "equal"} and taken["rare"] == 4 and 0 < taken["equal"] <= 56
+    assert sum(taken.values()) <= language_id.SAMPLE + language_id.LEAST * len(taken) and taken["l1"] > 1.2 * taken["l2"] > 1500
+    model = language_id.fit(docs, F.lit(True))
+    assert set(model.langs) == set(taken)
+    own = docs.where("lang not in ('l1', 'l2') and text not like '...%'")
+    got = language_id.identify(own, model).collect()
+    assert len(got) == 305 and all(r.lang_pred == r.lang and not r.rejected for r in got)
+
+
 # op9
 
 
