@@ -3,9 +3,10 @@
 Each stage takes what the one before kept, written as Parquet and read again, and
 works on its whole texts. All but the last return the columns of ``documents``.
 
-Defined results, beside those of the operators: an id names one document, whose
-rows stand or fall together, and of equal rows one stays after the Jaccard join;
-documents without id or without words are no one's copy; texts that are null or
+Defined results, beside those of the operators: the Jaccard join judges rows, by
+id and text, so rows of one id with unlike texts are documents of their own, and
+of each component, null ids included, and of equal rows with an id one row stays;
+documents without words are no one's copy; texts that are null or
 hold no letter go at language identification; empty tables give empty results;
 columns beyond those of ``documents`` are dropped.
 """
@@ -29,13 +30,19 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked documents the one of the smallest doc_id stays."""
-    docs = docs.select(*COLUMNS)
-    found = jaccard_join.join(docs)
-    kept = drop_ids(docs, found.where("n_shingles > 0 and doc_id != component_id").select("doc_id"), "doc_id")
-    twice = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
-    if twice.limit(1).count():  # rows of one id: equal ones are merged, the others need no exchange
-        kept = kept.join(twice, "doc_id", "left_anti").unionByName(kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
+    """Of each component of linked rows one of the smallest doc_id stays; one of a null id only where all of them are null."""
+    store = Store(spark, "near-copies")
+    docs = docs.select(*COLUMNS, F.xxhash64("doc_id", "text").alias("row"))
+    found = jaccard_join.join(docs.select(F.col("row").alias("doc_id"), "text")).where("n_shingles > 0")
+    members = store.keep(found.select(F.col("doc_id").alias("row"), F.col("component_id").alias("component")).distinct(), "members")
+    ids = docs.select("row", "doc_id").distinct()
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("row")
+    stays = members.join(ids, "row").groupBy("component").agg(first).select("row")
+    kept = drop_ids(docs, members.join(stays, "row", "left_anti"), "row")
+    twice = docs.groupBy("row").agg(F.count("*").alias("n"), F.first("doc_id").alias("id")).where("n > 1")
+    twice = twice.join(members, "row", "left").where("id is not null or component is not null").select("row")
+    if twice.limit(1).count():  # equal rows are merged, the others need no exchange
+        kept = kept.join(twice, "row", "left_anti").unionByName(kept.join(twice, "row", "left_semi").dropDuplicates(["doc_id", "text"]))
     return kept.select(*COLUMNS)
 
 

@@ -43,6 +43,22 @@ def test_one_document_of_each_group_stays(stages):
     assert {r.doc_id for r in stages[2].collect()} == want and stages[2].count() == len(want) < len(rows)
 
 
+def test_near_copies_go_by_row_not_by_id(spark):
+    base = [f"w{i}" for i in range(60)]
+    near, other, lone = " ".join(base), " ".join(base[:-1] + ["z"]), " ".join(f"u{i}" for i in range(30))
+    rows = [
+        *[(None, "all of these have no id at all")] * 3,  # one stays
+        (None, near), (7, other), (7, near), (3, other), (3, near), (3, lone),  # one of id 3 stays, and lone
+        (9, "a text of its own under nine"), (9, lone), (None, lone),  # the text of its own stays
+        (None, ""), (None, ""), (None, None), (4, None), (4, None),  # without words: no copies; equal rows of an id merge
+    ]
+    docs = spark.createDataFrame([(d, t, "en", "a", 1) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_copies(spark, docs, "").collect()]
+    kept = [x for x in got if x in ((3, near), (3, other))]
+    want = [(None, "all of these have no id at all"), (3, lone), (9, "a text of its own under nine"), (None, ""), (None, ""), (None, None), (4, None)]
+    assert len(kept) == 1 and sorted(map(str, got)) == sorted(map(str, want + kept))
+
+
 def test_benchmark_passages_are_gone_and_clean_texts_untouched(spark, sf_dir, stages):
     items = [(r.item_id, r.text) for r in read(spark, sf_dir, "benchmark").collect()]
     old = {r.doc_id: r.text for r in stages[2].collect()}
