@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -29,6 +30,8 @@ def work_dir(spark: SparkSession) -> str:
     """The shared folder of the cluster; one of our own only where the session names none."""
     if shared := spark.conf.get("spark.checkpoint.dir", None):
         return shared.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not _own_dir:
         held = tempfile.TemporaryDirectory(prefix="tabloom-")
         atexit.register(held.cleanup)
@@ -71,12 +74,27 @@ class Store:
                 raise
 
 
+def release(spark: SparkSession) -> None:
+    """Lets go of shuffle files and broadcasts of steps that are over.
+
+    Spark's cleaner removes them when the driver's garbage is collected, and a
+    driver that only plans puts that off for long, while executors' disks fill.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that no column of the frame has, in any case."""
+    have = {c.lower() for c in df.columns}
+    mark = "_"
+    while any(f"{mark}{n}".lower() in have for n in names):
+        mark += "_"
+    return [mark + n for n in names]
 
 
 def with_fields(df: DataFrame, *fields: T.StructField) -> T.StructType:

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import Store, take_worker, tasks, texts
+from tabloom.llm.common import Store, release, take_worker, tasks, texts
 from tabloom.llm.components import components
 
 SHINGLE = 5
@@ -640,7 +640,9 @@ def join(docs: DataFrame) -> DataFrame:
     pairs = store.keep(bounded(first_pairs(lists), classes), "pairs")
     names = store.keep(pairs.select(F.explode(F.array("a", "b")).alias("name")).unionByName(in_long_lists(lists, classes)).distinct(), "names")
     sets = store.keep(candidate_sets(docs, names), "sets")
+    release(spark)
     edges = store.keep(in_groups(pairs, sets), "edges")
+    release(spark)
     roots = components(edges, store, "near")
     for r in range(WITNESS_ROUNDS):
         of = store.keep(grouped(names, roots), f"groups{r}")
@@ -652,7 +654,9 @@ def join(docs: DataFrame) -> DataFrame:
     of = store.keep(grouped(names, roots), "groups")
     more = store.keep(against_groups(open_pairs(pairs, lists, of), of, sets), "more")
     store.drop("lists", "pairs", "sets")
+    release(spark)
     final = components(edges.unionByName(more), store, "whole")
+    release(spark)
 
     placed = rows.join(final.withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name"))
     least_id = placed.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))

@@ -8,7 +8,9 @@ probability and n-gram coverage below which a text is rejected.
 
 The classifier is fitted on a bounded sample of labelled rows (``SAMPLE``, and
 up to ``LEAST`` for each language, so that each one with a labelled text that has
-words is learned); prediction takes every whole text of all rows.
+words is learned; ``SAMPLE_BYTES`` of text in all, but one text of each language
+at least). One task trains, and only the folded weights come to the driver.
+Prediction takes every whole text of all rows.
 
 Defined results: a text that is null or has no letter gets ``und`` with score 0
 and is rejected; without any labelled text everything gets ``und``. Rows are
@@ -18,8 +20,9 @@ pass through.
 
 from __future__ import annotations
 
+import pickle
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -35,6 +38,8 @@ UND = "und"
 SAMPLE = 4_000
 #: A language of a smaller share gives about so many rows all the same, or all that it has.
 LEAST = 50
+#: Bytes of text in the sample, dealt to the languages by their rows; a text beyond what its language has left is passed over.
+SAMPLE_BYTES = 64_000_000
 BUCKETS = 1 << 17
 DIM = 16
 GRAMS = (2, 3, 4)
@@ -69,6 +74,10 @@ def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return found, whole, ends - sizes
 
 
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode().translate(ALNUM).split()
+
+
 def buckets(word: bytes) -> np.ndarray:
     """Buckets of one word's n-grams."""
     found, whole, _ = grams([word])
@@ -143,7 +152,7 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum()
 
 
-def train(rows: list[tuple[str, str]], seed: int = 7) -> Model:
+def train(rows: Iterable[tuple[str, str]], seed: int = 7) -> Model:
     """Fits (text, language) rows; every fifth row of a language calibrates."""
     rows = [(t.encode(), lang) for t, lang in rows if t.strip()]
     rows = [r for r in rows if r[0].translate(ALNUM).strip()]
@@ -190,7 +199,7 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> Model:
             linear -= rate * 0.25 * np.outer(mean, wrong)
             bias -= rate * 0.02 * wrong
             embed[at] -= rate * share[:, None] * back
-    model = Model(langs, embed @ linear, bias, seen)
+    model = Model(langs, (embed @ linear).astype(np.float32), bias, seen)
     _calibrate(model, apart or fitted)
     return model
 
@@ -216,12 +225,13 @@ def _calibrate(model: Model, rows: list[tuple[bytes, str]]) -> None:
         model.least_seen = MARGIN * float(np.array([f[1] for f in found])[right].min())
 
 
-def sample(docs: DataFrame, learn: Column, most: int = SAMPLE, least: int = LEAST) -> list[tuple[str, str]]:
-    """Labelled rows with words, chosen by hash: the only rows that come to the driver.
+def sample(docs: DataFrame, learn: Column, most: int = SAMPLE, least: int = LEAST) -> tuple[DataFrame, dict[str, int]]:
+    """Labelled rows with words (h, lang, text, times), chosen by hash, and how many of each language training takes.
 
     Each language gives its share of ``most``, but ``least`` or more where it has
     them; so there are at most ``most`` rows and ``least`` for each language.
-    The row of a language's smallest hash is always taken.
+    The row of a language's smallest hash is always among them. What comes to the
+    driver are counts by language.
     """
     h = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)).alias("h")
     rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").rlike(_HAS_WORD)).select("text", "lang", h)
@@ -233,13 +243,22 @@ def sample(docs: DataFrame, learn: Column, most: int = SAMPLE, least: int = LEAS
     few = docs.sparkSession.createDataFrame(ends, "lang string, end long")
     some = rows.join(F.broadcast(few), "lang").where("h < end")
     # rows that repeat come once, with their number
-    got = some.groupBy("lang", "h", "text").agg(F.count("*").alias("times")).collect()
-    taken, left = [], dict(share)
-    for r in sorted(got, key=lambda r: (r.h, r.lang, r.text)):
-        times = min(r.times, left[r.lang])
-        left[r.lang] -= times
-        taken += [(r.text, r.lang)] * times
-    return taken
+    return some.groupBy("lang", "h", "text").agg(F.count("*").alias("times")), share
+
+
+def taken(rows: Iterable[tuple[str, str, int]], share: dict[str, int], most_bytes: int = SAMPLE_BYTES) -> Iterator[tuple[str, str]]:
+    """(text, lang) of the first rows of each language, of (text, lang, times) in the order of their hashes."""
+    left, every = dict(share), sum(share.values())
+    room = {lang: most_bytes * n // every for lang, n in share.items()}
+    begun = set()
+    for text, lang, times in rows:
+        size = len(text.encode())
+        if left[lang] and (size <= room[lang] or lang not in begun):
+            begun.add(lang)
+            many = min(times, left[lang], max(1, room[lang] // max(size, 1)))
+            left[lang] -= many
+            room[lang] -= many * size
+            yield from [(text, lang)] * many
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
@@ -262,5 +281,18 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def fit(docs: DataFrame, learn: Column, most: int = SAMPLE) -> Model:
-    return train(sample(docs, learn, most))
+def fit(docs: DataFrame, learn: Column, most: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> Model:
+    """Trains in one task, which reads the bounded sample in the order of its hashes."""
+    bound_batches(docs.sparkSession)
+    rows, share = sample(docs, learn, most)
+    if not share:
+        return train([])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_worker("language")
+        each = ((r["text"], r["lang"], r["times"]) for batch in batches for a in range(0, batch.num_rows, 64) for r in batch.slice(a, 64).to_pylist())
+        model = train(taken(each, share, most_bytes))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    one = rows.repartition(1).sortWithinPartitions("h", "lang", "text").select("text", "lang", "times")
+    return pickle.loads(one.mapInArrow(run, "model binary").first().model)

@@ -12,8 +12,9 @@ reruns agree.
 
 Defined results: a null text has size 0 and takes no part in the chains; a null
 source is a source of its own, last in order; rows equal in doc_id, text and
-source are taken equally often; a source without words has target 0. All columns
-pass through; columns of the same names as the added ones give way.
+source are taken equally often (a null doc_id is one of its own); a source without
+words has target 0. All columns pass through; columns of the same names as the
+added ones give way. Targets need one ordered pass over the sources, a row each.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import Store
+from tabloom.llm.common import Store, fresh, release
 
 CAP = 3
 WEIGHTS = (1, 2, 3)
@@ -147,28 +148,29 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, cha
     """
     store = Store(docs.sparkSession, "mixing")
     docs = docs.drop("size", "source_size", "target", "copies", "taken")
-    key, id_ = F.xxhash64(F.coalesce("text", F.lit("")), "source"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))
-    sized = docs.withColumns({"_k": key, "_d": id_, "size": n_words()})
-    rows = store.keep(sized.groupBy("source", "_k", "_d").agg(F.max("size").alias("size"), F.count("*").alias("n")), "rows")
+    id_ = F.col("doc_id").cast("long")
+    k, d, of_k, of_d = fresh(docs, "k", "d", "of_k", "of_d")
+    keyed = docs.withColumns({k: F.xxhash64(F.coalesce("text", F.lit("")), "source", id_.isNull()), d: F.coalesce(id_, F.lit(0))})
+    rows = store.keep(keyed.groupBy("source", F.col(k).alias("k"), F.col(d).alias("d")).agg(F.max(n_words()).alias("size"), F.count("*").alias("n")), "rows")
     stats = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum(F.when(F.col("size") > 0, F.col("n"))).alias("docs"))
     goal = store.keep(
-        targets(stats.select("source", "source_size")).join(stats.select(F.col("source").alias("of"), "docs"), F.col("source").eqNullSafe(F.col("of"))).drop("of"),
+        targets(stats.select("source", "source_size"), weights, cap).join(stats.select(F.col("source").alias("of"), "docs"), F.col("source").eqNullSafe(F.col("of"))).drop("of"),
         "goal",
     )
     ratio = F.least(F.lit(float(cap)), F.coalesce(F.col("target") / F.nullif(F.col("source_size"), F.lit(0)), F.lit(0.0)))
-    goal = goal.select("source", "source_size", "target", "docs", F.floor(ratio).alias("whole"), (ratio - F.floor(ratio)).alias("f"))
+    goal = goal.select(F.col("source").alias("of"), "source_size", "target", "docs", F.floor(ratio).alias("whole"), (ratio - F.floor(ratio)).alias("f"))
+    weighed = rows.join(goal, F.col("source").eqNullSafe(F.col("of"))).drop("of")
 
-    def with_goal(df: DataFrame) -> DataFrame:
-        g = goal.withColumnRenamed("source", "_of")
-        return df.join(g, F.col("source").eqNullSafe(F.col("_of"))).drop("_of")
-
-    open_ = with_goal(rows).where("size > 0 and f > 0").select("source", F.col("_k").alias("k"), F.col("_d").alias("d"), (F.col("size") * F.col("n")).cast("double").alias("s"), "f", (F.col("size") * F.col("n") * F.col("docs") > LARGE * F.col("source_size")).alias("large"))
+    words = F.col("size") * F.col("n")
+    open_ = weighed.where("size > 0 and f > 0").select("source", "k", "d", words.cast("double").alias("s"), "f", (words * F.col("docs") > LARGE * F.col("source_size")).alias("large"))
     large = open_.where("large").drop("large")
     first = store.keep(round_together(large, store, "large", seed, chain), "first")
-    missed = large.join(first, ["k", "d"]).groupBy("source").agg(F.sum(F.col("s") * (F.col("f") - F.col("up"))).alias("missed"))
+    # sums of whole numbers, so that no order of adding matters
+    whole_s = F.col("s").cast("long")
+    missed = large.join(first, ["k", "d"]).groupBy("source").agg((F.max("f") * F.sum(whole_s) - F.sum(whole_s * F.col("up"))).alias("missed"))
     small = open_.where("not large").drop("large")
     shift = (
-        small.groupBy("source").agg(F.sum("s").alias("all"))
+        small.groupBy("source").agg(F.sum(whole_s).alias("all"))
         .join(missed.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")), "left")
         .select(F.col("source").alias("of"), F.coalesce(F.col("missed") / F.col("all"), F.lit(0.0)).alias("shift"))
     )
@@ -176,20 +178,21 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, cha
         small.join(shift, F.col("source").eqNullSafe(F.col("of"))).select("source", "k", "d", "s", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("f") + F.col("shift"))).alias("f")),
         "small",
     )
+    release(docs.sparkSession)
     second = round_together(shifted.where("f > 0 and f < 1"), store, "small", seed + 100, chain).unionByName(
         shifted.where("f <= 0 or f >= 1").select("k", "d", (F.col("f") >= 1).cast("int").alias("up"))
     )
-    up = store.keep(first.unionByName(second), "up").select(F.col("k").alias("_uk"), F.col("d").alias("_ud"), "up")
-    copies = (F.col("whole") + F.coalesce("up", F.lit(0))).cast("int")
+    up = store.keep(first.unionByName(second), "up")
+    copies = (F.col("whole") + F.coalesce("up", F.lit(0))).cast("int").alias("copies")
+    decided = weighed.join(up, ["k", "d"], "left").select(F.col("k").alias(of_k), F.col("d").alias(of_d), "size", "source_size", "target", copies)
     return (
-        with_goal(sized)
-        .join(up, (F.col("_k") == F.col("_uk")) & (F.col("_d") == F.col("_ud")), "left")
-        .withColumn("copies", copies)
+        keyed.join(decided, (F.col(k) == F.col(of_k)) & (F.col(d) == F.col(of_d)))
         .withColumn("taken", F.col("size") * F.col("copies"))
-        .drop("_k", "_d", "_uk", "_ud", "up", "whole", "f", "docs")
+        .drop(k, d, of_k, of_d)
     )
 
 
 def repeated(mixed: DataFrame, columns: list[str]) -> DataFrame:
     """The mix itself: each row as often as it is taken."""
-    return mixed.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*columns)
+    (turn,) = fresh(mixed, "turn")
+    return mixed.where("copies > 0").withColumn(turn, F.explode(F.sequence(F.lit(1), "copies"))).select(*columns)

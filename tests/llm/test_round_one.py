@@ -191,6 +191,23 @@ def test_languages_of_held_out_documents(spark, sf_dir):
     assert all(0 <= r.score <= 1 for r in rows.values()) and sum(r.rejected for r in rows.values()) <= 0.02 * len(rows)
 
 
+def test_scores_are_those_of_a_plain_forward_pass(spark, sf_dir):
+    """Mean of the n-grams' weights by a loop over words, softmax and temperature, for every text."""
+    docs = read(spark, sf_dir, "documents")
+    model = language_id.fit(docs, F.lit(True))
+    for r in language_id.identify(docs.select("text"), model).collect():
+        ws = language_id.words_of(r.text)
+        if not ws:
+            assert r.lang_pred == "und" and r.score == 0
+            continue
+        at = [int(b) for w in ws for b in language_id.buckets(w)]
+        z = (sum(model.table[b].astype(float) for b in at) / len(at) + model.bias) / model.temperature
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        seen = sum(bool(model.seen[b]) for b in at) / len(at)
+        assert r.lang_pred == model.langs[int(p.argmax())] and math.isclose(r.score, p.max(), rel_tol=1e-6)
+        assert r.rejected == (p.max() < model.least_score or seen < model.least_seen)
+
+
 def test_foreign_text_is_rejected_and_odd_rows_are_und(spark, sf_dir):
     model = language_id.fit(read(spark, sf_dir, "documents"), F.lit(True))
     more = spark.createDataFrame([(20, "qwzx vkjq xxqz wqkz jjqx zzkw qjxv " * 20, None, None, None), (21, "你好世界 " * 40, None, None, None)], DOCS)
@@ -210,7 +227,11 @@ def test_rare_languages_are_learned_from_a_bounded_sample(spark):
     rows = [(say("abcdef"), "l1") for _ in range(12_000)] + [(say("ghijkl"), "l2") for _ in range(9_000)] + [(say("mnopqr"), "rare") for _ in range(4)]
     rows += [(say("stuv"), "once")] + [("... !", "rare")] * 200
     docs = spark.createDataFrame([(i, t, lang, "a", 1) for i, (t, lang) in enumerate(rows)] + [(None, "wxyz wxyzz zyx " * 10, "equal", "a", 1)] * 300, DOCS)
-    taken = Counter(lang for _, lang in language_id.sample(docs, F.lit(True)))
+    some, share = language_id.sample(docs, F.lit(True))
+    some = [(r.text, r.lang, r.times) for r in sorted(some.collect(), key=lambda r: (r.h, r.lang, r.text))]
+    taken = Counter(lang for _, lang in language_id.taken(some, share))
+    few = [(len(text), lang) for text, lang in language_id.taken(some, share, 200_000)]
+    assert {lang for _, lang in few} == set(taken) and sum(n for n, _ in few) < 201_000
     assert set(taken) == {"l1", "l2", "rare", "once", "equal"} and taken["rare"] == 4 and 0 < taken["equal"] <= 56
     assert sum(taken.values()) <= language_id.SAMPLE + language_id.LEAST * len(taken) and taken["l1"] > 1.2 * taken["l2"] > 1500
     model = language_id.fit(docs, F.lit(True))
@@ -273,7 +294,10 @@ def test_mix_of_many_levels_and_capped_sources(spark):
 
 
 def test_mix_odd_rows(spark):
-    rows = mixing.mix(odd(spark)).collect()
+    clashing = odd(spark).withColumns({c: F.lit(c) for c in ("up", "whole", "f", "docs", "_k", "k", "of", "_turn", "piece")})
+    rows = mixing.mix(clashing).collect()
+    assert all(r[c] == c for r in rows for c in ("up", "whole", "f", "docs", "_k", "k", "of", "_turn", "piece"))
+    assert len(mixing.repeated(mixing.mix(clashing), ["doc_id", "_turn"]).collect()) == sum(r.copies for r in rows)
     assert len(rows) == len(ODD) and all(r.taken == 0 for r in rows if r.doc_id in (1, 2))
     assert mixing.mix(odd(spark).where("false")).collect() == []
 
