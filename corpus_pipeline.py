@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabloom.llm import decontaminate, jaccard_join, language_id, mixing, token_ids
-from tabloom.llm.common import Store, drop_ids, read
+from tabloom.llm.common import Store, drop_ids, read, release
 from tabloom.llm.queries import tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -38,7 +38,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ids = docs.select("row", "doc_id").distinct()
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("row")
     stays = members.join(ids, "row").groupBy("component").agg(first).select("row")
-    kept = drop_ids(docs, members.join(stays, "row", "left_anti"), "row")
+    gone = store.keep(members.join(stays, "row", "left_anti").select("row"), "gone")
+    kept = drop_ids(docs, gone, "row")
     twice = docs.groupBy("row").agg(F.count("*").alias("n"), F.first("doc_id").alias("id")).where("n > 1")
     twice = twice.join(members, "row", "left").where("id is not null or component is not null").select("row")
     if twice.limit(1).count():  # equal rows are merged, the others need no exchange
@@ -79,4 +80,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
         docs = store.keep(stage(spark, docs, sf_dir), f"stage{i}")
+        if i:
+            store.drop(f"stage{i - 1}")
+        release(spark)
     return docs
