@@ -7,14 +7,20 @@ below candidate boundaries, the boundaries around each splitter's target close
 in, and rounds end when a boundary meets the tolerance or when no further key
 lies between. Only then rows move, once, each straight to its place.
 
+Rows that are equal in both keys are told apart only where a splitter needs it,
+because they hold more bytes than the tolerance leaves: rows of such keys (one
+for each splitter at most) are stored, and their place in the stored files is a
+third key.
+
 Defined results: a null text counts as empty, a null doc_id sorts first; rows
-equal in both keys stay together; an empty table gives no rows. Copies of a text
-are neighbours, in one shard unless a boundary falls among them. All columns
-pass through; columns of the same names as the added ones give way.
+equal in both keys may be in several shards; an empty table gives no rows. Copies
+of a text are neighbours, in one shard unless a boundary falls among them. All
+columns pass through; columns of the same names as the added ones give way.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import Store
+from tabloom.llm.common import Store, fresh
 
 OVERHEAD = 16
 #: Allowed distance of a splitter from its target, as a part of a shard's bytes.
@@ -42,49 +48,57 @@ def size_of(text: str = "text") -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + OVERHEAD).cast("long")
 
 
-def _key(h: int, d: int) -> int:
-    """The two signed keys as one number in the same order."""
-    return ((h + _SHIFT) << 64) + d + _SHIFT
+Key = tuple[int, int, int]
+
+
+def _number(key: Key) -> int:
+    """The three signed keys as one number in the same order."""
+    h, d, t = key
+    return ((h + _SHIFT) << 128) + ((d + _SHIFT) << 64) + t + _SHIFT
 
 
-def _halves(key: int) -> tuple[int, int]:
-    return (key >> 64) - _SHIFT, (key & ((1 << 64) - 1)) - _SHIFT
+def _keys(number: int) -> Key:
+    low = (1 << 64) - 1
+    return (number >> 128) - _SHIFT, ((number >> 64) & low) - _SHIFT, (number & low) - _SHIFT
 
 
-def place(h: np.ndarray, d: np.ndarray, bounds: list[tuple[int, int]]) -> np.ndarray:
-    """How many of the ascending bounds are at or below each row's keys."""
-    bh, bd = np.array([b[0] for b in bounds], np.int64), np.array([b[1] for b in bounds], np.int64)
-    low, high = np.searchsorted(bh, h, "left"), np.searchsorted(bh, h, "right")
-    for r in np.flatnonzero(low < high) if len(h) < 64 else ():
-        low[r] += np.searchsorted(bd[low[r] : high[r]], d[r], "right")
-    if len(h) >= 64:
-        tied = np.flatnonzero(low < high)
-        for x in np.unique(h[tied]):
-            rows, a, b = tied[h[tied] == x], np.searchsorted(bh, x, "left"), np.searchsorted(bh, x, "right")
-            low[rows] = a + np.searchsorted(bd[a:b], d[rows], "right")
+def place(h: np.ndarray, d: np.ndarray, t: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """How many of the ascending bounds (rows of three keys) are at or below each row's keys."""
+    low, high = np.searchsorted(bounds[:, 0], h, "left"), np.searchsorted(bounds[:, 0], h, "right")
+    tied = np.flatnonzero(low < high)
+    if len(tied):
+        # few rows share a bound's hash: these are sorted among the bounds, a bound before its equals
+        rows = np.concatenate((bounds, np.stack((h[tied], d[tied], t[tied]), 1)))
+        is_row = np.arange(len(rows)) >= len(bounds)
+        order = np.lexsort((is_row, rows[:, 2], rows[:, 1], rows[:, 0]))
+        below = np.cumsum(~is_row[order])
+        at = order >= len(bounds)
+        low[tied[order[at] - len(bounds)]] = below[at]
     return low
 
 
 @dataclass
 class Splitters:
-    bounds: list[tuple[int, int]]  #: ascending (hash, doc_id) at which a piece begins
+    bounds: list[Key]  #: ascending keys at which a piece begins
     rows_below: list[int]
     bytes_below: list[int]
     pieces: int  #: of each shard
     rounds: int
+    stuck: list[tuple[int, int]]  #: first two keys of rows that a splitter had to keep together
 
 
-def _count(keys: DataFrame, bounds: list[tuple[int, int]]) -> list:
+def _count(keys: DataFrame, bounds: list[Key]) -> list:
     """For each gap between bounds: bytes, rows, least and greatest key."""
+    held = keys.sparkSession.sparkContext.broadcast(np.array(bounds, np.int64).reshape(-1, 3))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h, d, size = (batch.column(c).to_numpy() for c in ("h", "d", "size"))
+            h, d, t, size = (batch.column(c).to_numpy() for c in ("h", "d", "t", "size"))
             if not len(h):
                 continue
-            gap = place(h, d, bounds)
-            order = np.lexsort((d, h, gap))
-            gap, h, d, size = gap[order], h[order], d[order], size[order]
+            gap = place(h, d, t, held.value)
+            order = np.lexsort((t, d, h, gap))
+            gap, h, d, t, size = gap[order], h[order], d[order], t[order], size[order]
             first = np.flatnonzero(np.concatenate(([True], gap[1:] != gap[:-1])))
             last = np.append(first[1:], len(gap)) - 1
             yield pa.RecordBatch.from_arrays(
@@ -92,29 +106,31 @@ def _count(keys: DataFrame, bounds: list[tuple[int, int]]) -> list:
                     pa.array(gap[first].astype(np.int32)),
                     pa.array(np.add.reduceat(size, first)),
                     pa.array(last - first + 1),
-                    *(pa.array(x) for x in (h[first], d[first], h[last], d[last])),
+                    *(pa.array(x[at]) for at in (first, last) for x in (h, d, t)),
                 ],
-                names=["gap", "bytes", "n", "h0", "d0", "h1", "d1"],
+                names=["gap", "bytes", "n", "h0", "d0", "t0", "h1", "d1", "t1"],
             )
 
-    found = keys.mapInArrow(run, "gap int, bytes long, n long, h0 long, d0 long, h1 long, d1 long")
-    return (
+    found = keys.mapInArrow(run, "gap int, bytes long, n long, h0 long, d0 long, t0 long, h1 long, d1 long, t1 long")
+    rows = (
         found.groupBy("gap")
-        .agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n"), F.min(F.struct("h0", "d0")).alias("least"), F.max(F.struct("h1", "d1")).alias("most"))
+        .agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n"), F.min(F.struct("h0", "d0", "t0")).alias("least"), F.max(F.struct("h1", "d1", "t1")).alias("most"))
         .orderBy("gap")
         .collect()
     )
+    held.destroy()
+    return rows
 
 
 def find_splitters(keys: DataFrame, shards: int, tolerance: float = TOLERANCE, piece: int = PIECE) -> Splitters:
-    """Splitters of frame ``keys`` (h, d, size); the driver sees a few numbers for each candidate boundary."""
+    """Splitters of frame ``keys`` (h, d, t, size); the driver sees a few numbers for each candidate boundary."""
     whole = _count(keys, [])
     total = whole[0].bytes if whole else 0
     pieces = max(1, -(-total // (shards * piece)))
     parts = shards * pieces
     if not whole or parts == 1:
-        return Splitters([], [], [], pieces, 0)
-    least, most = _key(*whole[0].least), _key(*whole[0].most)
+        return Splitters([], [], [], pieces, 0, [])
+    least, most = _number(whole[0].least), _number(whole[0].most)
     targets = [total * i // parts for i in range(1, parts)]
     # for each target a bracket (key, bytes below, rows below) at its lower and upper end
     low = [(least, 0, 0)] * len(targets)
@@ -127,50 +143,70 @@ def find_splitters(keys: DataFrame, shards: int, tolerance: float = TOLERANCE, p
     rounds = 0
     while open_ := [i for i in range(len(targets)) if abs(best(i)[1] - targets[i]) > near and high[i][0] - low[i][0] > 1]:
         rounds += 1
-        probes = sorted({low[i][0] + (high[i][0] - low[i][0]) * j // (PROBES + 1) for i in {(low[i][0], high[i][0]): i for i in open_}.values() for j in range(PROBES + 2)})
-        gaps = {r.gap: r for r in _count(keys, [_halves(p) for p in probes])}
+        brackets = {(low[i][0], high[i][0]) for i in open_}
+        probes = sorted({a + (b - a) * j // (PROBES + 1) for a, b in brackets for j in range(PROBES + 2)})
         below, rows, known = 0, 0, []
-        for g in range(len(probes) + 1):
-            if g in gaps:
-                # the gap's own keys bound where a splitter can be
-                known += [(_key(*gaps[g].least), below, rows)]
-                below, rows = below + gaps[g].bytes, rows + gaps[g].n
-                known += [(_key(*gaps[g].most) + 1, below, rows)]
+        for g in _count(keys, [_keys(p) for p in probes]):
+            # the gap's own keys bound where a splitter can be
+            known.append((_number(g.least), below, rows))
+            below, rows = below + g.bytes, rows + g.n
+            known.append((_number(g.most) + 1, below, rows))
+        bytes_ = [k[1] for k in known]  # ascending, as the keys are
         for i in open_:
-            low[i] = max([low[i], *(k for k in known if k[1] <= targets[i])], key=lambda b: (b[1], b[0]))
-            high[i] = min([high[i], *(k for k in known if k[1] >= targets[i])], key=lambda b: (b[1], b[0]))
+            if (at := bisect_right(bytes_, targets[i])) and known[at - 1][1:] >= low[i][1:]:
+                low[i] = max(low[i], known[at - 1], key=lambda b: (b[1], b[0]))
+            if (at := bisect_left(bytes_, targets[i])) < len(known):
+                high[i] = min(high[i], known[at], key=lambda b: (b[1], b[0]))
             if low[i][1] == targets[i]:
                 high[i] = low[i]
     ends = [best(i) for i in range(len(targets))]
-    return Splitters([_halves(e[0]) for e in ends], [e[2] for e in ends], [e[1] for e in ends], pieces, rounds)
+    stuck = {_keys(low[i][0])[:2] for i, e in enumerate(ends) if abs(e[1] - targets[i]) > near}
+    return Splitters([_keys(e[0]) for e in ends], [e[2] for e in ends], [e[1] for e in ends], pieces, rounds, sorted(stuck))
 
 
 def shard(docs: DataFrame, shards: int, tolerance: float = TOLERANCE, piece: int = PIECE) -> DataFrame:
     """All rows with size, shard (from 0) and slot (from 0 in each shard, gapless), in the order of both."""
     spark, store = docs.sparkSession, Store(docs.sparkSession, "histogram-sort")
-    h, d = F.xxhash64(F.coalesce("text", F.lit(""))), F.coalesce(F.col("doc_id").cast("long"), F.lit(-_SHIFT))
-    keys = store.keep(docs.select(h.alias("h"), d.alias("d"), size_of().alias("size")), "keys")
+    docs = docs.drop("size", "shard", "slot")
+    h, d, t, part, at, of, offset = fresh(docs, "h", "d", "t", "part", "at", "of", "offset")
+    rows = docs.withColumns({h: F.xxhash64(F.coalesce("text", F.lit(""))), d: F.coalesce(F.col("doc_id").cast("long"), F.lit(-_SHIFT))})
+
+    def of_keys(df: DataFrame, third) -> DataFrame:
+        return df.select(F.col(h).alias("h"), F.col(d).alias("d"), third.alias("t"), size_of().alias("size"))
+
+    keys = store.keep(of_keys(rows, F.lit(0).cast("long")), "keys")
     found = find_splitters(keys, shards, tolerance, piece)
-    store.drop()
-    held, bounds = spark.sparkContext.broadcast(found.bounds), len(found.bounds)
+    rows = rows.withColumn(t, F.lit(0).cast("long"))
+    # a key of a single row can't be split; only those of several are worth it
+    tied = spark.createDataFrame(found.stuck, "h long, d long")
+    if found.stuck and (many := keys.join(F.broadcast(tied), ["h", "d"]).groupBy("h", "d").count().where("count > 1").select("h", "d").collect()):
+        tied = spark.createDataFrame(many, "h long, d long")
+        on = F.broadcast(tied.select(F.col("h").alias(of), F.col("d").alias(at)))
+        meet = (F.col(h) == F.col(of)) & (F.col(d) == F.col(at))
+        split = store.keep(rows.join(on, meet, "left_semi").drop(t), "tied")
+        split = split.withColumn(t, F.xxhash64("_metadata.file_name", "_metadata.row_index"))
+        rows = rows.join(on, meet, "left_anti").unionByName(split)
+        keys = keys.join(F.broadcast(tied), ["h", "d"], "left_anti").unionByName(of_keys(split, F.col(t)))
+        found = find_splitters(store.keep(keys, "keys-tied"), shards, tolerance, piece)
+    store.drop("keys", "keys-tied")
+    held, bounds = spark.sparkContext.broadcast(np.array(found.bounds, np.int64).reshape(-1, 3)), len(found.bounds)
 
     @F.pandas_udf("int")
-    def piece_of(h: pd.Series, d: pd.Series) -> pd.Series:
-        return pd.Series(place(h.to_numpy(), d.to_numpy(), held.value).astype(np.int32))
+    def piece_of(h: pd.Series, d: pd.Series, t: pd.Series) -> pd.Series:
+        return pd.Series(place(h.to_numpy(), d.to_numpy(), t.to_numpy(), held.value).astype(np.int32))
 
     base = [0, *found.rows_below]
     first = [base[i - i % found.pieces] for i in range(bounds + 1)]
-    offset = spark.createDataFrame([(i, b - f) for i, (b, f) in enumerate(zip(base, first, strict=True))], "piece int, offset long")
+    offsets = spark.createDataFrame([(i, b - f) for i, (b, f) in enumerate(zip(base, first, strict=True))], f"{of} int, {offset} long")
     moved = (
-        docs.drop("size", "shard", "slot")
-        .withColumns({"_h": h, "_d": d, "_piece": piece_of(h, d)})
-        .repartitionById(bounds + 1, "_piece")
-        .sortWithinPartitions("_h", "_d")
+        rows.withColumn(part, piece_of(h, d, t))
+        .repartitionById(bounds + 1, part)
+        .sortWithinPartitions(h, d, t)
         # a partition is a piece: its rows' numbers go on from the rows of the shard's pieces before
-        .withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+        .withColumn(at, F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
     )
     return (
-        moved.join(F.broadcast(offset), F.col("_piece") == F.col("piece"))
-        .withColumns({"size": size_of(), "shard": F.floor(F.col("_piece") / found.pieces).cast("int"), "slot": F.col("_at") + F.col("offset")})
-        .drop("_h", "_d", "_piece", "_at", "piece", "offset")
+        moved.join(F.broadcast(offsets), F.col(part) == F.col(of))
+        .withColumns({"size": size_of(), "shard": F.floor(F.col(part) / found.pieces).cast("int"), "slot": F.col(at) + F.col(offset)})
+        .drop(h, d, t, part, at, of, offset)
     )

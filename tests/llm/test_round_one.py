@@ -81,6 +81,36 @@ def test_shard_odd_rows(spark):
     assert histogram_sort.shard(odd(spark).where("false"), 3).collect() == []
 
 
+def test_shards_are_the_cuts_of_one_sort(spark, sf_dir):
+    """A plain sort of all rows by the same keys, cut where the bytes pass each target."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    got = histogram_sort.shard(docs, 7, tolerance=0).collect()
+    rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), histogram_sort.size_of().alias("size")).collect()
+    order = sorted(rows, key=lambda r: (r.h, r.doc_id))
+    total, ends, below = sum(r.size for r in rows), [], np.concatenate(([0], np.cumsum([r.size for r in order])))
+    for i in range(1, 7):
+        target = total * i // 7
+        ends.append(min(range(len(below)), key=lambda k: (abs(int(below[k]) - target), k)))
+    starts = [0, *ends]
+    want = {}
+    for i, r in enumerate(order):
+        s = int(np.searchsorted(starts, i, "right")) - 1
+        want[r.doc_id] = s, i - starts[s]
+    assert {r.doc_id: (r.shard, r.slot) for r in got} == want
+
+
+def test_equal_rows_are_split_too(spark):
+    """Half of the rows are equal in text and id; names of helper columns clash."""
+    unique = [(i, f"text {i} " + "x" * (i % 50), "a") for i in range(2000)]
+    df = spark.createDataFrame(unique + [(7_000_000, "the same row " * 3, "a")] * 2000 + [(None, None, "b")] * 500, "doc_id long, text string, source string")
+    names = ["_h", "_d", "_t", "_part", "piece", "offset", "_at", "__h"]
+    rows = histogram_sort.shard(df.withColumns({n: F.lit(n) for n in names}), 40).collect()
+    by = check_shards(rows, 40, None)
+    sizes = [sum(x.size for x in by[s]) for s in range(40)]
+    assert len(rows) == 4500 and max(sizes) - min(sizes) <= 2 * 84
+    assert all(r[n] == n for r in rows for n in names)
+
+
 # op2
 
 
