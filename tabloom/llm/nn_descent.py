@@ -3,13 +3,17 @@
 Vectors of equal components are one node. A few rounds of random hyperplanes give
 each node first neighbours; then, round by round, joins bring the neighbours
 (and those that name a node as theirs) of every node together, where they are
-compared with each other, and better neighbours replace worse ones. Queries walk
+compared with each other, and better neighbours replace worse ones. Nodes that
+the hyperplanes leave with few neighbours, or none, also meet nodes chosen by
+hash, so that every node has a place in the graph. Queries walk
 the graph: each keeps a beam of its best nodes, joins the neighbours of those
 not yet opened, and ends when the beam holds none. The nodes found are scored
 again in double precision on the original vectors.
 
 Graph, vectors and beams are tables; no node's list outgrows a fixed length, and
-nodes that many others name take a bounded choice of them.
+nodes that many others name take a bounded choice of them. What the graph and the
+walks compare are vectors rounded to a byte for each component, which is all that
+moves between tasks; only the ``RERANK`` best of each query are read as they are.
 
 Defined results: vectors that are null, zero, or hold null or non-finite
 components take no part; a query never finds its own row; ties go to the smaller
@@ -37,8 +41,10 @@ FIRST, BLOCK = 6, 1024
 ROUNDS = 6
 #: A search's beam, and nodes of it opened at a time.
 BEAM, OPEN = 512, 128
-#: Nodes, chosen by hash, where searches start that have no node of their own.
+#: Nodes, chosen by hash, that nodes with few neighbours meet, and where searches start that have no node of their own.
 STARTS = 256
+#: Nodes of a beam that are measured exactly, at least.
+RERANK = 32
 SEED = 11
 
 _VECTOR = "array<float>"
@@ -55,9 +61,35 @@ def nodes(df: DataFrame, keep: int) -> DataFrame:
     return few.groupBy("vector").agg(F.min("vec_id").alias("node"), F.sort_array(F.collect_list("vec_id")).alias("ids"))
 
 
-def unit(vectors: list) -> np.ndarray:
+def rounded(vectors: list) -> list[bytes]:
+    """A byte for each component, to the largest one's scale."""
     x = np.array(vectors, np.float64)
-    return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    return [v.tobytes() for v in np.rint(x / np.abs(x).max(1, keepdims=True) * 127).astype(np.int8)]
+
+
+def unit(column: list[bytes]) -> np.ndarray:
+    """Unit vectors of rounded ones."""
+    x = np.frombuffer(b"".join(column), np.int8).reshape(len(column), -1).astype(np.float32)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def whole_keys(batches: Iterator[pa.RecordBatch], key: str, least: int = 32_768) -> Iterator[pa.Table]:
+    """Batches sorted by a long key, put together to about so many rows, with all rows of each key in one table."""
+    rest, n = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rest.append(batch)
+        n += batch.num_rows
+        if n < least:
+            continue
+        table = pa.Table.from_batches(rest)
+        keys = table.column(key).to_numpy()
+        if cut := int(np.searchsorted(keys, keys[-1])):
+            yield table.slice(0, cut)
+            rest, n = table.slice(cut).to_batches(), n - cut
+    if rest:
+        yield pa.Table.from_batches(rest)
 
 
 def _table(node, other, sim) -> pa.RecordBatch:
@@ -75,39 +107,39 @@ def _best(sims: np.ndarray, ids: np.ndarray, k: int) -> pa.RecordBatch:
     return _table(np.repeat(ids, k), ids[top].ravel(), np.take_along_axis(sims, top, 1).ravel())
 
 
-def first_graph(vectors: DataFrame, count: int, dim: int, k: int) -> DataFrame:
+def first_graph(units: DataFrame, count: int, dim: int, k: int) -> DataFrame:
     """Pairs of nodes that share a block of random hyperplanes."""
     bits = int(np.ceil(np.log2(count / BLOCK))) + 1 if count > BLOCK else 0
     planes = np.random.default_rng(SEED).standard_normal((FIRST, bits, dim)).astype(np.float32)
-    n_parts = tasks(vectors.sparkSession)
+    n_parts = tasks(units.sparkSession)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = unit(batch.column("vector").to_pylist())
+            x = unit(batch.column("unit").to_pylist())
             for t in range(FIRST):
                 c = ((x @ planes[t].T > 0) @ (1 << np.arange(bits)) if bits else np.zeros(len(x))).astype(np.int64) * FIRST + t
-                yield pa.RecordBatch.from_arrays([pa.array(c), batch.column("node"), pa.array([v.tobytes() for v in x], pa.binary())], names=["code", "node", "unit"])
+                yield pa.RecordBatch.from_arrays([pa.array(c), batch.column("node"), batch.column("unit")], names=["code", "node", "unit"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, ids, units = None, [], []
+        code, ids, held = None, [], []
 
         def close() -> Iterator[pa.RecordBatch]:
             if len(ids) > 1:
-                x = np.frombuffer(b"".join(units), np.float32).reshape(len(ids), -1)
+                x = unit(held)
                 yield _best(x @ x.T, np.array(ids, np.int64), k)
 
         for batch in batches:
             for c, i, u in zip(*(batch.column(n).to_pylist() for n in ("code", "node", "unit")), strict=True):
                 if c != code or len(ids) >= BLOCK:
                     yield from close()
-                    code, ids, units = c, [], []
+                    code, ids, held = c, [], []
                 ids.append(i)
-                units.append(u)
+                held.append(u)
         yield from close()
 
-    coded = vectors.select("node", "vector").mapInArrow(code, "code long, node long, unit binary")
+    coded = units.select("node", "unit").mapInArrow(code, "code long, node long, unit binary")
     # a code of very many nodes is spread over tasks by a hash of the node
     large = coded.groupBy("code").agg(F.ceil(F.count("*") / (4 * BLOCK)).cast("int").alias("salts")).where("salts > 1")
     salt = F.pmod(F.xxhash64("node"), F.coalesce("salts", F.lit(1))).cast("int")
@@ -115,20 +147,45 @@ def first_graph(vectors: DataFrame, count: int, dim: int, k: int) -> DataFrame:
     return ready.select("code", "node", "unit").mapInArrow(compare, _PAIR)
 
 
-def top(pairs: DataFrame, old: DataFrame | None, k: int) -> DataFrame:
-    """node, others, sims, fresh (not in the old graph): the k best of each node; one exchange by node."""
+def chosen(units: DataFrame) -> list:
+    """Up to ``STARTS`` nodes (node, unit) by the least hashes."""
+    return units.orderBy(F.xxhash64("node", F.lit(SEED)), "node").limit(STARTS).collect()
+
+
+def to_starts(graph: DataFrame, units: DataFrame, starts: list, k: int) -> DataFrame:
+    """Pairs, both ways, of nodes with fewer than ``k`` neighbours and the nodes chosen by hash."""
+    held = units.sparkSession.sparkContext.broadcast((np.array([r.node for r in starts], np.int64), [bytes(r.unit) for r in starts]))
+    short = units.join(graph.where(F.size("others") >= k).select("node"), "node", "left_anti")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, codes = held.value
+        for batch in batches:
+            if batch.num_rows and len(ids):
+                node = batch.column("node").to_numpy()
+                sims = unit(batch.column("unit").to_pylist()) @ unit(codes).T
+                sims[node[:, None] == ids[None, :]] = -2
+                best = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+                a, b, s = np.repeat(node, best.shape[1]), ids[best].ravel(), np.take_along_axis(sims, best, 1).ravel()
+                a, b, s = a[s > -2], b[s > -2], s[s > -2]
+                yield _table(np.concatenate((a, b)), np.concatenate((b, a)), np.concatenate((s, s)))
+
+    return short.select("node", "unit").mapInArrow(run, _PAIR)
+
+
+def top(pairs: DataFrame, old: DataFrame | None, k: int, was_fresh: int = 0) -> DataFrame:
+    """node, others, sims, fresh (not in the old graph, or ``was_fresh``): the k best of each node; one exchange by node."""
     n_parts = tasks(pairs.sparkSession)
     rows = pairs.select("node", "other", "sim", F.lit(1).alias("fresh"))
     if old is not None:
-        was = old.select("node", F.explode(F.arrays_zip("others", "sims")).alias("e")).select("node", F.col("e.others").alias("other"), F.col("e.sims").alias("sim"), F.lit(0).alias("fresh"))
+        was = old.select("node", F.explode(F.arrays_zip("others", "sims")).alias("e")).select("node", F.col("e.others").alias("other"), F.col("e.sims").alias("sim"), F.lit(was_fresh).alias("fresh"))
         rows = rows.unionByName(was)
-    ready = rows.repartition(n_parts, "node")
+    ready = rows.repartition(n_parts, "node").sortWithinPartitions("node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        some = [b for b in batches if b.num_rows]
-        if not some:
-            return
-        table = pa.Table.from_batches(some)
+        for table in whole_keys(batches, "node"):
+            yield from lists(table)
+
+    def lists(table: pa.Table) -> Iterator[pa.RecordBatch]:
         node, other, sim, fresh = (table.column(c).to_numpy() for c in ("node", "other", "sim", "fresh"))
         order = np.lexsort((fresh, other, node))  # of a pair the old entry is kept
         node, other, sim, fresh = node[order], other[order], sim[order], fresh[order]
@@ -161,31 +218,20 @@ def meet(graph: DataFrame, units: DataFrame, round_: int) -> DataFrame:
     # of each direction and age a bounded choice meets; row numbers are limited before rows move
     by = W.partitionBy("center", "back", "fresh").orderBy(F.xxhash64("member", F.lit(round_)))
     few = ahead.unionByName(back).withColumn("r", F.row_number().over(by)).where(F.col("r") <= MEET)
+    # nothing new can come of a center whose members have all met
+    few = few.withColumn("new", F.max("fresh").over(W.partitionBy("center"))).where("new = 1")
     floor = graph.select(F.col("node").alias("member"), F.when(F.size("sims") >= NEIGHBOURS, F.element_at("sims", -1)).otherwise(F.lit(-2.0)).cast("float").alias("least"))
     told = units.withColumnRenamed("node", "member").join(floor, "member", "left").select("member", "unit", F.coalesce("least", F.lit(-2.0)).cast("float").alias("least"))
     chosen = few.groupBy("center", "member").agg(F.max("fresh").alias("fresh"))
     ready = chosen.join(told, "member").repartition(tasks(graph.sparkSession), "center").sortWithinPartitions("center", "member").select("center", "member", "fresh", "least", "unit")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rest.append(batch)
-            if sum(b.num_rows for b in rest) < 8192:
-                continue
-            table = pa.Table.from_batches(rest)
-            center = table.column("center").to_numpy()
-            cut = int(np.searchsorted(center, center[-1])) if (center[1:] >= center[:-1]).all() else 0
-            if cut:
-                yield from local(table.slice(0, cut))
-                rest = table.slice(cut).to_batches()
-        if rest:
-            yield from local(pa.Table.from_batches(rest))
+        for table in whole_keys(batches, "center", 8192):
+            yield from local(table)
 
     def local(table: pa.Table) -> Iterator[pa.RecordBatch]:
         center, member, fresh, least = (table.column(c).to_numpy() for c in ("center", "member", "fresh", "least"))
-        x = np.frombuffer(b"".join(table.column("unit").to_pylist()), np.float32).reshape(len(center), -1)
+        x = unit(table.column("unit").to_pylist())
         first = np.flatnonzero(np.concatenate(([True], center[1:] != center[:-1])))
         ends = np.append(first[1:], len(center))
         found = []
@@ -212,16 +258,18 @@ def meet(graph: DataFrame, units: DataFrame, round_: int) -> DataFrame:
 
 def build(vectors: DataFrame, store: Store, k: int = NEIGHBOURS, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
     """The graph (node, others, sims, fresh) and units (node, unit) of frame (node, vector)."""
-    count = vectors.count()
     dim = vectors.select(F.max(F.size("vector"))).first()[0] or 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([v.tobytes() for v in unit(batch.column("vector").to_pylist())], pa.binary())], names=["node", "unit"])
+                yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(rounded(batch.column("vector").to_pylist()), pa.binary())], names=["node", "unit"])
 
     units = store.keep(vectors.select("node", "vector").mapInArrow(run, "node long, unit binary"), "units")
-    graph = store.keep(top(first_graph(vectors, count, dim, k), None, k), "graph0")
+    count = units.count()
+    blocks = store.keep(top(first_graph(units, count, dim, k), None, k), "blocks")
+    graph = store.keep(top(to_starts(blocks, units, chosen(units), min(k, max(count - 1, 1))), blocks, k, 1), "graph0")
+    store.drop("blocks")
     for r in range(1, rounds + 1):
         graph = store.keep(top(meet(graph, units, r), graph, k), f"graph{r}")
         store.drop(f"graph{r - 1}")
@@ -238,23 +286,20 @@ def search(queries: DataFrame, graph: DataFrame, units: DataFrame, store: Store,
     """
     n_parts = tasks(queries.sparkSession)
     if start is None:
-        n = max(units.count(), 1)
-        few = units.where(F.pmod(F.xxhash64("node"), F.lit(max(1, n // STARTS))) == 0).select("node")
-        few = few.orderBy(F.xxhash64("node")).limit(STARTS)
-        start = queries.select("query", F.explode(F.lit([r.node for r in few.collect()]).cast("array<long>")).alias("node"))
+        start = queries.select("query", F.explode(F.lit([r.node for r in chosen(units)]).cast("array<long>")).alias("node"))
     ask = queries.select("query", F.col("unit").alias("ask"))
 
     def sims(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.float32).reshape(batch.num_rows, -1) for c in ("ask", "unit"))
+                a, b = (unit(batch.column(c).to_pylist()) for c in ("ask", "unit"))
                 yield pa.RecordBatch.from_arrays([batch.column("query"), batch.column("node"), pa.array(np.einsum("ij,ij->i", a, b), pa.float32()), pa.array(np.zeros(len(a), np.int32))], names=["query", "node", "sim", "opened"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        some = [b for b in batches if b.num_rows]
-        if not some:
-            return
-        table = pa.Table.from_batches(some)
+        for table in whole_keys(batches, "query"):
+            yield beams_of(table)
+
+    def beams_of(table: pa.Table) -> pa.RecordBatch:
         query, node, sim, done = (table.column(c).to_numpy() for c in ("query", "node", "sim", "opened"))
         order = np.lexsort((-done, node, query))
         query, node, sim, done = query[order], node[order], sim[order], done[order]
@@ -272,20 +317,23 @@ def search(queries: DataFrame, graph: DataFrame, units: DataFrame, store: Store,
             first = np.flatnonzero(np.concatenate(([True], query[wait][1:] != query[wait][:-1])))
             rank = np.arange(len(wait)) - np.repeat(first, np.diff(np.append(first, len(wait))))
             state[wait[rank < opened]] = 2
-        yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(node), pa.array(sim), pa.array(state)], names=["query", "node", "sim", "opened"])
+        return pa.RecordBatch.from_arrays([pa.array(query), pa.array(node), pa.array(sim), pa.array(state)], names=["query", "node", "sim", "opened"])
 
     schema = "query long, node long, sim float, opened int"
 
+    def merged(rows: DataFrame) -> DataFrame:
+        return rows.repartition(n_parts, "query").sortWithinPartitions("query").mapInArrow(merge, schema)
+
     def scored(pairs: DataFrame) -> DataFrame:
         return pairs.join(units, "node").join(ask, "query").select("query", "node", "ask", "unit").mapInArrow(sims, schema)
 
-    beams = store.keep(scored(start.distinct()).repartition(n_parts, "query").mapInArrow(merge, schema), "beam0")
+    beams = store.keep(merged(scored(start.distinct())), "beam0")
     step = 0
     while beams.where("opened = 2").limit(1).count():
         step += 1
         out = beams.where("opened = 2").select("query", "node").join(graph.select("node", "others"), "node").select("query", F.explode("others").alias("node")).distinct()
         fresh = out.join(beams.select("query", "node"), ["query", "node"], "left_anti")
-        beams = store.keep(beams.unionByName(scored(fresh)).repartition(n_parts, "query").mapInArrow(merge, schema), f"beam{step}")
+        beams = store.keep(merged(beams.unionByName(scored(fresh))), f"beam{step}")
         store.drop(f"beam{step - 1}")
     return beams.select("query", "node", "sim")
 
@@ -301,9 +349,13 @@ def nearest(df: DataFrame, asks: Column, k: int = 5, beam: int = BEAM) -> DataFr
     walkers = of.select("query").distinct().join(units.withColumnRenamed("node", "query"), "query")
     around = graph.select("node", F.explode(F.slice("others", 1, NEIGHBOURS)).alias("other"))
     start = walkers.select("query").join(around, F.col("query") == F.col("node")).select("query", F.col("other").alias("node")).unionByName(walkers.select("query", F.col("query").alias("node")))
+    # a node of few neighbours, whatever became of it, also starts from those chosen by hash
+    least = min(NEIGHBOURS, max(units.count() - 1, 0))
+    short = walkers.select("query").join(graph.where(F.size("others") >= least).select(F.col("node").alias("query")), "query", "left_anti")
+    start = start.unionByName(short.select("query", F.explode(F.lit([r.node for r in chosen(units)]).cast("array<long>")).alias("node")))
     found = search(walkers, graph, units, store, start, beam)
     by = W.partitionBy("query").orderBy(F.desc("sim"), "node")
-    close = found.withColumn("r", F.row_number().over(by)).where(F.col("r") <= 2 * k + 2).select("query", "node")
+    close = found.withColumn("r", F.row_number().over(by)).where(F.col("r") <= max(2 * k + 2, RERANK)).select("query", "node")
     vectors = each.select("node", "vector", "ids")
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -183,6 +183,21 @@ def test_recall_of_many_vectors_and_search_from_chosen_nodes(spark):
     assert np.mean([len({j for _, j in sorted(best[q])[:5]} & {j for _, j in w}) / 5 for q, w in want.items()]) > 0.8
 
 
+@pytest.mark.parametrize("kind", ["outlier", "two clusters", "few"])
+def test_every_query_has_its_neighbours(spark, kind):
+    """A vector alone in every hyperplane block, clusters at opposite ends with one of four vectors, six vectors."""
+    rng = np.random.default_rng(5)
+    cone = lambda n, to: (to * 20 + rng.standard_normal((n, 16))).astype(np.float32).tolist()
+    axis = np.eye(16)[0]
+    vectors = {"outlier": cone(1499, axis) + cone(1, -axis), "two clusters": cone(1500, axis) + cone(4, -axis) + cone(1500, np.eye(16)[1]), "few": cone(6, axis)}[kind]
+    rows = list(enumerate(vectors))
+    asks = [i for i in range(len(rows)) if i % 50 == 0 or i in (1499, 1501)]
+    found = nn_descent.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id").isin(asks)).collect()
+    want = brute_nearest(rows, lambda i: i in asks)
+    assert Counter(r.query_id for r in found) == {q: min(5, len(rows) - 1) for q in asks}
+    assert recall(found, want) >= 0.9
+
+
 def test_odd_vectors(spark):
     rows = [(0, [1.0, 0.0]), (50, [1.0, 0.0]), (3, [1.0, 0.0]), (7, [2.0, 0.0]), (9, None), (10, [0.0, 0.0]), (11, [float("nan"), 1.0]), (12, [1.0, None]), (13, [0.5, 0.5]), (None, [1.0, 1.0]), (100, [float("inf"), 1.0]), (14, [-1.0, 0.0])]
     df = spark.createDataFrame([(*r, 1, "x") for r in rows], "vec_id long, embedding array<float>, node int, sim string")
