@@ -90,7 +90,7 @@ def test_short_items_are_cut_too(spark, tmp_path, monkeypatch):
     docs += [(60, "a zebra b c", "en", "a", 11), (61, None, "en", "a", None), (62, items[2][1], "en", "a", 1)]
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
     for limit in (10**6, 12):
-        monkeypatch.setattr(decontaminate.automata, "__defaults__", (limit, *decontaminate.automata.__defaults__[1:]))
+        monkeypatch.setattr(decontaminate, "AUTOMATON_WORDS", limit)
         df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
         new = {r.doc_id: r for r in corpus_pipeline.benchmark_passages(spark, df, f"file://{tmp_path}").collect()}
         changed = 0

@@ -373,6 +373,33 @@ def test_small_alphabet_short_items_and_blocks(spark, limit):
         assert (r.n_words, r.n_hit, len(r.hit_items)) == (n, hit, n_items)
 
 
+def test_automata_are_small_and_one_at_a_time(spark, sf_dir, monkeypatch):
+    """Bytes of an automaton by word of its items; of several, none is left when the next one is made."""
+    import gc
+    import pickle
+    import weakref
+
+    rng = np.random.default_rng(4)
+    known = [f"w{i}".encode() for i in range(3000)]
+    items = [(str(i), [known[int(x)] for x in rng.zipf(1.3, 60) % 3000]) for i in range(400)]
+    assert len(pickle.dumps(decontaminate.Automaton(items))) < decontaminate.STATE_BYTES * 400 * 60
+    alive, most = weakref.WeakSet(), []
+    real = decontaminate.Automaton.__init__
+
+    def build(self, *args):
+        gc.collect()
+        most.append(len(alive))
+        real(self, *args)
+        alive.add(self)
+
+    monkeypatch.setattr(decontaminate.Automaton, "__init__", build)
+    docs, bench = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
+    blocks = decontaminate.annotate(docs, bench, limit=300).select("doc_id", "n_words", "hit_spans", "hit_items").collect()
+    assert len(most) > 3 and max(most) == 0
+    monkeypatch.undo()
+    assert sorted(map(str, blocks)) == sorted(map(str, decontaminate.annotate(docs, bench).select("doc_id", "n_words", "hit_spans", "hit_items").collect()))
+
+
 def test_items_without_id_are_hit_and_cut_but_not_listed(spark, tmp_path):
     """As the query's SQL has it; the pipeline cuts their passages."""
     items = [(None, " ".join(f"n{i}" for i in range(12))), (None, "zebra fish"), (1, "zebra fish"), (2, "one two three"), (None, "one two three four"), (None, None)]
