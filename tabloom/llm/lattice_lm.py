@@ -1,17 +1,19 @@
 """Subword lattice likelihood: probability of a text over all its segmentations.
 
-An existing subword vocabulary gives the pieces and, by its scores, the prior
-weight of each. Expectation maximisation over all training words fits the piece
-probabilities. A word's probability sums over every segmentation into pieces, by
-a forward recursion in log space over its bytes; single bytes are pieces too, so
-that no word has probability zero. A text's probability is the product of its
-words' and of the end's.
+An existing subword vocabulary gives the pieces and, by its scores, the
+probability of each (``vocabulary`` states the map). A word's probability sums
+over every segmentation into pieces, by a forward recursion in log space over its
+bytes; single bytes are pieces too, so that no word has probability zero. After
+each word the text goes on or ends: the probability of the end, the one number
+of this model that is learned, is (ends + 1) / (tokens + 2) in the training rows.
+A text's probability is the product of its words', of going on before each, and
+of the end.
 
 Beside it stands a base model, additive smoothing of whole words.
 
 Defined results: a null text is empty, and holds only its end; repeated rows
 and ids are scored row by row; a null id is in training; without any training
-row the counts are zero and the prior alone weighs the pieces. Columns beyond
+row the counts are zero and a text ends with probability 1/2. Columns beyond
 doc_id and text are ignored.
 """
 
@@ -35,19 +37,20 @@ HOT_WORDS = 100_000
 #: Distinct words that a task gathers before it sends their counts on.
 FLUSH = 400_000
 SMOOTHING = 0.1
-#: Weight of the prior in pseudo-counts.
-PRIOR = 1000.0
-EM_ROUNDS = 2
+#: Added to a piece's rank where a file's scores are ranks.
+RANK_SHIFT = 10
 #: Longer words take the plain recursion; shorter ones are done many at once.
 _MANY = 96
 _NONE = -1e30
 
 
 def vocabulary(path: str) -> list[tuple[bytes, float]]:
-    """Pieces (a space stands for the word start) with prior probabilities from the file's scores.
+    """Pieces (a space stands for the word start) with their probabilities.
 
-    The scores order the pieces; a piece of rank r weighs 1 / (r + 10), and every
-    single byte has a piece.
+    A file's scores are natural log probabilities, and e to the score is a piece's
+    weight; where all of them are whole numbers they are ranks (0, -1, -2, ...), and
+    a piece weighs 1 / (RANK_SHIFT - score), the law of word frequencies. Single bytes
+    without a piece weigh as much as the lightest one. Weights are scaled to sum 1.
     """
     import sentencepiece
 
@@ -59,8 +62,8 @@ def vocabulary(path: str) -> list[tuple[bytes, float]]:
         piece = model.id_to_piece(i).replace("▁", " ").encode()
         if b" " not in piece[1:]:
             scored[piece] = model.get_score(i)
-    ranked = sorted(scored, key=lambda p: (-scored[p], p))
-    weight = {piece: 1 / (r + 10) for r, piece in enumerate(ranked)}
+    ranks = all(x == int(x) and x <= 0 for x in scored.values())
+    weight = {p: 1 / (RANK_SHIFT - x) if ranks else math.exp(x) for p, x in scored.items()}
     least = min(weight.values(), default=1.0)
     for b in range(256):
         weight.setdefault(bytes([b]), least)
@@ -69,7 +72,7 @@ def vocabulary(path: str) -> list[tuple[bytes, float]]:
 
 
 class Lattice:
-    """Pieces with log probabilities; forward and backward recursions over words."""
+    """Pieces with log probabilities, and the forward recursion over words."""
 
     _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -177,37 +180,6 @@ class Lattice:
             alpha.append(top + math.log(sum(math.exp(t - top) for t in terms)))
         return alpha
 
-    def expected(self, words: list[bytes], counts: np.ndarray) -> np.ndarray:
-        """Expected uses of each piece over all segmentations of counted words."""
-        uses = np.zeros(len(self.pieces))
-        for rows, block in self._blocks(words):
-            edges = self._edges(block)
-            alpha = self._alpha(block.shape, edges)
-            beta = np.full(alpha.shape, _NONE)
-            beta[-1] = 0
-            for i in range(block.shape[1] - 1, -1, -1):
-                for j in range(i + 1, min(block.shape[1], i + self.longest) + 1):
-                    if (i, j) in edges:
-                        at, found = edges[i, j]
-                        beta[i, at] = np.logaddexp(beta[i, at], beta[j, at] + self.logp[found])
-            weight = counts[rows].astype(float)
-            for (i, j), (at, found) in edges.items():
-                share = np.exp(alpha[i, at] + self.logp[found] + beta[j, at] - alpha[-1, at]) * weight[at]
-                uses += np.bincount(found, share, len(uses))
-        for w, c in zip(words, counts.tolist(), strict=True):
-            if len(w) > _MANY:
-                word = b" " + w
-                alpha = self._plain(word)
-                beta = [_NONE] * len(word) + [0.0]
-                for i in range(len(word) - 1, -1, -1):
-                    steps = [(j, k) for j in range(i + 1, min(len(word), i + self.longest) + 1) if (k := self.index.get(word[i:j])) is not None]
-                    terms = [self.logp[k] + beta[j] for j, k in steps]
-                    top = max(terms)
-                    beta[i] = top + math.log(sum(math.exp(t - top) for t in terms))
-                    for j, k in steps:
-                        uses[k] += c * math.exp(min(0.0, alpha[i] + self.logp[k] + beta[j] - alpha[-1]))
-        return uses
-
 
 def words(text: bytes) -> list[bytes]:
     """A-Z lower-cased, split at spaces and bytes 9 to 13."""
@@ -258,36 +230,7 @@ def gathered(batches: Iterator[pa.RecordBatch], rows: int = 150_000) -> Iterator
         yield pa.Table.from_batches(some)
 
 
-def fit(counts: DataFrame, pieces: list[tuple[bytes, float]], ends: int, rounds: int = EM_ROUNDS) -> tuple[Lattice, float]:
-    """The lattice of fitted pieces, and the natural log probability of an end.
-
-    What comes back to the driver is one number for each piece of the vocabulary.
-    """
-    names, prior = [p for p, _ in pieces], np.array([w for _, w in pieces])
-    spark = counts.sparkSession
-    lattice, end = Lattice(names, np.log(prior)), PRIOR / 2 / (PRIOR / 2 + PRIOR)
-    for _ in range(rounds):
-        held = spark.sparkContext.broadcast(lattice)
-
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            uses = 0
-            for table in gathered(batches):
-                uses = uses + held.value.expected(table.column("word").to_pylist(), table.column("c").to_numpy())
-            if not isinstance(uses, int):
-                at = np.flatnonzero(uses)
-                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(uses[at])], names=["piece", "uses"])
-
-        got = counts.where("c > 0 and word != x''").select("word", "c").mapInArrow(run, "piece int, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).collect()
-        uses = PRIOR * prior
-        for r in got:
-            uses[r.piece] += r.uses
-        total = uses.sum() + ends + 1
-        end = (ends + 1) / total
-        lattice = Lattice(names, np.log(uses / total))
-    return lattice, math.log(end)
-
-
-def score(docs: DataFrame, vocabulary_path: str, held_out: Column, hot: int = HOT_WORDS, rounds: int = EM_ROUNDS) -> DataFrame:
+def score(docs: DataFrame, vocabulary_path: str, held_out: Column, hot: int = HOT_WORDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row.
 
     The ``hot`` most frequent words travel by broadcast (a bound on its size);
@@ -300,7 +243,8 @@ def score(docs: DataFrame, vocabulary_path: str, held_out: Column, hot: int = HO
     n = n or 0
     end_row = counts.where("word = x''").first()
     ends = end_row.c if end_row else 0
-    lattice, end = fit(counts, vocabulary(vocabulary_path), ends, rounds)
+    pieces, chances = zip(*vocabulary(vocabulary_path), strict=True)
+    lattice, end = Lattice(list(pieces), np.log(chances)), (ends + 1) / (n + 2)
 
     real = counts.where("word != x''")
     common = real.where(F.col("a") >= cut_at(real, "a", hot)).collect()
@@ -375,5 +319,5 @@ def score(docs: DataFrame, vocabulary_path: str, held_out: Column, hot: int = HO
         (F.col("n_known") + int(ends > 0)).alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base") + math.log10(ends + SMOOTHING) - F.col("n_tokens") * math.log10(n + SMOOTHING * (v + 1))).alias("base_score"),
-        (F.col("lat") + end * log10).alias("score"),
+        (F.col("lat") + (F.col("n_tokens") - 1) * math.log10(1 - end) + math.log10(end)).alias("score"),
     )

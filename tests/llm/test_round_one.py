@@ -121,7 +121,7 @@ def brute_marginal(pieces, word):
     return sum(p * brute_marginal(pieces, word[len(w) :]) for w, p in pieces.items() if word.startswith(w))
 
 
-def test_forward_sums_all_segmentations_and_expected_counts_agree():
+def test_forward_sums_all_segmentations():
     pieces = {b" ": 0.05, b" a": 0.2, b"a": 0.1, b"b": 0.15, b"ab": 0.2, b" ab": 0.1, b"ba": 0.2}
     lattice = lattice_lm.Lattice(list(pieces), np.log(list(pieces.values())))
     words = [b"a", b"ab", b"abab", b"aabba", b"b", b"ab" * 60]
@@ -129,9 +129,6 @@ def test_forward_sums_all_segmentations_and_expected_counts_agree():
     want = [brute_marginal(pieces, b" " + w) for w in words[:-1]]
     assert np.allclose(got, want)
     assert np.isclose(lattice.forward([words[-1]])[0], lattice._plain(b" " + words[-1])[-1])
-    uses = lattice.expected(words, np.array([1, 2, 3, 4, 5, 1]))
-    lengths = np.array([len(p) for p in pieces])
-    assert np.isclose((uses * lengths).sum(), sum((len(w) + 1) * c for w, c in zip(words, [1, 2, 3, 4, 5, 1], strict=True)))
 
 
 def test_base_scores_match_brute_force(spark, sf_dir):
@@ -148,14 +145,30 @@ def test_base_scores_match_brute_force(spark, sf_dir):
         r = rows[d]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (crc_id(d) % 10 == 0, len(ws), sum(counts[w] > 0 for w in ws), n)
         assert math.isclose(r.base_score, sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws), rel_tol=1e-9)
-        assert math.isfinite(r.score) and r.score < 0
+    # the model's own score: a plain recursion over each word's bytes
+    chance = dict(lattice_lm.vocabulary(queries.tokenizer_path("piece_bpe_32k.model")))
+    longest, known = max(map(len, chance)), {}
+
+    def marginal(word):
+        at = [1.0]
+        for j in range(1, len(word) + 1):
+            at.append(sum(at[i] * chance.get(word[i:j], 0.0) for i in range(max(0, j - longest), j)))
+        return at[-1]
+
+    assert math.isclose(sum(chance.values()), 1) and chance[b" the"] > chance[b" than"]
+    end = (counts[b""] + 1) / (n + 2)
+    for d, ws in tokens.items():
+        known |= {w: math.log10(marginal(b" " + w)) for w in ws[:-1] if w not in known and len(w) < 60}
+        if all(w in known for w in ws[:-1]):
+            want = sum(known[w] + math.log10(1 - end) for w in ws[:-1]) + math.log10(end)
+            assert math.isclose(rows[d].score, want, rel_tol=1e-9)
 
 
 def test_joined_words_score_as_broadcast_ones(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     path = queries.tokenizer_path("piece_bpe_32k.model")
-    few = {r.doc_id: r for r in lattice_lm.score(docs, path, F.lit(False), hot=10, rounds=1).collect()}
-    for r in lattice_lm.score(docs, path, F.lit(False), hot=10**6, rounds=1).collect():
+    few = {r.doc_id: r for r in lattice_lm.score(docs, path, F.lit(False), hot=10).collect()}
+    for r in lattice_lm.score(docs, path, F.lit(False), hot=10**6).collect():
         assert math.isclose(r.score, few[r.doc_id].score, rel_tol=1e-9) and r.n_known == few[r.doc_id].n_known
 
 
