@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -49,7 +50,7 @@ def bound_batches(spark: SparkSession, rows: int = 2000) -> None:
 class Store:
     """Tables written to the shared folder, so that a lost executor costs no lineage.
 
-    ``keep`` writes and rereads a frame; ``drop`` removes tables that nothing
+    ``keep`` writes and rereads a frame, and lets go of what making it took; ``drop`` removes tables that nothing
     needs any more. What is left goes when the Python process ends.
     """
 
@@ -61,6 +62,7 @@ class Store:
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/{name}")
+        release(self.spark)
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
     def drop(self, *names: str) -> None:
@@ -149,11 +151,22 @@ def parts(batch: list[bytes], most: int = 4_000_000) -> Iterator[list[bytes]]:
 
 
 _caches: dict[str, Callable[[], None]] = {}
+_owner: list[str] = []
 
 
 def take_worker(owner: str, clear: Callable[[], None] | None = None) -> None:
-    """To be called in a task: a reused Python worker remembers things for one operator at a time."""
-    for other in [o for o in _caches if o != owner]:
-        _caches.pop(other)()
+    """To be called in a task: a reused Python worker remembers things for one operator at a time.
+
+    What another operator left is cleared, and freed memory goes back to the
+    system where the C library can do that.
+    """
+    if _owner != [owner]:
+        _owner[:] = [owner]
+        for other in [o for o in _caches if o != owner]:
+            _caches.pop(other)()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
     if clear is not None:
         _caches[owner] = clear

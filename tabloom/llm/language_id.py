@@ -51,7 +51,7 @@ RATE = 4.0
 CALIBRATE = 5
 #: Part of the least calibration value below which a text is rejected.
 MARGIN = 0.5
-_REMEMBERED = 300_000
+_REMEMBERED = 150_000
 _HAS_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 
 
@@ -289,7 +289,7 @@ def fit(docs: DataFrame, learn: Column, most: int = SAMPLE, most_bytes: int = SA
         return train([])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        take_worker("language")
+        take_worker("language training")
         each = ((r["text"], r["lang"], r["times"]) for batch in batches for a in range(0, batch.num_rows, 64) for r in batch.slice(a, 64).to_pylist())
         model = train(taken(each, share, most_bytes))
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
