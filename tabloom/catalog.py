@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabloom import catalog_support  # noqa: F401  registers its queries
 from tabloom.functions import rounding
 from tabloom.operators.assembly import run_assembly
 from tabloom.operators.confidential import run_confidential
@@ -16,20 +17,9 @@ from tabloom.operators.pipeline import run_pipeline
 from tabloom.operators.pipeline_sql import read_and_prepare_sql_code
 from tabloom.operators.summary import run_summary
 from tabloom.plans.combos import expand_compact_summary_groups, generate_combinations
+from tabloom.registry import ORACLES, QUERIES, add, table
 from tabloom.sources.controlfile import ControlTable, as_control_table, merge_progress
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def add(name: str, oracle: str, fn: Callable[[SparkSession, str], DataFrame]) -> None:
-    QUERIES[name], ORACLES[name] = fn, oracle
-
-
 # summary
 
 #: Inputs with missing values, as the tables have almost none.

@@ -18,15 +18,15 @@ from tabloom.functions.parse import ExpressionError, Node, Parser, names_in
 class RParser(Parser):
     pattern = re.compile(
         r"""(?P<space>\s+)|(?P<number>(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?L?)|(?P<string>"(\\.|[^"\\])*"|'(\\.|[^'\\])*')"""
-        r"""|(?P<quoted>`[^`]+`)|(?P<word>[^\W\d][\w.]*|\.[^\W\d][\w.]*)|(?P<op>%[^%\s]*%|::|==|!=|<=|>=|&&|\|\||[-+*/^<>!&|(),~=])"""
+        r"""|(?P<quoted>`[^`]+`)|(?P<word>[^\W\d][\w.]*|\.[^\W\d][\w.]*)|(?P<op>%[^%\s]*%|::|:|==|!=|<=|>=|&&|\|\||[-+*/^<>!&|(),~=])"""
     )
     infix = {
         "~": (1, 2), "||": (3, 4), "|": (3, 4), "&&": (5, 6), "&": (5, 6),
         "==": (9, 10), "!=": (9, 10), "<": (9, 10), "<=": (9, 10), ">": (9, 10), ">=": (9, 10),
         "+": (11, 12), "-": (11, 12), "*": (13, 14), "/": (13, 14),
-        "%%": (15, 16), "%/%": (15, 16), "%in%": (15, 16), "%not_in%": (15, 16), "^": (20, 19),
+        "%%": (15, 16), "%/%": (15, 16), "%in%": (15, 16), "%not_in%": (15, 16), ":": (17, 18), "^": (20, 19),
     }
-    prefix = {"!": 7, "-": 18, "+": 18}
+    prefix = {"!": 7, "-": 19, "+": 19}
     named_arguments = True
 
     def atom(self, token):
@@ -53,7 +53,8 @@ def _divide(a: Column, b: Column) -> Column:
 
 
 def _floor_mod(a: Column, b: Column) -> Column:
-    return a - b * F.floor(_divide(a, b))
+    """With the sign of the divisor; whole numbers stay exact."""
+    return F.when(b != 0, (a % b + b) % b)
 
 
 def _text(c: Column) -> Column:
@@ -77,6 +78,8 @@ _BINARY = {
 
 _SIMPLE = {
     "is.na": (1, 1, lambda x: x.isNull()),
+    "is.numeric": (1, 1, lambda x: F.typeof(x).rlike("^(tinyint|smallint|int|bigint|float|double|decimal.*)$")),
+    "is.character": (1, 1, lambda x: F.typeof(x) == "string"), "str_length": (1, 1, lambda x: F.length(x.cast("string"))),
     "ifelse": (3, 3, ifelse), "if_else": (3, 3, ifelse),
     "coalesce": (1, 99, lambda *x: F.coalesce(*x)),
     "abs": (1, 1, F.abs), "floor": (1, 1, F.floor), "ceiling": (1, 1, F.ceil), "sqrt": (1, 1, lambda x: F.when(x >= 0, F.sqrt(x))),
@@ -131,6 +134,8 @@ def compile_node(node: Node, columns: dict[str, str]) -> Column:
             return ~found if node.value == "%not_in%" else found
         if node.value == "~":
             raise ExpressionError("~ stands in case_when() only")
+        if node.value == ":":
+            raise ExpressionError("a:b stands after %in% only")
         return _BINARY[node.value](go(node.args[0]), go(node.args[1]))
     if node.kind == "vector":
         raise ExpressionError("c() stands after %in% only")
@@ -140,10 +145,70 @@ def compile_node(node: Node, columns: dict[str, str]) -> Column:
 def _is_in(node: Node, go) -> Column:
     right = node.args[1]
     items = right.args if right.kind == "vector" else [right]
-    values = [go(i) for i in items if i.kind != "null"]
+    runs = [i for i in items if i.kind == "binary" and i.value == ":"]
+    values = [go(i) for i in items if i.kind != "null" and i not in runs]
     left = go(node.args[0])
     found = F.coalesce(left.isin(*values), F.lit(False)) if values else F.lit(False)
-    return found | left.isNull() if len(values) < len(items) else found
+    for run in runs:  # a:b steps by 1 from a, up or down
+        a, b = go(run.args[0]), go(run.args[1])
+        found = found | F.coalesce(left.between(F.least(a, b), F.greatest(a, b)) & ((left - a) % 1 == 0), F.lit(False))
+    return found | left.isNull() if any(i.kind == "null" for i in items) else found
+
+
+def _regex(node: Node, options: dict[str, Node]) -> str:
+    """A pattern in R's syntax as one of Java's."""
+    if node.kind != "string":
+        raise ExpressionError("a pattern is a text")
+    if _true(options.get("fixed")):
+        return re.escape(node.value)
+    named = {"alpha": "Alpha", "digit": "Digit", "alnum": "Alnum", "space": "Space", "punct": "Punct", "upper": "Upper", "lower": "Lower", "blank": "Blank"}
+    out = re.sub(r"\[:(\w+):\]", lambda m: rf"\p{{{named[m[1]]}}}" if m[1] in named else m[0], node.value)
+    return ("(?i)" if _true(options.get("ignore.case")) else "") + out
+
+
+def _true(node: Node | None) -> bool:
+    return node is not None and node.kind == "bool" and node.value
+
+
+def _replacement(node: Node, options: dict[str, Node]) -> str:
+    if node.kind != "string":
+        raise ExpressionError("a replacement is a text")
+    plain = node.value.replace("$", r"\$")
+    return plain.replace("\\", "\\\\") if _true(options.get("fixed")) else re.sub(r"\\(\d)", r"$\1", plain)
+
+
+def _first(x: Column, pattern: str, new: str) -> Column:
+    """The first match replaced."""
+    at, old = F.regexp_instr(x, F.lit(f"({pattern})")), F.regexp_substr(x, F.lit(pattern))
+    changed = F.concat(F.substring(x, F.lit(1), at - 1), F.regexp_replace(old, pattern, new), F.substring(x, at + F.length(old), F.length(x)))
+    return F.when(at > 0, changed).otherwise(x)
+
+
+_DATE_PARTS = {"%Y": "yyyy", "%y": "yy", "%m": "MM", "%d": "dd", "%B": "MMMM", "%b": "MMM", "%A": "EEEE", "%a": "EEE", "%H": "HH", "%M": "mm", "%S": "ss", "%j": "DDD"}
+
+
+def _format(x: Column, layout: Node | None) -> Column:
+    if layout is None:
+        return _text(x)
+    if layout.kind != "string":
+        raise ExpressionError("format() takes a layout as text")
+    parts = re.findall(r"%\w|[^%]+|%", layout.value)
+    if bad := [p for p in parts if p[0] == "%" and p not in _DATE_PARTS]:
+        raise ExpressionError(f"format() does not know {bad[0]}")
+    pattern = "".join(_DATE_PARTS.get(p) or "'" + p.replace("'", "''") + "'" for p in parts)
+    return F.date_format(x, pattern)
+
+
+def _sprintf(layout: Node, values: list[Column]) -> Column:
+    if layout.kind != "string":
+        raise ExpressionError("sprintf() takes a layout as text")
+    marks = [m for m in re.findall(r"%[-+ 0#]*\d*(?:\.\d+)?([a-zA-Z%])", layout.value) if m != "%"]
+    if len(marks) != len(values) or set(marks) - set("dsfeEgGxXi"):
+        raise ExpressionError(f"sprintf() has {len(marks)} places and {len(values)} values, or a place it does not know")
+    kinds = {"s": "string", "d": "bigint", "i": "bigint", "x": "bigint", "X": "bigint"}
+    cast = [_text(v) if m == "s" else v.cast(kinds.get(m, "double")) for m, v in zip(marks, values, strict=True)]
+    there = _all_there([c for m, c in zip(marks, cast, strict=True) if m != "s"])
+    return F.when(there, F.format_string(re.sub(r"(%[-+ 0#]*\d*)i", r"\1d", layout.value), *cast)) if values else F.lit(layout.value.replace("%%", "%"))
 
 
 def _call(node: Node, go) -> Column:
@@ -176,6 +241,20 @@ def _call(node: Node, go) -> Column:
         rest = [_text(go(a)) for a, n in zip(args, node.names, strict=True) if n is None]
         between = sep[0] if sep else F.lit(" ")
         return F.concat(*[x for i, r in enumerate(rest) for x in ([between, r] if i else [r])])
+    named = {n: a for a, n in zip(args, node.names or [None] * len(args), strict=True) if n}
+    plain = [a for a, n in zip(args, node.names or [None] * len(args), strict=True) if not n]
+    if name in ("grepl", "str_detect") and len(plain) == 2:
+        pattern, x = plain if name == "grepl" else plain[::-1]
+        found = go(x).cast("string").rlike(_regex(pattern, named))
+        return F.coalesce(found, F.lit(False)) if name == "grepl" else found
+    if name in ("gsub", "sub", "str_replace_all", "str_replace") and len(plain) == 3:
+        pattern, new, x = plain if name in ("gsub", "sub") else (plain[1], plain[2], plain[0])
+        every = F.regexp_replace if name in ("gsub", "str_replace_all") else _first
+        return every(go(x).cast("string"), _regex(pattern, named), _replacement(new, named))
+    if name == "sprintf" and plain:
+        return _sprintf(plain[0], [go(a) for a in plain[1:]])
+    if name == "format" and 1 <= len(args) <= 2:
+        return _format(go(args[0]), args[1] if len(args) == 2 else None)
     if name not in _SIMPLE:
         raise ExpressionError(f"unknown function {name}()")
     least, most, fn = _SIMPLE[name]

@@ -1,4 +1,9 @@
-"""Row expressions in SQL Server's style (and a little of SQLite's), translated to columns."""
+"""Row expressions in SQL Server's style (and a little of SQLite's), translated to columns.
+
+Given ``kind`` (the type of a column over the table, by analysis), ``/`` of whole
+numbers is whole and ``+`` of two texts joins them, as in SQL Server; without it
+``/`` divides and ``+`` adds.
+"""
 
 from __future__ import annotations
 
@@ -107,6 +112,9 @@ _BINARY = {
 
 _PARTS = {"YEAR": 12, "YY": 12, "YYYY": 12, "QUARTER": 3, "QQ": 3, "Q": 3, "MONTH": 1, "MM": 1, "M": 1}
 _DAYS = {"DAY": 1, "DD": 1, "D": 1, "WEEK": 7, "WK": 7, "WW": 7}
+_CLOCK = {"HOUR": "HOUR", "HH": "HOUR", "MINUTE": "MINUTE", "MI": "MINUTE", "N": "MINUTE", "SECOND": "SECOND", "SS": "SECOND", "S": "SECOND"}
+_SECONDS = {"HOUR": 3600, "MINUTE": 60, "SECOND": 1}
+_WHOLE = ("tinyint", "smallint", "int", "bigint")
 
 
 def _part(node: Node) -> str:
@@ -124,12 +132,22 @@ def _dateadd(part: str, n: Column, x: Column) -> Column:
         return F.add_months(_date(x), (n * _PARTS[part]).cast("int"))
     if part in _DAYS:
         return F.date_add(_date(x), (n * _DAYS[part]).cast("int"))
+    if part in _CLOCK:
+        return F.timestamp_add(_CLOCK[part], n.cast("bigint"), x.try_cast("timestamp"))
     raise ExpressionError(f"date part {part} is not supported")
 
 
 def _datediff(part: str, a: Column, b: Column) -> Column:
-    """Boundaries crossed from a to b."""
+    """Boundaries crossed from a to b; weeks begin on Sunday."""
+    if part in _CLOCK:
+        unit = _CLOCK[part]
+        a, b = (F.unix_seconds(F.date_trunc(unit, x.try_cast("timestamp"))) for x in (a, b))
+        return ((b - a) / _SECONDS[unit]).cast("bigint")
     a, b = _date(a), _date(b)
+    if part in ("WEEK", "WK", "WW"):
+        sunday = F.lit("1899-12-31").cast("date")
+        a, b = (F.floor(F.datediff(x, sunday) / 7) for x in (a, b))
+        return (b - a).cast("int")
     if part in ("DAY", "DD", "D"):
         return F.datediff(b, a)
     months = (F.year(b) - F.year(a)) * 12 + F.month(b) - F.month(a)
@@ -163,12 +181,15 @@ _CALLS: dict[str, tuple[int, int, Callable]] = {
     "LTRIM": (1, 1, F.ltrim), "RTRIM": (1, 1, F.rtrim), "TRIM": (1, 1, F.trim), "CONCAT": (1, 99, lambda *x: F.concat(*(F.coalesce(c.cast("string"), F.lit("")) for c in x))),
     "SUBSTRING": (3, 3, lambda x, a, n: F.substring(x, a.cast("int"), n.cast("int"))), "REPLACE": (3, 3, F.replace),
     "LEFT": (2, 2, lambda x, n: F.left(x, n)), "RIGHT": (2, 2, lambda x, n: F.right(x, n)),
+    "CHARINDEX": (2, 3, lambda what, x, start=None: F.position(what, x, F.lit(1) if start is None else start)),
+    "STUFF": (4, 4, lambda x, a, n, new: F.overlay(x, new, a.cast("int"), n.cast("int"))), "REVERSE": (1, 1, F.reverse),
+    "GETDATE": (0, 0, F.current_timestamp), "SYSDATETIME": (0, 0, F.current_timestamp), "SIGN": (1, 1, F.signum), "SQUARE": (1, 1, lambda x: x * x),
     "IN": (2, 999, lambda x, *v: x.isin(*v)), "BETWEEN": (3, 3, lambda x, a, b: x.between(a, b)),
 }
 
 
-def compile_node(node: Node, resolve: Callable[[str], Column]) -> Column:
-    go = lambda n: compile_node(n, resolve)
+def compile_node(node: Node, resolve: Callable[[str], Column], kind: Callable[[Column], str] | None = None) -> Column:
+    go = lambda n: compile_node(n, resolve, kind)
     if node.kind in ("number", "string"):
         return F.lit(node.value)
     if node.kind == "null":
@@ -181,7 +202,14 @@ def compile_node(node: Node, resolve: Callable[[str], Column]) -> Column:
     if node.kind == "binary":
         if node.value == "LIKE":
             return go(node.args[0]).like(_literal(node.args[1]))
-        return _BINARY[node.value](go(node.args[0]), go(node.args[1]))
+        a, b = go(node.args[0]), go(node.args[1])
+        if kind and node.value in "/+":
+            kinds = {kind(a), kind(b)}
+            if node.value == "/" and kinds <= set(_WHOLE):
+                return F.when(b != 0, F.call_function("div", a, b))
+            if node.value == "+" and kinds == {"string"}:
+                return F.concat(a, b)
+        return _BINARY[node.value](a, b)
     if node.kind == "case":
         out = None
         for test, value in zip(node.args[::2], node.args[1::2], strict=True):
@@ -220,8 +248,8 @@ def _call(node: Node, go) -> Column:
     return fn(*(go(a) for a in args))
 
 
-def to_column(text: str, resolve: Callable[[str], Column]) -> Column:
-    return compile_node(SqlParser(text).parse(), resolve)
+def to_column(text: str, resolve: Callable[[str], Column], kind: Callable[[Column], str] | None = None) -> Column:
+    return compile_node(SqlParser(text).parse(), resolve, kind)
 
 
 def columns_read(text: str) -> set[str]:

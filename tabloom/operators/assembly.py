@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+import warnings
 from collections.abc import Mapping
 from dataclasses import dataclass
 
@@ -14,14 +15,16 @@ from tabloom.functions import tsql
 from tabloom.functions.delimiters import Cell, no_obvious_escaping_injection, read_cell, remove_delimiters
 from tabloom.functions.rexpr import quote
 from tabloom.operators.pipeline_sql import remove_sql_comments
-from tabloom.operators.report import Report, attempt, some
+from tabloom.operators.report import PLANNED, SUCCESS, Report, attempt, some
 from tabloom.operators.summary import _progress
 from tabloom.operators.types import is_valid_data_type, spark_type, text_length
 from tabloom.sources.controlfile import PROGRESS, ControlTable, as_control_table, save_control_file
 from tabloom.sources.names import sql2id
 from tabloom.sources.paths import read_lines_utf8, save_code_to_script
 from tabloom.sources.tables import Catalog
+from tabloom.sources.work import stored
 
+#: Fixed values of control files: methods, headers.
 METHODS = ("MIN", "MAX", "EXISTS", "COUNT", "MEAN", "DISTINCT", "ENTITY", "SUM", "SUM_WITHIN", "DURATION")
 KEYS = ("population_uid", "period_start", "period_end", "measure_table", "measure_uid", "measure_start", "measure_end")
 REQUIRED = (*KEYS, "measure_value", "output_name", "output_method", "output_type")
@@ -36,7 +39,7 @@ ACCEPTS = {
 
 @dataclass
 class AssemblyResult:
-    df: DataFrame
+    df: DataFrame | None
     status: ControlTable
 
 
@@ -48,6 +51,8 @@ def constant(text: str) -> Column:
         return F.lit(float(text))
     if re.fullmatch(r"\d{4}-\d{2}-\d{2}", text):
         return F.lit(text).try_cast("date")
+    if re.fullmatch(r"\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}(:\d{2}(\.\d+)?)?", text):
+        return F.lit(text).try_cast("timestamp")
     return F.lit(text)
 
 
@@ -65,11 +70,12 @@ def value_of(cell: Cell, df: DataFrame) -> Column:
 
     if cell.kind == "constant":
         return constant(cell.text)
-    return resolve(cell.text) if cell.kind == "column" else tsql.to_column(cell.text, resolve)
+    return resolve(cell.text) if cell.kind == "column" else tsql.to_column(cell.text, resolve, lambda c: df.select(c).schema[0].dataType.simpleString())
 
 
-def as_date(c: Column) -> Column:
-    return c.try_cast("date")
+def moments(*sides: tuple[DataFrame, Column]) -> str:
+    """The type in which times are compared: dates, unless a side has times of day (a date then is its midnight)."""
+    return "timestamp" if any(df.select(c).schema[0].dataType.simpleString().startswith("timestamp") for df, c in sides) else "date"
 
 
 def entity_rows(rows: list[dict]) -> list[dict]:
@@ -123,16 +129,14 @@ def measure_batch(master: DataFrame, measure: DataFrame, rows: list[dict]) -> Da
     """
     first = rows[0]
     cell = {k: read_cell(str(first[k])) for k in KEYS if k != "measure_table"}
-    keys = master.select(
-        value_of(cell["population_uid"], master).alias("_uid"),
-        as_date(value_of(cell["period_start"], master)).alias("_ps"),
-        as_date(value_of(cell["period_end"], master)).alias("_pe"),
-    ).distinct()
+    period = [value_of(cell[k], master) for k in ("period_start", "period_end")]
+    spell = [value_of(cell[k], measure) for k in ("measure_start", "measure_end")]
+    kind = moments(*((master, c) for c in period), *((measure, c) for c in spell))
+    keys = master.select(value_of(cell["population_uid"], master).alias("_uid"), *(c.try_cast(kind).alias(n) for c, n in zip(period, ("_ps", "_pe"), strict=True))).distinct()
     values = {f"_v{i}": value_of(read_cell(str(r["measure_value"])), measure) for i, r in enumerate(rows)}
     events = measure.select(
         value_of(cell["measure_uid"], measure).alias("_muid"),
-        as_date(value_of(cell["measure_start"], measure)).alias("_ms"),
-        as_date(value_of(cell["measure_end"], measure)).alias("_me"),
+        *(c.try_cast(kind).alias(n) for c, n in zip(spell, ("_ms", "_me"), strict=True)),
         *(v.alias(n) for n, v in values.items()),
     )
     kinds = dict(keys.dtypes)["_uid"], dict(events.dtypes)["_muid"]
@@ -148,7 +152,8 @@ def attach(master: DataFrame, setup: DataFrame, row: dict) -> DataFrame:
     """The master with the outputs as last columns; rows without events get none, and columns of these names give way."""
     new = [c for c in setup.columns if c not in ("_uid", "_ps", "_pe")]
     cell = {k: read_cell(str(row[k])) for k in ("population_uid", "period_start", "period_end")}
-    keyed = master.withColumns({"_kuid": value_of(cell["population_uid"], master), "_kps": as_date(value_of(cell["period_start"], master)), "_kpe": as_date(value_of(cell["period_end"], master))})
+    kind = dict(setup.dtypes)["_ps"]
+    keyed = master.withColumns({"_kuid": value_of(cell["population_uid"], master), "_kps": value_of(cell["period_start"], master).try_cast(kind), "_kpe": value_of(cell["period_end"], master).try_cast(kind)})
     kept = [c for c in master.columns if c not in new]
     on = (F.col("_kuid") == F.col("_uid")) & (F.col("_kps") == F.col("_ps")) & (F.col("_kpe") == F.col("_pe"))
     right = setup.select("_uid", "_ps", "_pe", *(F.col(quote(c)).alias(f"_new{i}") for i, c in enumerate(new)))
@@ -234,10 +239,15 @@ def run_assembly(
     sheet: str | None = None,
     sql_folder: str | None = None,
     debug_folder: str | None = None,
+    execute: bool | None = None,
 ) -> AssemblyResult:
     """A new master table, with a column for each enabled row, and the status of each row.
 
-    A batch that fails leaves the master as it was, and the others go on.
+    With ``execute`` (and for a control file given by path, which gets the status
+    written back) each batch runs and is stored, so that its status is what came
+    of it; a batch that fails leaves the master as it was, and the others go on.
+    Otherwise the result is one plan, and rows that compile are said to be planned.
+    With all rows off there is a warning and no result.
     """
     validate_assembly_control_file(control, spark, master, measures, sheet, sql_folder).require()
     full = as_control_table(control, sheet)
@@ -245,21 +255,28 @@ def run_assembly(
     catalog = Catalog(spark, measures)
     df = catalog.get(master) if isinstance(master, str) else master
     on = table.enabled()
+    if not on.rows:
+        warnings.warn("all rows of the control file are off", stacklevel=2)
+        return AssemblyResult(None, full)
+    by_path = isinstance(control, (str, os.PathLike))
+    execute = by_path if execute is None else execute
     done: dict[tuple, dict] = {}
     for rows in batches(entity_rows(on.rows)):
 
         def go(rows=rows, df=df):
-            out = attach(df, measure_batch(df, catalog.get(str(rows[0]["measure_table"])), rows), rows[0])
+            setup = measure_batch(df, catalog.get(str(rows[0]["measure_table"])), rows)
+            out = attach(df, stored(setup, "assembly") if execute else setup, rows[0])
             if debug_folder:
                 save_code_to_script(out._jdf.queryExecution().toString(), f"assembly {output_name(rows[0])}", debug_folder)
             return out
 
         got = attempt(go)
         df = got["result"] if got["result"] is not None else df
+        got["status"] = PLANNED if got["status"] == SUCCESS and not execute else got["status"]
         done[tuple(str(rows[0][k]) for k in KEYS)] = got
     progress = ControlTable([*on.columns, *PROGRESS], [{**r, **{p: done[tuple(str(r[k]) for k in KEYS)][p] for p in PROGRESS}} for r in on.rows])
     status = _progress(full, table, progress)
-    if isinstance(control, (str, os.PathLike)):
+    if by_path:
         save_control_file(str(control), status, sheet)
     return AssemblyResult(df, status)
 

@@ -34,6 +34,17 @@ def _status(got: dict) -> dict:
     return {k: got[k] for k in ("status", "start_time", "end_time")}
 
 
+@contextlib.contextmanager
+def _warnings(ignore: bool, kind: type[Warning] = Warning):
+    """Warnings stop what runs; those ignored go to whoever records them."""
+    if ignore:
+        yield
+        return
+    with warnings.catch_warnings():
+        warnings.simplefilter("error", kind)
+        yield
+
+
 def try_run_sql_file(spark: SparkSession, path: str, inject: dict[str, str] | None = None, ignore_warnings: bool = False) -> dict:
     """All batches in a session of their own; the first error ends the file."""
 
@@ -42,8 +53,7 @@ def try_run_sql_file(spark: SparkSession, path: str, inject: dict[str, str] | No
         for batch in read_and_prepare_sql_code(path, inject):
             if batch.code.strip():
                 try:
-                    with warnings.catch_warnings():
-                        warnings.simplefilter("ignore" if ignore_warnings else "error", UserWarning)
+                    with _warnings(ignore_warnings, UserWarning):
                         session.sql(batch.code).collect()
                 except Exception as e:
                     kind = type(e) if isinstance(e, Warning) else ScriptError
@@ -57,8 +67,7 @@ def try_run_py_file(path: str, inject: dict | None = None, ignore_warnings: bool
     """In a namespace of its own that has the injected values; a warning ends the file unless ignored."""
 
     def go() -> bool:
-        with warnings.catch_warnings():
-            warnings.simplefilter("ignore" if ignore_warnings else "error")
+        with _warnings(ignore_warnings):
             runpy.run_path(path, init_globals=dict(inject or {}), run_name="__main__")
         return True
 
@@ -89,6 +98,8 @@ def _path(row: dict) -> str:
 
 def validate_pipeline_control_file(control, spark: SparkSession, sheet: str | None = None, inject_sql: dict[str, str] | None = None) -> Report:
     report = Report()
+    names = [n.lower() for n in inject_sql or {}]
+    report.check(len(set(names)) == len(names), f"injected names that repeat: {some({n for n in names if names.count(n) > 1})}")
     table = as_control_table(control, sheet).lower()
     missing = [c for c in ("folder", "file") if c not in table.columns]
     if not report.check(not missing, f"missing columns: {some(missing)}"):
@@ -155,13 +166,18 @@ def run_pipeline(
         ran.append(i)
         path = _path(row)
         said = io.StringIO()
-        with contextlib.redirect_stdout(said):
+        with contextlib.redirect_stdout(said), warnings.catch_warnings(record=True) as warned:
+            warnings.simplefilter("always")
             if path.lower().endswith(".sql"):
                 done[i] = try_run_sql_file(spark, path, inject_sql, ignore_warnings)
             else:
                 done[i] = try_run_py_file(path, {"spark": spark} | (inject_py or {}), ignore_warnings)
         for line in said.getvalue().splitlines():
             run_time_inform_user(f"Global message: {line}", sink_file)
+        for w in warned:
+            run_time_inform_user(f"Global warning: {w.message}", sink_file)
+        if done[i]["status"].startswith("Stopped with error"):
+            run_time_inform_user(f"Global error: {done[i]['status'].partition(': ')[2]}", sink_file)
         run_time_inform_user(f"{row['file']}: {done[i]['status']}", sink_file)
     progress = ControlTable([*on.columns, *PROGRESS], [{**r, **{p: d[p] for p in PROGRESS}} for r, d in zip(on.rows, done, strict=True)])
     status = _progress(full, table, progress)

@@ -8,6 +8,8 @@ from dataclasses import dataclass, field
 from datetime import datetime
 
 SUCCESS = "Successful completion"
+#: Of rows whose result is a plan that nothing has run yet.
+PLANNED = "Planned: runs when the result is read"
 
 
 @dataclass

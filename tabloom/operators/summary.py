@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import warnings
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import reduce
@@ -15,7 +16,7 @@ from tabloom.functions import rexpr
 from tabloom.functions.delimiters import Cell, is_delimited, no_obvious_escaping_injection, read_cell, remove_delimiters
 from tabloom.functions.parse import ExpressionError
 from tabloom.functions.rexpr import quote
-from tabloom.operators.report import Report, attempt, some
+from tabloom.operators.report import PLANNED, SUCCESS, Report, attempt, some
 from tabloom.plans.combos import tolower_control_file_cells
 from tabloom.sources.controlfile import PROGRESS, ControlTable, as_control_table, keyword, merge_progress, save_control_file
 from tabloom.sources.names import tolower_colnames
@@ -305,7 +306,9 @@ def run_summary(
     """Validates, compiles every enabled row, and stacks what compiled.
 
     A row that fails has its status say so and the others go on; without
-    ``partial_output`` an invalid control file raises. With ``write`` each
+    ``partial_output`` an invalid control file raises. Rows that compile are said to
+    be planned, as the result is a plan that nothing has run; with all rows off there
+    is a warning and no result. With ``write`` each
     result file is written, one job for all of its rows; if that job fails, its
     rows run one by one to find whose fault it was. A control file given by
     path gets the progress written back.
@@ -316,6 +319,9 @@ def run_summary(
     full = as_control_table(control, sheet)
     table, df = _prepare(control, sheet, df)
     on = table.enabled()
+    if not on.rows:
+        warnings.warn("all rows of the control file are off", stacklevel=2)
+        return SummaryResult(None, full, {})
     columns = output_columns(table.columns)
     specs = [read_spec(r) for r in on.rows]
     if drop_empty_entities:
@@ -323,6 +329,7 @@ def run_summary(
     options = {"remove_na_from_groups": remove_na_from_groups, "entity_where": entity_where, "null_mode": null_mode}
     done = [attempt(lambda s=s: summarise([s], df, columns, **options)) for s in specs]
     files: dict[str | None, list[int]] = {}
+    ran: set[int] = set()
     for i, s in enumerate(specs):
         files.setdefault(save_file or s.file, []).append(i)
     out: dict[str, DataFrame] = {}
@@ -335,6 +342,7 @@ def run_summary(
         if debug_folder:
             save_code_to_script(frame._jdf.queryExecution().toString(), f"summary {name or 'result'}", debug_folder)
         if write and name:
+            ran |= set(good)
             path = os.path.join(save_folder, name) if save_folder else name
             if os.path.exists(path):
                 os.remove(path)
@@ -347,7 +355,10 @@ def run_summary(
             else:
                 for i in good:
                     done[i]["end_time"] = whole["end_time"]
-    every = [specs[i] for i in range(len(specs)) if done[i]["status"].startswith("Success")]
+    for i, d in enumerate(done):
+        if d["status"] == SUCCESS and i not in ran:
+            d["status"] = PLANNED
+    every = [specs[i] for i in range(len(specs)) if done[i]["status"] in (SUCCESS, PLANNED)]
     progress = ControlTable([*on.columns, *PROGRESS], [{**r, **{p: d[p] for p in PROGRESS}} for r, d in zip(on.rows, done, strict=True)])
     status = _progress(full, table, progress)
     if isinstance(control, (str, os.PathLike)):

@@ -85,7 +85,7 @@ def test_sql_expressions(df, text, want):
     assert [r[0] for r in got] == want
 
 
-@pytest.mark.parametrize("text", ["EXEC x", "DROP", "x +", "f(x)", "DATEADD(HOUR, 1, day)", "'a", "CASE x END", "x; y"])
+@pytest.mark.parametrize("text", ["EXEC x", "DROP", "x +", "f(x)", "DATEADD(NANOSECOND, 1, day)", "'a", "CASE x END", "x; y"])
 def test_sql_expressions_that_are_refused(df, text):
     def known(name):
         if name not in df.columns:
@@ -99,3 +99,9 @@ def test_sql_expressions_that_are_refused(df, text):
 def test_columns_read():
     assert rexpr.columns_read("ifelse(A > b, `c d`, 'e')") == {"a", "b", "c d"}
     assert tsql.columns_read("DATEADD(YEAR, 1, [a]) > CASE WHEN b = 1 THEN c ELSE d END") == {"a", "b", "c", "d"}
+
+
+@pytest.mark.parametrize("text", ["1:3", "sprintf('%d')", "sprintf('%d', 1, 2)", "gsub(a, 'x', b)", "format(a, '%Q')", "format(a, b)"])
+def test_r_expressions_that_are_refused(text):
+    with pytest.raises(ValueError):
+        rexpr.to_column(text, ["a", "b"])

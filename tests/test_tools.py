@@ -12,7 +12,7 @@ from tabloom.operators.assembly import run_assembly, sql_file_exists_and_contain
 from tabloom.operators.confidential import run_confidential, suppression_format_extract, validate_confidential_control_file
 from tabloom.operators.pipeline import run_pipeline, try_run_py_file, try_run_sql_query, validate_pipeline_control_file
 from tabloom.operators.pipeline_sql import read_and_prepare_sql_code, remove_sql_comments, sql_cmd_mode_fix
-from tabloom.operators.report import SUCCESS
+from tabloom.operators.report import PLANNED, SUCCESS
 from tabloom.operators.summary import run_summary, validate_summary_control_file
 from tabloom.sources.controlfile import load_control_file
 
@@ -54,7 +54,7 @@ def test_a_row_that_fails_leaves_the_others(people):
         run_summary(control, people)
     got = run_summary(control, people, partial_output=True)
     assert rows(got.df) == [(5,)]
-    assert [r["status"] == SUCCESS for r in got.status.rows] == [True, False] and got.status.rows[1]["status"].startswith("Stopped with error")
+    assert [r["status"] == PLANNED for r in got.status.rows] == [True, False] and got.status.rows[1]["status"].startswith("Stopped with error")
 
 
 def test_result_files_and_progress(people, tmp_path):
@@ -127,7 +127,7 @@ def test_methods(spark, spells, method, kind, value, want):
     base, events = spells
     got = run_assembly(spark, [control(output_method=method, output_type=kind, measure_value=value)], base, {"events": events})
     assert {(r.uid, r.start): r.out for r in got.df.collect()} == dict(zip([(1, "2012-01-01"), (2, "2012-01-01"), (2, "2013-01-01"), (None, "2012-01-01")], want, strict=True))
-    assert got.status.rows[0]["status"] == SUCCESS
+    assert got.status.rows[0]["status"] == PLANNED
 
 
 def test_overlapping_spells_count_twice_and_shares_are_inclusive(spark):
