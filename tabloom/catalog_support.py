@@ -239,7 +239,7 @@ def _paths(spark: SparkSession, sf_dir: str) -> dict[str, object]:
     }
 
 
-facts("file_tools", {"next name": "report_1.csv", "lines": "one|two", "said": "True", "script": "SELECT 1", "mounted": "/mnt/z/a/b.csv", "locked": "False", "lab": "False", "examples": "True"}, _paths)
+facts("file_tools", {"next name": "report (1).csv", "lines": "one|two", "said": "True", "script": "SELECT 1", "mounted": "/mnt/z/a/b.csv", "locked": "False", "lab": "False", "examples": "True"}, _paths)
 add("combos_column_names", "SELECT a, b FROM (SELECT DISTINCT p.column_name AS a, q.column_name AS b FROM (VALUES ('r_name'), ('r_regionkey')) p(column_name), (VALUES ('n_name'), ('r_name')) q(column_name)) WHERE a <> b",
     lambda s, d: s.createDataFrame([tuple(x) for x in cross_product_column_names(["r_name", "r_regionkey"], ["n_name", "r_name"]) if len([c for c in x if c]) == 2], "a string, b string"))
 facts("control_cells_lower", {"GROUP": "n_name", "COUNT": "n_nationkey", "LABEL": "Kept As It Is"}, lambda s, d: dict(
