@@ -1,7 +1,9 @@
 """N-gram Jaccard join by a token-group matrix, to whole components of linked documents.
 
 A document is its set of word shingles, each a 64-bit hash. Documents of equal
-sets are one class from the start. Two classes link when
+sets, by 128 bits, are one class from the start. Classes go by the first 64 of
+these bits; a class whose name another one has too gets a new name, and the few
+such names go along with the passes over texts. Two classes link when
 ``100 * intersection >= 80 * union``.
 
 Candidates. Shingles have an order: those known to be frequent last, else by
@@ -20,7 +22,10 @@ members only if it qualifies. A few documents of each component ask first, which
 merges most of a large group of copies; then all that are left do.
 
 Lists of up to ``SMALL_LIST`` classes give their pairs; longer ones give a pair
-with their leader each, and later only pairs over different components.
+with their leader each, and later only pairs over different components. A list
+has rows of up to ``LIST_ROW`` classes, and the classes of very long ones are dealt to
+all tasks; where lists are asked later, a list is a grid of cells of about
+``CELL`` questions by ``CELL`` groups, so that no task holds a whole one.
 
 Defined results: a null text, or one without words, has an empty set and is its
 own component; fewer words than the shingle length make one shingle; a null
@@ -35,7 +40,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.llm.common import Store, take_worker, tasks, texts
@@ -51,6 +56,14 @@ FREQUENT = 2
 #: Cells of a class's sketch: how many of its shingles fall in each, 255 for that many or more.
 CELLS = 256
 SMALL_LIST = 8
+#: Classes in a row of a list, and in a task's share of a list that is dealt to all tasks from the start.
+LIST_ROW, HOT_PIECE = 1000, 64
+#: Entries of prefixes that one task sorts.
+PART_ENTRIES = 4_000_000
+#: Questions and groups in a cell of a list, and shares of a list of several rows where it meets a row of its own.
+CELL, LIST_SALTS = 500, 64
+#: Bits of a class's first name; tests take fewer, so that names clash.
+NAME_BITS = 64
 #: A task's part of a leader's group: documents and tokens.
 PART_DOCS, PART_TOKENS = 256, 300_000
 #: Documents in a group that queries are held against, and queries in a salt of it.
@@ -108,10 +121,26 @@ def shingles(text: bytes, k: int = SHINGLE) -> np.ndarray:
     return out[np.concatenate(([True], out[1:] != out[:-1]))]
 
 
-def identity(s: np.ndarray) -> int:
-    """A set's signed 64-bit name."""
-    total = mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64, keepdims=True)
-    return int(mix(total ^ (np.array([len(s)], np.uint64) * _POWERS[0])).view(np.int64)[0])
+def _name(s: np.ndarray, salt: int, power: np.uint64) -> int:
+    total = mix(s ^ np.uint64(salt)).sum(dtype=np.uint64, keepdims=True)
+    return int(mix(total ^ (np.array([len(s)], np.uint64) * power)).view(np.int64)[0])
+
+
+def identity(s: np.ndarray, bits: int = 64) -> int:
+    """A set's signed 64-bit name, or so many low bits of it."""
+    name = _name(s, 0x5851F42D4C957F2D, _POWERS[0])
+    return name if bits == 64 else name & ((1 << bits) - 1)
+
+
+def second(s: np.ndarray) -> int:
+    """64 bits more of a set's identity."""
+    return _name(s, 0x2545F4914F6CDD1D, _POWERS[1])
+
+
+def known_as(s: np.ndarray, bits: int, renamed: dict[int, dict[int, int]]) -> int:
+    """The name of a set's class; ``renamed`` has new names by clashing first name and second one."""
+    name = identity(s, bits)
+    return renamed[name].get(second(s), name) if name in renamed else name
 
 
 def sketch(s: np.ndarray) -> bytes:
@@ -155,7 +184,7 @@ def feasible(n1, i1, n2, i2):
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """kind 0: (doc_id, size, class, sketch) of a document; kind 1: (null, times, shingle, null) of a repeated shingle."""
+    """kind 0: (doc_id, size, both parts of its set's identity, sketch) of a document; kind 1: (null, times, shingle, 0, null) of a repeated shingle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -171,15 +200,16 @@ def describe(docs: DataFrame) -> DataFrame:
             held.clear()
             seen.clear()
             size = 0
-            return _rows(1, None, times[few], every[first[few]].view(np.int64))
+            return _rows(1, None, times[few], every[first[few]].view(np.int64), np.zeros(int(few.sum()), np.int64))
 
         for batch in batches:
-            sizes, names, sketches = [], [], []
+            sizes, names, seconds, sketches = [], [], [], []
             for text in texts(batch, "text"):
                 s = shingles(text)
-                name = identity(s)
+                name = identity(s, NAME_BITS), second(s)
                 sizes.append(len(s))
-                names.append(name)
+                names.append(name[0])
+                seconds.append(name[1])
                 sketches.append(None if name in seen or not len(s) else sketch(s))
                 if name not in seen:
                     seen.add(name)
@@ -187,17 +217,39 @@ def describe(docs: DataFrame) -> DataFrame:
                     size += len(s)
                     if size > CHUNK:
                         yield repeats()
-            yield _rows(0, batch.column("doc_id"), np.array(sizes, np.int64), np.array(names, np.int64), sketches)
+            yield _rows(0, batch.column("doc_id"), np.array(sizes, np.int64), np.array(names, np.int64), np.array(seconds, np.int64), sketches)
         if held:
             yield repeats()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "kind int, doc_id long, n long, h long, sketch binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "kind int, doc_id long, n long, h long, h2 long, sketch binary")
 
 
-def _rows(kind: int, ids, n: np.ndarray, h: np.ndarray, sketches: list | None = None) -> pa.RecordBatch:
+def _rows(kind: int, ids, n: np.ndarray, h: np.ndarray, h2: np.ndarray, sketches: list | None = None) -> pa.RecordBatch:
     ids = pa.nulls(len(n), pa.int64()) if ids is None else ids
     sketches = pa.nulls(len(n), pa.binary()) if sketches is None else pa.array(sketches, pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind, np.int32)), ids, pa.array(n.astype(np.int64)), pa.array(h), sketches], names=["kind", "doc_id", "n", "h", "sketch"])
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind, np.int32)), ids, pa.array(n.astype(np.int64)), pa.array(h), pa.array(h2), sketches], names=["kind", "doc_id", "n", "h", "h2", "sketch"])
+
+
+def name_classes(described: DataFrame, store: Store) -> tuple[DataFrame, DataFrame, dict[int, dict[int, int]]]:
+    """doc_id, n and name of each row; name, n and sketch of each class; and the new names.
+
+    Of sets with one first name the least second one keeps it. The driver gets the
+    others: of x sets some x * x / 2 ** 65, three of 10 ** 10.
+    """
+    first = described.where("kind = 0 and sketch is not null")
+    found = store.keep(first.groupBy("h").agg(F.min("h2").alias("low"), F.max("h2").alias("high"), F.min_by(F.struct("n", "sketch"), "h2").alias("of")), "found")
+    classes = found.select(F.col("h").alias("name"), "of.n", "of.sketch")
+    rows = described.where("kind = 0")
+    clash = first.join(found.where("low != high").select("h", "low"), "h").where("h2 != low")
+    renamed: dict[int, dict[int, int]] = {}
+    for r in clash.select("h", "h2").distinct().collect() if found.where("low != high").limit(1).count() else []:
+        digest = xxhash.xxh3_64_digest(np.array([r.h, r.h2], np.int64).tobytes())
+        renamed.setdefault(r.h, {})[r.h2] = int(np.frombuffer(digest, np.int64)[0])
+    if not renamed:
+        return rows.select("doc_id", "n", F.col("h").alias("name")), classes, renamed
+    new = store.spark.createDataFrame([(h, h2, x) for h, own in renamed.items() for h2, x in own.items()], "h long, h2 long, new long")
+    classes = classes.unionByName(clash.join(F.broadcast(new), ["h", "h2"]).select(F.col("new").alias("name"), "n", "sketch").dropDuplicates(["name"]))
+    return rows.join(F.broadcast(new), ["h", "h2"], "left").select("doc_id", "n", F.coalesce("new", "h").alias("name")), classes, renamed
 
 
 # pass two: prefixes, and posting lists of them
@@ -205,14 +257,17 @@ def _rows(kind: int, ids, n: np.ndarray, h: np.ndarray, sketches: list | None =
 _ENTRY = np.dtype([("shingle", "<u8"), ("name", "<i8"), ("n", "<i4"), ("at", "<i4")])
 
 
-def filter_of(df: DataFrame, column: str) -> np.ndarray:
-    """A bit for each value of a long column, in ``FILTER_BITS`` bits: a bound on what the driver and the broadcast hold."""
+def filters(df: DataFrame, column: str, *which: Column) -> list[np.ndarray]:
+    """A bit for each value of a long column in rows of each kind, in ``FILTER_BITS`` bits: a bound on what the driver and the broadcast hold."""
     word = F.shiftrightunsigned(F.col(column), 6).bitwiseAND(F.lit(FILTER_BITS // 64 - 1))
     bit = F.expr(f"shiftleft(1L, cast({column} & 63 as int))")
-    found = df.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
-    bits = np.zeros(FILTER_BITS // 64, np.uint64)
-    bits[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
-    return bits
+    found = df.groupBy(word.alias("word")).agg(*(F.bit_or(F.when(w, bit).otherwise(0)).alias(f"bits{i}") for i, w in enumerate(which))).toArrow()
+    out = []
+    for i in range(len(which)):
+        bits = np.zeros(FILTER_BITS // 64, np.uint64)
+        bits[found["word"].to_numpy()] = found[f"bits{i}"].to_numpy().view(np.uint64)
+        out.append(bits)
+    return out
 
 
 def maybe_in(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -220,22 +275,24 @@ def maybe_in(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
     return (word >> (values & np.uint64(63))) & np.uint64(1) > 0
 
 
-def postings(docs: DataFrame, frequent: np.ndarray, parts: int) -> DataFrame:
-    """names, sizes and places of the classes in each posting list of two classes or more.
+def postings(docs: DataFrame, frequent: np.ndarray, hot: np.ndarray, renamed: dict[int, dict[int, int]], parts: int) -> DataFrame:
+    """list, and names, sizes and places of classes in it, up to ``LIST_ROW`` in a row; whole where the list has no other row.
 
-    Entries travel packed, a run for each part, so that rows cost nothing.
+    Whole lists have two classes or more. Entries travel packed, a run for each
+    part, so that rows cost nothing; those of a hot shingle go to all parts.
     """
-    held = docs.sparkSession.sparkContext.broadcast(frequent)
+    held = docs.sparkSession.sparkContext.broadcast((frequent, hot))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        late = held.value
+        late, hot = held.value
         waiting: list[np.ndarray] = []
         size, seen = 0, set()
 
         def flush() -> pa.RecordBatch:
             every = np.concatenate(waiting)
             waiting.clear()
-            part = (every["shingle"] % np.uint64(parts)).astype(np.int32)
+            share = np.where(maybe_in(hot, every["shingle"]), mix(np.ascontiguousarray(every["name"]).view(np.uint64)), np.uint64(0))
+            part = ((every["shingle"] + share) % np.uint64(parts)).astype(np.int32)
             order = np.argsort(part, kind="stable")
             every, part = every[order], part[order]
             first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
@@ -245,7 +302,7 @@ def postings(docs: DataFrame, frequent: np.ndarray, parts: int) -> DataFrame:
         for batch in batches:
             for text in texts(batch, "text"):
                 s = shingles(text)
-                name = identity(s)
+                name = known_as(s, NAME_BITS, renamed)
                 if not len(s) or name in seen:
                     continue
                 if len(seen) > 1_000_000:
@@ -278,23 +335,32 @@ def postings(docs: DataFrame, frequent: np.ndarray, parts: int) -> DataFrame:
         shingle = every["shingle"]
         first = np.flatnonzero(np.concatenate(([True], shingle[1:] != shingle[:-1])))
         length = np.diff(np.append(first, len(shingle)))
-        every = every[np.repeat(length > 1, length)]
-        length = length[length > 1]
-        offsets = np.concatenate(([0], np.cumsum(length)))
-        for a in range(0, len(length), 10_000):
-            b = min(a + 10_000, len(length))
+        spread = maybe_in(held.value[1], shingle[first])
+        keep = (length > 1) | spread
+        every = every[np.repeat(keep, length)]
+        length, spread = length[keep], spread[keep]
+        pieces = -(-length // LIST_ROW)
+        of = np.repeat(np.arange(len(length)), pieces)
+        piece = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        offsets = np.append((np.cumsum(length) - length)[of] + piece * LIST_ROW, len(every))
+        whole = (~spread & (pieces == 1))[of]
+        a = 0
+        while a < len(of):
+            b = min(a + 10_000, max(a + 1, int(np.searchsorted(offsets, offsets[a] + 1_000_000))), len(of))
             some, off = every[offsets[a] : offsets[b]], pa.array((offsets[a : b + 1] - offsets[a]).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [pa.ListArray.from_arrays(off, pa.array(np.ascontiguousarray(some[c]).astype(np.int64))) for c in ("name", "n", "at")],
-                names=["names", "sizes", "places"],
+                [pa.array(every["shingle"][offsets[a:b]].view(np.int64)), pa.array(whole[a:b])]
+                + [pa.ListArray.from_arrays(off, pa.array(np.ascontiguousarray(some[c]).astype(np.int64))) for c in ("name", "n", "at")],
+                names=["list", "whole", "names", "sizes", "places"],
             )
+            a = b
 
     packed = docs.select("text").mapInArrow(send, "part int, entries binary").repartitionById(parts, "part")
-    return packed.mapInArrow(gather, "names array<long>, sizes array<long>, places array<long>")
+    return packed.mapInArrow(gather, "list long, whole boolean, names array<long>, sizes array<long>, places array<long>")
 
 
 def first_pairs(lists: DataFrame) -> DataFrame:
-    """Feasible pairs (a, b): all of short lists, those with the leader of longer ones."""
+    """Feasible pairs (a, b): all of short lists, those with the leader of a longer one's row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -304,20 +370,18 @@ def first_pairs(lists: DataFrame) -> DataFrame:
             off = off - off[0]
             name, n, at = (batch.column(c).flatten().to_numpy() for c in ("names", "sizes", "places"))
             length = np.diff(off)
-            for m in np.unique(length):
-                rows = np.flatnonzero(length == m)
-                if m <= SMALL_LIST:
-                    block = off[rows][:, None] + np.arange(m)
-                    for i in range(m):
-                        for j in range(i + 1, m):
-                            found.append((block[:, i], block[:, j]))
-                else:
-                    for r in rows:
-                        own = np.arange(off[r], off[r + 1])
-                        index = own[feasible(n[own], at[own], n[own], at[own])]
-                        if len(index):
-                            lead = index[np.argmin(name[index])]
-                            found.append((own[own != lead], np.full(m - 1, lead)))
+            short = (length <= SMALL_LIST) & batch.column("whole").to_numpy(zero_copy_only=False)
+            for m in np.unique(length[short]):
+                block = off[:-1][short & (length == m)][:, None] + np.arange(m)
+                for i in range(m):
+                    for j in range(i + 1, m):
+                        found.append((block[:, i], block[:, j]))
+            for r in np.flatnonzero(~short):
+                own = np.arange(off[r], off[r + 1])
+                index = own[feasible(n[own], at[own], n[own], at[own])]
+                if len(index):
+                    lead = index[np.argmin(name[index])]
+                    found.append((own[own != lead], np.full(len(own) - 1, lead)))
             if not found:
                 continue
             x, y = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
@@ -348,9 +412,10 @@ def bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def entries(lists: DataFrame) -> DataFrame:
-    """list, name, n, at of the longer lists."""
-    each = lists.where(F.size("names") > SMALL_LIST).select(F.xxhash64("names", "places").alias("list"), F.explode(F.arrays_zip("names", "sizes", "places")).alias("e"))
-    return each.select("list", F.col("e.names").alias("name"), F.col("e.sizes").alias("n"), F.col("e.places").alias("at"))
+    """list, whole, name, n, at of the longer lists."""
+    longer = lists.where((F.size("names") > SMALL_LIST) | ~F.col("whole"))
+    each = longer.select("list", "whole", F.explode(F.arrays_zip("names", "sizes", "places")).alias("e"))
+    return each.select("list", "whole", F.col("e.names").alias("name"), F.col("e.sizes").alias("n"), F.col("e.places").alias("at"))
 
 
 def _by_list(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...], convert=lambda t, c: t.column(c).to_numpy()) -> Iterator[dict[str, np.ndarray]]:
@@ -379,8 +444,9 @@ def _by_list(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...], conver
 
 
 def in_long_lists(lists: DataFrame, classes: DataFrame) -> DataFrame:
-    """Names in longer lists that places and sketches let link to another of the list."""
-    ready = entries(lists).join(classes.select("name", "sketch"), "name").repartition(tasks(lists.sparkSession), "list").sortWithinPartitions("list")
+    """Names in longer lists that places and sketches let link to another of the list, and all of lists of several rows."""
+    every = entries(lists)
+    ready = every.where("whole").drop("whole").join(classes.select("name", "sketch"), "name").repartition(tasks(lists.sparkSession), "list").sortWithinPartitions("list")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own in _by_list(batches, ("name", "n", "at", "sketch"), lambda t, c: _sketches(t.column(c)) if c == "sketch" else t.column(c).to_numpy()):
@@ -401,15 +467,15 @@ def in_long_lists(lists: DataFrame, classes: DataFrame) -> DataFrame:
                         could[hit] = True
             yield pa.RecordBatch.from_arrays([pa.array(name[could])], names=["name"])
 
-    return ready.mapInArrow(run, "name long").distinct()
+    return ready.mapInArrow(run, "name long").unionByName(every.where("not whole").select("name")).distinct()
 
 
 # pass three: the sets of candidates
 
 
-def candidate_sets(docs: DataFrame, names: DataFrame) -> DataFrame:
+def candidate_sets(docs: DataFrame, names: DataFrame, renamed: dict[int, dict[int, int]]) -> DataFrame:
     """name and tokens (ascending unsigned 64-bit) of the named classes, one row each."""
-    bits = filter_of(names, "name")
+    (bits,) = filters(names, "name", F.lit(True))
     held = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -419,8 +485,8 @@ def candidate_sets(docs: DataFrame, names: DataFrame) -> DataFrame:
             names, sets = [], []
             for text in texts(batch, "text"):
                 s = shingles(text)
-                name = identity(s)
-                if name in seen or not maybe_in(bits, np.array([name], np.int64).view(np.uint64))[0]:
+                name = known_as(s, NAME_BITS, renamed)
+                if not len(s) or name in seen or not maybe_in(bits, np.array([name], np.int64).view(np.uint64))[0]:
                     continue
                 if len(seen) > 1_000_000:
                     seen.clear()
@@ -538,44 +604,74 @@ def open_pairs(pairs: DataFrame | None, lists: DataFrame, of: DataFrame, few: in
         met = pairs.join(a, F.col("a") == F.col("name_a")).join(b, F.col("b") == F.col("name_b")).where("root_a != root_b")
         a_asks = F.struct("size_a", "root_a") < F.struct("size_b", "root_b")
         out = met.select(F.when(a_asks, F.col("a")).otherwise(F.col("b")).alias("name"), F.when(a_asks, F.col("gid_b")).otherwise(F.col("gid_a")).alias("gid"))
+    long_ = witnesses(_mixed(lists, of), few, seed) if few is not None else _asked(_mixed(lists, of), tasks(lists.sparkSession))
+    return (long_ if out is None else out.unionByName(long_)).distinct()
+
+
+def _salts(many: Column) -> Column:
+    return F.explode(F.when(many, F.sequence(F.lit(0), F.lit(LIST_SALTS - 1))).otherwise(F.array(F.lit(0))))
+
+
+def _salt(many: Column) -> Column:
+    return F.when(many, F.pmod(F.xxhash64("name"), F.lit(LIST_SALTS)).cast("int")).otherwise(0)
+
+
+def _mixed(lists: DataFrame, of: DataFrame) -> DataFrame:
+    """The entries of longer lists over several components: whose is one of the list's largest component, and the list's counts."""
     every = entries(lists).join(of, "name")
-    mixed = every.groupBy("list").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max(F.struct("size", "root")).alias("best")).where("low != high").select("list", "best")
-    # the largest component of a list never asks; documents of one group, size and place are alike when asked
-    asks = F.when(F.struct("size", "root") != F.col("best"), F.col("name"))
-    alike = every.join(mixed, "list").groupBy("list", "gid", "root", "size", "n", "at").agg(F.collect_set(asks).alias("names"))
-    ready = alike.repartition(tasks(lists.sparkSession), "list").sortWithinPartitions("list", "gid")
+    by_root = every.groupBy("list", "whole", "root", "size").agg(F.count("*").alias("m"))
+    mixed = by_root.groupBy("list", "whole").agg(F.sum("m").alias("m"), F.max(F.struct("size", "root", "m")).alias("best"), F.count("*").alias("roots")).where("roots > 1")
+    mixed = mixed.select("list", F.col("best.root").alias("best"), "m", (F.col("m") - F.col("best.m")).alias("asking"), _salts(~F.col("whole")).alias("salt"))
+    return every.withColumn("salt", _salt(~F.col("whole"))).join(mixed, ["list", "salt"])
+
+
+def witnesses(mixed: DataFrame, few: int, seed: int) -> DataFrame:
+    """(name, gid): up to ``few`` documents of each other component of a list, and up to ``ASKED`` groups of its largest one.
+
+    Each comes as the least hash of its turn, so that nothing of a list is gathered.
+    """
+    name_turn, gid_turn = F.xxhash64("name", F.lit(seed)), F.xxhash64("gid", F.lit(seed))
+    groups = mixed.where("root = best").groupBy("list", "whole", F.pmod(gid_turn, F.lit(ASKED)).alias("turn"))
+    groups = groups.agg(F.min_by("gid", gid_turn).alias("gid"), F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("at")).alias("left"))
+    asks = mixed.where("root != best").groupBy("list", "whole", "root", F.pmod(name_turn, F.lit(few)).alias("turn"))
+    asks = asks.agg(F.min_by(F.struct("name", "n", "at"), name_turn).alias("of")).select("list", "whole", "of.*")
+    met = asks.withColumn("salt", _salt(~F.col("whole"))).join(groups.select("*", _salts(~F.col("whole")).alias("salt")).drop("whole"), ["list", "salt"])
+    # what no place or size of the groups' members could allow is not asked
+    need = F.expr(f"({NUM} * (n + least) + {NUM + DEN - 1}) div {NUM + DEN}")
+    could = (F.col("n") - F.col("at") >= need) & (F.col("left") >= need) & (NUM * F.col("n") <= DEN * F.col("most")) & (NUM * F.col("least") <= DEN * F.col("n"))
+    return met.where(could).select("name", "gid")
+
+
+def _asked(mixed: DataFrame, tasks_: int) -> DataFrame:
+    """(name, gid) of all feasible questions of a list, but for those of its largest component, cell by cell."""
+    down, across = (F.ceil(F.col(c) / CELL).cast("int") for c in ("asking", "m"))
+    grid = mixed.select("*", down.alias("down"), across.alias("across"))
+    cell = F.when(F.col("down") * F.col("across") == 1, F.col("list")).otherwise(F.xxhash64("list", "q", "t")).alias("list")
+    groups = grid.select("list", "gid", "root", "size", "n", "at", "down", "across").distinct()
+    groups = groups.select("*", F.pmod(F.xxhash64("gid"), F.col("across")).cast("int").alias("t"), F.explode(F.sequence(F.lit(0), F.col("down") - 1)).alias("q"))
+    asks = grid.where("root != best").select("*", F.pmod(F.xxhash64("name"), F.col("down")).cast("int").alias("q"), F.explode(F.sequence(F.lit(0), F.col("across") - 1)).alias("t"))
+    # documents of one group, size and place are alike when asked
+    rows = groups.select(cell, F.lit(0).alias("kind"), F.col("gid").alias("id"), "root", "size", "n", "at")
+    rows = rows.unionByName(asks.select(cell, F.lit(1).alias("kind"), F.col("name").alias("id"), "root", "size", "n", "at"))
+    ready = rows.repartition(tasks_, "list").sortWithinPartitions("list", "kind", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, gids, held = [], [], 0
-        for x in _by_list(batches, ("n", "at", "root", "size", "gid", "names"), lambda t, c: t.column(c).to_pylist() if c == "names" else t.column(c).to_numpy()):
-            times = np.fromiter(map(len, x["names"]), np.int64, len(x["names"]))
-            y = {c: np.repeat(x[c], times) for c in ("n", "at", "root", "size")} | {"name": np.array([i for own in x["names"] for i in own], np.int64)}
-            if few is not None:
-                order = np.argsort(mix(y["name"].view(np.uint64) + np.uint64(seed)), kind="stable")
-                y = {c: v[order] for c, v in y.items()}
-            starts = np.flatnonzero(np.concatenate(([True], x["gid"][1:] != x["gid"][:-1])))
-            spans = list(zip(starts, np.append(starts[1:], len(x["gid"])), strict=True))
-            if few is not None:
-                best = max((x["size"][s], x["root"][s]) for s, _ in spans)
-                spans = [(s, e) for s, e in spans if (x["size"][s], x["root"][s]) == best]
-                turn = mix(np.array([x["gid"][s] for s, _ in spans], np.int64).view(np.uint64) + np.uint64(seed))
-                spans = [spans[i] for i in np.argsort(turn)[:ASKED]]
-            for s, e in spans:
+        for own in _by_list(batches, ("kind", "id", "root", "size", "n", "at")):
+            cut = int(np.searchsorted(own["kind"], 1))
+            x, y = ({c: v[side] for c, v in own.items()} for side in (slice(0, cut), slice(cut, None)))
+            if not cut:
+                continue
+            starts = np.flatnonzero(np.concatenate(([True], x["id"][1:] != x["id"][:-1])))
+            for s, e in zip(starts, np.append(starts[1:], cut), strict=True):
                 size, root = x["size"][s], x["root"][s]
                 rows = np.flatnonzero((y["size"] < size) | ((y["size"] == size) & (y["root"] < root)))
                 ok = np.zeros(len(rows), bool)
                 for i in range(s, e):
                     ok |= feasible(y["n"][rows], y["at"][rows], x["n"][i], x["at"][i])
-                rows = rows[ok]
-                if few is not None and len(rows):
-                    order = np.argsort(y["root"][rows], kind="stable")
-                    of_root = y["root"][rows[order]]
-                    first = np.flatnonzero(np.concatenate(([True], of_root[1:] != of_root[:-1])))
-                    rank = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
-                    rows = rows[order[rank < few]]
-                if len(rows):
-                    names.append(np.unique(y["name"][rows]))
-                    gids.append(np.full(len(names[-1]), x["gid"][s]))
+                if ok.any():
+                    names.append(np.unique(y["id"][rows[ok]]))
+                    gids.append(np.full(len(names[-1]), x["id"][s]))
                     held += len(names[-1])
             if held > 400_000:
                 yield _queries(names, gids)
@@ -583,8 +679,7 @@ def open_pairs(pairs: DataFrame | None, lists: DataFrame, of: DataFrame, few: in
         if held:
             yield _queries(names, gids)
 
-    long_ = ready.mapInArrow(run, "name long, gid long")
-    return (long_ if out is None else out.unionByName(long_)).distinct()
+    return ready.mapInArrow(run, "name long, gid long")
 
 
 def _queries(names: list[np.ndarray], gids: list[np.ndarray]) -> pa.RecordBatch:
@@ -632,14 +727,15 @@ def join(docs: DataFrame) -> DataFrame:
     spark, store = docs.sparkSession, Store(docs.sparkSession, "jaccard-join")
     docs = docs.select("doc_id", "text")
     described = store.keep(describe(docs), "described")
-    rows = described.where("kind = 0").select("doc_id", "n", F.col("h").alias("name"))
+    rows, classes, renamed = name_classes(described, store)
+    size = classes.agg(F.sum(F.expr(f"n - ({NUM} * n + {DEN - 1}) div {DEN} + 1"))).first()[0] or 0
+    parts = max(tasks(spark), -(-size // PART_ENTRIES))
     times = described.where("kind = 1").groupBy("h").agg(F.sum("n").alias("times")).where(F.col("times") >= FREQUENT)
-
-    classes = store.keep(described.where("kind = 0 and sketch is not null").select(F.col("h").alias("name"), "n", "sketch").dropDuplicates(["name"]), "classes")
-    lists = store.keep(postings(docs, filter_of(times, "h"), tasks(spark)), "lists")
+    frequent, hot = filters(times, "h", F.lit(True), F.col("times") >= HOT_PIECE * parts)
+    lists = store.keep(postings(docs, frequent, hot, renamed, parts), "lists")
     pairs = store.keep(bounded(first_pairs(lists), classes), "pairs")
     names = store.keep(pairs.select(F.explode(F.array("a", "b")).alias("name")).unionByName(in_long_lists(lists, classes)).distinct(), "names")
-    sets = store.keep(candidate_sets(docs, names), "sets")
+    sets = store.keep(candidate_sets(docs, names, renamed), "sets")
     edges = store.keep(in_groups(pairs, sets), "edges")
     roots = components(edges, store, "near")
     for r in range(WITNESS_ROUNDS):

@@ -66,9 +66,16 @@ def edited(rng, words, n):
     return out
 
 
-@pytest.mark.parametrize("small", [8, 2])
-def test_chains_passages_and_hot_groups(spark, monkeypatch, small):
+@pytest.mark.parametrize(("small", "row", "bits"), [(8, 1000, 64), (2, 5, 64), (4, 3, 2)])
+def test_chains_passages_and_hot_groups(spark, monkeypatch, small, row, bits):
+    """Also with lists cut into rows and dealt to all tasks, cells of few questions, and class names that clash."""
     monkeypatch.setattr(jaccard_join, "SMALL_LIST", small)
+    monkeypatch.setattr(jaccard_join, "LIST_ROW", row)
+    monkeypatch.setattr(jaccard_join, "NAME_BITS", bits)
+    if row < 1000:
+        monkeypatch.setattr(jaccard_join, "HOT_PIECE", 1 if row == 5 else 2)
+        monkeypatch.setattr(jaccard_join, "CELL", row)
+        monkeypatch.setattr(jaccard_join, "PART_ENTRIES", 400)
     monkeypatch.setattr(jaccard_join, "FREQUENT", 6)
     monkeypatch.setattr(jaccard_join, "PART_DOCS", 7)
     monkeypatch.setattr(jaccard_join, "GROUP", 3)
