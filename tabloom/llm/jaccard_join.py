@@ -584,13 +584,18 @@ def in_groups(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return ready.mapInArrow(run, "u long, v long")
 
 
-def grouped(names: DataFrame, roots: DataFrame) -> DataFrame:
-    """name, root, size (of the component) and gid, the group of at most about ``GROUP`` classes of it."""
+def grouped(names: DataFrame, roots: DataFrame, store: Store, name: str) -> DataFrame:
+    """name, root, size (of the component) and gid, the group of at most about ``GROUP`` classes of it.
+
+    Sizes are stored before they meet the classes: a join with a table, other than one with a grouping by the
+    same key in its stage, lets Spark split the rows of a large component over tasks.
+    """
     known = names.join(roots.withColumnRenamed("node", "name"), "name", "left").select("name", F.coalesce("root", "name").alias("root"))
-    sizes = known.groupBy("root").agg(F.count("*").alias("size"))
+    sizes = store.keep(known.groupBy("root").agg(F.count("*").alias("size")).where("size > 1"), f"{name}-sizes")
+    known = known.join(sizes, "root", "left").withColumn("size", F.coalesce("size", F.lit(1)))
     parts = F.ceil(F.col("size") / GROUP).cast("int")
     gid = F.xxhash64("root", F.pmod(F.xxhash64("name"), parts))
-    return known.join(sizes, "root").select("name", "root", "size", F.when(parts == 1, F.col("root")).otherwise(gid).alias("gid"))
+    return store.keep(known.select("name", "root", "size", F.when(parts == 1, F.col("root")).otherwise(gid).alias("gid")), name)
 
 
 def open_pairs(pairs: DataFrame | None, lists: DataFrame, of: DataFrame, few: int | None = None, seed: int = 0) -> DataFrame:
@@ -739,20 +744,21 @@ def join(docs: DataFrame) -> DataFrame:
     edges = store.keep(in_groups(pairs, sets), "edges")
     roots = components(edges, store, "near")
     for r in range(WITNESS_ROUNDS):
-        of = store.keep(grouped(names, roots), f"groups{r}")
+        of = grouped(names, roots, store, f"groups{r}")
         asked = store.keep(open_pairs(None, lists, of, WITNESSES, r), f"asked{r}")
         if not asked.limit(1).count():
             break
         edges = edges.unionByName(store.keep(against_groups(asked, of, sets), f"edges{r}"))
         roots = components(edges, store, f"nearer{r}")
-    of = store.keep(grouped(names, roots), "groups")
+    of = grouped(names, roots, store, "groups")
     more = store.keep(against_groups(open_pairs(pairs, lists, of), of, sets), "more")
     store.drop("lists", "pairs", "sets")
     final = components(edges.unionByName(more), store, "whole")
 
     placed = rows.join(final.withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name"))
-    least_id = placed.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    several = placed.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("members")).where("members > 1")
+    least_id = store.keep(several.select("root", "component_id"), "least")  # stored for the reason that ``grouped`` gives
     return (
         placed.join(least_id, "root", "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
     )
