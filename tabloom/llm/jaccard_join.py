@@ -598,7 +598,7 @@ def grouped(names: DataFrame, roots: DataFrame, store: Store, name: str) -> Data
     return store.keep(known.select("name", "root", "size", F.when(parts == 1, F.col("root")).otherwise(gid).alias("gid")), name)
 
 
-def open_pairs(pairs: DataFrame | None, lists: DataFrame, of: DataFrame, few: int | None = None, seed: int = 0) -> DataFrame:
+def open_pairs(pairs: DataFrame | None, mixed: DataFrame, of: DataFrame, few: int | None = None, seed: int = 0) -> DataFrame:
     """Queries (name, gid): feasible candidates of different components, where the smaller one asks.
 
     With ``few``, so many documents of each component ask ``ASKED`` groups of the largest one in the list.
@@ -609,7 +609,7 @@ def open_pairs(pairs: DataFrame | None, lists: DataFrame, of: DataFrame, few: in
         met = pairs.join(a, F.col("a") == F.col("name_a")).join(b, F.col("b") == F.col("name_b")).where("root_a != root_b")
         a_asks = F.struct("size_a", "root_a") < F.struct("size_b", "root_b")
         out = met.select(F.when(a_asks, F.col("a")).otherwise(F.col("b")).alias("name"), F.when(a_asks, F.col("gid_b")).otherwise(F.col("gid_a")).alias("gid"))
-    long_ = witnesses(_mixed(lists, of), few, seed) if few is not None else _asked(_mixed(lists, of), tasks(lists.sparkSession))
+    long_ = witnesses(mixed, few, seed) if few is not None else _asked(mixed, tasks(of.sparkSession))
     return (long_ if out is None else out.unionByName(long_)).distinct()
 
 
@@ -745,14 +745,18 @@ def join(docs: DataFrame) -> DataFrame:
     roots = components(edges, store, "near")
     for r in range(WITNESS_ROUNDS):
         of = grouped(names, roots, store, f"groups{r}")
-        asked = store.keep(open_pairs(None, lists, of, WITNESSES, r), f"asked{r}")
+        mixed = store.keep(_mixed(lists, of), f"mixed{r}")
+        asked = store.keep(open_pairs(None, mixed, of, WITNESSES, r), f"asked{r}")
+        store.drop(f"mixed{r}")
         if not asked.limit(1).count():
             break
         edges = edges.unionByName(store.keep(against_groups(asked, of, sets), f"edges{r}"))
         roots = components(edges, store, f"nearer{r}")
     of = grouped(names, roots, store, "groups")
-    more = store.keep(against_groups(open_pairs(pairs, lists, of), of, sets), "more")
-    store.drop("lists", "pairs", "sets")
+    mixed = store.keep(_mixed(lists, of), "mixed")
+    asked = store.keep(open_pairs(pairs, mixed, of), "asked")
+    more = store.keep(against_groups(asked, of, sets), "more")
+    store.drop("lists", "mixed", "pairs", "sets")
     final = components(edges.unionByName(more), store, "whole")
 
     placed = rows.join(final.withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name"))
