@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -77,13 +78,35 @@ class Store:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets go of shuffle files and broadcasts of steps that are over.
+    """Lets go of shuffle files, broadcasts and the driver's free memory of steps that are over.
 
     Spark's cleaner removes them when the driver's garbage is collected, and a
     driver that only plans puts that off for long, while executors' disks fill.
     """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    give_back()
+    trim_driver(spark)
+
+
+def trim_driver(spark: SparkSession) -> bool:
+    """Free native memory of the driver's JVM goes back to the system, where the JVM has a command for that; whether it has.
+
+    Each exchange of a plan runs in a thread of its own, and the C library keeps what compilers and
+    such threads freed in up to eight arenas for each core, which otherwise only grow.
+    """
+    gateway, jvm = spark.sparkContext._gateway, spark.sparkContext._jvm
+    try:
+        name = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        args = gateway.new_array(jvm.java.lang.Object, 4)
+        args[0], args[1] = name, "systemTrimNativeHeap"
+        # the server's own class is closed to reflection, its interface is not
+        of = jvm.java.lang.Class.forName("javax.management.MBeanServer")
+        invoke = next(m for m in of.getMethods() if m.getName() == "invoke")
+        invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), args)
+    except Py4JJavaError:
+        return False
+    return True
 
 
 def tasks(spark: SparkSession) -> int:
@@ -154,6 +177,13 @@ _caches: dict[str, Callable[[], None]] = {}
 _owner: list[str] = []
 
 
+def give_back() -> None:
+    """Free memory of this Python process goes back to the system, where the C library can do that."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def take_worker(owner: str, clear: Callable[[], None] | None = None) -> None:
     """To be called in a task: a reused Python worker remembers things for one operator at a time.
 
@@ -165,8 +195,6 @@ def take_worker(owner: str, clear: Callable[[], None] | None = None) -> None:
         for other in [o for o in _caches if o != owner]:
             _caches.pop(other)()
         gc.collect()
-        pa.default_memory_pool().release_unused()
-        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-            trim(0)
+        give_back()
     if clear is not None:
         _caches[owner] = clear

@@ -1,6 +1,10 @@
 """The pipeline, stage by stage, against brute force on a small table."""
 
+import gc
 import importlib
+import re
+import time
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -9,7 +13,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tabloom.llm import decontaminate, queries, token_ids
-from tabloom.llm.common import read
+from tabloom.llm.common import read, release
 from tests.llm.test_joins_and_scans import brute_components
 from tests.llm.test_round_one import ODD, brute_hits, brute_targets, odd
 
@@ -139,6 +143,28 @@ def test_odd_rows_pass_every_stage(spark, sf_dir):
         assert stage(spark, docs.where("false"), sf_dir).count() == 0
 
 
+def test_native_memory_of_the_driver_goes_back(spark):
+    jvm = spark.sparkContext._jvm
+    pid = jvm.org.apache.spark.util.Utils.getProcessName().split("@")[0]
+
+    def resident() -> float:
+        return int(re.search(r"VmRSS:\s+(\d+)", Path(f"/proc/{pid}/status").read_text())[1]) / 1024
+
+    held = jvm.java.util.ArrayList()
+    for _ in range(4000):
+        held.add(jvm.java.nio.ByteBuffer.allocateDirect(64_000))
+    last = held[3999]  # stays, so that the others are not at an end of the heap
+    gc.collect()
+    most = resident()
+    del held
+    for _ in range(10):  # buffers are freed some time after the JVM's garbage is
+        release(spark)
+        if resident() < most - 150:
+            break
+        time.sleep(0.3)
+    assert resident() < most - 150 and last.capacity() == 64_000
+
+
 def test_import_errors_are_not_swallowed():
     for name in ("corpus_pipeline", "tabloom.llm.queries", "tabloom.llm.common"):
         source = open(importlib.import_module(name).__file__, encoding="utf-8").read()
