@@ -35,7 +35,7 @@ each appear. Other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import Store, take_worker, tasks, texts
+from tabloom.llm.common import Store, give_back, take_worker, tasks, texts
 from tabloom.llm.components import components
 
 SHINGLE = 5
@@ -180,6 +180,23 @@ def feasible(n1, i1, n2, i2):
     return np.minimum(n1 - i1, n2 - i2) >= least_overlap(n1, n2)
 
 
+def _forget() -> None:
+    _words.clear()
+    give_back()
+
+
+def lets_go(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A pass over texts that ends with its words dropped: workers that wait beside later steps, which need the JVM's memory, hold little."""
+
+    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _forget()
+
+    return passed
+
+
 # pass one: every document's size and class, and repeated shingles
 
 
@@ -193,14 +210,15 @@ def describe(docs: DataFrame) -> DataFrame:
         def repeats() -> pa.RecordBatch:
             nonlocal size
             every = np.concatenate(held)
-            every.sort()
-            first = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
-            times = np.diff(np.append(first, len(every)))
-            few = times > 1
             held.clear()
             seen.clear()
             size = 0
-            return _rows(1, None, times[few], every[first[few]].view(np.int64), np.zeros(int(few.sum()), np.int64))
+            every.sort()
+            # places are kept of repeated ones only: from each one's second on, which runs to its last
+            again = np.concatenate(([False], every[1:] == every[:-1], [False]))
+            edges = np.flatnonzero(again[1:] != again[:-1])
+            first, last = edges[::2], edges[1::2]
+            return _rows(1, None, last - first + 1, every[first].view(np.int64), np.zeros(len(first), np.int64))
 
         for batch in batches:
             sizes, names, seconds, sketches = [], [], [], []
@@ -221,7 +239,7 @@ def describe(docs: DataFrame) -> DataFrame:
         if held:
             yield repeats()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "kind int, doc_id long, n long, h long, h2 long, sketch binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lets_go(run), "kind int, doc_id long, n long, h long, h2 long, sketch binary")
 
 
 def _rows(kind: int, ids, n: np.ndarray, h: np.ndarray, h2: np.ndarray, sketches: list | None = None) -> pa.RecordBatch:
@@ -355,7 +373,7 @@ def postings(docs: DataFrame, frequent: np.ndarray, hot: np.ndarray, renamed: di
             )
             a = b
 
-    packed = docs.select("text").mapInArrow(send, "part int, entries binary").repartitionById(parts, "part")
+    packed = docs.select("text").mapInArrow(lets_go(send), "part int, entries binary").repartitionById(parts, "part")
     return packed.mapInArrow(gather, "list long, whole boolean, names array<long>, sizes array<long>, places array<long>")
 
 
@@ -495,7 +513,7 @@ def candidate_sets(docs: DataFrame, names: DataFrame, renamed: dict[int, dict[in
                 sets.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sets, pa.binary())], names=["name", "tokens"])
 
-    return docs.select("text").mapInArrow(run, "name long, tokens binary").dropDuplicates(["name"])
+    return docs.select("text").mapInArrow(lets_go(run), "name long, tokens binary").dropDuplicates(["name"])
 
 
 # groups

@@ -1,10 +1,12 @@
 """Jaccard join, nearest neighbours, license scan and rollups against brute force."""
 
 import re
+import sys
 from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,6 +101,27 @@ def test_chains_passages_and_hot_groups(spark, monkeypatch, small, row, bits):
     assert joined(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)) == brute_components(rows)
 
 
+def test_repeated_shingles_are_counted_and_workers_drop_their_words(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").repartition(4).cache()
+    try:
+        want = Counter()
+        for part in docs.select("text").rdd.glom().collect():
+            # copies within a task count once
+            sets = {s.tobytes(): s for s in (jaccard_join.shingles(lower(r.text)) for r in part)}
+            times = Counter(x for s in sets.values() for x in s.view(np.int64).tolist())
+            want.update({x: n for x, n in times.items() if n > 1})
+        got = jaccard_join.describe(docs).where("kind = 1").groupBy("h").agg(F.sum("n").alias("n")).collect()
+        assert want and {r.h: r.n for r in got} == want
+    finally:
+        docs.unpersist()
+
+    def held(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [len(sys.modules["tabloom.llm.jaccard_join"]._words if "tabloom.llm.jaccard_join" in sys.modules else ())] * batch.num_rows})
+
+    assert spark.range(0, 64, 1, 16).mapInArrow(held, "n long").agg(F.max("n")).first()[0] == 0
+
+
 def test_exact_threshold(spark):
     # 8 shared of 10 and 9 shared of 12 at five words each: 0.8 links, 0.75 does not
     a = [f"a{i}" for i in range(13)]  # 9 shingles
