@@ -47,7 +47,7 @@ from tabloom.llm.common import Store, parts, take_worker, tasks, texts
 END_ID = 1
 #: Ids after which a block is closed.
 BLOCK = 1 << 20
-#: Distinct chunks, and distinct words of them, whose ids a worker remembers.
+#: Distinct chunks, words of them included, whose ids a worker remembers.
 REMEMBERED = 600_000
 #: Bytes of texts after which a worker looks whether it remembers too many.
 STEP = 4_000_000
@@ -75,6 +75,8 @@ class Encoder(dict):
     The tokenizer's words never reach over white space, so a text's ids are its
     chunks' ids in a row. Chunks of plain letters and marks are two words at
     most, which go straight to the tokenizer's model; all others take its whole way.
+    A word in small letters is its own chunk. A chunk with capitals or marks is
+    remembered from when its word is known, as most words of a corpus occur once.
     """
 
     def __init__(self, path: str):
@@ -85,7 +87,7 @@ class Encoder(dict):
         self.size = self.tokenizer.get_vocab_size()
         self.dtype = "<u2" if self.size <= 1 << 16 else "<u4"
         self.model, self.letters = self.tokenizer.model, _byte_letters()
-        self.words: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
         probe = "Probé, these: ÉÀß?!"
         plain = b"".join(self._plain(*_PLAIN.match(c).groups()) for c in probe.split())
         #: whether words by way of the model are this tokenizer's words
@@ -95,15 +97,12 @@ class Encoder(dict):
     def of(path: str) -> Encoder:
         if path not in _workers:
             _workers[path] = Encoder(path)
-        take_worker("tokens", _forget)
+        take_worker("tokens", _workers.clear)
         return _workers[path]
 
     def _word(self, word: str) -> bytes:
-        known = self.words.get(word)
-        if known is None:
-            own = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
-            known = self.words[word] = array("H" if self.dtype == "<u2" else "I", [t.id for t in self.model.tokenize(own)]).tobytes()
-        return known
+        own = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        return array("H" if self.dtype == "<u2" else "I", [t.id for t in self.model.tokenize(own)]).tobytes()
 
     def _plain(self, letters: str, marks: str) -> bytes:
         ids = self._word(letters.lower())
@@ -111,26 +110,37 @@ class Encoder(dict):
 
     def __missing__(self, chunk: bytes) -> bytes:
         text = chunk.decode()
-        if self.direct and (plain := _PLAIN.match(text)):
-            ids = self._plain(*plain.groups())
-        else:
-            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-        self[chunk] = ids
+        if not self.direct or not (plain := _PLAIN.match(text)):
+            ids = self[chunk] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+            return ids
+        letters, marks = plain.groups()
+        small = letters.lower()
+        word = small.encode()
+        known = self.get(word)
+        ids = known
+        if ids is None:
+            ids = self[word] = self._word(small)
+        if marks:
+            end = self.marks.get(marks)
+            if end is None:
+                end = self.marks[marks] = self._word(marks)
+            ids += end
+        if known is not None:
+            self[chunk] = ids
         return ids
 
     def encode(self, batch: list[bytes]) -> list[bytes]:
         """Ids of each text as unsigned little-endian integers of ``dtype``."""
         out = [b"".join(map(self.__getitem__, text.split())) for text in batch]
-        for known in (self, self.words):
+        for known in (self, self.marks):
             if len(known) > REMEMBERED:
                 known.clear()
         return out
 
 
-def _forget() -> None:
-    for encoder in _workers.values():
-        encoder.clear()
-        encoder.words.clear()
+def _ids_only() -> None:
+    """To be called in a task that reads ids, not texts: the worker's tokenizer goes, with the words it remembered."""
+    take_worker("token ids")
 
 
 def pack(ranks: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes]:
@@ -181,6 +191,7 @@ def frequencies(tokens: DataFrame, size: int, dtype: str) -> np.ndarray:
     """How often each id occurs; the driver gets one number for each id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _ids_only()
         total = np.zeros(size, np.int64)
         for batch in batches:
             for some in parts(batch.column("ids").to_pylist()):
@@ -217,6 +228,7 @@ def write(docs: DataFrame, tokenizer_path: str, out: str, end_id: int = END_ID,
     held = spark.sparkContext.broadcast((rank_of, np.unique(np.array(cuts or [], np.int64))))
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _ids_only()
         ranks, cuts = held.value
         for batch in batches:
             ids = batch.column("ids").to_pylist()
@@ -236,6 +248,7 @@ def write(docs: DataFrame, tokenizer_path: str, out: str, end_id: int = END_ID,
             )
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _ids_only()
         shard, start = TaskContext.get().partitionId(), 0
         ids, counts, control, data = [], [], [], []
 
@@ -284,9 +297,11 @@ def read(spark: SparkSession, out: str) -> DataFrame:
     held = spark.sparkContext.broadcast((before, id_of))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _ids_only()
         before, id_of = held.value
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):  # a block at a time
+                row = batch.slice(i, 1).to_pylist()[0]
                 counts = np.frombuffer(row["counts"], "<u4").astype(np.int64)
                 ids = id_of[unpack(row["control"], row["data"], counts)]
                 end = np.cumsum(counts)

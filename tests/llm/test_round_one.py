@@ -3,11 +3,13 @@
 import hashlib
 import math
 import re
+import sys
 import zlib
 from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -221,6 +223,42 @@ def test_ids_of_odd_rows(spark, monkeypatch):
     assert token_ids.round_trip(odd(spark).where("false"), path).collect() == []
 
 
+def test_encoder_remembers_a_word_once():
+    tokenizer = token_ids.Encoder(queries.tokenizer_path("word_bpe_49k.json"))
+    assert tokenizer.direct
+    words = [f"qu{a}{b}ß" for a in "abcdefghij" for b in "klmnopqrst"]
+    texts = [" ".join(words), " ".join(f"{w.capitalize()}," for w in words), " ".join(f"{w.upper()}?!" for w in words), "' 12, don't \u0130x ''"]
+
+    def held():
+        return len(tokenizer) + len(vars(tokenizer).get("words", ()))
+
+    for round_ in range(3):
+        for text, most in zip(texts, (100, 200, 300, 305), strict=True):
+            got = np.frombuffer(tokenizer.encode([text.encode()])[0], tokenizer.dtype).tolist()
+            assert got == tokenizer.tokenizer.encode(text, add_special_tokens=False).ids
+            assert round_ or held() <= most
+    # words with capitals or marks that occur once take one place each
+    tokenizer.clear()
+    tokenizer.encode([texts[1].encode()])
+    assert held() == 100
+
+
+def test_workers_drop_words_once_ids_are_read(spark):
+    path = queries.tokenizer_path("word_bpe_49k.json")
+
+    def held(batches):
+        for batch in batches:
+            module = sys.modules.get("tabloom.llm.token_ids")
+            yield pa.RecordBatch.from_pydict({"n": [sum(map(len, module._workers.values())) if module else 0] * batch.num_rows})
+
+    docs = spark.range(0, 640, 1, 64).selectExpr("id doc_id", "concat('word', char(97 + id % 26), ' and') text")
+    tokens = token_ids.tokenise(docs, path).localCheckpoint()
+    workers = spark.range(0, 64, 1, 64).mapInArrow(held, "n long").agg(F.max("n"))
+    assert workers.first()[0] > 0
+    assert token_ids.frequencies(tokens, 1 << 16, "<u2").sum() >= 3 * 640
+    assert workers.first()[0] == 0
+
+
 # op4
 
 
