@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm import decontaminate, histogram_sort, jaccard_join, language_id, lattice_lm, license_scan, mixing, nn_descent, token_ids, token_rollup
+from tabloom.llm import decontaminate, filter_audit, histogram_sort, jaccard_join, language_id, lattice_lm, license_scan, mixing, nn_descent, token_ids, token_rollup
 from tabloom.llm.common import Store, held_out, read
 
 #: Where the public vocabularies are, as a module with ``path(name)``.
@@ -102,6 +102,10 @@ def op10_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -115,6 +119,7 @@ QUERIES = {
         op8_token_rollup,
         op9_pivotal_mix,
         op10_suffix_automaton,
+        op12_filter_audit,
     )
 }
 
@@ -159,4 +164,25 @@ ORACLES: dict[str, str] = {
         FROM counted WHERE first GROUP BY source, lang
         UNION ALL
         SELECT source, lang, 'alnum-1', count(*), sum(alnum)::BIGINT FROM counted WHERE first GROUP BY source, lang""",
+    "op12_filter_audit": r"""
+        WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+                   list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+        masks AS (SELECT doc_id, part, (len(ws) < 50)::INT + 2 * (100 * len(list_distinct(ws)) < 65 * len(ws))::INT
+                  + 4 * (100 * len(regexp_extract_all(t, '[A-Z]')) > 5 * length(t))::INT + 8 * regexp_matches(t, '[#$%&*|]')::INT
+                  + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)::INT AS mask FROM d),
+        marks AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+        cells AS (SELECT part, mask, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+                  FROM masks LEFT JOIN marks ON marks.doc_id = masks.doc_id GROUP BY part, mask),
+        letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+        orders AS (SELECT a.f || b.f || c.f || d.f || e.f AS o FROM letters a, letters b, letters c, letters d, letters e
+                   WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+        steps AS (SELECT o, s, o[s] AS f, 1 << (ascii(o[s]) - 65) AS bit,
+                  list_sum(list_transform(range(1, s), lambda i: 1 << (ascii(o[i]) - 65))) AS passed FROM orders, (SELECT unnest(range(1, 6)) AS s)),
+        met AS (SELECT part, o, s, f, n, good, toxic, mask = bit AS alone, mask & bit <> 0 AS own, mask & coalesce(passed, 0)::BIGINT <> 0 AS earlier
+                FROM cells, steps),
+        counted AS (SELECT part, o AS filter_order, s::INT AS step, f AS "filter", coalesce(sum(n) FILTER (NOT own AND NOT earlier), 0)::BIGINT AS kept,
+                    coalesce(sum(n) FILTER (own AND NOT earlier), 0)::BIGINT AS removed, coalesce(sum(n) FILTER (own AND earlier), 0)::BIGINT AS redundant,
+                    coalesce(sum(n) FILTER (alone), 0)::BIGINT AS unique_fails, coalesce(sum(good) FILTER (own AND NOT earlier), 0)::BIGINT AS good_lost,
+                    coalesce(sum(toxic) FILTER (own AND NOT earlier), 0)::BIGINT AS toxic_lost FROM met GROUP BY ALL)
+        SELECT *, (sum(removed) OVER (PARTITION BY part, "filter"))::BIGINT AS shapley FROM counted""",
 }
