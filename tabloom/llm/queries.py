@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm import decontaminate, filter_audit, histogram_sort, jaccard_join, language_id, lattice_lm, license_scan, mixing, nn_descent, token_ids, token_rollup
+from tabloom.llm import chat_format, decontaminate, filter_audit, histogram_sort, jaccard_join, language_id, lattice_lm, license_scan, mixing, nn_descent, resampling, token_ids, token_rollup
 from tabloom.llm.common import Store, held_out, read
 
 #: Where the public vocabularies are, as a module with ``path(name)``.
@@ -102,10 +102,23 @@ def op10_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chats = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    # its texts look like the template's own marks
+    odd = r"\### Assistant: </turn> ok"
+    chats = chats.unionByName(spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], chats.schema))
+    return chat_format.read_back(chat_format.format_chats(chats))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked = resampling.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return ranked.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -119,7 +132,9 @@ QUERIES = {
         op8_token_rollup,
         op9_pivotal_mix,
         op10_suffix_automaton,
+        op11_chat_formatting,
         op12_filter_audit,
+        op13_importance_resampling,
     )
 }
 
@@ -164,6 +179,15 @@ ORACLES: dict[str, str] = {
         FROM counted WHERE first GROUP BY source, lang
         UNION ALL
         SELECT source, lang, 'alnum-1', count(*), sum(alnum)::BIGINT FROM counted WHERE first GROUP BY source, lang""",
+    "op11_chat_formatting": r"""
+        WITH chats AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                       UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok')
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, md5(text))) AS turns_sha256,
+               coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, md5(text)) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               sum(21 + length(role) + length(text) + len(regexp_extract_all(text, '<\\*/?turn>|#\\*## (?:System|User|Assistant):')))::BIGINT AS formatted_chars
+        FROM chats GROUP BY conv_id""",
     "op12_filter_audit": r"""
         WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
                    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),

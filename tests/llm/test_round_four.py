@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import math
 import re
+import zlib
 from collections import Counter
 from itertools import permutations
 
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tabloom.llm import filter_audit
-from tabloom.llm.queries import op12_filter_audit
+from tabloom.llm import chat_format, filter_audit, resampling
+from tabloom.llm.queries import op11_chat_formatting, op12_filter_audit, op13_importance_resampling
 
 SF = "/root/testdata/sf0.001"
 
@@ -93,4 +98,174 @@ def test_audit_reads_texts_once_and_spreads_copies(spark):
     plan = filter_audit.audit(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet"))._jdf.queryExecution().toString()
     assert "documents.parquet" not in plan  # narrow rows are stored
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
-    assert math.factorial(5) == 120
+
+
+# op13
+
+
+def alnum_words(text):
+    low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+
+
+def plain_features(text, run, buckets):
+    words = alnum_words(text)
+    return [zlib.crc32(" ".join(words[i : i + n]).encode()) % buckets for n in range(1, run + 1) for i in range(len(words) - n + 1)]
+
+
+def plain_resample(docs, target, run=2, buckets=10_000):
+    """Of each document, in order: doc_id, n_features, weight, score, rank."""
+    found = [plain_features(t, run, buckets) for _, t in docs]
+    s = Counter(b for f in found for b in f)
+    t = Counter(b for x in target for b in plain_features(x, run, buckets))
+    s_all, t_all = s.total(), t.total()
+    gain = [math.floor(1000 * math.log((t[b] + 1.0) * (s_all + buckets) / ((s[b] + 1.0) * (t_all + buckets)))) for b in range(buckets)]
+    rows = []
+    for (i, text), f in zip(docs, found, strict=True):
+        weight = sum(gain[b] for b in f) // len(f) if f else 0
+        h = int(hashlib.sha256(f"7:{'' if i is None else i}".encode()).hexdigest()[:8], 16)
+        rows.append([i, len(f), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), None])
+        rows[-1].append(len(alnum_words(text)) >= 20)
+    may = sorted((r for r in rows if r[-1]), key=lambda r: (-r[3], r[0] is None, r[0] or 0))
+    for rank, r in enumerate(may[: 25 * len(may) // 100], 1):
+        r[4] = rank
+    return [tuple(r[:5]) for r in rows]
+
+
+def resampled(df):
+    return sorted(((r.doc_id, r.n_features, r.weight, r.score, r["rank"]) for r in df.collect()), key=str)
+
+
+def test_resampling_equals_brute_force(spark):
+    docs = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    target = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    assert resampled(op13_importance_resampling(spark, SF)) == sorted(plain_resample(docs, target), key=str)
+
+
+@pytest.mark.parametrize("run,size", [(2, 64), (3, 50), (1, 16_384)])
+def test_resampling_odd_rows_and_chunks(spark, run, size):
+    some = " ".join(f"word{i % 37}" for i in range(60))
+    docs = [(1, None), (2, ""), (3, "!!"), (4, some), (4, some), (4, some), (None, some), (5, some + " More."), (5, "other " + some), (6, "éÉ naïve\x1cb " * 30), (7, "x" * 5000 + " y " + "z" * 300)]
+    docs += [(8, " ".join(f"w{i * i % 1009}" for i in range(20_000))), (9, "  \n" + some.upper() + "\n" * 500 + some), (10, "one"), (11, "a b " * 10)]
+    df = spark.createDataFrame([(*d, "clash", 1) for d in docs], "doc_id long, text string, words string, row int").repartition(4)
+    target = ["word1 word2 more", None, "", some]
+    marks = spark.createDataFrame([(t, 1) for t in target], "text string, doc_id int")
+    want = sorted(plain_resample(docs, target, run, 501), key=str)
+    got = resampled(resampling.resample(df, marks, run=run, buckets=501, size=size))
+    # rows equal in all but the rank are interchangeable
+    assert Counter(r[:4] for r in got) == Counter(r[:4] for r in want) and sorted(r[4] or 0 for r in got) == sorted(r[4] or 0 for r in want)
+    assert {r for r in got if r[0] != 4} == {r for r in want if r[0] != 4}
+    assert resampling.resample(df.limit(0), marks).count() == 0
+    assert resampled(resampling.resample(df, marks.limit(0))) == sorted(plain_resample(docs, []), key=str)
+
+
+def test_chunks_own_each_start_once():
+    text = ("Ab cé " * 50 + "y" * 40 + "\n\n  last one").encode()
+    for run, size in ((1, 7), (2, 1), (3, 20), (4, 10_000)):
+        found = [b for p, n in resampling.pieces(text, run, size) for b in resampling.features(p, n, run, 997)[1].tolist()]
+        assert Counter(found) == Counter(plain_features(text.decode(), run, 997))
+
+
+def test_drawn_documents(spark):
+    df = spark.createDataFrame([(i, f"target text number {i} " * 10 if i % 2 else "something else entirely here " * 10, i) for i in range(40)], "doc_id long, text string, extra int")
+    marks = spark.createDataFrame([("target text number 3",)] * 50, "text string")
+    ranked = resampling.resample(df, marks)
+    rows = resampling.sample(df, ranked).collect()
+    assert len(rows) == 10 and {r.doc_id for r in rows} == {r.doc_id for r in ranked.where("rank is not null").collect()}
+    assert sum(r.doc_id % 2 for r in rows) >= 7  # the target's words weigh more
+
+
+# op11
+
+
+def control_matches(text):
+    return len(re.findall(r"<\\*/?turn>|#\\*## (?:System|User|Assistant):", text))
+
+
+def plain_chats(rows):
+    """rows: (conv_id, turn, role, text)."""
+    out = {}
+    rows = [(c, t, r or "", x or "") for c, t, r, x in rows]
+    for conv in {r[0] for r in rows}:
+        turns = sorted((r for r in rows if r[0] == conv), key=lambda r: (r[1] is not None, r[1] or 0, r[2], hashlib.md5(r[3].encode()).hexdigest()))
+        said = "".join(f"{r}\n{x}\n" for _, _, r, x in turns)
+        loss = "".join(x for _, _, r, x in turns if r == "assistant")
+        chars = 0
+        for _, _, r, x in turns:
+            name = r.capitalize() if r in ("system", "user", "assistant") else json.dumps(r, ensure_ascii=False).replace("<", "\\u003c").replace("#", "\\u0023")
+            chars += len(f"<turn>### {name}:\n{x}\n</turn>\n") + control_matches(x)
+        out[conv] = (len(turns), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), chars)
+    return out
+
+
+def chats(df):
+    rows = [(r.conv_id, (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256, r.formatted_chars)) for r in df.collect()]
+    assert len(dict(rows)) == len(rows)
+    return dict(rows)
+
+
+NASTY = [
+    "", "\n", "\n</turn>\n", "\n\\</turn>", "<turn>", "<\\turn>", "<\\\\/turn>", "ends in <", "</turn>", "</turn>\n<turn>### Assistant:\n", "### User:", "#### User:", "#\\## User:x#\\\\## System:",
+    "\\### Assistant: </turn> ok", "### Tool:", "\\", "a\\\n", "<turn><turn></turn></turn>", "  </turn>\x85\r\n", "<\\<turn>", "\U0001f600</turn>\U0001f600", '"', "### \"x\":\n",
+]
+
+
+def test_every_text_comes_back():
+    template = chat_format.PLAIN
+    for role in ("user", "assistant", "tool", "", "User", 'a"b\n:', "</turn>", "### User:"):
+        for text in NASTY:
+            out = template.render(role, text)
+            (turn,) = template.parse(out)
+            assert (turn.role, turn.text) == (role, text)
+            body = out[turn.start : turn.end]
+            assert not any(c in body for c in template.controls) and template.unescape(body) == text
+            assert body == text or control_matches(text)
+    joined = "".join(template.render("user", t) for t in NASTY)
+    assert [t.text for t in template.parse(joined)] == NASTY
+
+
+@given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "x"]), st.lists(st.sampled_from(["<", "turn>", "/turn>", "\\", "#", "## ", "User:", "Assistant:", "\n", "a", "</turn>", "<turn>"])).map("".join)), max_size=4))
+def test_generated_texts_come_back(turns):
+    template = chat_format.PLAIN
+    out = "".join(template.render(r, t) for r, t in turns)
+    assert [(t.role, t.text) for t in template.parse(out)] == turns
+    assert out.count("</turn>") == out.count("<turn>") == len(turns)
+
+
+def test_parser_refuses_what_is_no_turn():
+    good = chat_format.PLAIN.render("user", "text")
+    for bad in ("x" + good, good[:-1], good.replace("User", "Nobody"), good.replace("text", "a</turn>b"), good.replace("text", "### System:"), good.replace("User", '"open'), "<turn>### "):
+        with pytest.raises(chat_format.Conflict):
+            list(chat_format.PLAIN.parse(bad))
+    with pytest.raises(ValueError, match="hold another"):
+        chat_format.Template(begin="<turn>", end="<turn>/")
+    with pytest.raises(ValueError, match="backslash"):
+        chat_format.Template(begin="\\turn")
+
+
+def test_chats_equal_brute_force(spark):
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    odd = r"\### Assistant: </turn> ok"
+    assert chats(op11_chat_formatting(spark, SF)) == plain_chats([*rows, (-7, 0, "user", odd), (-7, 1, "assistant", odd)])
+
+
+@pytest.mark.parametrize("segment", [1, 200, 32_768])
+def test_chats_odd_rows(spark, segment):
+    rows = [(1, i, ("user", "assistant", "tool", None)[i % 4], t) for i, t in enumerate(NASTY)]
+    rows += [(2, 0, "assistant", None), (None, 0, "user", "no id"), (None, None, "assistant", "first </turn>"), (3, 1, "user", "tie b"), (3, 1, "user", "tie a"), (3, 1, "assistant", "tie c"), (4, 0, "user", "same"), (4, 0, "user", "same"), (4, 0, "user", "same")]
+    rows += [(5, 0, "assistant", "x</turn>" * 40_000), (7, 0, "user", "only user")] + [(6, i, ("user", "assistant")[i % 2], f"turn {i} <turn> " * 5) for i in range(3000)]
+    df = spark.createDataFrame([(*r, "clash", 1) for r in rows], "conv_id long, turn long, role string, text string, part string, loss int").repartition(5)
+    segments = chat_format.format_chats(df, segment=segment)
+    assert chats(chat_format.read_back(segments)) == plain_chats(rows)
+    assert Counter((r.conv_id, r.role, r.text) for r in chat_format.turns_of(segments).collect()) == Counter((c, r or "", t or "") for c, _, r, t in rows)
+    spread = segments.where("conv_id = 6")
+    assert spread.select(F.shiftright("part", 33)).distinct().count() > 1  # a long conversation is no task's alone
+    assert all(r.n == 1 for r in segments.where("whole").groupBy("conv_id").agg(F.count("*").alias("n")).collect())
+    assert chat_format.read_back(chat_format.format_chats(df.limit(0))).count() == 0
+
+
+def test_loss_spans_hold_the_assistants_texts(spark):
+    rows = [(1, 0, "user", "q"), (1, 1, "assistant", "a </turn>"), (1, 2, "user", "q2"), (1, 3, "assistant", "\U0001f600 b")]
+    df = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string")
+    rows = chat_format.format_chats(df).orderBy("part").collect()
+    assert [r.formatted[s.start : s.end] for r in rows for s in r.loss] == ["a <\\/turn>", "\U0001f600 b"] and sum(r.n_turns for r in rows) == 4
