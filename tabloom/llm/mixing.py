@@ -10,9 +10,14 @@ each, and these are combined by further chains, level by level.
 Only DataFrame functions are used. Randomness is a hash of the ids paired, so
 reruns agree.
 
+Of n rows equal in doc_id, text and source, each wanted f times, n * f are wanted:
+the whole part of that is given to as many of them, by row number, and one row
+carries what is left into the chains. Sources meet their rows by broadcast while
+there are at most ``SOURCES`` of them, and else by a join with salted sources.
+
 Defined results: a null text has size 0 and takes no part in the chains; a null
-source is a source of its own, last in order; rows equal in doc_id, text and
-source are taken equally often (a null doc_id is one of its own); a source without
+source is a source of its own, last in order; of rows equal in doc_id, text and
+source (a null doc_id is one of its own) some may be taken once more than the others; a source without
 words has target 0. All columns pass through; columns of the same names as the
 added ones give way. Targets need one ordered pass over the sources, a row each.
 """
@@ -31,6 +36,8 @@ WEIGHTS = (1, 2, 3)
 CHAIN = 64
 #: Documents of more than so many times their source's mean size are rounded first.
 LARGE = 4
+#: Sources that may be broadcast, and parts that each is dealt to where there are more.
+SOURCES, SALTS = 200_000, 64
 _UNIT = "struct<k:bigint,d:bigint,s:double,f:double>"
 
 
@@ -111,18 +118,29 @@ def _chains(units: DataFrame, seed: int) -> DataFrame:
     )
 
 
+def with_source(rows: DataFrame, held: DataFrame, left: bool = False, most: int = SOURCES) -> DataFrame:
+    """Columns of ``held``, a stored row for each source, at each row of that source; a hot source meets its rows in many tasks."""
+    how, same = "left" if left else "inner", F.col("source").eqNullSafe(F.col("of"))
+    held = held.withColumnRenamed("source", "of")
+    if held.limit(most + 1).count() <= most:
+        return rows.join(F.broadcast(held), same, how).drop("of")
+    dealt = held.withColumn("of_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("k", "d"), F.lit(SALTS)).cast("int"))
+    return salted.join(dealt, same & (F.col("salt") == F.col("of_salt")), how).drop("of", "salt", "of_salt")
+
+
 def round_together(units: DataFrame, store: Store, name: str, seed: int, chain: int = CHAIN) -> DataFrame:
     """k, d, up (0 or 1) for units (source, k, d, s, f), 0 < f < 1: the tree of chains.
 
     A source of any size is dealt by hash to chains of about ``chain``
     documents; each level has ``chain`` times fewer open documents.
     """
-    counted = units.groupBy("source").agg(F.count("*").alias("n"), F.ceil(F.count("*") / chain).cast("long").alias("buckets"))
+    counted = store.keep(units.groupBy("source").agg(F.ceil(F.count("*") / chain).cast("long").alias("buckets")), f"{name}-sources")
     most = counted.agg(F.max("buckets")).first()[0] or 0
     if not most:
         return units.select("k", "d", F.lit(0).alias("up"))
     bucket = F.pmod(F.xxhash64("k", "d", F.lit(seed)), F.col("buckets"))
-    level = units.join(counted.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).select("source", "k", "d", "s", "f", bucket.alias("bucket"))
+    level = with_source(units, counted).select("source", "k", "d", "s", "f", bucket.alias("bucket"))
     rounded, depth = [], 0
     while True:
         got = store.keep(_chains(level, seed + depth), f"{name}{depth}")
@@ -149,46 +167,70 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, cha
     store = Store(docs.sparkSession, "mixing")
     docs = docs.drop("size", "source_size", "target", "copies", "taken")
     id_ = F.col("doc_id").cast("long")
-    k, d, of_k, of_d = fresh(docs, "k", "d", "of_k", "of_d")
+    k, d, of_k, of_d, n, whole, extra = names = fresh(docs, "k", "d", "of_k", "of_d", "n", "whole", "more")
     keyed = docs.withColumns({k: F.xxhash64(F.coalesce("text", F.lit("")), "source", id_.isNull()), d: F.coalesce(id_, F.lit(0))})
     rows = store.keep(keyed.groupBy("source", F.col(k).alias("k"), F.col(d).alias("d")).agg(F.max(n_words()).alias("size"), F.count("*").alias("n")), "rows")
-    stats = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum(F.when(F.col("size") > 0, F.col("n"))).alias("docs"))
-    goal = store.keep(
-        targets(stats.select("source", "source_size"), weights, cap).join(stats.select(F.col("source").alias("of"), "docs"), F.col("source").eqNullSafe(F.col("of"))).drop("of"),
-        "goal",
-    )
+    stats = store.keep(rows.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum(F.when(F.col("size") > 0, F.col("n"))).alias("docs")), "stats")
+    goal = with_source(targets(stats.select("source", "source_size"), weights, cap), stats.select("source", "docs"))
     ratio = F.least(F.lit(float(cap)), F.coalesce(F.col("target") / F.nullif(F.col("source_size"), F.lit(0)), F.lit(0.0)))
-    goal = goal.select(F.col("source").alias("of"), "source_size", "target", "docs", F.floor(ratio).alias("whole"), (ratio - F.floor(ratio)).alias("f"))
-    weighed = rows.join(goal, F.col("source").eqNullSafe(F.col("of"))).drop("of")
-
-    words = F.col("size") * F.col("n")
-    open_ = weighed.where("size > 0 and f > 0").select("source", "k", "d", words.cast("double").alias("s"), "f", (words * F.col("docs") > LARGE * F.col("source_size")).alias("large"))
-    large = open_.where("large").drop("large")
-    first = store.keep(round_together(large, store, "large", seed, chain), "first")
-    # sums of whole numbers, so that no order of adding matters
-    whole_s = F.col("s").cast("long")
-    missed = large.join(first, ["k", "d"]).groupBy("source").agg((F.max("f") * F.sum(whole_s) - F.sum(whole_s * F.col("up"))).alias("missed"))
-    small = open_.where("not large").drop("large")
+    goal = store.keep(goal.select("source", "source_size", "target", "docs", F.floor(ratio).alias("whole"), (ratio - F.floor(ratio)).alias("f")), "goal")
+    weighed = with_source(rows, goal)
+
+    is_large = F.col("size") * F.col("docs") > LARGE * F.col("source_size")
+    open_ = weighed.where("size > 0 and f > 0").select("source", "k", "d", F.col("size").cast("double").alias("s"), "n", "f", is_large.alias("large"))
+    large = store.keep(_whole_rows(open_.where("large")), "large")
+    first = store.keep(round_together(_units(large), store, "large", seed, chain), "large-up")
+    # decimals, so that no order of adding matters
+    exact = lambda c: F.sum(c.cast("decimal(28,6)"))
+    left_over = large.join(first, ["k", "d"]).groupBy("source").agg(exact(F.col("s") * (F.col("rest") - F.col("up"))).alias("missed"))
+    small = open_.where("not large")
     shift = (
-        small.groupBy("source").agg(F.sum(whole_s).alias("all"))
-        .join(missed.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")), "left")
-        .select(F.col("source").alias("of"), F.coalesce(F.col("missed") / F.col("all"), F.lit(0.0)).alias("shift"))
-    )
-    shifted = store.keep(
-        small.join(shift, F.col("source").eqNullSafe(F.col("of"))).select("source", "k", "d", "s", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("f") + F.col("shift"))).alias("f")),
-        "small",
-    )
-    second = round_together(shifted.where("f > 0 and f < 1"), store, "small", seed + 100, chain).unionByName(
-        shifted.where("f <= 0 or f >= 1").select("k", "d", (F.col("f") >= 1).cast("int").alias("up"))
-    )
-    up = store.keep(first.unionByName(second), "up")
-    copies = (F.col("whole") + F.coalesce("up", F.lit(0))).cast("int").alias("copies")
-    decided = weighed.join(up, ["k", "d"], "left").select(F.col("k").alias(of_k), F.col("d").alias(of_d), "size", "source_size", "target", copies)
-    return (
-        keyed.join(decided, (F.col(k) == F.col(of_k)) & (F.col(d) == F.col(of_d)))
-        .withColumn("taken", F.col("size") * F.col("copies"))
-        .drop(k, d, of_k, of_d)
+        small.groupBy("source").agg(exact(F.col("s") * F.col("n")).alias("all"))
+        .join(left_over.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
+        .select("source", (F.col("missed").cast("double") / F.col("all").cast("double")).alias("shift"))
     )
+    shifted = with_source(small, store.keep(shift, "shift"), left=True)
+    moved = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("f") + F.coalesce("shift", F.lit(0.0))))
+    small = store.keep(_whole_rows(shifted.withColumn("f", moved)), "small")
+    second = round_together(_units(small), store, "small", seed + 100, chain)
+    more = large.unionByName(small).select("k", "d", "more").join(first.unionByName(second), ["k", "d"], "left")
+    more = store.keep(more.select("k", "d", (F.col("more") + F.coalesce("up", F.lit(0))).alias("more")), "more")
+    # ``more`` of the n equal rows are taken once more than the others
+    decided = weighed.join(more, ["k", "d"], "left").select(F.col("k").alias(of_k), F.col("d").alias(of_d), F.col("n").alias(n), "size", "source_size", "target", F.col("whole").alias(whole), F.coalesce("more", F.lit(0)).alias(extra))
+    decided = store.keep(decided, "decided")
+    same = (F.col(k) == F.col(of_k)) & (F.col(d) == F.col(of_d))
+    told = keyed.join(decided.where(F.col(n) == 1), same).withColumn("copies", (F.col(whole) + F.col(extra)).cast("int"))
+    again = decided.where(F.col(n) > 1)
+    if again.limit(1).count():
+        told = told.unionByName(_numbered(keyed.join(again, same), names, store))
+    return told.withColumn("taken", F.col("size") * F.col("copies")).select(*(f"`{c}`" for c in docs.columns), "size", "source_size", "target", "copies", "taken")
+
+
+def _whole_rows(rows: DataFrame) -> DataFrame:
+    """Of n rows wanted f times each: ``more`` rows that are taken, and the ``rest`` of a row."""
+    wanted = F.col("n") * F.col("f")
+    return rows.select("source", "k", "d", "s", F.floor(wanted).alias("more"), (wanted - F.floor(wanted)).alias("rest"))
+
+
+def _units(rows: DataFrame) -> DataFrame:
+    return rows.where("rest > 0").select("source", "k", "d", "s", F.col("rest").alias("f"))
+
+
+def _numbered(rows: DataFrame, names: list[str], store: Store) -> DataFrame:
+    """Rows that have equals, with copies by their number among these.
+
+    They are stored with their task and place in it; numbers within a task and
+    the counts of the tasks before make a row's number, so equal rows of any
+    number meet in no task.
+    """
+    k, d, *_, whole, extra = names
+    task, place, before, number = fresh(rows, "task", "place", "before", "number")
+    held = store.keep(rows.withColumns({task: F.spark_partition_id(), place: F.monotonically_increasing_id()}), "repeated")
+    ahead = W.partitionBy(k, d).orderBy(task).rowsBetween(W.unboundedPreceding, -1)
+    counts = held.groupBy(k, d, task).agg(F.count("*").alias("m")).select(k, d, task, F.coalesce(F.sum("m").over(ahead), F.lit(0)).alias(before))
+    numbered = held.withColumn(number, F.row_number().over(W.partitionBy(k, d, task).orderBy(place))).join(counts, [k, d, task])
+    taken = F.col(whole) + (F.col(before) + F.col(number) <= F.col(extra)).cast("int")
+    return numbered.withColumn("copies", taken.cast("int")).drop(task, place, before, number)
 
 
 def repeated(mixed: DataFrame, columns: list[str]) -> DataFrame:

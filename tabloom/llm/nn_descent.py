@@ -15,9 +15,14 @@ nodes that many others name take a bounded choice of them. What the graph and th
 walks compare are vectors rounded to a byte for each component, which is all that
 moves between tasks; only the ``RERANK`` best of each query are read as they are.
 
+A node is numbered when the table of nodes is stored, in order of least id and
+hash, so that unlike vectors under one id are nodes of their own.
+
 Defined results: vectors that are null, zero, or hold null or non-finite
 components take no part; a query never finds its own row; ties go to the smaller
-vec_id; rows with a null id take no part; of rows with one id, each counts; with
+vec_id; rows with a null id take no part; rows that share an id are rows of their
+own: each that asks has an answer of its own under that id, and finds the others
+of its id; a vector shorter than the longest lacks components that are zero; with
 fewer candidates than asked for, all that are found are returned. Other columns are ignored.
 """
 
@@ -50,15 +55,26 @@ SEED = 11
 _VECTOR = "array<float>"
 
 
-def nodes(df: DataFrame, keep: int) -> DataFrame:
-    """node (least id), vector and the ``keep`` least ids of each distinct vector that takes part."""
+def fit_rows(df: DataFrame) -> DataFrame:
+    """vec_id and vector of the rows that take part, all of the longest one's length."""
     e = F.col("embedding")
     fit = F.col("vec_id").isNotNull() & e.isNotNull() & (F.size(e) > 0) & F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(e, lambda x: x != 0)
-    rows = df.where(F.coalesce(fit, F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(e, lambda x: x + 0.0).alias("vector"))
+    rows = df.where(F.coalesce(fit, F.lit(False))).withColumn("vec_id", F.col("vec_id").cast("long"))
+    r = rows.agg(F.min(F.size(e)).alias("least"), F.max(F.size(e)).alias("most")).first()
+    vector = F.transform(e, lambda x: x + 0.0)  # a zero has no sign
+    if r.least != r.most:
+        # null components take no part, so a null one is one that is missing
+        vector = F.transform(F.arrays_zip(vector.alias("own"), F.sequence(F.lit(1), F.lit(r.most)).alias("at")), lambda x: F.coalesce(x["own"], F.lit(0.0)))
+    return rows.select(*(c for c in rows.columns if c != "embedding"), vector.alias("vector"))
+
+
+def nodes(rows: DataFrame, keep: int) -> DataFrame:
+    """node, vector and the ``keep`` least ids (repeated as they are) of each distinct vector; to be stored before it is used."""
     by = W.partitionBy("vector").orderBy("vec_id")
     # the limit on row numbers holds within tasks before rows move, so a common vector is no hot spot
-    few = rows.withColumn("r", F.row_number().over(by)).where(F.col("r") <= keep)
-    return few.groupBy("vector").agg(F.min("vec_id").alias("node"), F.sort_array(F.collect_list("vec_id")).alias("ids"))
+    few = rows.select("vec_id", "vector").withColumn("r", F.row_number().over(by)).where(F.col("r") <= keep)
+    each = few.groupBy("vector").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
+    return each.sortWithinPartitions(F.col("ids")[0], F.xxhash64("vector")).withColumn("node", F.monotonically_increasing_id())
 
 
 def rounded(vectors: list) -> list[bytes]:
@@ -340,12 +356,15 @@ def search(queries: DataFrame, graph: DataFrame, units: DataFrame, store: Store,
 
 def nearest(df: DataFrame, asks: Column, k: int = 5, beam: int = BEAM) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows found of each row that ``asks``, without itself."""
-    spark, store = df.sparkSession, Store(df.sparkSession, "nn-descent")
-    each = store.keep(nodes(df.select("vec_id", "embedding"), k + 1), "nodes")
+    store = Store(df.sparkSession, "nn-descent")
+    own = "asks"
+    rows = fit_rows(df.select("vec_id", "embedding", F.coalesce(asks, F.lit(False)).alias(own)))
+    each = store.keep(nodes(rows, k + 1), "nodes")
     graph, units = build(each.select("node", "vector"), store)
-    asking = df.where(asks).select(F.col("vec_id").cast("long").alias("query_id"), F.transform("embedding", lambda x: x + 0.0).alias("vector"))
+    asking = rows.where(own).select(F.col("vec_id").alias("query_id"), "vector")
     # every query's vector is a node: the walk starts there
-    of = store.keep(asking.join(each.select("vector", "node"), "vector").select("query_id", F.col("node").alias("query")), "queries")
+    of = asking.join(each.select("vector", "node"), "vector").select("query_id", F.col("node").alias("query"))
+    of = store.keep(of.withColumn("row", F.monotonically_increasing_id()), "queries")
     walkers = of.select("query").distinct().join(units.withColumnRenamed("node", "query"), "query")
     around = graph.select("node", F.explode(F.slice("others", 1, NEIGHBOURS)).alias("other"))
     start = walkers.select("query").join(around, F.col("query") == F.col("node")).select("query", F.col("other").alias("node")).unionByName(walkers.select("query", F.col("query").alias("node")))
@@ -363,11 +382,13 @@ def nearest(df: DataFrame, asks: Column, k: int = 5, beam: int = BEAM) -> DataFr
             if batch.num_rows:
                 a, b = (np.array(batch.column(c).to_pylist(), np.float64) for c in ("ask", "vector"))
                 s = (a * b).sum(1) / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1)))
-                yield pa.RecordBatch.from_arrays([batch.column("query"), batch.column("ids"), pa.array(s)], names=["query", "ids", "score"])
+                yield pa.RecordBatch.from_arrays([batch.column("query"), batch.column("node"), batch.column("ids"), pa.array(s)], names=["query", "node", "ids", "score"])
 
     asked = vectors.select(F.col("node").alias("query"), F.col("vector").alias("ask"))
-    measured = close.join(vectors, "node").join(asked, "query").select("query", "ask", "vector", "ids").mapInArrow(exact, "query long, ids array<long>, score double")
-    # of the rows of one query the k + 1 best nodes hold the k best others
-    last = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    each_query = of.join(measured.select("query", "score", F.explode("ids").alias("vec_id")), "query").where("vec_id != query_id")
+    measured = close.join(vectors, "node").join(asked, "query").select("query", "ask", "node", "vector", "ids").mapInArrow(exact, "query long, node long, ids array<long>, score double")
+    # the k + 1 least ids of the k + 1 best nodes hold the k best rows beside the query's own, which is one of its node's with its id
+    last = W.partitionBy("row").orderBy(F.desc("score"), "vec_id")
+    told = measured.select("query", "node", "score", "ids", F.posexplode("ids").alias("at", "vec_id"))
+    mine = (F.col("node") == F.col("query")) & (F.array_position("ids", F.col("query_id")) == F.col("at") + 1)
+    each_query = of.join(told, "query").where(~mine)
     return each_query.withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

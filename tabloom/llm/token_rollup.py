@@ -9,7 +9,12 @@ deltas so far into one.
 
 Layout of a rollup's folder: ``deltas/<batch id>`` holds a batch's Parquet files,
 moved there in one rename after they are complete; ``staging`` holds what is
-being written; ``folded/<n>`` holds a compacted sum with the list of the batches in it.
+being written; ``folded/<n>`` holds a compacted sum with the list of the batches
+in it. Of several writers of one name that one wins who makes its file in
+``claims``, which can be made once and names the writer's complete files; whoever
+finds a claim whose files have not moved moves them, so a writer may be lost at
+any point. Compaction leaves what the compaction before it left out, so totals
+planned before a compaction can still be read after it, and not after two.
 
 Defined results: null sources, languages and versions are groups of their own; a
 null count counts as 0 tokens of one document; repeated rows count as often as
@@ -22,6 +27,7 @@ from __future__ import annotations
 import re
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,15 +49,41 @@ class Rollup:
         return sorted(s.getPath().getName() for s in self._fs.listStatus(at)) if self._fs.exists(at) else []
 
     def _commit(self, df: DataFrame, folder: str, name: str) -> bool:
-        """Writes aside, then renames; of several writers of one name one wins."""
-        aside = f"{self.root}/staging/{uuid.uuid4().hex}"
-        df.coalesce(1).write.parquet(aside)  # one row for each group
-        self._fs.mkdirs(self._path(f"{self.root}/{folder}"))
-        to = self._path(f"{self.root}/{folder}/{name}")
-        won = not self._fs.exists(to) and self._fs.rename(self._path(aside), to)
-        if not won:
-            self._fs.delete(self._path(aside), True)
-        return won
+        """Writes aside, claims the name, then renames; whether this writer has the name."""
+        aside = uuid.uuid4().hex
+        df.coalesce(1).write.parquet(f"{self.root}/staging/{aside}")  # one row for each group
+        try:
+            claim = self._fs.create(self._claim(folder, name), False)
+        except Py4JJavaError as e:
+            if not self._fs.exists(self._claim(folder, name)):
+                raise e
+            self._fs.delete(self._path(f"{self.root}/staging/{aside}"), True)
+            self._finish(folder, name)
+            return False
+        claim.write(bytearray(aside, "ascii"))
+        claim.close()
+        self._finish(folder, name)
+        return True
+
+    def _claim(self, folder: str, name: str):
+        return self._path(f"{self.root}/claims/{folder}-{name}")
+
+    def _finish(self, folder: str, name: str) -> None:
+        """Moves the files that a claim names, if they have not moved; a claim that is being written is its writer's to finish."""
+        to, claim = self._path(f"{self.root}/{folder}/{name}"), self._claim(folder, name)
+        stream = self._fs.open(claim)
+        try:
+            aside = bytes(stream.readAllBytes()).decode("ascii")
+        finally:
+            stream.close()
+        at = self._path(f"{self.root}/staging/{aside}")
+        if aside and self._fs.exists(at) and not self._fs.exists(to):
+            self._fs.mkdirs(self._path(f"{self.root}/{folder}"))
+            try:
+                self._fs.rename(at, to)
+            except Py4JJavaError:  # another has moved them meanwhile
+                if not self._fs.exists(to):
+                    raise
 
     def batches(self) -> set[str]:
         """Ids of all committed batches, folded ones too."""
@@ -77,6 +109,9 @@ class Rollup:
             raise ValueError(f"batch id {batch!r}: letters, digits, - and _ only")
         if batch in self.batches():
             return False
+        if self._fs.exists(self._claim("deltas", batch)):
+            self._finish("deltas", batch)
+            return False
         n = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(0))
         signed = []
         for df, docs, tokens in ((inserts, 1, lambda: n("n_tokens")), (deletes, -1, lambda: -n("n_tokens")), (revisions, 0, lambda: n("new_tokens") - n("old_tokens"))):
@@ -103,16 +138,18 @@ class Rollup:
         return _sum(self._deltas()[0])
 
     def compact(self) -> None:
-        """Folds all deltas so far into one sum; the folded deltas go after it is in place."""
+        """Folds all deltas so far into one sum; what the sum before it had folded goes."""
         df, batches = self._deltas()
-        names = self._names("folded")
+        names, folded = self._names("folded"), self._folded()
         at = max(map(int, names), default=0) + 1
         listed = self.spark.createDataFrame([(None, None, None, 0, 0, sorted(batches))], _FOLDED)
-        self._commit(_sum(df).withColumn("batches", F.array().cast("array<string>")).unionByName(listed), "folded", str(at))
-        for b in batches & set(self._names("deltas")):
+        if not self._commit(_sum(df).withColumn("batches", F.array().cast("array<string>")).unionByName(listed), "folded", str(at)):
+            return  # another compaction was first
+        for b in (folded[1] if folded else set()) & set(self._names("deltas")):
             self._fs.delete(self._path(f"{self.root}/deltas/{b}"), True)
         for old in names:
-            self._fs.delete(self._path(f"{self.root}/folded/{old}"), True)
+            if old != (folded and folded[0]):
+                self._fs.delete(self._path(f"{self.root}/folded/{old}"), True)
 
 
 def _sum(delta: DataFrame) -> DataFrame:

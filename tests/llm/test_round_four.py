@@ -6,16 +6,22 @@ import hashlib
 import json
 import math
 import re
+import struct
+import threading
 import zlib
 from collections import Counter
+from concurrent.futures import ThreadPoolExecutor
 from itertools import permutations
 
+import numpy as np
 import pytest
+import xxhash
 from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tabloom.llm import chat_format, filter_audit, resampling
+from tabloom.llm import chat_format, filter_audit, mixing, nn_descent, resampling, token_rollup
+from tabloom.llm.common import Store
 from tabloom.llm.queries import op11_chat_formatting, op12_filter_audit, op13_importance_resampling
 
 SF = "/root/testdata/sf0.001"
@@ -269,3 +275,159 @@ def test_loss_spans_hold_the_assistants_texts(spark):
     df = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string")
     rows = chat_format.format_chats(df).orderBy("part").collect()
     assert [r.formatted[s.start : s.end] for r in rows for s in r.loss] == ["a <\\/turn>", "\U0001f600 b"] and sum(r.n_turns for r in rows) == 4
+
+
+# op9, mended
+
+
+def hashed(*values, seed=42):
+    """The JVM's hash of whole numbers in a row: each is hashed with the hash before as its seed."""
+    for v, width in values:
+        seed = xxhash.xxh64(struct.pack("<q" if width == 8 else "<i", v), seed=seed & (2**64 - 1)).intdigest()
+    return seed - 2**64 if seed >= 2**63 else seed
+
+
+def plain_rounding(units, seed, chain):
+    """units: (source, k, d, s, f). Chains of pairs by falling size, level by level, as the docstring of ``mixing`` says."""
+    u = lambda *v: (hashed(*v) % (1 << 52) + 0.5) / (1 << 52)
+    up, level, sizes = {}, {}, Counter(x[0] for x in units)
+    for source, k, d, s, f in units:
+        level.setdefault((source, hashed((k, 8), (d, 8), (seed, 4)) % -(-sizes[source] // chain)), []).append((s, k, d, f))
+    most, depth = max(-(-n // chain) for n in sizes.values()), 0
+    while True:
+        above = {}
+        for (source, bucket), held in level.items():
+            carry = None
+            for s, k, d, f in sorted(held, key=lambda x: (-x[0], x[1], x[2])):
+                if carry is None:
+                    carry = (s, k, d, f)
+                    continue
+                s0, k0, d0, f0 = carry
+                gain, loss = min((1 - f0) * s0, f * s), min(f0 * s0, (1 - f) * s)
+                if u((k0, 8), (d0, 8), (k, 8), (d, 8), (seed + depth, 4)) * (gain + loss) < loss:
+                    full = gain == (1 - f0) * s0
+                    ended, carry = ((k0, d0, 1), (s, k, d, f - gain / s)) if full else ((k, d, 0), (s0, k0, d0, f0 + gain / s0))
+                else:
+                    empty = loss == f0 * s0
+                    ended, carry = ((k0, d0, 0), (s, k, d, f + loss / s)) if empty else ((k, d, 1), (s0, k0, d0, f0 - loss / s0))
+                up[ended[:2]] = ended[2]
+                carry = (*carry[:3], max(0.0, min(1.0, carry[3])))
+            above.setdefault((source, bucket // chain), []).append(carry)
+        level, depth = above, depth + 1
+        if most <= 1:
+            break
+        most = -(-most // chain)
+    for held in level.values():
+        for _, k, d, f in held:
+            up[k, d] = int(u((k, 8), (d, 8), (seed, 4)) < f)
+    return up
+
+
+@pytest.mark.parametrize("n,chain", [(1, 4), (7, 64), (200, 5), (700, 4)])
+def test_chains_replayed(spark, n, chain):
+    units = [("a" if i % 3 else None, hashed((i, 8)), i, float(i % 11 + 1), (i * 37 % 100 + 0.5) / 101) for i in range(n)]
+    df = spark.createDataFrame(units, "source string, k long, d long, s double, f double").repartition(4)
+    got = {(r.k, r.d): r.up for r in mixing.round_together(df, Store(spark, "replay"), "x", 5, chain).collect()}
+    assert got == plain_rounding(units, 5, chain) and len(got) == n
+
+
+def test_mix_takes_repeated_rows_in_part(spark):
+    # 9,000 equal rows and 1,000 others in a source, and some that are much larger than the mean
+    rows = [(7, "four words are here", "a", i) for i in range(9000)] + [(i, "w " * (i % 5 + 1), "a", i) for i in range(100, 1100)]
+    rows += [(8, "w " * 300, "b", i) for i in range(50)] + [(9, "w " * 3, "b", i) for i in range(400)] + [(None, "no id", None, i) for i in range(77)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, more int").repartition(6)
+    found = mixing.mix(df).collect()
+    assert sorted(r.more for r in found) == sorted(r[3] for r in rows)  # every row once
+    sizes, taken, target = Counter(), Counter(), {}
+    for r in found:
+        sizes[r.source] += r.size
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+        assert r.taken == r.size * r.copies <= 3 * r.size
+    assert all(abs(taken[s] - target[s]) <= {"a": 5, "b": 300, None: 2}[s] for s in sizes), (taken, target)
+    assert len({r.copies for r in found if r.doc_id == 7}) <= 2
+    ids = lambda rs: Counter((r.doc_id, r.taken) for r in rs)
+    assert ids(found) == ids(mixing.mix(df.repartition(3)).collect())
+
+
+def test_sources_meet_rows_without_a_hot_task(spark):
+    rows = spark.createDataFrame([(("hot" if i % 3 else f"s{i}"), i, i) for i in range(300)] + [(None, 1, 1)], "source string, k long, d long")
+    held = Store(spark, "sources").keep(rows.groupBy("source").agg(F.count("*").alias("n")), "n")
+    few, many = mixing.with_source(rows, held), mixing.with_source(rows, held, most=5)
+    assert sorted(map(str, few.collect())) == sorted(map(str, many.select(few.columns).collect())) and few.count() == 301
+    assert "BroadcastHashJoin" in few._jdf.queryExecution().toString()
+    none = mixing.with_source(rows, held.where("source = 'hot'"), left=True, most=0)
+    assert none.where("n is null").count() == 101
+
+
+# op6 and op8, mended
+
+
+def row_nearest(rows, asks, k=5):
+    """Of each row that asks: sorted (score, id) of its k nearest other rows."""
+    most = max(len(v) for _, v in rows)
+    fit = [(i, np.array([*v, *[0.0] * (most - len(v))], np.float32).astype(float)) for i, v in rows]
+    out = {}
+    for a, (i, v) in enumerate(fit):
+        if asks(i):
+            scored = sorted((-(v @ w) / (np.sqrt(v @ v) * np.sqrt(w @ w)), j) for b, (j, w) in enumerate(fit) if b != a)
+            out.setdefault(i, []).append([(round(-s, 6), j) for s, j in scored[:k]])
+    return {i: sorted(v) for i, v in out.items()}
+
+
+@pytest.mark.parametrize("ragged", [False, True])
+def test_rows_that_share_ids_and_vectors_of_unlike_lengths(spark, ragged):
+    rng = np.random.default_rng(4)
+    rows = [(i if i % 60 else 50, rng.standard_normal(8 if not ragged or i % 3 else 5).astype(np.float32).tolist()) for i in range(300)]
+    rows += [(50, rows[7][1]), (50, rows[7][1]), (99, rows[7][1]), (100, rows[200][1]), (200, rows[201][1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    found = nn_descent.nearest(df, F.col("vec_id") % 50 == 0).collect()
+    want = row_nearest(rows, lambda i: i % 50 == 0)
+    assert Counter(r.query_id for r in found) == {i: 5 * len(v) for i, v in want.items()}
+    got = {i: Counter((round(r.score, 6), r.vec_id) for r in found if r.query_id == i) for i in want}
+    hits = sum((got[i] & Counter(x for each in v for x in each)).total() for i, v in want.items())
+    assert hits >= 0.95 * len(found)  # with so few rows the search is all but exact
+    assert Counter(r["rank"] for r in found) == {n: len(found) // 5 for n in range(1, 6)}
+
+
+def batch(spark, n):
+    return spark.createDataFrame([("s", "en", "v", n)], "source string, lang string, tokenizer string, n_tokens long")
+
+
+def test_one_of_many_writers_commits(spark, tmp_path):
+    rollup = token_rollup.Rollup(spark, f"file://{tmp_path}/rollup")
+    frames = [batch(spark, 10**i) for i in range(4)]
+    start = threading.Barrier(4)
+
+    def write(i):
+        start.wait()
+        return token_rollup.Rollup(spark, rollup.root).apply("one", inserts=frames[i])
+
+    with ThreadPoolExecutor(4) as pool:
+        won = list(pool.map(write, range(4)))
+    assert sum(won) == 1
+    assert [(r.docs, r.tokens) for r in rollup.totals().collect()] == [(1, 10 ** won.index(True))]
+
+
+def test_a_lost_writers_batch_is_finished(spark, tmp_path, monkeypatch):
+    rollup = token_rollup.Rollup(spark, f"file://{tmp_path}/rollup")
+    monkeypatch.setattr(token_rollup.Rollup, "_finish", lambda *a: None)  # lost between claim and move
+    assert rollup.apply("a", inserts=batch(spark, 3))
+    monkeypatch.undo()
+    assert rollup.batches() == set() and rollup.totals().count() == 0
+    assert not rollup.apply("a", inserts=batch(spark, 3))  # sent again: moved, not counted twice
+    assert rollup.batches() == {"a"} and [r.tokens for r in rollup.totals().collect()] == [3]
+
+
+def test_totals_planned_before_a_compaction_can_be_read(spark, tmp_path):
+    rollup = token_rollup.Rollup(spark, f"file://{tmp_path}/rollup")
+    for i in range(3):
+        rollup.apply(f"b{i}", inserts=batch(spark, i + 1))
+    planned = rollup.totals()
+    rollup.compact()
+    assert [r.tokens for r in planned.collect()] == [6]
+    rollup.apply("b3", inserts=batch(spark, 10))
+    planned = rollup.totals()
+    rollup.compact()
+    assert [r.tokens for r in planned.collect()] == [r.tokens for r in rollup.totals().collect()] == [16]
+    assert rollup.batches() == {"b0", "b1", "b2", "b3"} and not rollup.apply("b1", inserts=batch(spark, 1))
