@@ -243,6 +243,28 @@ _EVENT = {"measure_table": "[db].[dbo].[events]", "measure_uid": "[user_id]", "m
 add("assembly_batched_multi_measure", assembly_sql("round(sum(price), 2) AS spent, count(price)::INT AS n").replace("SELECT m.*", "SELECT q.*, e.clicks FROM (SELECT m.*", 1) + ") q LEFT JOIN (SELECT user_id, count(value)::INT AS clicks FROM events WHERE ts::DATE BETWEEN DATE '2024-01-01' AND DATE '2024-12-31' GROUP BY user_id) e ON q.c_custkey = e.user_id",
     assembled([measure_row("SUM", "FLOAT", name="spent"), measure_row("COUNT", "INT", "[value]", name="clicks", **_EVENT), measure_row("COUNT", "INT", name="n")]))
 
+_CLASH = ("_ps", "_uid", "_new0", "_kuid", "uid", "out0", "__uid")
+add("assembly_clashing_names", assembly_sql("count(price)::INT AS out, round(sum(price), 2) AS \"_new1\"", base=f"SELECT *, {', '.join(f'{i} AS {c}' for i, c in enumerate(_CLASH))} FROM ({_MASTER.format('unnest([1996, 1997])')})"),
+    assembled([measure_row("COUNT", "INT"), measure_row("SUM", "FLOAT", name="_new1")], lambda s, d: master(s, d).withColumns({c: F.lit(i) for i, c in enumerate(_CLASH)})))
+
+
+#: A third of all events under one uid, and its every day a period.
+_HOT_SPELLS = "SELECT CASE WHEN user_id % 3 = 0 THEN 0 ELSE user_id END AS who, CAST(ts AS date) AS began, CAST(ts AS date) + CAST(event_id % 40 AS int) AS ended, value FROM events"
+_HOT_MASTER = f"SELECT DISTINCT who, began AS first, began + 6 AS last FROM ({_HOT_SPELLS})"
+_HOT = [("COUNT", "BIGINT", "n", "count(value)"), ("SUM", "FLOAT", "total", "round(sum(value), 2)"), ("MIN", "FLOAT", "least", "min(value)"), ("MAX", "FLOAT", "most", "max(value)"),
+        ("MEAN", "FLOAT", "mean", "round(avg(value), 2)"), ("EXISTS", "INT", "some", "CASE WHEN count(value) >= 1 THEN 1 END"), ("DURATION", "BIGINT", "days", "sum(CASE WHEN value IS NOT NULL THEN least(last, ended) - greatest(first, began) + 1 END)::BIGINT"),
+        ("SUM_WITHIN", "FLOAT", "share", "round(sum((least(last, ended) - greatest(first, began) + 1)::DOUBLE / (ended - began + 1) * value), 2)"), ("DISTINCT", "BIGINT", "kinds", "count(DISTINCT value)")]
+
+
+def _hot_uid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    spells_, days = (spark.sql(q.replace("FROM events", "FROM {events}"), events=events) for q in (_HOT_SPELLS, _HOT_MASTER))
+    rows = [measure_row(m, k, "[value]", name=n, population_uid="[who]", period_start="[first]", period_end="[last]", measure_uid="[who]") for m, k, n, _ in _HOT]
+    return rounded(run_assembly(spark, rows, days, {"spells": spells_}, sweep=200).df)
+
+
+add("assembly_sweep_hot_uid", f"WITH s AS ({_HOT_SPELLS}), k AS ({_HOT_MASTER}) SELECT k.who, first, last, {', '.join(f'{q} AS {n}' for _, _, n, q in _HOT)} FROM k JOIN s ON k.who = s.who AND first <= ended AND began <= last GROUP BY k.who, first, last", _hot_uid)
+
 
 # confidential
 

@@ -7,6 +7,7 @@ import re
 import warnings
 from collections.abc import Mapping
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,14 +18,15 @@ from tabloom.functions.rexpr import quote
 from tabloom.operators.pipeline_sql import remove_sql_comments
 from tabloom.operators.report import PLANNED, SUCCESS, Report, attempt, some
 from tabloom.operators.summary import _progress
+from tabloom.operators.sweep import SWEPT, hot_uids, split, swept
 from tabloom.operators.types import is_valid_data_type, spark_type, text_length
 from tabloom.sources.controlfile import PROGRESS, ControlTable, as_control_table, save_control_file
-from tabloom.sources.names import sql2id
+from tabloom.sources.names import spare, sql2id
 from tabloom.sources.paths import read_lines_utf8, save_code_to_script
 from tabloom.sources.tables import Catalog
 from tabloom.sources.work import stored
 
-#: Fixed values of control files: methods, headers.
+#: Methods and headers of control files.
 METHODS = ("MIN", "MAX", "EXISTS", "COUNT", "MEAN", "DISTINCT", "ENTITY", "SUM", "SUM_WITHIN", "DURATION")
 KEYS = ("population_uid", "period_start", "period_end", "measure_table", "measure_uid", "measure_start", "measure_end")
 REQUIRED = (*KEYS, "measure_value", "output_name", "output_method", "output_type")
@@ -121,43 +123,95 @@ def cast_output(x: Column, kind: str) -> Column:
     return F.when(out != 0, F.lit(1)).when(out == 0, F.lit(0)) if re.search(r"\bBIT\b", kind.upper()) else out
 
 
-def measure_batch(master: DataFrame, measure: DataFrame, rows: list[dict]) -> DataFrame:
-    """_uid, _ps, _pe and the rows' outputs, for each uid and period that events overlap.
+def measure_batch(master: DataFrame, measure: DataFrame, rows: list[dict], sweep: int | None = None) -> DataFrame:
+    """uid, ps, pe and out0, out1, ... for the rows, for each uid and period that events overlap.
 
     Periods are distinct before they meet events. The join is by uid, with the
     overlap as a residual; grouping by uid and period needs no further exchange.
+    With ``sweep``, uids of more than so many events are summed by blocks of time.
     """
+    keys, events, kind = _sides(master, measure, rows)
+    methods = [str(r["output_method"]) for r in rows]
+    outs = [F.col(f"out{i}") for i in range(len(rows))]
+    if sweep is None or not all(m.strip().upper() in SWEPT for m in methods):
+        found = _joined(keys, events, methods)
+    else:
+        hot = hot_uids(events, sweep)
+        (hot_keys, cold_keys), (hot_events, cold_events) = split(keys, "uid", hot), split(events, "muid", hot)
+        found = _joined(cold_keys, cold_events, methods).unionByName(swept(hot_keys, hot_events, methods, kind))
+    return found.select("uid", "ps", "pe", *(cast_output(o, str(r["output_type"])).alias(f"out{i}") for i, (o, r) in enumerate(zip(outs, rows, strict=True))))
+
+
+def _sides(master: DataFrame, measure: DataFrame, rows: list[dict]) -> tuple[DataFrame, DataFrame, str]:
+    """Distinct uid, ps, pe of the master; muid, ms, me, v0, v1, ... of the events; the type of the times."""
     first = rows[0]
     cell = {k: read_cell(str(first[k])) for k in KEYS if k != "measure_table"}
     period = [value_of(cell[k], master) for k in ("period_start", "period_end")]
     spell = [value_of(cell[k], measure) for k in ("measure_start", "measure_end")]
     kind = moments(*((master, c) for c in period), *((measure, c) for c in spell))
-    keys = master.select(value_of(cell["population_uid"], master).alias("_uid"), *(c.try_cast(kind).alias(n) for c, n in zip(period, ("_ps", "_pe"), strict=True))).distinct()
-    values = {f"_v{i}": value_of(read_cell(str(r["measure_value"])), measure) for i, r in enumerate(rows)}
+    keys = master.select(value_of(cell["population_uid"], master).alias("uid"), *(c.try_cast(kind).alias(n) for c, n in zip(period, ("ps", "pe"), strict=True))).distinct()
     events = measure.select(
-        value_of(cell["measure_uid"], measure).alias("_muid"),
-        *(c.try_cast(kind).alias(n) for c, n in zip(spell, ("_ms", "_me"), strict=True)),
-        *(v.alias(n) for n, v in values.items()),
+        value_of(cell["measure_uid"], measure).alias("muid"),
+        *(c.try_cast(kind).alias(n) for c, n in zip(spell, ("ms", "me"), strict=True)),
+        *(value_of(read_cell(str(r["measure_value"])), measure).alias(f"v{i}") for i, r in enumerate(rows)),
     )
-    kinds = dict(keys.dtypes)["_uid"], dict(events.dtypes)["_muid"]
-    same = F.col("_uid") == F.col("_muid")
+    return keys, events, kind
+
+
+def _joined(keys: DataFrame, events: DataFrame, methods: list[str]) -> DataFrame:
+    kinds = dict(keys.dtypes)["uid"], dict(events.dtypes)["muid"]
+    same = F.col("uid") == F.col("muid")
     if "string" in kinds and kinds[0] != kinds[1]:
-        same = F.col("_uid").cast("string") == F.col("_muid").cast("string")
-    met = keys.join(events, same & (F.col("_ps") <= F.col("_me")) & (F.col("_ms") <= F.col("_pe")))
-    when = [F.col(c) for c in ("_ps", "_pe", "_ms", "_me")]
-    return met.groupBy("_uid", "_ps", "_pe").agg(*(cast_output(method(str(r["output_method"]), F.col(n), *when), str(r["output_type"])).alias(output_name(r)) for n, r in zip(values, rows, strict=True)))
+        same = F.col("uid").cast("string") == F.col("muid").cast("string")
+    met = keys.join(events, same & (F.col("ps") <= F.col("me")) & (F.col("ms") <= F.col("pe")))
+    when = [F.col(c) for c in ("ps", "pe", "ms", "me")]
+    return met.groupBy("uid", "ps", "pe").agg(*(method(m, F.col(f"v{i}"), *when).alias(f"out{i}") for i, m in enumerate(methods)))
+
+
+def unreadable(df: DataFrame, row: dict, which: tuple[str, ...], kind: str) -> dict[str, int]:
+    """How many values of each cell that is text are no times; one pass, and none where no cell is text."""
+    cells = {c: value_of(read_cell(str(row[c])), df) for c in which}
+    text = {c: v for c, v in cells.items() if df.select(v).schema[0].dataType.simpleString() == "string"}
+    if not text:
+        return {}
+    counted = df.agg(*(F.count_if(v.isNotNull() & v.try_cast(kind).isNull()).alias(c) for c, v in text.items())).first()
+    return {c: counted[c] for c in text if counted[c]}
 
 
-def attach(master: DataFrame, setup: DataFrame, row: dict) -> DataFrame:
-    """The master with the outputs as last columns; rows without events get none, and columns of these names give way."""
-    new = [c for c in setup.columns if c not in ("_uid", "_ps", "_pe")]
-    cell = {k: read_cell(str(row[k])) for k in ("population_uid", "period_start", "period_end")}
-    kind = dict(setup.dtypes)["_ps"]
-    keyed = master.withColumns({"_kuid": value_of(cell["population_uid"], master), "_kps": value_of(cell["period_start"], master).try_cast(kind), "_kpe": value_of(cell["period_end"], master).try_cast(kind)})
-    kept = [c for c in master.columns if c not in new]
-    on = (F.col("_kuid") == F.col("_uid")) & (F.col("_kps") == F.col("_ps")) & (F.col("_kpe") == F.col("_pe"))
-    right = setup.select("_uid", "_ps", "_pe", *(F.col(quote(c)).alias(f"_new{i}") for i, c in enumerate(new)))
-    return keyed.join(right, on, "left").select(*(F.col(quote(c)) for c in kept), *(F.col(f"_new{i}").alias(c) for i, c in enumerate(new)))
+def attach(master: DataFrame, done: list[tuple[list[dict], DataFrame]]) -> DataFrame:
+    """The master with the outputs of all batches as last columns; rows without events get none, and columns of these names give way.
+
+    Batches with the same master keys become one table, a row for each key, so the
+    master is joined once for all of them, whatever names its columns have.
+    """
+    groups: dict[tuple, list[tuple[list[dict], DataFrame]]] = {}
+    for rows, setup in done:
+        groups.setdefault((*(str(rows[0][k]) for k in KEYS[:3]), dict(setup.dtypes)["ps"]), []).append((rows, setup))
+    names = [output_name(r) for rows, _ in done for r in rows]
+    held = spare([*master.columns, *names], *(f"new{i}" for i in range(len(names))), "uid", "ps", "pe", "of_uid", "of_ps", "of_pe")
+    own, new = held[-6:], dict(zip(names, held, strict=False))
+    out = master
+    for (*cells, kind), batch in groups.items():
+        values = [value_of(read_cell(c), master) for c in cells]
+        keyed = out.withColumns({own[0]: values[0], own[1]: values[1].try_cast(kind), own[2]: values[2].try_cast(kind)})
+        right = [setup.select(*(F.col(c).alias(o) for c, o in zip(("uid", "ps", "pe"), own[3:], strict=True)), *(F.col(f"out{i}").alias(new[output_name(r)]) for i, r in enumerate(rows))) for rows, setup in batch]
+        one = right[0]
+        if len(right) > 1:  # a key has one row of each batch at most
+            every = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), right)
+            one = every.groupBy(*own[3:]).agg(*(F.first(c, ignorenulls=True).alias(c) for c in every.columns if c not in own))
+        on = reduce(lambda x, y: x & y, (F.col(a) == F.col(b) for a, b in zip(own[:3], own[3:], strict=True)))
+        out = keyed.join(one, on, "left").drop(*own)
+    kept = [c for c in master.columns if c not in names]
+    return out.select(*(F.col(quote(c)) for c in kept), *(F.col(new[n]).alias(n) for n in names))
+
+
+def _reads(row: dict) -> set[str]:
+    """Columns of the master that a batch's keys read, in lower case."""
+    out = set()
+    for k in KEYS[:3]:
+        cell = read_cell(str(row[k]))
+        out |= {cell.text} if cell.kind == "column" else tsql.columns_read(cell.text) if cell.kind == "dynamic" else set()
+    return {c.lower() for c in out}
 
 
 def batches(rows: list[dict]) -> list[list[dict]]:
@@ -168,6 +222,12 @@ def batches(rows: list[dict]) -> list[list[dict]]:
     return list(out.values())
 
 
+def _swept_apart(rows: list[dict]) -> list[list[dict]]:
+    """Of one batch, the rows that can be summed by blocks, and the others."""
+    parts = [[r for r in rows if (str(r["output_method"]).strip().upper() in SWEPT) == which] for which in (True, False)]
+    return [p for p in parts if p]
+
+
 def sql_file_exists_and_contains(path: str, text: str) -> bool:
     """A .sql file whose code, comments aside, has the text, with or without brackets."""
     if not str(path).lower().endswith(".sql") or not os.path.exists(path):
@@ -240,12 +300,16 @@ def run_assembly(
     sql_folder: str | None = None,
     debug_folder: str | None = None,
     execute: bool | None = None,
+    sweep: int | None = None,
 ) -> AssemblyResult:
     """A new master table, with a column for each enabled row, and the status of each row.
 
     With ``execute`` (and for a control file given by path, which gets the status
     written back) each batch runs and is stored, so that its status is what came
-    of it; a batch that fails leaves the master as it was, and the others go on.
+    of it; a batch that fails leaves the master as it was, and the others go on;
+    times that can't be read are counted, and warned of.
+    With ``sweep``, uids of more than so many events are summed by blocks of time
+    instead of meeting each period in pairs (not for DISTINCT).
     Otherwise the result is one plan, and rows that compile are said to be planned.
     With all rows off there is a warning and no result.
     """
@@ -261,19 +325,34 @@ def run_assembly(
     by_path = isinstance(control, (str, os.PathLike))
     execute = by_path if execute is None else execute
     done: dict[tuple, dict] = {}
-    for rows in batches(entity_rows(on.rows)):
+    waiting: list[tuple[list[dict], DataFrame]] = []
+    parts = batches(entity_rows(on.rows))
+    for rows in parts if sweep is None else [p for rows in parts for p in _swept_apart(rows)]:
+        if waiting and _reads(rows[0]) & {output_name(r).lower() for w, _ in waiting for r in w}:
+            df, waiting = attach(df, waiting), []  # these keys are outputs of batches before
 
         def go(rows=rows, df=df):
-            setup = measure_batch(df, catalog.get(str(rows[0]["measure_table"])), rows)
-            out = attach(df, stored(setup, "assembly") if execute else setup, rows[0])
+            measure = catalog.get(str(rows[0]["measure_table"]))
+            setup = measure_batch(df, measure, rows, sweep)
+            out = attach(df, [(rows, setup)])
             if debug_folder:
                 save_code_to_script(out._jdf.queryExecution().toString(), f"assembly {output_name(rows[0])}", debug_folder)
-            return out
+            if not execute:
+                return setup
+            kind = dict(setup.dtypes)["ps"]
+            for where, side, which in (("the master", df, ("period_start", "period_end")), (str(rows[0]["measure_table"]), measure, ("measure_start", "measure_end"))):
+                for c, n in unreadable(side, rows[0], which, kind).items():
+                    warnings.warn(f"{n} values of {c} {rows[0][c]} in {where} are no times, and meet nothing", stacklevel=2)
+            return stored(setup, "assembly")
 
         got = attempt(go)
-        df = got["result"] if got["result"] is not None else df
+        if got["result"] is not None:
+            waiting.append((rows, got["result"]))
         got["status"] = PLANNED if got["status"] == SUCCESS and not execute else got["status"]
-        done[tuple(str(rows[0][k]) for k in KEYS)] = got
+        key = tuple(str(rows[0][k]) for k in KEYS)
+        if key not in done or done[key]["status"] in (SUCCESS, PLANNED):  # of a batch in parts, one that failed counts
+            done[key] = got
+    df = attach(df, waiting) if waiting else df
     progress = ControlTable([*on.columns, *PROGRESS], [{**r, **{p: done[tuple(str(r[k]) for k in KEYS)][p] for p in PROGRESS}} for r in on.rows])
     status = _progress(full, table, progress)
     if by_path:

@@ -54,6 +54,10 @@ def sql2id(text: str) -> list[str]:
     return [p.strip().strip("[]").strip() for p in re.findall(r"\[[^\]]*\]|[^.]+", text)]
 
 
-def header_kind(name: str) -> str:
-    """The keyword of a header: digits and dots do not count."""
-    return re.sub(r"[0-9.]", "", name).lower()
+def spare(names: Iterable[str], *wanted: str) -> list[str]:
+    """The wanted names with a mark before them that makes them unlike all the others, in any case."""
+    have = {n.lower() for n in names}
+    mark = "_"
+    while any(f"{mark}{w}".lower() in have for w in wanted):
+        mark += "_"
+    return [mark + w for w in wanted]

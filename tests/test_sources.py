@@ -7,8 +7,8 @@ from tabloom.functions.delimiters import add_delimiters, is_delimited, no_obviou
 from tabloom.operators.ddl import add_column_sql, add_columns, drop_column_sql
 from tabloom.operators.types import is_valid_data_type, spark_type
 from tabloom.sources import paths
-from tabloom.sources.controlfile import ControlTable, as_control_table, load_control_file, merge_progress, save_control_file, save_control_file_w_progress
-from tabloom.sources.names import header_kind, make_name, make_names, make_unique, sql2id, tolower_colnames
+from tabloom.sources.controlfile import ControlTable, as_control_table, keyword, load_control_file, merge_progress, save_control_file, save_control_file_w_progress
+from tabloom.sources.names import make_name, make_names, make_unique, sql2id, tolower_colnames
 from tabloom.sources.sinks import append_csv, format_value
 from tabloom.sources.tables import Catalog, load_csv
 from tabloom.sources.xlsx import read_sheet, sheet_names, write_sheet
@@ -18,7 +18,7 @@ def test_names():
     assert make_unique(["group", "group", "a", "group", "group.1"]) == ["group", "group.2", "a", "group.3", "group.1"]
     assert make_names(["GROUP", "GROUP", "number of businesses", "2x", "_y", "if", ""]) == ["GROUP", "GROUP.1", "number.of.businesses", "X2x", "X_y", "if.", "X"]
     assert make_name("employee count p%") == "employee.count.p."
-    assert header_kind("COUNT.1") == header_kind("count05") == "count"
+    assert keyword("COUNT.1") == keyword("count05") == "count"
     assert sql2id("[db].[my schema].[t.x]") == ["db", "my schema", "t.x"] and sql2id("a.b") == ["a", "b"]
 
 

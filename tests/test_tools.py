@@ -178,7 +178,7 @@ def test_overlap_join_needs_one_exchange_of_each_side(spark, spells):
         base, events = spells
         plan = measure_batch(base, events, [control()])
         text = plan._jdf.queryExecution().executedPlan().toString()
-        assert text.count("Exchange hashpartitioning(_uid") + text.count("Exchange hashpartitioning(_muid") <= 3 and "CartesianProduct" not in text and "NestedLoop" not in text
+        assert text.count("Exchange hashpartitioning(uid") + text.count("Exchange hashpartitioning(muid") <= 3 and "CartesianProduct" not in text and "NestedLoop" not in text
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
