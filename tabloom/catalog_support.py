@@ -54,7 +54,7 @@ def facts(name: str, expected: dict[str, str], find: Callable[[SparkSession, str
 def r_cells(source: str, cells: dict[str, str]) -> Callable[[SparkSession, str], DataFrame]:
     def fn(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = table(spark, sf_dir, source)
-        return df.select(*(rexpr.to_column(text, df.columns).alias(n) for n, text in cells.items()))
+        return df.select(*(rexpr.to_column(text, dict(df.dtypes)).alias(n) for n, text in cells.items()))
 
     return fn
 
@@ -89,6 +89,24 @@ add("expr_tsql_dates",
     sql_cells("events", {"event_id": "event_id", "hours": "DATEDIFF(HOUR, '2024-01-01', ts)", "minutes": "DATEDIFF(MINUTE, '2024-01-01', ts)", "weeks": "DATEDIFF(WEEK, '2024-01-01', ts)", "later": "DATEADD(MINUTE, 90, ts)",
                          "fortnight": "DATEADD(WEEK, 2, ts)", "past": "ts < GETDATE()", "days": "DATEDIFF(DAY, '2024-01-01', ts)", "months": "DATEDIFF(MONTH, '2023-03-05', ts)", "julian": "JULIANDAY(ts)"}))
 
+add("expr_r_coercions",
+    "SELECT o_orderkey, o_orderkey::VARCHAR || '/' || CASE WHEN o_custkey % 2 = 0 THEN (o_custkey // 2)::VARCHAR ELSE (o_custkey // 2)::VARCHAR || '.5' END || '/' || CASE WHEN o_custkey > 50 THEN 'TRUE' ELSE 'FALSE' END AS said, "
+    "length((o_custkey % 1000)::VARCHAR) AS size, (o_custkey % 10)::VARCHAR = '7' AS seven, CASE WHEN o_custkey % 10 > 4 THEN 'many' ELSE (o_custkey % 10)::VARCHAR END AS few, (o_custkey > 50)::INT + 1 AS counted, "
+    "substr(o_orderpriority, 1, 1) IN ('1', '3') AS listed, (o_orderdate::DATE + 30) AS due, o_orderdate::DATE > DATE '1996-06-30' AS late, date_diff('day', DATE '1995-01-01', o_orderdate::DATE)::INT AS days, "
+    "CASE WHEN o_custkey % 100 <= 0 THEN NULL WHEN o_custkey % 100 <= 10 THEN '(0,10]' WHEN o_custkey % 100 <= 50 THEN '(10,50]' ELSE '(50,Inf]' END AS band, coalesce(nullif(o_orderstatus, 'O'), (o_custkey % 3)::VARCHAR) AS filled FROM orders",
+    r_cells("orders", {"o_orderkey": "o_orderkey", "said": "paste0(o_orderkey, '/', o_custkey / 2, '/', o_custkey > 50)", "size": "nchar(o_custkey %% 1000)", "seven": "o_custkey %% 10L == '7'", "few": "ifelse(o_custkey %% 10L > 4, 'many', o_custkey %% 10L)",
+                       "counted": "(o_custkey > 50) + 1L", "listed": "substr(o_orderpriority, 1, 1) %in% c(1, 3)", "due": "as.Date(o_orderdate) + 30", "late": "as.Date(o_orderdate) > '1996-06-30'",
+                       "days": "as.Date(o_orderdate) - as.Date('1995-01-01')", "band": "cut(o_custkey %% 100L, c(0, 10, 50, Inf))", "filled": "coalesce(na_if(o_orderstatus, 'O'), o_custkey %% 3L)"}))
+add("expr_tsql_coercions",
+    "SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN NULL ELSE o_orderstatus || '!' END AS joined, year(o_orderdate) AS y, quarter(o_orderdate) AS q, dayofweek(o_orderdate) + 1 AS weekday, dayofyear(o_orderdate) AS yd, weekofyear(o_orderdate) AS week, "
+    "dayname(o_orderdate) || ' ' || monthname(o_orderdate) AS named, strftime(o_orderdate, '%d/%m/%Y') AS british, strftime(o_orderdate, '%Y%m%d') AS iso, strftime(o_orderdate, '%Y-%m') AS short, (o_orderdate::DATE + 1) AS next, "
+    "round(ln(o_custkey + 1), 6) AS nat, round(log2(o_custkey + 1), 6) AS bits, repeat('*', (o_custkey % 4)::INT) AS stars, CASE o_custkey % 3 WHEN 1 THEN 'one' WHEN 2 THEN 'two' END AS chosen, "
+    "regexp_matches(o_orderpriority, '^[1-3]-') AS urgent, strpos(o_orderpriority, '-') AS at, 'c' || o_custkey::VARCHAR || '-' || (o_custkey // 2)::VARCHAR AS code FROM orders",
+    sql_cells("orders", {"o_orderkey": "o_orderkey", "joined": "NULLIF(o_orderstatus, 'O') + '!'", "y": "DATEPART(YEAR, o_orderdate)", "q": "DATEPART(QUARTER, o_orderdate)", "weekday": "DATEPART(WEEKDAY, o_orderdate)", "yd": "DATEPART(DAYOFYEAR, o_orderdate)", "week": "DATEPART(ISO_WEEK, o_orderdate)",
+                         "named": "DATENAME(WEEKDAY, o_orderdate) + ' ' + DATENAME(MONTH, o_orderdate)", "british": "CONVERT(VARCHAR(10), o_orderdate, 103)", "iso": "CONVERT(CHAR(8), o_orderdate, 112)", "short": "CONVERT(VARCHAR(7), o_orderdate, 120)", "next": "CAST(o_orderdate AS DATE) + 1",
+                         "nat": "ROUND(LOG(o_custkey + 1), 6)", "bits": "ROUND(LOG(o_custkey + 1, 2), 6)", "stars": "REPLICATE('*', o_custkey % 4)", "chosen": "CHOOSE(o_custkey % 3, 'one', 'two')",
+                         "urgent": "o_orderpriority LIKE '[1-3]-%'", "at": "PATINDEX('%-%', o_orderpriority)", "code": "CONCAT('c', o_custkey, '-', o_custkey / 2)"}))
+
 
 # assembly: times of day, and statuses that follow what ran
 

@@ -92,7 +92,7 @@ def entity_union(df: DataFrame, entities: Sequence[str], groups: Sequence[str],
     return df.select(F.inline(F.array(half("min"), half("max"))))
 
 
-def _value(cell: Cell, names: Sequence[str]) -> Column:
+def _value(cell: Cell, names: dict[str, str]) -> Column:
     if cell.kind == "dynamic":
         return rexpr.to_column(cell.text, names)
     if cell.kind == "constant":
@@ -151,15 +151,15 @@ def compile_row(spec: SummarySpec, df: DataFrame, remove_na_from_groups: bool =
         df = df.dropna("any", subset=[quote(g) for g in dict.fromkeys(spec.groups.values())])
     if entity_where == "before_union":
         for w in spec.where:
-            df = df.where(rexpr.to_column(w, names))
+            df = df.where(rexpr.to_column(w, dict(df.dtypes)))
     if entities:
         read = set().union(*(rexpr.columns_read(c.text) if c.kind == "dynamic" else {c.text} for h, c in spec.aggregates.items() if c.text not in entities), set())
         df = entity_union(df, entities, list(spec.groups.values()), sorted(read))
     if entity_where == "after_union":
         for w in spec.where:
-            df = df.where(rexpr.to_column(w, df.columns))
+            df = df.where(rexpr.to_column(w, dict(df.dtypes)))
     kinds = dict(df.dtypes)
-    aggs = [aggregate(keyword(h), _value(c, df.columns), null_mode).alias(h) for h, c in spec.aggregates.items()]
+    aggs = [aggregate(keyword(h), _value(c, kinds), null_mode).alias(h) for h, c in spec.aggregates.items()]
     keys = {f"_g{i}": g for i, g in enumerate(dict.fromkeys(spec.groups.values()))}
     by = {g: k for k, g in keys.items()}
     grouped = df.groupBy(*(F.col(quote(g)).alias(k) for k, g in keys.items())).agg(*aggs) if keys else df.agg(*aggs)
@@ -261,7 +261,7 @@ def _try(report: Report, text: str, df: DataFrame) -> None:
         report.check(False, f"expression with unpaired brackets or quotes, or with ; or braces: {text}")
         return
     try:
-        df.select(rexpr.to_column(text, df.columns))  # analysed, not run
+        df.select(rexpr.to_column(text, dict(df.dtypes)))  # analysed, not run
     except Exception as e:
         report.check(False, f"expression {text!r}: {str(e).splitlines()[0]}")
 
