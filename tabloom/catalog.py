@@ -15,6 +15,7 @@ from tabloom.operators.assembly import run_assembly
 from tabloom.operators.confidential import run_confidential
 from tabloom.operators.pipeline import run_pipeline
 from tabloom.operators.pipeline_sql import read_and_prepare_sql_code
+from tabloom.operators.sql_script import SqlScript
 from tabloom.operators.summary import run_summary
 from tabloom.plans.combos import expand_compact_summary_groups, generate_combinations
 from tabloom.registry import ORACLES, QUERIES, add, table
@@ -344,6 +345,45 @@ def _batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+_TSQL = """
+-- limits by status, in a table of the script's own
+DROP TABLE IF EXISTS #limits
+CREATE TABLE #limits ([order status] VARCHAR(5), least FLOAT);
+INSERT INTO #limits VALUES ('O', 100000), ('F', 50000), ('P', NULL)
+
+SELECT o.o_orderstatus AS status, ISNULL(o.o_orderpriority, N'none') AS [the priority], o.o_totalprice AS price
+INTO #big
+FROM [no_db].[global_temp].[script_orders] o WITH (NOLOCK)
+INNER JOIN #limits l ON o.o_orderstatus = l.[order status]
+WHERE o.o_totalprice > l.least
+GO
+UPDATE #big SET [the priority] = CONCAT('low', RIGHT([the priority], 3)) WHERE [the priority] = '5-LOW';
+DELETE FROM #big WHERE status = 'F' AND [the priority] = '2-HIGH'
+INSERT INTO #big (status, price)
+SELECT TOP 1 'top', o_totalprice
+FROM [script_orders_view]
+ORDER BY o_totalprice DESC
+GO
+WITH counted AS (
+    SELECT status, [the priority] AS priority, COUNT_BIG(*) AS n, CAST(ROUND(MAX(price), 2) AS FLOAT) AS most
+    FROM #big
+    GROUP BY status, [the priority]
+)
+SELECT * FROM counted WHERE n > IIF(status = 'top', 0, 1)
+"""
+
+
+def _tsql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A script in SQL Server's style, with tables of its own."""
+    script, out = SqlScript(spark), None
+    table(spark, sf_dir, "orders").createOrReplaceGlobalTempView("script_orders")
+    script.session.read.parquet(f"{sf_dir}/orders.parquet").createOrReplaceTempView("script_orders_view")
+    for batch in read_and_prepare_sql_code(os.path.join(_scripts({"a.sql": _TSQL}), "a.sql")):
+        if batch.code.strip():
+            out = script.run(batch.code) or out
+    return out
+
+
 def _setvar(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _scripts({"a.sql": ":setvar limit 200000\n:setvar col o_orderpriority\nSELECT $(col) AS priority, count(*) AS n FROM pipeline_orders WHERE o_totalprice > $(limit) GROUP BY $(col)\n"})
     table(spark, sf_dir, "orders").createOrReplaceTempView("pipeline_orders")
@@ -367,6 +407,10 @@ def _merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 add("pipeline_sql_batches", "SELECT o_orderstatus AS status, count(*) AS n FROM orders WHERE o_totalprice > 100000 GROUP BY o_orderstatus", _batches)
+add("pipeline_tsql_own_tables",
+    "WITH big AS (SELECT o_orderstatus AS status, CASE WHEN o_orderpriority = '5-LOW' THEN 'lowLOW' ELSE o_orderpriority END AS priority, o_totalprice AS price FROM orders WHERE o_totalprice > CASE o_orderstatus WHEN 'O' THEN 100000 WHEN 'F' THEN 50000 END), "
+    "every AS (SELECT * FROM big WHERE NOT (status = 'F' AND priority = '2-HIGH') UNION ALL SELECT 'top', NULL, max(o_totalprice) FROM orders) "
+    "SELECT status, priority, count(*) AS n, round(max(price), 2) AS most FROM every GROUP BY status, priority HAVING count(*) > CASE WHEN status = 'top' THEN 0 ELSE 1 END", _tsql)
 add("pipeline_setvar", "SELECT o_orderpriority AS priority, count(*) AS n FROM orders WHERE o_totalprice > 200000 GROUP BY o_orderpriority", _setvar)
 add("pipeline_stop_on_failure", "SELECT * FROM (VALUES ('STOP IF ANY FAILURES', 'Stopped'), ('good.sql', 'Successful completion'), ('late.sql', NULL), ('bad.sql', 'Stopped with error')) t(file, status)", _stop)
 add("progress_merge", "SELECT r_name AS name, CASE WHEN (row_number() OVER (ORDER BY r_name)) % 2 = 0 THEN 'old' WHEN row_number() OVER (ORDER BY r_name) <= 3 THEN 'new' END AS status FROM region", _merge)

@@ -15,6 +15,7 @@ from pyspark.sql import SparkSession
 
 from tabloom.operators.pipeline_sql import read_and_prepare_sql_code
 from tabloom.operators.report import SUCCESS, Report, attempt, first_line, now, some
+from tabloom.operators.sql_script import SqlScript
 from tabloom.operators.summary import _progress
 from tabloom.sources.controlfile import PROGRESS, ControlTable, as_control_table, save_control_file
 from tabloom.sources.paths import adjust_file_path_handling, run_time_inform_user
@@ -27,7 +28,8 @@ class ScriptError(RuntimeError):
 
 
 def try_run_sql_query(spark: SparkSession, query: str) -> dict:
-    return _status(attempt(lambda: spark.sql(query).collect()))
+    """Run, with no row for the driver."""
+    return _status(attempt(lambda: spark.sql(query).write.format("noop").mode("overwrite").save()))
 
 
 def _status(got: dict) -> dict:
@@ -46,18 +48,21 @@ def _warnings(ignore: bool, kind: type[Warning] = Warning):
 
 
 def try_run_sql_file(spark: SparkSession, path: str, inject: dict[str, str] | None = None, ignore_warnings: bool = False) -> dict:
-    """All batches in a session of their own; the first error ends the file."""
+    """All batches in a session of their own; the first error ends the file, and its own tables go with it."""
 
     def go() -> bool:
-        session = spark.newSession()
-        for batch in read_and_prepare_sql_code(path, inject):
-            if batch.code.strip():
-                try:
-                    with _warnings(ignore_warnings, UserWarning):
-                        session.sql(batch.code).collect()
-                except Exception as e:
-                    kind = type(e) if isinstance(e, Warning) else ScriptError
-                    raise kind(f"lines {batch.start_line} to {batch.end_line}: {first_line(e)}") from e
+        script = SqlScript(spark)
+        try:
+            for batch in read_and_prepare_sql_code(path, inject):
+                if batch.code.strip():
+                    try:
+                        with _warnings(ignore_warnings, UserWarning):
+                            script.run(batch.code)
+                    except Exception as e:
+                        kind = type(e) if isinstance(e, Warning) else ScriptError
+                        raise kind(f"lines {batch.start_line} to {batch.end_line}: {first_line(e)}") from e
+        finally:
+            script.close()
         return True
 
     return _status(attempt(go))
@@ -77,7 +82,8 @@ def try_run_py_file(path: str, inject: dict | None = None, ignore_warnings: bool
 def sql_parses(spark: SparkSession, code: str) -> str | None:
     """The parser's complaint, or None; tables need not exist."""
     try:
-        spark._jsparkSession.sessionState().sqlParser().parsePlan(code)
+        for text in SqlScript(spark).texts(code):
+            spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
     except Exception as e:
         return first_line(e)
     return None

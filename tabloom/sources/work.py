@@ -6,13 +6,13 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The frame, run now and read back from the folder that all executors share."""
+def stored(df: DataFrame, name: str, with_path: bool = False):
+    """The frame, run now and read back from the folder that all executors share; what is not dropped goes when Python ends."""
     spark = df.sparkSession
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
@@ -25,4 +25,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
         shared = _own[0]
     path = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    atexit.register(drop, spark, path)
+    out = spark.read.schema(df.schema).parquet(path)
+    return (out, path) if with_path else out
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """A stored table goes, if it is still there and the session too."""
+    try:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # at exit the JVM may be gone already; the folder's owner cleans up then
+        return
