@@ -82,7 +82,7 @@ summary("summary_two_groups", "orders", [{"GROUP1": "o_orderstatus", "GROUP2": "
         "SELECT 'o_orderstatus' AS grplabel1, o_orderstatus AS group1, 'o_orderpriority' AS grplabel2, o_orderpriority AS group2, count(o_orderkey) AS count FROM t GROUP BY o_orderstatus, o_orderpriority")
 
 
-def _stacked(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _stacked(spark: SparkSession, sf_dir: str, share: str = "apart") -> DataFrame:
     rows = [
         {"ENABLED": "TRUE", "LABEL": "by flag", "GROUP1": "l_returnflag", "COUNT": "qty", "SUM": "l_tax"},
         {"ENABLED": "TRUE", "LABEL": "by status", "GROUP1": "l_linestatus", "COUNT": "qty"},
@@ -90,7 +90,7 @@ def _stacked(spark: SparkSession, sf_dir: str) -> DataFrame:
         {"ENABLED": "1", "LABEL": "all", "SUM": "l_discount"},
         {"ENABLED": "no", "LABEL": "off", "COUNT": "qty"},
     ]
-    return rounded(run_summary(rows, _input(spark, sf_dir, "lineitem")).df)
+    return rounded(run_summary(rows, _input(spark, sf_dir, "lineitem"), share=share).df)
 
 
 add("summary_stacked_rows", _with("lineitem") + " UNION ALL ".join((
@@ -99,6 +99,8 @@ add("summary_stacked_rows", _with("lineitem") + " UNION ALL ".join((
     "SELECT 'by number', 'l_linenumber', l_linenumber::VARCHAR, count(qty), round(sum(qty), 2) FROM t WHERE l_quantity > 10 GROUP BY l_linenumber",
     "SELECT 'all', NULL, NULL, NULL, round(sum(l_discount), 2) FROM t",
 )), _stacked)
+for _mode in ("rollup", "sets"):
+    add(f"summary_shared_{_mode}", ORACLES["summary_stacked_rows"], lambda s, d, m=_mode: _stacked(s, d, m))
 summary("summary_na_groups_removed", "orders", [{"GROUP1": "status", "COUNT": "o_orderkey"}], "SELECT 'status' AS grplabel1, status AS group1, count(o_orderkey) AS count FROM t WHERE status IS NOT NULL GROUP BY status")
 summary("summary_na_groups_kept", "orders", [{"GROUP1": "status", "COUNT": "o_orderkey"}], "SELECT 'status' AS grplabel1, status AS group1, count(o_orderkey) AS count FROM t GROUP BY status", remove_na_from_groups=False)
 summary("summary_where_multi", "events", [{"GROUP1": "event_type", "COUNT": "event_id", "WHERE1": "{value > 20 & user_id != 3}", "WHERE2": "{user_id %in% c(1, 3, 5, 7, 9, 11)}"}],

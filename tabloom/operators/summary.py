@@ -18,6 +18,7 @@ from tabloom.functions.parse import ExpressionError
 from tabloom.functions.rexpr import quote
 from tabloom.operators.report import PLANNED, SUCCESS, Report, attempt, some
 from tabloom.plans.combos import tolower_control_file_cells
+from tabloom.plans.shared import MODES, PARTS, SharedRow, shared
 from tabloom.sources.controlfile import PROGRESS, ControlTable, as_control_table, keyword, merge_progress, save_control_file
 from tabloom.sources.names import tolower_colnames
 from tabloom.sources.paths import save_code_to_script
@@ -183,21 +184,55 @@ def _common(kinds: set[str]) -> str:
     return "string"
 
 
-def stack(frames: Sequence[DataFrame], columns: Sequence[str]) -> DataFrame:
-    """All results in one plan; columns that a row lacks are missing in it."""
+def _types(frames: Sequence[DataFrame], columns: Sequence[str]) -> dict[str, str]:
     kinds = {c: set() for c in columns}
     for df in frames:
         for c, k in df.dtypes:
             kinds[c].add(k)
-    types = {c: _common(k) for c, k in kinds.items()}
+    return {c: _common(k) for c, k in kinds.items()}
+
+
+def _shaped(c: str, value: Column | None, kind: str | None, to: str) -> Column:
+    """An output of type ``kind`` as the column's own type; missing where a row has none."""
+    if value is None:
+        return F.lit(None).cast(to).alias(c)
+    return (as_text(value, kind) if to == "string" else value).cast(to).alias(c)
+
+
+def stack(frames: Sequence[DataFrame], columns: Sequence[str], types: dict[str, str] | None = None) -> DataFrame:
+    """All results in one plan; columns that a row lacks are missing in it."""
+    types = types or _types(frames, columns)
 
     def shaped(df: DataFrame) -> DataFrame:
         has = dict(df.dtypes)
-        return df.select(*((as_text(F.col(quote(c)), has[c]) if types[c] == "string" else F.col(quote(c)).cast(types[c]) if c in has else F.lit(None)).cast(types[c]).alias(c) if c in has else F.lit(None).cast(types[c]).alias(c) for c in columns))
+        return df.select(*(_shaped(c, F.col(quote(c)) if c in has else None, has.get(c), types[c]) for c in columns))
 
     return reduce(DataFrame.unionByName, map(shaped, frames))
 
 
+def can_share(spec: SummarySpec, names: Sequence[str]) -> bool:
+    """Whether all of a row's aggregates can be made of parts."""
+    kinds = [keyword(h) for h in spec.aggregates]
+    return bool(kinds) and all(k in PARTS for k in kinds)
+
+
+def _shared_row(spec: SummarySpec, df: DataFrame, own: DataFrame, columns: Sequence[str], types: dict[str, str], null_mode: str) -> SharedRow:
+    kinds, has = dict(df.dtypes), dict(own.dtypes)
+    tests = [rexpr.to_column(w, kinds) for w in spec.where]
+    headers = {f"grplabel{h[len('group'):]}": F.lit(g) for h, g in spec.groups.items()} | {h: F.lit(v) for h, v in spec.labels.items()}
+
+    def output(groups: dict[str, Column], found: dict[str, Column]) -> list[Column]:
+        values = dict(headers)
+        values |= {h: as_text(groups[g], kinds[g]) for h, g in spec.groups.items()}
+        for h, c in found.items():
+            empty = keyword(h) == "count" or (null_mode == "local" and keyword(h) in ("sum", "seed"))
+            values[h] = F.coalesce(c, F.lit(0)).cast(has[h]) if empty else c
+        return [_shaped(c, values.get(c), has.get(c), types[c]) for c in columns]
+
+    aggregates = {h: (keyword(h), f"{c.kind} {c.text}", _value(c, kinds)) for h, c in spec.aggregates.items()}
+    return SharedRow(list(dict.fromkeys(spec.groups.values())), "; ".join(spec.where), reduce(lambda a, b: a & b, tests) if tests else None, aggregates, output)
+
+
 def _prepare(control, sheet, df: DataFrame) -> tuple[ControlTable, DataFrame]:
     table = as_control_table(control, sheet).lower().without(PROGRESS)
     df = tolower_colnames(df)
@@ -280,13 +315,20 @@ def remove_empty_entities(specs: Sequence[SummarySpec], df: DataFrame) -> list[S
     return out
 
 
-def summarise(specs: Sequence[SummarySpec], df: DataFrame, columns: Sequence[str], **options) -> DataFrame:
-    """One plan for rows that are known to be right."""
+def summarise(specs: Sequence[SummarySpec], df: DataFrame, columns: Sequence[str], share: str = "apart", **options) -> DataFrame:
+    """One plan for rows that are known to be right; with ``share``, one scan for those that can share it."""
     frames = []
     for spec in specs:
         got = compile_row(spec, df, **options) if spec.aggregates else df.sparkSession.range(1).select(*(F.lit(v).alias(h) for h, v in spec.labels.items()))
         frames.append(got)
-    return stack(frames, columns)
+    together = [i for i, s in enumerate(specs) if can_share(s, df.columns)] if share != "apart" else []
+    if len(together) < 2:
+        return stack(frames, columns)
+    types = _types(frames, columns)
+    rows = [_shared_row(specs[i], df, frames[i], columns, types, options.get("null_mode", "local")) for i in together]
+    out = shared(df, rows, share, options.get("remove_na_from_groups", True))
+    rest = [f for i, f in enumerate(frames) if i not in together]
+    return out.unionByName(stack(rest, columns, types)) if rest else out
 
 
 def run_summary(
@@ -302,6 +344,7 @@ def run_summary(
     null_mode: str = "local",
     drop_empty_entities: bool = False,
     write: bool = False,
+    share: str = "apart",
 ) -> SummaryResult:
     """Validates, compiles every enabled row, and stacks what compiled.
 
@@ -311,8 +354,11 @@ def run_summary(
     is a warning and no result. With ``write`` each
     result file is written, one job for all of its rows; if that job fails, its
     rows run one by one to find whose fault it was. A control file given by
-    path gets the progress written back.
+    path gets the progress written back. ``share`` is how rows share a scan:
+    "apart" (a scan for each), "rollup" or "sets" (see ``plans.shared``).
     """
+    if share not in MODES:
+        raise ValueError(f"share is one of {', '.join(MODES)}")
     report = validate_summary_control_file(control, df, sheet, save_file, check_data=False)
     if not partial_output:
         report.require()
@@ -326,7 +372,7 @@ def run_summary(
     specs = [read_spec(r) for r in on.rows]
     if drop_empty_entities:
         specs = remove_empty_entities(specs, df)
-    options = {"remove_na_from_groups": remove_na_from_groups, "entity_where": entity_where, "null_mode": null_mode}
+    options = {"remove_na_from_groups": remove_na_from_groups, "entity_where": entity_where, "null_mode": null_mode, "share": share}
     done = [attempt(lambda s=s: summarise([s], df, columns, **options)) for s in specs]
     files: dict[str | None, list[int]] = {}
     ran: set[int] = set()
