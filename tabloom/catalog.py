@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom import catalog_support  # noqa: F401  registers its queries
+from tabloom import catalog_support
 from tabloom.functions import rounding
 from tabloom.operators.assembly import run_assembly
 from tabloom.operators.confidential import run_confidential
@@ -393,11 +393,10 @@ def _setvar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(batch.code)
 
 
-def _stop(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _stop(spark: SparkSession, sf_dir: str) -> dict[str, object]:
     folder = _scripts({"good.sql": "SELECT 1\n", "bad.sql": "SELECT * FROM no_such_table\n", "late.sql": "SELECT 2\n"})
     rows = [{"order": str(i), "folder": folder, "file": f} for i, f in ((3, "STOP IF ANY FAILURES"), (1, "good.sql"), (4, "late.sql"), (2, "bad.sql"))]
-    status = run_pipeline(rows, spark)
-    return spark.createDataFrame([(r["file"], str(r["status"]).split(":")[0] if r["status"] else None) for r in status.rows], "file string, status string")
+    return {r["file"]: str(r["status"]).split(":")[0] for r in run_pipeline(rows, spark).rows}
 
 
 def _merge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -414,7 +413,7 @@ add("pipeline_tsql_own_tables",
     "every AS (SELECT * FROM big WHERE NOT (status = 'F' AND priority = '2-HIGH') UNION ALL SELECT 'top', NULL, max(o_totalprice) FROM orders) "
     "SELECT status, priority, count(*) AS n, round(max(price), 2) AS most FROM every GROUP BY status, priority HAVING count(*) > CASE WHEN status = 'top' THEN 0 ELSE 1 END", _tsql)
 add("pipeline_setvar", "SELECT o_orderpriority AS priority, count(*) AS n FROM orders WHERE o_totalprice > 200000 GROUP BY o_orderpriority", _setvar)
-add("pipeline_stop_on_failure", "SELECT * FROM (VALUES ('STOP IF ANY FAILURES', 'Stopped'), ('good.sql', 'Successful completion'), ('late.sql', NULL), ('bad.sql', 'Stopped with error')) t(file, status)", _stop)
+catalog_support.check("pipeline_stop_on_failure", {"STOP IF ANY FAILURES": "Stopped", "good.sql": "Successful completion", "late.sql": "None", "bad.sql": "Stopped with error"}, _stop)
 add("progress_merge", "SELECT r_name AS name, CASE WHEN (row_number() OVER (ORDER BY r_name)) % 2 = 0 THEN 'old' WHEN row_number() OVER (ORDER BY r_name) <= 3 THEN 'new' END AS status FROM region", _merge)
 
 

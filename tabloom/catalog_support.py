@@ -22,11 +22,12 @@ from tabloom.operators.pipeline import run_pipeline, try_run_py_file, try_run_sq
 from tabloom.operators.pipeline_sql import remove_sql_comments
 from tabloom.operators.summary import run_summary, validate_summary_control_file
 from tabloom.plans.combos import cross_product_column_names, tolower_control_file_cells
-from tabloom.registry import add, table
+from tabloom.registry import CHECKS, add, table
 from tabloom.sources import paths
 from tabloom.sources.controlfile import ControlTable, load_control_file, save_control_file, save_control_file_w_progress
 from tabloom.sources.sinks import append_csv
 from tabloom.sources.tables import load_csv
+from tabloom.sources.work import new_path
 
 
 def folder() -> str:
@@ -48,6 +49,11 @@ def facts(name: str, expected: dict[str, str], find: Callable[[SparkSession, str
     add(name, f"SELECT * FROM (VALUES {values}) t(what, found)", lambda s, d: s.createDataFrame([(k, str(v)) for k, v in find(s, d).items()], "what string, found string"))
 
 
+def check(name: str, expected: dict[str, str], find: Callable[[SparkSession, str], dict[str, object]]) -> None:
+    """Of helpers that read no table: a test, and no query."""
+    CHECKS[name] = (expected, find)
+
+
 # expressions
 
 
@@ -178,7 +184,7 @@ def _validated(spark: SparkSession, sf_dir: str) -> dict[str, object]:
 facts("validators", {
     "summary": "0 0", "summary column": "1 0", "summary formula": "1 0", "summary empty": "0 1", "assembly": "0 0", "assembly method": "1 0", "assembly injection": "1 0",
     "confidential": "0 0", "confidential column": "1 0", "pipeline": "0 0", "pipeline syntax": "1 0", "pipeline names": "1 0"}, _validated)
-facts("delimiters", {
+check("delimiters", {
     "column": "True a b", "constant": "True x", "dynamic": "True y + 1", "bare": "False z", "escape": "False", "escape 2": "False", "fine": "True", "put on": "[q]"},
     lambda s, d: {k: f"{delimiters.is_delimited(t, b)} {delimiters.remove_delimiters(t, b)}" for k, t, b in (("column", "[a b]", "[]"), ("constant", '"x"', '"'), ("dynamic", "{y + 1}", "{}"), ("bare", "z", "[]"))}
     | {"escape": delimiters.no_obvious_escaping_injection("a]; b"), "escape 2": delimiters.no_obvious_escaping_injection("it''s' "), "fine": delimiters.no_obvious_escaping_injection("[a] + (b)"), "put on": delimiters.add_delimiters("q", "[]")})
@@ -206,10 +212,10 @@ def _ran(spark: SparkSession, sf_dir: str) -> dict[str, object]:
     }
 
 
-facts("pipeline_scripts_and_log", {
+check("pipeline_scripts_and_log", {
     "script": "Successful completion", "ignored warning": "Successful completion", "failed": "Stopped with error: broken", "message": "True", "warning": "True", "error": "True", "waited": "120",
     "query": "Successful completion", "no query": "Stopped with error", "warned": "Stopped with warning: careful"}, _ran)
-facts("sql_text", {"comments": "SELECT 1  + 2", "contains": "True", "in a comment": "False", "drop": "1", "add": "1", "drop lite": "2"}, lambda s, d: {
+check("sql_text", {"comments": "SELECT 1  + 2", "contains": "True", "in a comment": "False", "drop": "1", "add": "1", "drop lite": "2"}, lambda s, d: {
     "comments": remove_sql_comments("SELECT 1 /* one */ + 2 -- three").strip(),
     "contains": sql_file_exists_and_contains(write("a.sql", "SELECT * INTO [db].[t] FROM x\n"), "db.t"), "in a comment": sql_file_exists_and_contains(write("b.sql", "-- [db].[t]\nSELECT 1\n"), "db.t"),
     "drop": ddl.drop_column_sql("t", ["a", "b"]).count("DROP"), "add": ddl.add_column_sql("t", ["a", "b"], ["INT", "FLOAT"]).count("ADD"), "drop lite": ddl.drop_column_sql("t", ["a", "b"], sqlite=True).count("DROP")})
@@ -235,7 +241,7 @@ add("control_file_round_trip", "SELECT kind, r_name AS name, 'done ' || r_region
 
 
 def _csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = os.path.join(folder(), "nation.csv")
+    path = f"{new_path(spark, 'csv-round-trip')}.csv"  # where executors can read it
     nation = table(spark, sf_dir, "nation").select("n_nationkey", F.expr("nullif(n_name, 'CHINA')").alias("n_name"), (F.col("n_nationkey") / 4).alias("part"))
     append_csv(nation.where("n_nationkey < 12"), path)
     append_csv(nation.where("n_nationkey >= 12"), path)
@@ -257,8 +263,8 @@ def _paths(spark: SparkSession, sf_dir: str) -> dict[str, object]:
     }
 
 
-facts("file_tools", {"next name": "report (1).csv", "lines": "one|two", "said": "True", "script": "SELECT 1", "mounted": "/mnt/z/a/b.csv", "locked": "False", "lab": "False", "examples": "True"}, _paths)
-add("combos_column_names", "SELECT a, b FROM (SELECT DISTINCT p.column_name AS a, q.column_name AS b FROM (VALUES ('r_name'), ('r_regionkey')) p(column_name), (VALUES ('n_name'), ('r_name')) q(column_name)) WHERE a <> b",
-    lambda s, d: s.createDataFrame([tuple(x) for x in cross_product_column_names(["r_name", "r_regionkey"], ["n_name", "r_name"]) if len([c for c in x if c]) == 2], "a string, b string"))
-facts("control_cells_lower", {"GROUP": "n_name", "COUNT": "n_nationkey", "LABEL": "Kept As It Is"}, lambda s, d: dict(
+check("file_tools", {"next name": "report (1).csv", "lines": "one|two", "said": "True", "script": "SELECT 1", "mounted": "/mnt/z/a/b.csv", "locked": "False", "lab": "False", "examples": "True"}, _paths)
+check("combos_column_names", {"r_name r_regionkey / n_name r_name": "r_name n_name, r_regionkey n_name, r_regionkey r_name"}, lambda s, d: {
+    "r_name r_regionkey / n_name r_name": ", ".join(sorted(" ".join(x) for x in cross_product_column_names(["r_name", "r_regionkey"], ["n_name", "r_name"]) if len([c for c in x if c]) == 2))})
+check("control_cells_lower", {"GROUP": "n_name", "COUNT": "n_nationkey", "LABEL": "Kept As It Is"}, lambda s, d: dict(
     tolower_control_file_cells(ControlTable(["GROUP", "COUNT", "LABEL"], [{"GROUP": "N_Name", "COUNT": "N_NATIONKEY", "LABEL": "Kept As It Is"}]), ["group", "count"], ["n_name", "n_nationkey"]).rows[0]))

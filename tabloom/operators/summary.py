@@ -19,6 +19,7 @@ from tabloom.functions.rexpr import quote
 from tabloom.operators.report import PLANNED, SUCCESS, Report, attempt, some
 from tabloom.plans.combos import tolower_control_file_cells
 from tabloom.plans.shared import MODES, PARTS, SharedRow, shared
+from tabloom.sources import files as files_
 from tabloom.sources.controlfile import PROGRESS, ControlTable, as_control_table, keyword, merge_progress, save_control_file
 from tabloom.sources.names import tolower_colnames
 from tabloom.sources.paths import save_code_to_script
@@ -390,12 +391,10 @@ def run_summary(
         if write and name:
             ran |= set(good)
             path = os.path.join(save_folder, name) if save_folder else name
-            if os.path.exists(path):
-                os.remove(path)
+            files_.remove(df.sparkSession, path)
             whole = attempt(lambda f=frame, p=path: append_csv(f, p))
             if whole["result"] is None and "error" in whole["status"]:
-                if os.path.exists(path):
-                    os.remove(path)
+                files_.remove(df.sparkSession, path)
                 for i in good:
                     done[i] |= attempt(lambda i=i, p=path: append_csv(summarise([specs[i]], df, columns, **options), p))
             else:

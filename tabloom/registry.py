@@ -16,3 +16,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def add(name: str, oracle: str, fn: Callable[[SparkSession, str], DataFrame]) -> None:
     QUERIES[name], ORACLES[name] = fn, oracle
+
+
+#: Checks of file and text helpers, which read no table: name to (what to found, how to find it). Tests run them.
+CHECKS: dict[str, tuple[dict[str, str], Callable[[SparkSession, str], dict[str, object]]]] = {}

@@ -1,12 +1,16 @@
-"""Results as one CSV file on the driver, row by row."""
+"""Results as one CSV file: tasks write its lines, and their files are put together in order."""
 
 from __future__ import annotations
 
 import decimal
 import math
-import os
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from tabloom.functions.rexpr import quote
+from tabloom.sources import files
+from tabloom.sources.work import drop, new_path
 
 
 def format_value(v) -> str:
@@ -25,12 +29,49 @@ def format_value(v) -> str:
     return '"' + str(v).replace('"', '""') + '"'
 
 
+def _plain_decimal(text: Column) -> Column:
+    """A decimal number as text without idle zeros."""
+    return F.when(text.contains("."), F.regexp_replace(text, r"\.?0+$", "")).otherwise(text)
+
+
+def _plain_double(x: Column) -> Column:
+    """A double without exponent, by the digits that tell it from others."""
+    text = F.abs(x).cast("string")
+    mantissa, power = F.substring_index(text, "E", 1), F.substring_index(text, "E", -1).cast("int")
+    digits = F.replace(mantissa, F.lit("."), F.lit(""))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+    n = F.length(digits)
+    large = F.when(n <= power + 1, F.rpad(digits, power + 1, "0")).otherwise(F.concat(F.left(digits, power + 1), F.lit("."), F.substring(digits, power + 2, F.lit(400))))
+    plain = F.when(text.contains("E"), F.when(power < 0, small).otherwise(large)).otherwise(text)
+    sign = F.when(x < 0, "-").otherwise("")
+    return F.when(F.isnan(x), "NA").when(F.abs(x) == float("inf"), F.concat(sign, F.lit("Inf"))).otherwise(F.concat(sign, _plain_decimal(plain)))
+
+
+def csv_value(x: Column, kind: str) -> Column:
+    """A value of a type as ``format_value`` writes it."""
+    if kind == "boolean":
+        text = F.when(x, "TRUE").otherwise("FALSE")
+    elif kind in ("tinyint", "smallint", "int", "bigint"):
+        text = x.cast("string")
+    elif kind in ("double", "float"):
+        text = _plain_double(x.cast("double"))
+    elif kind.startswith("decimal"):
+        text = _plain_decimal(x.cast("string"))
+    else:
+        text = F.concat(F.lit('"'), F.replace(x.cast("string"), F.lit('"'), F.lit('""')), F.lit('"'))
+    return F.when(x.isNull(), "NA").otherwise(text)
+
+
 def append_csv(df: DataFrame, path: str) -> None:
-    """Rows come one partition at a time; the header is written once."""
-    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
-    new = not os.path.exists(path)
-    with open(path, "a", encoding="utf-8") as f:
-        if new:
-            f.write(",".join(format_value(c) for c in df.columns) + "\n")
-        for row in df.toLocalIterator():
-            f.write(",".join(map(format_value, row)) + "\n")
+    """The frame's rows at the end of a file, which starts with a header; no row comes to the driver.
+
+    The path is one of Spark's: without a scheme it is on Spark's own file system.
+    """
+    spark = df.sparkSession
+    cells = [csv_value(F.col(quote(c)), k) for c, k in df.dtypes]
+    parts = new_path(spark, "csv")
+    try:
+        df.select(F.concat_ws(",", *cells).alias("value")).write.text(parts)
+        files.put_together(spark, path, parts, ",".join(map(format_value, df.columns)) + "\n")
+    finally:
+        drop(spark, parts)

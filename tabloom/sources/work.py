@@ -11,9 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 _own: list[str] = []
 
 
-def stored(df: DataFrame, name: str, with_path: bool = False):
-    """The frame, run now and read back from the folder that all executors share; what is not dropped goes when Python ends."""
-    spark = df.sparkSession
+def new_path(spark: SparkSession, name: str) -> str:
+    """A folder that is not there yet, where all executors can write; what is not dropped goes when Python ends."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         if not spark.sparkContext.master.startswith("local"):
@@ -24,8 +23,15 @@ def stored(df: DataFrame, name: str, with_path: bool = False):
             _own.append(f"file://{held.name}")
         shared = _own[0]
     path = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     atexit.register(drop, spark, path)
+    return path
+
+
+def stored(df: DataFrame, name: str, with_path: bool = False):
+    """The frame, run now and read back from the folder that all executors share."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     return (out, path) if with_path else out
 

@@ -8,6 +8,7 @@ import pytest
 
 import __spark_entry__
 from tabloom import catalog
+from tabloom.registry import CHECKS
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
@@ -38,6 +39,12 @@ def test_query_equals_its_sql(spark, sf_dir, duck, name):
     assert got == sorted((tuple(plain(r[i]) for i in at) for r in found.fetchall()), key=str) and got
 
 
+@pytest.mark.parametrize("name", sorted(CHECKS))
+def test_helpers_that_read_no_table(spark, sf_dir, name):
+    expected, find = CHECKS[name]
+    assert {k: str(v) for k, v in find(spark, sf_dir).items()} == expected and name not in catalog.QUERIES
+
+
 def test_entry_module(spark):
     assert set(catalog.QUERIES) <= set(__spark_entry__.queries()) and set(catalog.ORACLES) <= set(__spark_entry__.oracle_sql())
     assert __spark_entry__.entry(spark).count() > 0
