@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +19,7 @@ from tabloom.operators.summary import run_summary
 from tabloom.plans.combos import expand_compact_summary_groups, generate_combinations
 from tabloom.registry import ORACLES, QUERIES, add, table
 from tabloom.sources.controlfile import ControlTable, as_control_table, merge_progress
+from tabloom.sources.work import new_path
 
 # summary
 
@@ -251,6 +251,20 @@ add("assembly_clashing_names", assembly_sql("count(price)::INT AS out, round(sum
     assembled([measure_row("COUNT", "INT"), measure_row("SUM", "FLOAT", name="_new1")], lambda s, d: master(s, d).withColumns({c: F.lit(i) for i, c in enumerate(_CLASH)})))
 
 
+def _written_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A master table of the session, changed in place by two runs."""
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS tabloom_work LOCATION '{new_path(spark, 'database')}'")
+    name = "tabloom_work.assembly_written_back"
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    master(spark, sf_dir).write.saveAsTable(name)
+    for row in (measure_row("COUNT", "INT", name="n"), measure_row("SUM", "FLOAT", name="spent")):
+        run_assembly(spark, [row], "[server].[tabloom_work].[assembly_written_back]", {"spells": spells(spark, sf_dir)}, write_to=name)
+    return rounded(spark.table(name).drop("year_start", "year_end"))
+
+
+add("assembly_written_back", assembly_sql("count(price)::INT AS n, round(sum(price), 2) AS spent"), _written_back)
+
+
 #: A third of all events under one uid, and its every day a period.
 _HOT_SPELLS = "SELECT CASE WHEN user_id % 3 = 0 THEN 0 ELSE user_id END AS who, CAST(ts AS date) AS began, CAST(ts AS date) + CAST(event_id % 40 AS int) AS ended, value FROM events"
 _HOT_MASTER = f"SELECT DISTINCT who, began AS first, began + 6 AS last FROM ({_HOT_SPELLS})"
@@ -330,7 +344,7 @@ add("conf_full_control_file",
 
 
 def _scripts(files: dict[str, str]) -> str:
-    folder = tempfile.mkdtemp(prefix="tabloom-scripts-")
+    folder = catalog_support.folder()
     for name, text in files.items():
         with open(os.path.join(folder, name), "w", encoding="utf-8") as f:
             f.write(text)

@@ -6,6 +6,7 @@ depends on them.
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import warnings
@@ -32,7 +33,9 @@ from tabloom.sources.work import new_path
 
 def folder() -> str:
     """For scripts and control files, which the driver alone reads."""
-    return tempfile.mkdtemp(prefix="tabloom-files-")
+    held = tempfile.TemporaryDirectory(prefix="tabloom-files-")
+    atexit.register(held.cleanup)
+    return held.name
 
 
 def write(name: str, text: str, at: str | None = None) -> str:

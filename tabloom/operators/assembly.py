@@ -23,7 +23,7 @@ from tabloom.operators.types import is_valid_data_type, spark_type, text_length
 from tabloom.sources.controlfile import PROGRESS, ControlTable, as_control_table, save_control_file
 from tabloom.sources.names import spare, sql2id
 from tabloom.sources.paths import read_lines_utf8, save_code_to_script
-from tabloom.sources.tables import Catalog
+from tabloom.sources.tables import Catalog, mend_table, replace_table
 from tabloom.sources.work import stored
 
 #: Methods and headers of control files.
@@ -301,6 +301,7 @@ def run_assembly(
     debug_folder: str | None = None,
     execute: bool | None = None,
     sweep: int | None = None,
+    write_to: str | None = None,
 ) -> AssemblyResult:
     """A new master table, with a column for each enabled row, and the status of each row.
 
@@ -310,9 +311,13 @@ def run_assembly(
     times that can't be read are counted, and warned of.
     With ``sweep``, uids of more than so many events are summed by blocks of time
     instead of meeting each period in pairs (not for DISTINCT).
+    With ``write_to``, the name of the master's table in the catalog, each batch
+    runs too and that table gets the new columns, in place (``sources.tables.replace_table``).
     Otherwise the result is one plan, and rows that compile are said to be planned.
     With all rows off there is a warning and no result.
     """
+    if write_to:
+        mend_table(spark, write_to)
     validate_assembly_control_file(control, spark, master, measures, sheet, sql_folder).require()
     full = as_control_table(control, sheet)
     table = full.lower().without(PROGRESS)
@@ -323,7 +328,7 @@ def run_assembly(
         warnings.warn("all rows of the control file are off", stacklevel=2)
         return AssemblyResult(None, full)
     by_path = isinstance(control, (str, os.PathLike))
-    execute = by_path if execute is None else execute
+    execute = (by_path if execute is None else execute) or bool(write_to)
     done: dict[tuple, dict] = {}
     waiting: list[tuple[list[dict], DataFrame]] = []
     parts = batches(entity_rows(on.rows))
@@ -353,6 +358,8 @@ def run_assembly(
         if key not in done or done[key]["status"] in (SUCCESS, PLANNED):  # of a batch in parts, one that failed counts
             done[key] = got
     df = attach(df, waiting) if waiting else df
+    if write_to and any(d["result"] is not None for d in done.values()):
+        df = replace_table(spark, write_to, df)
     progress = ControlTable([*on.columns, *PROGRESS], [{**r, **{p: done[tuple(str(r[k]) for k in KEYS)][p] for p in PROGRESS}} for r in on.rows])
     status = _progress(full, table, progress)
     if by_path:

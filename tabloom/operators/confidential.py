@@ -15,6 +15,7 @@ from tabloom.operators.report import Report, some
 from tabloom.sources.controlfile import ControlTable, as_control_table
 from tabloom.sources.names import make_name
 
+#: Fixed values of control files: commands, those with one row at most, kinds of rounding, and what says yes to a drop.
 COMMANDS = ("DROP", "RENAME", "MISSING_TO", "ROUND", "SEED", "SUPPRESS", "NOTES")
 SINGLE = ("DROP", "RENAME", "MISSING_TO", "ROUND", "SEED")
 ROUNDINGS = ("RR3", "GRR", "CONV10", "CONV100", "CONV1000")

@@ -11,6 +11,7 @@ from tabloom.sources import xlsx
 from tabloom.sources.names import make_names
 from tabloom.sources.paths import increment_file_name, log, warn_if_excel_lockfile
 
+#: Fixed values of control files: headers of progress, and what turns a row on.
 PROGRESS = ["start_time", "end_time", "status"]
 TRUTHY = {"true", "1", "t", "yes", "y"}
 
