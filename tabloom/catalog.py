@@ -101,6 +101,8 @@ add("summary_stacked_rows", _with("lineitem") + " UNION ALL ".join((
 )), _stacked)
 for _mode in ("rollup", "sets"):
     add(f"summary_shared_{_mode}", ORACLES["summary_stacked_rows"], lambda s, d, m=_mode: _stacked(s, d, m))
+summary("summary_distinct_bitmaps", "lineitem", [{"GROUP1": "l_returnflag", "DISTINCT1": "l_suppkey", "DISTINCT2": "l_orderkey", "DISTINCT3": "l_partkey", "DISTINCT4": "l_linestatus", "ENTITY": "nothing", "COUNT": "qty"}],
+        _BY_FLAG.format("count(DISTINCT l_suppkey) AS distinct1, count(DISTINCT l_orderkey) AS distinct2, count(DISTINCT l_partkey) AS distinct3, count(DISTINCT l_linestatus) AS distinct4, NULL::BIGINT AS entity, count(qty) AS count"), distinct="bitmaps")
 summary("summary_na_groups_removed", "orders", [{"GROUP1": "status", "COUNT": "o_orderkey"}], "SELECT 'status' AS grplabel1, status AS group1, count(o_orderkey) AS count FROM t WHERE status IS NOT NULL GROUP BY status")
 summary("summary_na_groups_kept", "orders", [{"GROUP1": "status", "COUNT": "o_orderkey"}], "SELECT 'status' AS grplabel1, status AS group1, count(o_orderkey) AS count FROM t GROUP BY status", remove_na_from_groups=False)
 summary("summary_where_multi", "events", [{"GROUP1": "event_type", "COUNT": "event_id", "WHERE1": "{value > 20 & user_id != 3}", "WHERE2": "{user_id %in% c(1, 3, 5, 7, 9, 11)}"}],

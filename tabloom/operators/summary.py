@@ -142,7 +142,32 @@ def output_columns(columns: Sequence[str]) -> list[str]:
     return out
 
 
-def compile_row(spec: SummarySpec, df: DataFrame, remove_na_from_groups: bool = True, entity_where: str = "before_union", null_mode: str = "local") -> DataFrame:
+def bitmap_counts(df: DataFrame, keys: dict[str, Column], value: Column, name: str) -> DataFrame:
+    """Distinct whole numbers of each group, by bitmaps of 32,768 numbers: a bit for each, put together before and after the exchange.
+
+    A value that comes a million times is one bit, and dense numbers take a bit of
+    the exchange where a set of them takes a row each.
+    """
+    held = df.where(value.isNotNull()).select(*(c.alias(k) for k, c in keys.items()), F.bitmap_bucket_number(value).alias("bucket"), F.bitmap_bit_position(value).alias("bit"))
+    maps = held.groupBy(*keys, "bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    return maps.groupBy(*keys).agg(F.sum(F.bitmap_count("bits")).alias(name))
+
+
+def _with_bitmaps(df: DataFrame, keys: dict[str, Column], cells: dict[str, tuple[str, Column]], null_mode: str) -> DataFrame:
+    """All aggregates of a row, where distinct counts of whole numbers are of bitmaps and need no copies of rows."""
+    whole = {h for h, (kind, x) in cells.items() if kind in ("distinct", "entity") and df.select(x).schema[0].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")}
+    rest = [aggregate(kind, x, null_mode).alias(h) for h, (kind, x) in cells.items() if h not in whole] or [F.count("*").alias("_rows")]
+    base = df.groupBy(*(c.alias(k) for k, c in keys.items())).agg(*rest) if keys else df.agg(*rest).withColumn("_all", F.lit(0))
+    by = keys or {"_all": F.lit(0)}  # of the whole table there is one row, whatever the bitmaps have
+    for i, h in enumerate(h for h in cells if h in whole):
+        right = bitmap_counts(df, by, cells[h][1], f"_n{i}").withColumnsRenamed({k: f"_of{k}" for k in by})
+        same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_of{k}")) for k in by))
+        count = F.coalesce(f"_n{i}", F.lit(0).cast("long"))
+        base = base.join(right, same, "left").withColumn(h, F.nullif(count, F.lit(0)) if cells[h][0] == "entity" else count).drop(*right.columns)
+    return base
+
+
+def compile_row(spec: SummarySpec, df: DataFrame, remove_na_from_groups: bool = True, entity_where: str = "before_union", null_mode: str = "local", distinct: str = "sets") -> DataFrame:
     """The row's own result: labels, group names and values as text, then its aggregates."""
     names = df.columns
     entities = [c.text for h, c in spec.aggregates.items() if keyword(h) == "entity" and c.kind == "column" and c.text not in names]
@@ -164,7 +189,11 @@ def compile_row(spec: SummarySpec, df: DataFrame, remove_na_from_groups: bool =
     aggs = [aggregate(keyword(h), _value(c, kinds), null_mode).alias(h) for h, c in spec.aggregates.items()]
     keys = {f"_g{i}": g for i, g in enumerate(dict.fromkeys(spec.groups.values()))}
     by = {g: k for k, g in keys.items()}
-    grouped = df.groupBy(*(F.col(quote(g)).alias(k) for k, g in keys.items())).agg(*aggs) if keys else df.agg(*aggs)
+    if distinct == "bitmaps":
+        cells = {h: (keyword(h), _value(c, kinds)) for h, c in spec.aggregates.items()}
+        grouped = _with_bitmaps(df, {k: F.col(quote(g)) for k, g in keys.items()}, cells, null_mode)
+    else:
+        grouped = df.groupBy(*(F.col(quote(g)).alias(k) for k, g in keys.items())).agg(*aggs) if keys else df.agg(*aggs)
     shown = [F.lit(v).alias(h) for h, v in spec.labels.items()]
     for h, g in spec.groups.items():
         shown += [F.lit(g).alias(f"grplabel{h[len('group'):]}"), as_text(F.col(by[g]), kinds[g]).alias(h)]
@@ -346,6 +375,7 @@ def run_summary(
     drop_empty_entities: bool = False,
     write: bool = False,
     share: str = "apart",
+    distinct: str = "sets",
 ) -> SummaryResult:
     """Validates, compiles every enabled row, and stacks what compiled.
 
@@ -357,7 +387,11 @@ def run_summary(
     rows run one by one to find whose fault it was. A control file given by
     path gets the progress written back. ``share`` is how rows share a scan:
     "apart" (a scan for each), "rollup" or "sets" (see ``plans.shared``).
+    ``distinct="bitmaps"`` counts distinct whole numbers by bitmaps, a scan for
+    each, where "sets" copies each row for each distinct column of its control row.
     """
+    if distinct not in ("sets", "bitmaps"):
+        raise ValueError("distinct is one of sets, bitmaps")
     if share not in MODES:
         raise ValueError(f"share is one of {', '.join(MODES)}")
     report = validate_summary_control_file(control, df, sheet, save_file, check_data=False)
@@ -373,7 +407,7 @@ def run_summary(
     specs = [read_spec(r) for r in on.rows]
     if drop_empty_entities:
         specs = remove_empty_entities(specs, df)
-    options = {"remove_na_from_groups": remove_na_from_groups, "entity_where": entity_where, "null_mode": null_mode, "share": share}
+    options = {"remove_na_from_groups": remove_na_from_groups, "entity_where": entity_where, "null_mode": null_mode, "share": share, "distinct": distinct}
     done = [attempt(lambda s=s: summarise([s], df, columns, **options)) for s in specs]
     files: dict[str | None, list[int]] = {}
     ran: set[int] = set()

@@ -56,3 +56,22 @@ def test_eight_rows_are_one_scan(spark, sf_dir, mode):
 def test_ways_to_share_are_known(data):
     with pytest.raises(ValueError, match="share is one of"):
         run_summary(ROWS, data, share="somehow")
+
+
+def test_distinct_counts_by_bitmaps(spark):
+    df = spark.range(4000).select(
+        F.expr("nullif(id % 4, 3)").alias("g"), F.expr("cast((id * 7919) % 900 - 450 as int)").alias("a"), F.expr("case when id % 3 > 0 then (id % 500) * 4294967296 end").alias("b"),
+        F.expr("cast(id % 7 as tinyint)").alias("c"), F.expr("concat('t', id % 11)").alias("t"), F.lit(None).cast("bigint").alias("hole"), F.expr("nullif(id % 100, 0)").alias("e__min"), F.expr("id % 130").alias("e__max"),
+    ).repartition(3)
+    cells = {"DISTINCT1": "a", "DISTINCT2": "b", "DISTINCT3": "c", "DISTINCT4": "t", "ENTITY1": "hole", "ENTITY2": "a", "COUNT": "b", "SUM": "a", "DISTINCT5": "{a %% 10}"}
+    rows = [{"LABEL": "groups", "GROUP": "g", **cells}, {"LABEL": "all", "GROUP": None, **cells}, {"LABEL": "two", "GROUP": "g", "DISTINCT1": "a", "WHERE": "{c == 2}"}, {"LABEL": "pair", "GROUP": "g", "ENTITY1": "e", "DISTINCT1": "c"}]
+    for options in ({}, {"remove_na_from_groups": False}):
+        plain, bits = (run_summary(rows, df, distinct=d, **options).df for d in ("sets", "bitmaps"))
+        assert bits.dtypes == plain.dtypes and rows_of(bits) == rows_of(plain)
+        empty = df.where("a > 1000")
+        assert rows_of(run_summary(rows, empty, distinct="bitmaps", **options).df) == rows_of(run_summary(rows, empty, **options).df)
+    three = [{"GROUP": "g", "DISTINCT1": "a", "DISTINCT2": "b", "DISTINCT3": "c"}]
+    plans = [run_summary(three, df, distinct=d).df._jdf.queryExecution().optimizedPlan().toString() for d in ("sets", "bitmaps")]
+    assert "Expand" in plans[0] and "Expand" not in plans[1]
+    with pytest.raises(ValueError, match="distinct is one of"):
+        run_summary(three, df, distinct="somehow")
