@@ -29,6 +29,8 @@ from tabloom.sources.controlfile import ControlTable, load_control_file, save_co
 from tabloom.sources.sinks import append_csv
 from tabloom.sources.tables import load_csv
 from tabloom.sources.work import new_path
+from tabloom.sources.xlsx import write_sheet
+from tabloom.sources.xlsx_source import load_xlsx
 
 
 def folder() -> str:
@@ -254,6 +256,18 @@ def _csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 add("csv_round_trip", "SELECT n_nationkey, nullif(n_name, 'CHINA') AS n_name, n_nationkey / 4 AS part FROM nation", _csv)
 
 
+def _workbook(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A workbook where executors can open it, read as a source and summarised."""
+    path = f"{new_path(spark, 'workbook')}.xlsx".removeprefix("file://")
+    nation = table(spark, sf_dir, "nation")
+    write_sheet(path, [["nation key", "name", "region"], *([str(r.n_nationkey), r.n_name, str(r.n_regionkey)] for r in nation.collect())])
+    df = load_xlsx(spark, path, schema="`nation.key` int, name string, region int").withColumnRenamed("nation.key", "key")
+    return run_summary([{"GROUP": "region", "COUNT": "name", "SUM": "key"}], df).df
+
+
+add("xlsx_source_round_trip", "SELECT 'region' AS grplabel, n_regionkey::VARCHAR AS \"group\", count(n_name) AS count, sum(n_nationkey)::BIGINT AS sum FROM nation GROUP BY n_regionkey", _workbook)
+
+
 def _paths(spark: SparkSession, sf_dir: str) -> dict[str, object]:
     at = folder()
     path, log = write("report.csv", "\ufeffone\ntwo\n", at), os.path.join(at, "log.txt")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 from xml.etree import ElementTree as ET
 from xml.sax.saxutils import escape
@@ -55,33 +56,63 @@ def sheet_names(path: str) -> list[str]:
         return list(_sheets(z))
 
 
-def read_sheet(path: str, sheet: str | None = None) -> list[list[str]]:
-    """All cells as text; empty ones are empty texts."""
+def stream_sheet(path: str, sheet: str | None = None) -> Iterator[list[str]]:
+    """Rows of cells as text, one at a time; rows that are left out come as empty ones.
+
+    The sheet's XML is read as a stream, and each row is let go of once it is
+    out; the workbook's shared texts are held.
+    """
     with zipfile.ZipFile(path) as z:
         sheets = _sheets(z)
         if sheet is not None and sheet not in sheets:
             raise ValueError(f"{path} has no sheet {sheet!r}")
         part = sheets[sheet] if sheet is not None else next(iter(sheets.values()))
-        shared = [_text(si) for si in ET.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{_MAIN}si")] if "xl/sharedStrings.xml" in z.namelist() else []
-        rows: list[list[str]] = []
-        for row in ET.fromstring(z.read(part)).iter(f"{_MAIN}row"):
-            at = int(row.get("r", len(rows) + 1)) - 1
-            rows += [[] for _ in range(at + 1 - len(rows))]
-            for i, c in enumerate(row.iter(f"{_MAIN}c")):
-                col = _column(c.get("r")) if c.get("r") else i
-                rows[at] += [""] * (col + 1 - len(rows[at]))
-                kind, v = c.get("t"), c.find(f"{_MAIN}v")
-                if kind == "inlineStr":
-                    value = _text(c)
-                elif v is None or v.text is None:
-                    value = ""
-                elif kind == "s":
-                    value = shared[int(v.text)]
-                elif kind == "b":
-                    value = "TRUE" if v.text == "1" else "FALSE"
-                else:
-                    value = v.text if kind in ("str", "e") else _number(v.text)
-                rows[at][col] = value
+        shared = []
+        if "xl/sharedStrings.xml" in z.namelist():
+            with z.open("xl/sharedStrings.xml") as f:
+                for _, node in ET.iterparse(f):
+                    if node.tag == f"{_MAIN}si":
+                        shared.append(_text(node))
+                        node.clear()
+        n = 0
+        with z.open(part) as f:
+            above = None
+            for event, node in ET.iterparse(f, ("start", "end")):
+                if event == "start":
+                    above = node if node.tag == f"{_MAIN}sheetData" else above
+                elif node.tag == f"{_MAIN}row":
+                    at = int(node.get("r", n + 1)) - 1
+                    for _ in range(at - n):
+                        yield []
+                    yield _cells(node, shared)
+                    n = at + 1
+                    if above is not None:
+                        above.clear()
+
+
+def _cells(row: ET.Element, shared: list[str]) -> list[str]:
+    out: list[str] = []
+    for i, c in enumerate(row.iter(f"{_MAIN}c")):
+        col = _column(c.get("r")) if c.get("r") else i
+        out += [""] * (col + 1 - len(out))
+        kind, v = c.get("t"), c.find(f"{_MAIN}v")
+        if kind == "inlineStr":
+            value = _text(c)
+        elif v is None or v.text is None:
+            value = ""
+        elif kind == "s":
+            value = shared[int(v.text)]
+        elif kind == "b":
+            value = "TRUE" if v.text == "1" else "FALSE"
+        else:
+            value = v.text if kind in ("str", "e") else _number(v.text)
+        out[col] = value
+    return out
+
+
+def read_sheet(path: str, sheet: str | None = None) -> list[list[str]]:
+    """All cells as text; empty ones are empty texts."""
+    rows = list(stream_sheet(path, sheet))
     width = max(map(len, rows), default=0)
     return [r + [""] * (width - len(r)) for r in rows]
 
