@@ -406,6 +406,11 @@ def test_one_of_many_writers_commits(spark, tmp_path):
     with ThreadPoolExecutor(4) as pool:
         won = list(pool.map(write, range(4)))
     assert sum(won) == 1
+    took = []
+    with ThreadPoolExecutor(8) as pool:  # the claim itself, many times
+        for i in range(50):
+            took.append(sum(pool.map(lambda _, i=i: rollup._take(rollup._path(f"{rollup.root}/claims/x-{i}"), "aside"), range(8))))
+    assert took == [1] * 50
     assert [(r.docs, r.tokens) for r in rollup.totals().collect()] == [(1, 10 ** won.index(True))]
 
 
