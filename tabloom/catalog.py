@@ -367,7 +367,7 @@ _TSQL = """
 -- limits by status, in a table of the script's own
 DROP TABLE IF EXISTS #limits
 CREATE TABLE #limits ([order status] VARCHAR(5), least FLOAT);
-INSERT INTO #limits VALUES ('O', 100000), ('F', 50000), ('P', NULL)
+INSERT INTO #limits VALUES ('O', <LEAST>), ('F', 50000), ('P', NULL)
 
 SELECT o.o_orderstatus AS status, ISNULL(o.o_orderpriority, N'none') AS [the priority], o.o_totalprice AS price
 INTO #big
@@ -392,11 +392,11 @@ SELECT * FROM counted WHERE n > IIF(status = 'top', 0, 1)
 
 
 def _tsql(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A script in SQL Server's style, with tables of its own."""
+    """A script in SQL Server's style, with tables of its own and an injected value."""
     script, out = SqlScript(spark), None
     table(spark, sf_dir, "orders").createOrReplaceGlobalTempView("script_orders")
     script.session.read.parquet(f"{sf_dir}/orders.parquet").createOrReplaceTempView("script_orders_view")
-    for batch in read_and_prepare_sql_code(os.path.join(_scripts({"a.sql": _TSQL}), "a.sql")):
+    for batch in read_and_prepare_sql_code(os.path.join(_scripts({"a.sql": _TSQL}), "a.sql"), {"<LEAST>": "100000"}):
         if batch.code.strip():
             out = script.run(batch.code) or out
     return out

@@ -1,6 +1,6 @@
 """Kinds of values in row expressions, and how R turns one into another.
 
-Kinds: null, bool, int, double, text, date, time, other; any, where the table's
+Kinds: null, bool, int, decimal, double, text, date, time, other; any, where the table's
 types are not known, and then values are left as they are.
 """
 
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tabloom.functions.parse import ExpressionError
 
-NUMBERS = ("bool", "int", "double")
+NUMBERS = ("bool", "int", "decimal", "double")
 
 
 @dataclass(frozen=True)
@@ -28,8 +28,10 @@ def kind_of(type_name: str) -> str:
     name = type_name.lower()
     if name in ("tinyint", "smallint", "int", "bigint"):
         return "int"
-    if name in ("float", "double") or name.startswith("decimal"):
+    if name in ("float", "double"):
         return "double"
+    if name.startswith("decimal"):
+        return "decimal"
     return {"boolean": "bool", "string": "text", "date": "date", "void": "null"}.get(name, "time" if name.startswith("timestamp") else "text" if name.startswith(("varchar", "char")) else "other")
 
 
@@ -56,7 +58,7 @@ def text_of(t: Typed) -> Column:
     """As as.character() writes a value."""
     if t.kind == "bool":
         return F.when(t.column, "TRUE").when(~t.column, "FALSE")
-    return number_text(t.column) if t.kind == "double" else t.column.cast("string")
+    return number_text(t.column) if t.kind in ("decimal", "double") else t.column.cast("string")
 
 
 def pasted(t: Typed) -> Column:
@@ -77,7 +79,7 @@ def number_of(t: Typed, what: str = "an operator") -> Typed:
 
 def truth_of(t: Typed) -> Column:
     """As as.logical() takes a value."""
-    if t.kind in ("int", "double"):
+    if t.kind in ("int", "decimal", "double"):
         return t.column != 0
     if t.kind == "text":
         return F.when(t.column.isin("T", "TRUE", "true", "True"), True).when(t.column.isin("F", "FALSE", "false", "False"), False)
@@ -100,7 +102,7 @@ def alike(values: Sequence[Typed], compared: bool = False) -> tuple[list[Column]
     if "text" in kinds:
         return [text_of(t) for t in values], "text"
     if kinds <= set(NUMBERS):
-        return [number_of(t).column for t in values], "double" if "double" in kinds else "int"
+        return [number_of(t).column for t in values], next(k for k in ("double", "decimal", "int") if k in kinds)
     if kinds <= {"date", "time"}:
         return [t.column.cast("timestamp") for t in values], "time"
     raise ExpressionError(f"values of unlike kinds: {', '.join(sorted(kinds))}")

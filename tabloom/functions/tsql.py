@@ -212,8 +212,8 @@ def _meet(values: list[Typed]) -> tuple[list[Column], str]:
     """Truth values are numbers beside numbers; the engine turns text into what it meets, as SQL Server does."""
     kinds = {t.kind for t in values} - {"null"}
     if kinds <= set(NUMBERS) and len(kinds) > 1:
-        return [number_of(t).column if t.kind != "null" else t.column for t in values], "double" if "double" in kinds else "int"
-    order = ("time", "date", "double", "int", "bool", "text")
+        return [number_of(t).column if t.kind != "null" else t.column for t in values], next(k for k in ("double", "decimal", "int") if k in kinds)
+    order = ("time", "date", "double", "decimal", "int", "bool", "text")
     return [t.column for t in values], "any" if "any" in kinds else next((k for k in order if k in kinds), "null")
 
 

@@ -218,3 +218,10 @@ def test_sql_coercions(kinds, text, want):
 def test_sql_calls_that_are_refused(kinds, text):
     with pytest.raises(ExpressionError):
         tsql.to_column(text, F.col, lambda c: kinds.select(c).schema[0].dataType.simpleString())
+
+
+def test_decimals_as_text(spark):
+    df = spark.range(1).selectExpr("cast(5 as decimal(10,2)) AS d", "true AS yes")
+    kind = lambda c: df.select(c).schema[0].dataType.simpleString()
+    assert df.select(tsql.to_column("CONCAT(d, '/', CAST(d + 1 AS VARCHAR(4)), '/', d + yes)", F.col, kind)).first()[0] == "5.00/6.00/6.00"
+    assert df.select(rexpr.to_column("paste0(d, '/', d / 2, '/', d + 1, '/', d == 5, '/', ifelse(d, 'some', 0))", dict(df.dtypes))).first()[0] == "5/2.5/6/TRUE/some"
