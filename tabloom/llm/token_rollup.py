@@ -13,7 +13,8 @@ being written; ``folded/<n>`` holds a compacted sum with the list of the batches
 in it. Of several writers of one name that one wins who makes its file in
 ``claims``, which can be made once and names the writer's complete files; whoever
 finds a claim whose files have not moved moves them, so a writer may be lost at
-any point. Compaction leaves what the compaction before it left out, so totals
+any point but between making a claim and naming its files there: an empty claim
+stays, with no batch, until it is deleted by hand. Compaction leaves what the compaction before it left out, so totals
 planned before a compaction can still be read after it, and not after two.
 
 Defined results: null sources, languages and versions are groups of their own; a
