@@ -77,6 +77,48 @@ def test_hot_text_is_split_by_id_and_pieces_number_on(spark):
     assert max(sizes) - min(sizes) <= 2 * 28 + 2 * 0.0005 * sum(sizes) / 4
 
 
+def keys_of(rows):
+    """The stored keys of rows of hash, id and size."""
+    return rows.select("h", "d", F.lit(0).cast("long").alias("t"), F.col("size").cast("long").alias("size"))
+
+
+@pytest.mark.parametrize("ids", ["id", "id * id * id", "cast(1L << cast(id % 62 AS int) AS long) + id"])
+def test_the_driver_sees_a_row_for_each_piece(spark, monkeypatch, ids):
+    """A third of the rows have one hash and ids that lie unevenly; thousands of pieces take few rounds, and few numbers of each."""
+    rows = spark.range(60_000).select(F.when(F.col("id") % 3 == 0, F.lit(77)).otherwise(F.xxhash64("id")).alias("h"), F.expr(ids).alias("d"), F.lit(100).alias("size"))
+    keys, asked, seen, own = keys_of(rows).persist(), [], [], histogram_sort._count
+
+    def counted(df, bounds):
+        got = own(df, bounds)
+        asked.append(len(bounds))
+        seen.append(len(got.rows))
+        return got
+
+    monkeypatch.setattr(histogram_sort, "_count", counted)
+    splitters = histogram_sort.find_splitters(keys, 8)
+    assert max(asked) <= 7 * (histogram_sort.PROBES + 2)
+    asked.clear()
+    seen.clear()
+    got = histogram_sort.cut(keys, splitters.bounds, piece=3000)
+    assert not got.stuck and got.bytes.max() <= 6000 and got.bytes.sum() == 6_000_000 and got.rounds == len(asked) <= 20
+    assert max(seen) == len(got.bytes) <= 3 * 2000 and max(asked) <= 3 * len(got.bytes)
+    held = sorted((r.h, r.d, 0) for r in keys.collect())
+    starts = [0, *(held.index(tuple(b)) for b in got.bounds.tolist())]
+    assert got.bytes.tolist() == [100 * (b - a) for a, b in zip(starts, [*starts[1:], len(held)], strict=True)]
+    first = {s: min(n for n, x in zip(starts, got.shard, strict=True) if x == s) for s in set(got.shard.tolist())}
+    assert got.offset.tolist() == [n - first[s] for n, s in zip(starts, got.shard.tolist(), strict=True)]
+    keys.unpersist()
+
+
+def test_rows_equal_in_all_keys_are_cut_too(spark):
+    """More than half of all bytes have one text and one id; no piece has much more than two pieces' bytes."""
+    df = spark.range(4000).select(F.when(F.col("id") % 5 < 3, F.lit(5)).otherwise(F.col("id")).alias("doc_id"), F.when(F.col("id") % 5 < 3, F.lit("same")).otherwise(F.concat(F.lit("t"), "id")).alias("text"))
+    got = histogram_sort.shard(df, 1, piece=2000)
+    assert sorted(r.slot for r in got.collect()) == list(range(4000))
+    sizes = [r.b for r in got.groupBy(F.spark_partition_id()).agg(F.sum("size").alias("b")).collect()]
+    assert len(sizes) > 20 and max(sizes) <= 4000
+
+
 def test_shard_odd_rows(spark):
     rows = histogram_sort.shard(odd(spark), 3).collect()
     assert len(rows) == len(ODD) and {"lang", "score", "shard", "slot", "size"} <= set(rows[0].asDict())
