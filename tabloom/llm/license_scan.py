@@ -77,13 +77,30 @@ def places(ws: str, phrase: list[str]) -> Column:
     return F.when(F.array_contains(ws, phrase[-1]), at).otherwise(F.array().cast("array<int>"))
 
 
+def may_miss(n: int, coverage: float) -> int:
+    """How many of n words can be other ones, where the coverage is kept."""
+    return max(m for m in range(n + 1) if m == 0 or (n - m) / n >= coverage)
+
+
+def has_words_of(held: str, templates: list[list[str]], coverage: float) -> Column:
+    """Whether the distinct words in ``held`` leave any template its coverage, wherever they stand.
+
+    Words found in place are words of the text, so no text that a template is found in is left out.
+    """
+    enough = []
+    for ws in templates:
+        distinct = sorted(set(ws))
+        enough.append(F.size(F.array_intersect(held, F.array(*map(F.lit, distinct)))) >= len(distinct) - may_miss(len(ws), coverage))
+    return reduce(or_, enough, F.lit(False))
+
+
 def votes_due(n: int, k: int, coverage: float) -> tuple[int, int]:
     """Words of a gram by which a template of n words votes, and the votes it has at least on one diagonal that holds the coverage.
 
     A replaced word costs a gram's length of votes at most; grams are as long as
     leaves a vote, and of ``k`` words at most.
     """
-    missing = max(m for m in range(n + 1) if m == 0 or (n - m) / n >= coverage)
+    missing = may_miss(n, coverage)
     due = {size: n - size + 1 - size * missing for size in range(k, 0, -1)}
     return next(((size, least) for size, least in due.items() if least > 0), (1, 1))
 
@@ -104,19 +121,23 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases:
     ``spans`` holds label, start, end (word positions) and the part of the
     template that was found. The templates' k-grams are the caller's fixed list
     and travel by broadcast; texts stay where they are read, and only documents
-    that hold at least one k-gram of a template take part in the join.
+    that hold a k-gram and, somewhere, enough of the words of a template take part in the join.
     """
     spark, store = docs.sparkSession, Store(docs.sparkSession, "license-scan")
-    table = template_table(spark, templates, k, coverage).cache()
+    table = template_table(spark, templates, k, coverage)
     wanted: dict[int, list[int]] = {}
     for r in table.select("gram", "h").distinct().collect():
         wanted.setdefault(r.gram, []).append(r.h)
-    hit = reduce(or_, (F.arrays_overlap(grams("ws", size), F.array(*map(F.lit, hs))) for size, hs in sorted(wanted.items())), F.lit(False))
+    twords = [r.twords for r in table.select("template", "twords").distinct().collect()]
+    known = F.array_intersect("ws", F.array(*map(F.lit, sorted({w for ws in twords for w in ws}))).cast("array<string>"))
+    # most texts end at their words, before a gram is hashed
+    hit = has_words_of("known", twords, coverage) & reduce(or_, (F.arrays_overlap(grams("ws", size), F.array(*map(F.lit, hs))) for size, hs in sorted(wanted.items())), F.lit(False))
     read = docs.select(F.xxhash64("text").alias("_k"), F.xxhash64("doc_id", "text", F.lit(k)).alias("_d"), "doc_id", words("text").alias("ws"))
     found = F.concat(*(places("ws", p.split()) for p in phrases))
     labels = F.array_compact(F.array(*(F.when(F.size(places("ws", p.split())) > 0, F.lit(label)) for p, label in phrases.items())))
     base = store.keep(
-        read.withColumn("hit", hit)
+        read.withColumn("known", known)
+        .withColumn("hit", hit)
         .withColumn("at", F.when(F.array_contains("ws", "license") if all("license" in p.split() for p in phrases) else F.lit(True), found))
         .select(
             "_k",

@@ -333,6 +333,25 @@ def test_votes_due_is_a_bound():
                     assert votes >= due >= 1
 
 
+def test_texts_without_a_templates_words_are_not_stored(spark, monkeypatch):
+    """Grams of everyday English stand in every text; only texts with enough words of a template are kept for the join."""
+    notice = license_scan.TEMPLATES[1][1]
+    plain = "He was released under the terms of the deal and the software is provided in source form, work is licensed under other terms, any person may redistribute it"
+    rows = [(i, f"{plain} {i}") for i in range(200)] + [(1000 + i, f"{plain} {notice if i else ' '.join(notice.split()[:12])} and more") for i in range(4)] + [(2000, " ".join(reversed(notice.split())))]
+    stored, own = [], license_scan.Store.keep
+
+    def keep(self, df, name):
+        out = own(self, df, name)
+        stored.append(out)
+        return out
+
+    monkeypatch.setattr(license_scan.Store, "keep", keep)
+    got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    kept = {r.doc_id for r in stored[0].where("ws is not null").collect()}
+    assert {d for d, r in got.items() if "mit-notice" in r.labels} == {1001, 1002, 1003} and len(got) == 205
+    assert {1001, 1002, 1003} <= kept <= {1001, 1002, 1003, 2000}
+
+
 def test_license_scan_runs_no_python(spark, sf_dir):
     plan = license_scan.scan(read(spark, sf_dir, "documents"))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|InArrow|ArrowEval", plan)
