@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,7 @@ from tabloom.operators.assembly import run_assembly
 from tabloom.operators.confidential import run_confidential
 from tabloom.operators.pipeline import run_pipeline
 from tabloom.operators.pipeline_sql import read_and_prepare_sql_code
+from tabloom.operators.report import SUCCESS
 from tabloom.operators.sql_script import SqlScript
 from tabloom.operators.summary import run_summary
 from tabloom.plans.combos import expand_compact_summary_groups, generate_combinations
@@ -93,6 +95,20 @@ def _stacked(spark: SparkSession, sf_dir: str, share: str = "apart") -> DataFram
     return rounded(run_summary(rows, _input(spark, sf_dir, "lineitem"), share=share).df)
 
 
+def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the jobs that write two result files say of their control rows."""
+    rows = [
+        {"FILE": "flags.csv", "GROUP1": "l_returnflag", "COUNT": "qty"},
+        {"FILE": "flags.csv", "GROUP1": "l_returnflag", "GROUP2": "l_linestatus", "SUM": "qty", "WHERE": "{l_quantity > 45}"},
+        {"FILE": "parts.csv", "GROUP1": "l_partkey", "DISTINCT": "l_suppkey"},
+        {"FILE": "parts.csv", "GROUP1": "l_linenumber", "MAX": "qty", "WHERE": "{l_quantity < 0}"},
+    ]
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")  # one gives nothing
+        got = run_summary(rows, _input(spark, sf_dir, "lineitem"), save_folder=new_path(spark, "outcomes"), write=True)
+    return spark.createDataFrame([(o.row, o.file, o.rows, o.status == SUCCESS) for o in got.outcomes], "row int, file string, rows long, ended boolean")
+
+
 add("summary_stacked_rows", _with("lineitem") + " UNION ALL ".join((
     "SELECT 'by flag' AS label, 'l_returnflag' AS grplabel1, l_returnflag AS group1, count(qty) AS count, round(sum(l_tax), 2) AS sum FROM t GROUP BY l_returnflag",
     "SELECT 'by status', 'l_linestatus', l_linestatus, count(qty), NULL FROM t GROUP BY l_linestatus",
@@ -101,6 +117,9 @@ add("summary_stacked_rows", _with("lineitem") + " UNION ALL ".join((
 )), _stacked)
 for _mode in ("rollup", "sets"):
     add(f"summary_shared_{_mode}", ORACLES["summary_stacked_rows"], lambda s, d, m=_mode: _stacked(s, d, m))
+add("summary_outcomes", _with("lineitem") + """ SELECT 0 AS "row", 'flags.csv' AS file, count(DISTINCT l_returnflag) AS rows, true AS ended FROM t
+    UNION ALL SELECT 1, 'flags.csv', count(*), true FROM (SELECT DISTINCT l_returnflag, l_linestatus FROM t WHERE l_quantity > 45)
+    UNION ALL SELECT 2, 'parts.csv', count(DISTINCT l_partkey), true FROM t UNION ALL SELECT 3, 'parts.csv', 0, true""", _outcomes)
 summary("summary_distinct_bitmaps", "lineitem", [{"GROUP1": "l_returnflag", "DISTINCT1": "l_suppkey", "DISTINCT2": "l_orderkey", "DISTINCT3": "l_partkey", "DISTINCT4": "l_linestatus", "ENTITY": "nothing", "COUNT": "qty"}],
         _BY_FLAG.format("count(DISTINCT l_suppkey) AS distinct1, count(DISTINCT l_orderkey) AS distinct2, count(DISTINCT l_partkey) AS distinct3, count(DISTINCT l_linestatus) AS distinct4, NULL::BIGINT AS entity, count(qty) AS count"), distinct="bitmaps")
 summary("summary_na_groups_removed", "orders", [{"GROUP1": "status", "COUNT": "o_orderkey"}], "SELECT 'status' AS grplabel1, status AS group1, count(o_orderkey) AS count FROM t WHERE status IS NOT NULL GROUP BY status")

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import os
+import time
 import warnings
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from datetime import datetime
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,7 +25,7 @@ from tabloom.sources import files as files_
 from tabloom.sources.controlfile import PROGRESS, ControlTable, as_control_table, keyword, merge_progress, save_control_file
 from tabloom.sources.names import tolower_colnames
 from tabloom.sources.paths import save_code_to_script
-from tabloom.sources.sinks import append_csv
+from tabloom.sources.sinks import join_lines, write_lines
 
 AGGREGATES = ("distinct", "count", "sum", "stddev", "max", "min", "entity", "seed")
 KNOWN = {"enabled", "file", "label", "group", "where", "notes", "note", *AGGREGATES, *PROGRESS, "order"}
@@ -40,11 +42,23 @@ class SummarySpec:
     file: str | None = None
 
 
+@dataclass
+class Outcome:
+    """What came of an enabled control row."""
+
+    row: int  #: its place among the enabled rows, from 0
+    file: str | None
+    status: str
+    rows: int | None = None  #: that it wrote; None where it did not run
+    seconds: float | None = None  #: until its last row was made; until the end, where it gave none
+
+
 @dataclass
 class SummaryResult:
     df: DataFrame | None
     status: ControlTable
     files: dict[str, DataFrame] = field(default_factory=dict)
+    outcomes: list[Outcome] = field(default_factory=list)
 
 
 def read_spec(row: dict) -> SummarySpec:
@@ -361,6 +375,69 @@ def summarise(specs: Sequence[SummarySpec], df: DataFrame, columns: Sequence[str
     return out.unionByName(stack(rest, columns, types)) if rest else out
 
 
+#: The label that tells rows of a result by the control row they are of.
+NUMBER = "number of the row"
+
+
+class _Watched:
+    """A result whose one execution also says what each control row came to.
+
+    Counts and clocks are metrics of the task that writes a row, so they need no
+    job of their own, and Spark counts a task that ran twice once.
+    """
+
+    def __init__(self, specs: Sequence[SummarySpec], df: DataFrame, columns: Sequence[str], **options):
+        numbered = [replace(s, labels={**s.labels, NUMBER: i}) for i, s in enumerate(specs)]
+        frame = summarise(numbered, df, [*columns, NUMBER], **options)
+        self.seen, self.specs, self.began = Observation(), specs, time.time()
+        frame = frame.withColumn("made at", F.reflect(F.lit("java.lang.System"), F.lit("currentTimeMillis")).cast("long"))
+        mine = [F.col(quote(NUMBER)) == i for i in range(len(specs))]
+        metrics = [x for i, m in enumerate(mine) for x in (F.count_if(m).alias(f"n{i}"), F.max(F.when(m, F.col("`made at`"))).alias(f"t{i}"))]
+        self.df = frame.observe(self.seen, *metrics).drop(NUMBER, "made at")
+
+    def outcomes(self) -> list[dict]:
+        """Of each row, once the result was written: rows, seconds and end_time."""
+        found, end = self.seen.get, time.time()
+        out = []
+        for i in range(len(self.specs)):
+            at = end if found[f"t{i}"] is None else found[f"t{i}"] / 1000
+            out.append({"rows": found[f"n{i}"], "seconds": max(0.0, at - self.began), "end_time": f"{datetime.fromtimestamp(at):%Y-%m-%d %H:%M:%S}"})
+        return out
+
+
+def _write(specs: Sequence[SummarySpec], df: DataFrame, columns: Sequence[str], path: str, new: bool, options: dict) -> list[dict]:
+    """A result file, written in one job of all its rows; if that fails, each runs alone, and the file has those that end well.
+
+    The file takes its new form in one step, after all that runs has run.
+    """
+    spark = df.sparkSession
+
+    def lines(some_: Sequence[SummarySpec]) -> tuple[str, list[dict]]:
+        watched = _Watched(some_, df, columns, **options)
+        return write_lines(watched.df), watched.outcomes()
+
+    got = attempt(lambda: lines(specs))
+    if got["result"] is not None:
+        parts, said = [got["result"][0]], got["result"][1]
+        done = [{p: got[p] for p in ("status", "start_time")} | o for o in said]
+    else:
+        done, parts = [], []
+        for s in specs:
+            got = attempt(lambda s=s: lines([s])) if len(specs) > 1 else got
+            result = got.pop("result")
+            if result is not None:
+                parts.append(result[0])
+                got |= result[1][0]
+            done.append(got)
+    if parts:
+        put = attempt(lambda: join_lines(spark, path, columns, parts, new))
+        if put["status"] != SUCCESS:
+            done = [d | {"status": put["status"], "rows": None} if d["status"] == SUCCESS else d for d in done]
+    elif new:
+        files_.remove(spark, path)
+    return done
+
+
 def run_summary(
     control,
     df: DataFrame,
@@ -376,6 +453,7 @@ def run_summary(
     write: bool = False,
     share: str = "apart",
     distinct: str = "sets",
+    resume: bool = False,
 ) -> SummaryResult:
     """Validates, compiles every enabled row, and stacks what compiled.
 
@@ -383,9 +461,15 @@ def run_summary(
     ``partial_output`` an invalid control file raises. Rows that compile are said to
     be planned, as the result is a plan that nothing has run; with all rows off there
     is a warning and no result. With ``write`` each
-    result file is written, one job for all of its rows; if that job fails, its
-    rows run one by one to find whose fault it was. A control file given by
-    path gets the progress written back. ``share`` is how rows share a scan:
+    result file is written, one job for all of its rows, which also gives each row's
+    outcome: rows written, seconds until its last one was made, status. If that job
+    fails, its rows run one by one to find whose fault it was. Rows that give nothing
+    are warned of. A control file given by
+    path gets the progress written back after each result file, so a run that is lost
+    can go on: with ``resume`` rows that the control file says were successful, and
+    whose file is there, are left as they are, and only the others run and are added
+    to it. A run lost between a file's taking its place and the progress being saved
+    runs that file's rows again. ``share`` is how rows share a scan:
     "apart" (a scan for each), "rollup" or "sets" (see ``plans.shared``).
     ``distinct="bitmaps"`` counts distinct whole numbers by bitmaps, a scan for
     each, where "sets" copies each row for each distinct column of its control row.
@@ -394,6 +478,8 @@ def run_summary(
         raise ValueError("distinct is one of sets, bitmaps")
     if share not in MODES:
         raise ValueError(f"share is one of {', '.join(MODES)}")
+    if resume and not write:
+        raise ValueError("resume is for results that are written")
     report = validate_summary_control_file(control, df, sheet, save_file, check_data=False)
     if not partial_output:
         report.require()
@@ -409,13 +495,30 @@ def run_summary(
         specs = remove_empty_entities(specs, df)
     options = {"remove_na_from_groups": remove_na_from_groups, "entity_where": entity_where, "null_mode": null_mode, "share": share, "distinct": distinct}
     done = [attempt(lambda s=s: summarise([s], df, columns, **options)) for s in specs]
-    files: dict[str | None, list[int]] = {}
-    ran: set[int] = set()
+    compiled = [d["result"] is not None for d in done]
+    for d, ok in zip(done, compiled, strict=True):
+        d |= {"status": PLANNED if ok else d["status"], "seconds": None}
+
+    def status() -> ControlTable:
+        progress = ControlTable([*on.columns, *PROGRESS], [{**r, **{p: d[p] for p in PROGRESS}} for r, d in zip(on.rows, done, strict=True)])
+        out = _progress(full, table, progress)
+        if isinstance(control, (str, os.PathLike)):
+            save_control_file(str(control), out, sheet)
+        return out
+
+    before = _earlier(full, table) if resume else [None] * len(specs)
+    targets: dict[str | None, list[int]] = {}
     for i, s in enumerate(specs):
-        files.setdefault(save_file or s.file, []).append(i)
+        targets.setdefault(save_file or s.file, []).append(i)
+    kept: set[int] = set()
+    for name, rows in targets.items():
+        if resume and name and files_.exists(df.sparkSession, _file(save_folder, name)):
+            kept |= {i for i in rows if before[i] and compiled[i]}
+    for i in kept:
+        done[i] |= before[i]
     out: dict[str, DataFrame] = {}
-    for name, rows in files.items():
-        good = [i for i in rows if done[i]["result"] is not None]
+    for name, rows in targets.items():
+        good = [i for i in rows if compiled[i]]
         if not good:
             continue
         frame = summarise([specs[i] for i in good], df, columns, **options)
@@ -423,26 +526,32 @@ def run_summary(
         if debug_folder:
             save_code_to_script(frame._jdf.queryExecution().toString(), f"summary {name or 'result'}", debug_folder)
         if write and name:
-            ran |= set(good)
-            path = os.path.join(save_folder, name) if save_folder else name
-            files_.remove(df.sparkSession, path)
-            whole = attempt(lambda f=frame, p=path: append_csv(f, p))
-            if whole["result"] is None and "error" in whole["status"]:
-                files_.remove(df.sparkSession, path)
-                for i in good:
-                    done[i] |= attempt(lambda i=i, p=path: append_csv(summarise([specs[i]], df, columns, **options), p))
-            else:
-                for i in good:
-                    done[i]["end_time"] = whole["end_time"]
-    for i, d in enumerate(done):
-        if d["status"] == SUCCESS and i not in ran:
-            d["status"] = PLANNED
-    every = [specs[i] for i in range(len(specs)) if done[i]["status"] in (SUCCESS, PLANNED)]
-    progress = ControlTable([*on.columns, *PROGRESS], [{**r, **{p: d[p] for p in PROGRESS}} for r, d in zip(on.rows, done, strict=True)])
-    status = _progress(full, table, progress)
-    if isinstance(control, (str, os.PathLike)):
-        save_control_file(str(control), status, sheet)
-    return SummaryResult(summarise(every, df, columns, **options) if every else None, status, out)
+            left = [i for i in good if i not in kept]
+            if left:
+                made = _write([specs[i] for i in left], df, columns, _file(save_folder, name), not kept & set(good), options)
+                for i, d in zip(left, made, strict=True):
+                    done[i] |= d
+                status()
+    found = [Outcome(i, save_file or s.file, d["status"], d.get("rows"), d["seconds"]) for i, (s, d) in enumerate(zip(specs, done, strict=True))]
+    if nothing := [o.row + 1 for o in found if o.rows == 0]:
+        warnings.warn(f"enabled rows that gave nothing: {some(nothing)}", stacklevel=2)
+    every = [s for s, d in zip(specs, done, strict=True) if d["status"] in (SUCCESS, PLANNED)]
+    return SummaryResult(summarise(every, df, columns, **options) if every else None, status(), out, found)
+
+
+def _file(folder: str | None, name: str) -> str:
+    return os.path.join(folder, name) if folder else name
+
+
+def _earlier(full: ControlTable, table: ControlTable) -> list[dict | None]:
+    """Of enabled rows that an earlier run says were successful, their progress."""
+    on = {id(r) for r in table.enabled().rows}
+    out = []
+    for old, row in zip(full.rows, table.rows, strict=True):
+        if id(row) in on:
+            said = {p: v for c, v in old.items() if (p := c.strip().lower()) in PROGRESS}
+            out.append({p: said.get(p) for p in PROGRESS} if said.get("status") == SUCCESS else None)
+    return out
 
 
 def _progress(full: ControlTable, table: ControlTable, progress: ControlTable) -> ControlTable:
@@ -457,4 +566,4 @@ def _progress(full: ControlTable, table: ControlTable, progress: ControlTable) -
     return out
 
 
-__all__ = ["SummaryResult", "SummarySpec", "merge_progress", "run_summary", "summarise", "validate_summary_control_file"]
+__all__ = ["Outcome", "SummaryResult", "SummarySpec", "merge_progress", "run_summary", "summarise", "validate_summary_control_file"]

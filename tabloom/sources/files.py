@@ -27,8 +27,8 @@ def remove(spark: SparkSession, path: str) -> bool:
     return fs.delete(at, True)
 
 
-def put_together(spark: SparkSession, target: str, folder: str, head: str) -> None:
-    """Appends the part files of a folder, in their order, to a file; a new one starts with ``head``.
+def put_together(spark: SparkSession, target: str, folders: Sequence[str], head: str, new: bool = False) -> None:
+    """Appends the part files of folders, in their order, to a file; one that is new, or made so, starts with ``head``.
 
     Bytes are copied between streams beside the target, which then takes its
     place, so readers see the old file or the new one.
@@ -40,13 +40,14 @@ def put_together(spark: SparkSession, target: str, folder: str, head: str) -> No
         fs.mkdirs(parent)
     out = fs.create(aside, True)
     try:
-        if fs.exists(to):
+        if fs.exists(to) and not new:
             _copy(copy, fs.open(to), out)
         else:
             out.write(bytearray(head, "utf-8"))
-        parts, at = _at(spark, folder)
-        for name in sorted(_names(parts, at)):
-            _copy(copy, parts.open(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")), out)
+        for folder in folders:
+            parts, at = _at(spark, folder)
+            for name in sorted(_names(parts, at)):
+                _copy(copy, parts.open(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")), out)
     finally:
         out.close()
     if fs.exists(to):

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import decimal
 import math
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabloom.functions.rexpr import quote
@@ -62,16 +63,26 @@ def csv_value(x: Column, kind: str) -> Column:
     return F.when(x.isNull(), "NA").otherwise(text)
 
 
+def write_lines(df: DataFrame) -> str:
+    """The frame's lines of a CSV file, written by tasks to a folder of their own."""
+    cells = [csv_value(F.col(quote(c)), k) for c, k in df.dtypes]
+    parts = new_path(df.sparkSession, "csv")
+    df.select(F.concat_ws(",", *cells).alias("value")).write.text(parts)
+    return parts
+
+
+def join_lines(spark: SparkSession, path: str, columns: Sequence[str], parts: Sequence[str], new: bool = False) -> None:
+    """Folders of lines at the end of a file, in one step; with ``new``, an old file gives way. The folders go."""
+    try:
+        files.put_together(spark, path, parts, ",".join(map(format_value, columns)) + "\n", new)
+    finally:
+        for p in parts:
+            drop(spark, p)
+
+
 def append_csv(df: DataFrame, path: str) -> None:
     """The frame's rows at the end of a file, which starts with a header; no row comes to the driver.
 
     The path is one of Spark's: without a scheme it is on Spark's own file system.
     """
-    spark = df.sparkSession
-    cells = [csv_value(F.col(quote(c)), k) for c, k in df.dtypes]
-    parts = new_path(spark, "csv")
-    try:
-        df.select(F.concat_ws(",", *cells).alias("value")).write.text(parts)
-        files.put_together(spark, path, parts, ",".join(map(format_value, df.columns)) + "\n")
-    finally:
-        drop(spark, parts)
+    join_lines(df.sparkSession, path, df.columns, [write_lines(df)])
