@@ -8,8 +8,10 @@ fewer.
 
 States and transitions are flat arrays, about ``STATE_BYTES`` for each item word,
 so ``AUTOMATON_WORDS`` bounds what is broadcast. A larger benchmark takes blocks of
-items, one automaton each, and one automaton is in memory at a time: documents are
-stored once, every block's pass writes the hits it finds, and these are put together.
+items, one automaton each, and one automaton is in memory at a time. Documents are
+stored once, and read once by a filter of hashes of all blocks' windows (once for each
+``FILTER_WINDOWS`` of them); every block's pass reads the texts that have such a window
+and writes the hits it finds, and these are put together.
 
 Defined results: a null or empty text has no words and no hits; an item with
 null text, or without words, takes no part; one with null id does where
@@ -21,8 +23,10 @@ ones pass through; an empty benchmark hits nothing.
 from __future__ import annotations
 
 import re
+import zlib
 from array import array
 from collections.abc import Iterator
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -36,6 +40,8 @@ from tabloom.llm.common import ALNUM, Store, bound_batches, fresh, take_worker,
 WINDOW = 10
 #: Words of items that one automaton holds; more items go into further automata, one pass each.
 AUTOMATON_WORDS = 500_000
+#: Words of items whose windows one filter holds, as hashes of 8 bytes (64 MB); more take further passes of filters.
+FILTER_WINDOWS = 8_000_000
 #: Bytes of an automaton for each word of its items, at most (a test holds it against this).
 STATE_BYTES = 400
 
@@ -211,14 +217,75 @@ SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.Str
 _ARROW_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
+def window_hashes(ws: list[bytes], lengths: list[int]) -> dict[int, np.ndarray]:
+    """For each length, 64-bit hashes of the runs of so many words."""
+    codes = np.fromiter(map(zlib.crc32, ws), np.uint64, len(ws))
+    out, power, mixed = {}, np.uint64(1), np.zeros(len(ws), np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(1, min(max(lengths, default=0), len(ws)) + 1):
+            power = power * np.uint64(0x9E3779B97F4A7C15)
+            mixed = mixed[: len(ws) - k + 1] + codes[k - 1 :] * power
+            if k in lengths:
+                out[k] = mixed + np.uint64(k)
+    return out
+
+
+def may_hit(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
+    """The documents that have the hash of a window of the items; one pass for each ``FILTER_WINDOWS`` words of items.
+
+    Of several passes a document comes from each that finds it.
+    """
+    parts = (items.agg(F.sum(_size())).first()[0] or 0) // FILTER_WINDOWS + 1
+    some = [items if parts == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == i) for i in range(parts)]
+    return reduce(DataFrame.unionByName, (_may_hit(docs, s, window) for s in some))
+
+
+def _may_hit(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
+    def of_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in texts(batch, "text"):
+                ws = words(text)
+                for k, h in window_hashes(ws, [min(window, len(ws))]).items():
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), k, np.int32)), pa.array(h.view(np.int64))], names=["k", "h"])
+
+    found = items.select("text").mapInArrow(of_items, "k int, h long").distinct().toArrow()
+    every = found["h"].to_numpy().astype(np.int64).view(np.uint64)
+    lengths, of = found["k"].to_numpy(), {}
+    for k in np.unique(lengths).tolist():
+        of[k] = np.sort(every[lengths == k])
+    held = docs.sparkSession.sparkContext.broadcast(of)
+
+    def has_any(ws: list[bytes]) -> bool:
+        for k, h in window_hashes(ws, list(held.value)).items():
+            known = held.value[k]
+            if (known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h).any():
+                return True
+        return False
+
+    def of_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_worker("decontaminate")
+        for batch in batches:
+            yield batch.filter(pa.array([has_any(words(text)) for text in texts(batch, "text")], pa.bool_()))
+
+    return docs.mapInArrow(of_docs, docs.schema)
+
+
+def _size() -> F.Column:
+    """Words of a text, and one or two more."""
+    return F.size(F.split("text", r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"))
+
+
+def _items(benchmark: DataFrame, unnamed: bool) -> DataFrame:
+    return benchmark.where("text is not null" if unnamed else "item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text").distinct()
+
+
 def automata(benchmark: DataFrame, window: int, limit: int | None = None, unnamed: bool = False) -> Iterator[tuple[Automaton, bool]]:
     """One automaton for each ``limit`` words of items (those with null ids only where ``unnamed``), and whether it is the only one.
 
     Items are read block by block, so the driver holds one automaton at a time.
     """
-    size = F.size(F.split("text", r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"))
-    items = benchmark.where("text is not null" if unnamed else "item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text").distinct()
-    blocks = (items.agg(F.sum(size)).first()[0] or 0) // (limit or AUTOMATON_WORDS) + 1
+    items = _items(benchmark, unnamed)
+    blocks = (items.agg(F.sum(_size())).first()[0] or 0) // (limit or AUTOMATON_WORDS) + 1
     for block in range(blocks):
         some = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
         rows = sorted(((r.item_id, r.text) for r in some.collect()), key=lambda r: (r[0] is None, r[0] or "", r[1]))
@@ -229,7 +296,8 @@ def annotate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit:
     """Adds n_words, hit_spans (word positions, merged) and hit_items to each document.
 
     One narrow pass without a shuffle where the items fit one automaton; else a
-    pass for each block of items, whose hits alone are joined back.
+    pass for each block of items over the texts that have a window of any, whose
+    hits alone are joined back.
     """
     docs = docs.drop("n_words", "hit_spans", "hit_items")
     store, held, hits = None, None, []
@@ -240,8 +308,10 @@ def annotate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit:
             store = Store(docs.sparkSession, "decontaminate")
             file, row, of_file, of_row = fresh(docs, "file", "row", "of_file", "of_row")
             held = store.keep(docs, "docs").withColumns({file: F.col("_metadata.file_name"), row: F.col("_metadata.row_index")})
+            bound_batches(docs.sparkSession)
+            likely = store.keep(may_hit(held.select(F.col(file).alias(of_file), F.col(row).alias(of_row), "text"), _items(benchmark, unnamed), window), "likely")
         sent = docs.sparkSession.sparkContext.broadcast(automaton)
-        found = _pass(held.select(F.col(file).alias(of_file), F.col(row).alias(of_row), "text"), sent).where(F.size("hit_spans") > 0)
+        found = _pass(likely, sent).where(F.size("hit_spans") > 0)
         hits.append(store.keep(found.select(of_file, of_row, "hit_spans", "hit_items"), f"hits{len(hits)}"))
         sent.destroy()
         del automaton

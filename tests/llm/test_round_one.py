@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import sys
 import zlib
@@ -493,6 +494,38 @@ def test_automata_are_small_and_one_at_a_time(spark, sf_dir, monkeypatch):
     assert sorted(map(str, blocks)) == sorted(map(str, decontaminate.annotate(docs, bench).select("doc_id", "n_words", "hit_spans", "hit_items").collect()))
 
 
+def test_window_filter_keeps_all_that_can_hit_and_blocks_read_only_these(spark, monkeypatch):
+    """Brute force over windows of all lengths; with filters of few windows there are more passes, and results are the same."""
+    rng = random.Random(5)
+    items = [(f"i{i}", " ".join(f"w{rng.randrange(3000)}" for _ in range(rng.choice((3, 9, 10, 25))))) for i in range(400)] + [("null", None), ("none", " ,. ")]
+    cuts = [text.split() for _, text in items[:400]]
+    docs = [(i, " ".join(f"w{rng.randrange(3000)}" for _ in range(60))) for i in range(300)]
+    for i, ws in enumerate(cuts[:60]):  # whole windows, one word less, or one word wrong
+        k = min(10, len(ws)) - (i % 3 == 1)
+        part = ws[:k] if i % 3 < 2 else [*ws[: k - 1], "wrong"]
+        docs.append((1000 + i, " ".join(["before", *(p.upper() for p in part), "after"])))
+    docs += [(2000, None), (2001, ""), (2002, "w1 " * 30_000 + " ".join(cuts[0]))]
+    windows = {tuple(ws[a : a + 10]) for ws in cuts for a in range(max(1, len(ws) - 9))}
+    want = set()
+    for i, text in docs:
+        ws = (text or "").lower().split()
+        if any(tuple(ws[a : a + k]) in windows for k in {len(w) for w in windows} for a in range(len(ws) - k + 1)):
+            want.add(i)
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string")
+    passed = {r.doc_id for r in decontaminate.may_hit(frame, bench.where("text is not null"), 10).collect()}
+    assert want == passed and len(want) > 20
+    assert decontaminate.may_hit(frame, bench.where("false"), 10).count() == 0
+    read, own = [], decontaminate._pass
+    monkeypatch.setattr(decontaminate, "_pass", lambda d, a: read.append(d.count()) or own(d, a))
+    blocks = sorted(map(str, decontaminate.annotate(frame, bench, limit=1500).collect()))
+    assert len(read) > 2 and set(read) == {len(passed)}
+    monkeypatch.setattr(decontaminate, "FILTER_WINDOWS", 1000)
+    assert sorted(map(str, decontaminate.annotate(frame, bench, limit=1500).collect())) == blocks
+    monkeypatch.undo()
+    whole = decontaminate.annotate(frame, bench)
+    assert sorted(map(str, whole.collect())) == blocks and {r.doc_id for r in whole.where(F.size("hit_spans") > 0).collect()} == want
+
+
 def test_items_without_id_are_hit_and_cut_but_not_listed(spark, tmp_path):
     """As the query's SQL has it; the pipeline cuts their passages."""
     items = [(None, " ".join(f"n{i}" for i in range(12))), (None, "zebra fish"), (1, "zebra fish"), (2, "one two three"), (None, "one two three four"), (None, None)]
