@@ -16,7 +16,7 @@ from pyspark.sql import SparkSession
 from tabloom.operators.pipeline_sql import read_and_prepare_sql_code
 from tabloom.operators.report import SUCCESS, Report, attempt, first_line, now, some
 from tabloom.operators.sql_script import SqlScript
-from tabloom.operators.summary import _progress
+from tabloom.operators.summary import _earlier, _progress
 from tabloom.sources.controlfile import PROGRESS, ControlTable, as_control_table, save_control_file
 from tabloom.sources.paths import adjust_file_path_handling, run_time_inform_user
 
@@ -144,11 +144,17 @@ def run_pipeline(
     sink_file: str | None = None,
     sleep=time.sleep,
     rng: random.Random | None = None,
+    resume: bool = False,
 ) -> ControlTable:
     """Runs each enabled script; a stop row ends the run when any before it failed.
 
     A delay of an hour or more is lengthened by a random part of an hour, so that
     runs set up together do not start together. Rows not reached have no status.
+    A control file given by path gets the progress after each script, so that a run
+    that is lost can go on: with ``resume`` rows that it says were successful are left
+    as they are up to the first, in the order of running, that was not; from there on
+    all run, as a script may need what one before it makes. What scripts keep in
+    their session only, such as views, is not there for those that run later.
     """
     validate_pipeline_control_file(control, spark, sheet, inject_sql).require()
     full = as_control_table(control, sheet)
@@ -159,8 +165,23 @@ def run_pipeline(
         run_time_inform_user(f"starts in {delay_minutes + extra:g} minutes", sink_file)
         sleep((delay_minutes + extra) * 60)
     done = [dict.fromkeys(PROGRESS) for _ in on.rows]
+    before, order = _earlier(full, table), run_order(on.rows)
+    kept = next((n for n, i in enumerate(order) if not before[i]), len(order)) if resume else 0
+    for i in order[:kept]:
+        done[i] = before[i]
+        run_time_inform_user(f"{on.rows[i]['file']}: ran before", sink_file)
+
+    def status() -> ControlTable:
+        progress = ControlTable([*on.columns, *PROGRESS], [{**r, **{p: d[p] for p in PROGRESS}} for r, d in zip(on.rows, done, strict=True)])
+        out = _progress(full, table, progress)
+        if isinstance(control, (str, os.PathLike)):
+            save_control_file(str(control), out, sheet)
+        return out
+
+    if isinstance(control, (str, os.PathLike)):
+        status()  # what an earlier run said of rows that run now is no longer so
     ran = []
-    for i in run_order(on.rows):
+    for i in order[kept:]:
         row = on.rows[i]
         if _is_stop(row):
             failed = [j for j in ran if done[j]["status"] != SUCCESS]
@@ -185,8 +206,6 @@ def run_pipeline(
         if done[i]["status"].startswith("Stopped with error"):
             run_time_inform_user(f"Global error: {done[i]['status'].partition(': ')[2]}", sink_file)
         run_time_inform_user(f"{row['file']}: {done[i]['status']}", sink_file)
-    progress = ControlTable([*on.columns, *PROGRESS], [{**r, **{p: d[p] for p in PROGRESS}} for r, d in zip(on.rows, done, strict=True)])
-    status = _progress(full, table, progress)
-    if isinstance(control, (str, os.PathLike)):
-        save_control_file(str(control), status, sheet)
-    return status
+        if isinstance(control, (str, os.PathLike)):
+            status()
+    return status()

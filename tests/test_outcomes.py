@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabloom.operators import summary
+from tabloom.operators.pipeline import run_pipeline
 from tabloom.operators.report import PLANNED, SUCCESS
 from tabloom.operators.summary import run_summary
 from tabloom.sources.controlfile import load_control_file
@@ -104,3 +105,44 @@ def test_a_run_lost_between_files_goes_on_with_the_next(spark, df, tmp_path, mon
     with pytest.warns(UserWarning, match="gave nothing"):
         got, n = jobs(spark, monkeypatch, lambda: run_summary(path, df, save_folder=str(tmp_path), write=True, resume=True))
     assert n == 1 and [o.rows for o in got.outcomes] == WROTE[:4] + [None] * 4
+
+
+def pipeline(at: Path, files) -> str:
+    """Each script adds its name to a list, in an order that is not that of the rows."""
+    for f in files:
+        (at / f).write_text(f"with open({str(at / 'ran.txt')!r}, 'a') as f:\n    f.write({f[0]!r})\n")
+    (at / "pipeline.csv").write_text("ENABLED,ORDER,FOLDER,FILE\n" + "".join(f"TRUE,{10 - i},{at},{f}\n" for i, f in enumerate(files)) + f"FALSE,1,{at},a.py\n")
+    return str(at / "pipeline.csv")
+
+
+def test_scripts_go_on_from_the_first_that_was_not_successful(spark, tmp_path):
+    path = pipeline(tmp_path, ["d.py", "c.py", "b.py", "a.py"])
+    good = (tmp_path / "c.py").read_text()
+    (tmp_path / "c.py").write_text("raise RuntimeError('not today')\n")
+    first = run_pipeline(path, spark)
+    ran = tmp_path / "ran.txt"
+    assert ran.read_text() == "abd" and [r["status"] == SUCCESS for r in first.rows] == [True, False, True, True, False]
+    (tmp_path / "c.py").write_text(good)
+    log = str(tmp_path / "log.txt")
+    second = run_pipeline(path, spark, resume=True, sink_file=log)
+    assert ran.read_text() == "abdcd" and [r["status"] for r in second.rows] == [SUCCESS] * 4 + [None]
+    assert [r["start_time"] for r in second.rows[2:4]] == [r["start_time"] for r in first.rows[2:4]] and Path(log).read_text().count("ran before") == 2
+    run_pipeline(path, spark, resume=True)
+    assert ran.read_text() == "abdcd"
+    run_pipeline(path, spark)
+    assert ran.read_text() == "abdcdabcd"
+
+
+def test_a_pipeline_that_is_lost_has_its_progress(spark, tmp_path):
+    path = pipeline(tmp_path, ["c.py", "b.py", "a.py"])
+    run_pipeline(path, spark)
+    good = (tmp_path / "b.py").read_text()
+    (tmp_path / "b.py").write_text("raise KeyboardInterrupt\n")
+    with pytest.raises(KeyboardInterrupt):
+        run_pipeline(path, spark)
+    assert [r["status"] for r in load_control_file(path).rows] == [None, None, SUCCESS, None]
+    (tmp_path / "b.py").write_text(good)
+    run_pipeline(path, spark, resume=True)
+    assert (tmp_path / "ran.txt").read_text() == "abc" + "a" + "bc"
+    rows = [{"ENABLED": "TRUE", "ORDER": "1", "FOLDER": str(tmp_path), "FILE": "a.py"}]
+    assert [r["status"] for r in run_pipeline(rows, spark, resume=True).rows] == [SUCCESS]
