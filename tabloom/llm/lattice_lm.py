@@ -1,27 +1,37 @@
 """Subword lattice likelihood: probability of a text over all its segmentations.
 
-An existing subword vocabulary gives the pieces and, by its scores, the
-probability of each (``vocabulary`` states the map). A word's probability sums
+An existing subword vocabulary gives the pieces and, by its scores, their first
+weights (``vocabulary`` states the map). A word's spelling probability sums
 over every segmentation into pieces, by a forward recursion in log space over its
-bytes; single bytes are pieces too, so that no word has probability zero. After
-each word the text goes on or ends: the probability of the end, the one number
-of this model that is learned, is (ends + 1) / (tokens + 2) in the training rows.
-A text's probability is the product of its words', of going on before each, and
-of the end.
+bytes; single bytes are pieces too, so that no word has probability zero. The
+weights are learned: in each of ``ROUNDS`` passes over the training rows' distinct
+words, a piece's new weight is how often it is expected in their segmentations
+(forward and backward recursion), plus its first weight times ``PRIOR``.
+
+A training word is a piece of its own as well, the whole word: of its count c, a
+discount D goes to spelling, so that a word's probability is
+(max(c - D, 0) + D * types * spelling) / words, over the training rows' words and
+distinct words (types); D = (n1 + 1) / (n1 + 2 * n2 + 2), with n1 and n2 the words
+that occur once and twice. The probabilities of all words sum to 1.
+
+After each word the text goes on or ends: the probability of the end is
+(ends + 1) / (tokens + 2) in the training rows. A text's probability is the
+product of its words', of going on before each, and of the end.
 
 Beside it stands a base model, additive smoothing of whole words.
 
 Defined results: a null text is empty, and holds only its end; repeated rows
 and ids are scored row by row; a null id is in training; without any training
-row the counts are zero and a text ends with probability 1/2. Columns beyond
-doc_id and text are ignored.
+word spelling alone, by the first weights, is a word's probability; without any
+training row the counts are zero and a text ends with probability 1/2. Columns
+beyond doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -37,6 +47,10 @@ HOT_WORDS = 100_000
 #: Distinct words that a task gathers before it sends their counts on.
 FLUSH = 400_000
 SMOOTHING = 0.1
+#: Passes over the training words that learn the pieces' weights.
+ROUNDS = 2
+#: Pieces that the first weights count for in each pass.
+PRIOR = 100
 #: Added to a piece's rank where a file's scores are ranks.
 RANK_SHIFT = 10
 #: Longer words take the plain recursion; shorter ones are done many at once.
@@ -164,6 +178,34 @@ class Lattice:
                 out[r] = self._plain(b" " + w)[-1]
         return out
 
+    def expected(self, words: list[bytes]) -> np.ndarray:
+        """How often each piece is expected in one segmentation of every word, drawn by probability."""
+        out = np.zeros(len(self.pieces))
+        for _, block in self._blocks(words):
+            edges = self._edges(block)
+            alpha = self._alpha(block.shape, edges)
+            beta = np.full(alpha.shape, _NONE)
+            beta[-1] = 0
+            for (i, j), (rows, found) in reversed(edges.items()):  # ends descend
+                on = beta[j, rows] + self.logp[found]
+                beta[i, rows] = np.logaddexp(beta[i, rows], on)
+                out += np.bincount(found, np.exp(alpha[i, rows] + on - alpha[-1, rows]), len(out))
+        for w in words:
+            if len(w) > _MANY:
+                self._plain_expected(b" " + w, out)
+        return out
+
+    def _plain_expected(self, word: bytes, out: np.ndarray) -> None:
+        alpha, size = self._plain(word), len(word)
+        beta = [0.0] * (size + 1)
+        for i in range(size - 1, -1, -1):
+            edges = [(j, k) for j in range(i + 1, min(size, i + self.longest) + 1) if (k := self.index.get(word[i:j])) is not None]
+            terms = [beta[j] + self.logp[k] for j, k in edges]
+            top = max(terms)
+            beta[i] = top + math.log(sum(math.exp(t - top) for t in terms))
+            for (_, k), t in zip(edges, terms, strict=True):
+                out[k] += math.exp(alpha[i] + t - alpha[-1])
+
     def _alpha(self, shape: tuple[int, int], edges: dict) -> np.ndarray:
         n, size = shape
         alpha = np.full((size + 1, n), _NONE)
@@ -217,6 +259,20 @@ def count_words(docs: DataFrame, train: Column) -> DataFrame:
     return rows.mapInArrow(run, "word binary, c long, a long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("a").alias("a"))
 
 
+def word_chance(total: int, types: int, once: int, twice: int) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """From words' training counts and natural logs of spelling to natural logs of probability."""
+    if not total:
+        return lambda c, spelt: spelt
+    discount = (once + 1) / (once + 2 * twice + 2)
+
+    def run(c: np.ndarray, spelt: np.ndarray) -> np.ndarray:
+        spelt = spelt + math.log(discount * types)
+        # a word that is not known may be spelt with less than the least double
+        return np.where(c > 0, np.log(np.where(c > 0, c - discount + np.exp(spelt), 1)), spelt) - math.log(total)
+
+    return run
+
+
 def gathered(batches: Iterator[pa.RecordBatch], rows: int = 150_000) -> Iterator[pa.Table]:
     """Batches put together to so many rows, for array operations that are worth their call."""
     some, n = [], 0
@@ -230,6 +286,28 @@ def gathered(batches: Iterator[pa.RecordBatch], rows: int = 150_000) -> Iterator
         yield pa.Table.from_batches(some)
 
 
+def learned(known: DataFrame, lattice: Lattice, rounds: int = ROUNDS) -> Lattice:
+    """The lattice with weights learned from column ``word``; the driver gets a number for each piece and round."""
+    first = np.exp(lattice.logp)
+    for _ in range(rounds):
+        held = known.sparkSession.sparkContext.broadcast(lattice)
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            take_worker("lattice")
+            n = np.zeros(len(held.value.pieces))
+            for table in gathered(batches):
+                n += held.value.expected(table.column("word").to_pylist())
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(n[at])], names=["piece", "n"])
+
+        weight = PRIOR * first
+        for r in known.select("word").mapInArrow(run, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect():
+            weight[r.piece] += r.n
+        lattice = Lattice(lattice.pieces, np.log(weight / weight.sum()))
+        held.unpersist()
+    return lattice
+
+
 def score(docs: DataFrame, vocabulary_path: str, held_out: Column, hot: int = HOT_WORDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row.
 
@@ -241,17 +319,21 @@ def score(docs: DataFrame, vocabulary_path: str, held_out: Column, hot: int = HO
     counts = store.keep(count_words(docs, ~F.col("held_out")), "counts")
     n, v = counts.where("c > 0").agg(F.sum("c"), F.count("c")).first()
     n = n or 0
+    real = counts.where("word != x''")
     end_row = counts.where("word = x''").first()
     ends = end_row.c if end_row else 0
     pieces, chances = zip(*vocabulary(vocabulary_path), strict=True)
     lattice, end = Lattice(list(pieces), np.log(chances)), (ends + 1) / (n + 2)
+    if n > ends:
+        lattice = learned(real.where("c > 0"), lattice)
+    once, twice = real.agg(*(F.count_if(F.col("c") == k) for k in (1, 2))).first()
+    chance = word_chance(n - ends, v - int(ends > 0), once, twice)
 
-    real = counts.where("word != x''")
     common = real.where(F.col("a") >= cut_at(real, "a", hot)).collect()
     keys = [bytes(r.word) for r in common]
     log10 = 1 / math.log(10)
     of_c = np.log10(np.array([r.c for r in common], float) + SMOOTHING)
-    of_lattice = lattice.forward(keys) * log10 if keys else np.zeros(0)
+    of_lattice = chance(np.array([r.c for r in common], float), lattice.forward(keys)) * log10 if keys else np.zeros(0)
     frequent = spark.sparkContext.broadcast(({k: i for i, k in enumerate(keys)}, of_c, of_lattice, np.array([r.c > 0 for r in common], bool)))
     held = spark.sparkContext.broadcast(lattice)
 
@@ -292,7 +374,7 @@ def score(docs: DataFrame, vocabulary_path: str, held_out: Column, hot: int = HO
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in gathered(batches):
-            lat = held.value.forward(table.column("word").to_pylist()) * log10
+            lat = chance(table.column("c").to_numpy().astype(float), held.value.forward(table.column("word").to_pylist())) * log10
             yield from table.append_column("word_lat", pa.array(lat)).to_batches()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "held_out").mapInArrow(

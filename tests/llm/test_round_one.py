@@ -209,6 +209,66 @@ def test_base_scores_match_brute_force(spark, sf_dir):
             assert math.isclose(rows[d].score, want, rel_tol=1e-9)
 
 
+def segmentations(pieces, word):
+    """Every list of pieces that makes the word, with its probability."""
+    if not word:
+        yield [], 1.0
+    for w, p in pieces.items():
+        if word.startswith(w):
+            for rest, q in segmentations(pieces, word[len(w) :]):
+                yield [w, *rest], p * q
+
+
+def test_expected_pieces_of_all_segmentations():
+    pieces = {b" ": 0.05, b" a": 0.2, b"a": 0.1, b"b": 0.15, b"ab": 0.2, b" ab": 0.1, b"ba": 0.2}
+    lattice = lattice_lm.Lattice(list(pieces), np.log(list(pieces.values())))
+    words, want = [b"a", b"ab", b"abab", b"aabba", b"b"], dict.fromkeys(pieces, 0.0)
+    for w in words:
+        ways = list(segmentations(pieces, b" " + w))
+        for way, p in ways:
+            for piece in way:
+                want[piece] += p / sum(q for _, q in ways)
+    assert np.allclose(lattice.expected(words), list(want.values()))
+    plain = np.zeros(len(pieces))
+    for w in words:
+        lattice._plain_expected(b" " + w, plain)
+    assert np.allclose(plain, list(want.values()))
+    assert np.isclose(lattice.expected([b"ab" * 60]) @ [len(p) for p in pieces], 121)
+
+
+def test_held_out_scores_are_near_base_scores(spark, sf_dir):
+    rows = queries.op2_lattice_likelihood(spark, sf_dir).collect()
+    assert all(math.isfinite(r.score) and r.score < 0 for r in rows)
+    held = [r for r in rows if r.held_out]
+    # words that training lacks are spelt, byte by byte if need be; the base score takes one chance for all of them
+    assert sum(r.score for r in held) > 1.35 * sum(r.base_score for r in held)
+    known = [r for r in held if r.n_known == r.n_tokens and r.n_tokens > 1]
+    assert sum(r.score for r in known) > 1.05 * sum(r.base_score for r in known)
+
+
+def test_scores_match_brute_force_of_learned_weights(spark, tmp_path):
+    docs = spark.createDataFrame([(0, "aa b aa c " + "é" * 70), (1, "aa b dd dd"), (2, None), (3, "Aa zz " + "x" * 3000), (4, "b q")], "doc_id long, text string")
+    path = queries.tokenizer_path("piece_bpe_32k.model")
+    rows = {r.doc_id: r for r in lattice_lm.score(docs, path, F.col("doc_id") >= 3, hot=2).collect()}
+    counts = Counter(w for t in ("aa b aa c " + "é" * 70, "aa b dd dd") for w in lattice_lm.words(t.encode()))
+    first = dict(lattice_lm.vocabulary(path))
+    lattice = lattice_lm.Lattice(list(first), np.log(list(first.values())))
+    for _ in range(lattice_lm.ROUNDS):
+        weight = lattice.expected(list(counts)) + lattice_lm.PRIOR * np.array(list(first.values()))
+        lattice = lattice_lm.Lattice(list(first), np.log(weight / weight.sum()))
+    total, types, n1, n2 = sum(counts.values()), len(counts), sum(c == 1 for c in counts.values()), sum(c == 2 for c in counts.values())
+    d, end = (n1 + 1) / (n1 + 2 * n2 + 2), (3 + 1) / (total + 3 + 2)
+
+    def word(w):
+        spelt = math.log(d * types) + lattice.forward([w])[0]
+        return (spelt if w not in counts else math.log(counts[w] - d + math.exp(spelt))) - math.log(total)
+
+    for doc_id, text in docs.collect():
+        ws = lattice_lm.words((text or "").encode())
+        want = sum(word(w) / math.log(10) + math.log10(1 - end) for w in ws) + math.log10(end)
+        assert math.isclose(rows[doc_id].score, want, rel_tol=1e-9)
+
+
 def test_joined_words_score_as_broadcast_ones(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     path = queries.tokenizer_path("piece_bpe_32k.model")
