@@ -18,7 +18,7 @@ from tabloom.functions.rexpr import quote
 from tabloom.operators.pipeline_sql import remove_sql_comments
 from tabloom.operators.report import PLANNED, SUCCESS, Report, attempt, some
 from tabloom.operators.summary import _progress
-from tabloom.operators.sweep import SWEPT, hot_uids, split, swept
+from tabloom.operators.sweep import hot_uids, split, stepped, swept
 from tabloom.operators.types import is_valid_data_type, spark_type, text_length
 from tabloom.sources.controlfile import PROGRESS, ControlTable, as_control_table, save_control_file
 from tabloom.sources.names import spare, sql2id
@@ -128,17 +128,24 @@ def measure_batch(master: DataFrame, measure: DataFrame, rows: list[dict], sweep
 
     Periods are distinct before they meet events. The join is by uid, with the
     overlap as a residual; grouping by uid and period needs no further exchange.
-    With ``sweep``, uids of more than so many events are summed by blocks of time.
+    With ``sweep``, uids of more than so many events are summed by blocks of time,
+    and DISTINCT of the others counts steps, as groups of values would be all pairs.
     """
     keys, events, kind = _sides(master, measure, rows)
-    methods = [str(r["output_method"]) for r in rows]
-    outs = [F.col(f"out{i}") for i in range(len(rows))]
-    if sweep is None or not all(m.strip().upper() in SWEPT for m in methods):
+    methods = {i: str(r["output_method"]) for i, r in enumerate(rows)}
+    outs = [F.col(f"out{i}") for i in methods]
+    if sweep is None:
         found = _joined(keys, events, methods)
     else:
         hot = hot_uids(events, sweep)
         (hot_keys, cold_keys), (hot_events, cold_events) = split(keys, "uid", hot), split(events, "muid", hot)
-        found = _joined(cold_keys, cold_events, methods).unionByName(swept(hot_keys, hot_events, methods, kind))
+        parts = [swept(hot_keys, hot_events, methods, kind)]
+        if others := {i: m for i, m in methods.items() if m.strip().upper() != "DISTINCT"}:
+            parts.append(_joined(cold_keys, cold_events, others))
+        parts += [stepped(cold_keys, cold_events, i, kind) for i in methods if i not in others]
+        every = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
+        # a period has one row of each part at most
+        found = every.groupBy("uid", "ps", "pe").agg(*(F.first(f"out{i}", ignorenulls=True).alias(f"out{i}") for i in methods)) if len(parts) > 2 else every
     return found.select("uid", "ps", "pe", *(cast_output(o, str(r["output_type"])).alias(f"out{i}") for i, (o, r) in enumerate(zip(outs, rows, strict=True))))
 
 
@@ -158,14 +165,14 @@ def _sides(master: DataFrame, measure: DataFrame, rows: list[dict]) -> tuple[Dat
     return keys, events, kind
 
 
-def _joined(keys: DataFrame, events: DataFrame, methods: list[str]) -> DataFrame:
+def _joined(keys: DataFrame, events: DataFrame, methods: Mapping[int, str]) -> DataFrame:
     kinds = dict(keys.dtypes)["uid"], dict(events.dtypes)["muid"]
     same = F.col("uid") == F.col("muid")
     if "string" in kinds and kinds[0] != kinds[1]:
         same = F.col("uid").cast("string") == F.col("muid").cast("string")
     met = keys.join(events, same & (F.col("ps") <= F.col("me")) & (F.col("ms") <= F.col("pe")))
     when = [F.col(c) for c in ("ps", "pe", "ms", "me")]
-    return met.groupBy("uid", "ps", "pe").agg(*(method(m, F.col(f"v{i}"), *when).alias(f"out{i}") for i, m in enumerate(methods)))
+    return met.groupBy("uid", "ps", "pe").agg(*(method(m, F.col(f"v{i}"), *when).alias(f"out{i}") for i, m in methods.items()))
 
 
 def unreadable(df: DataFrame, row: dict, which: tuple[str, ...], kind: str) -> dict[str, int]:
@@ -222,12 +229,6 @@ def batches(rows: list[dict]) -> list[list[dict]]:
     return list(out.values())
 
 
-def _swept_apart(rows: list[dict]) -> list[list[dict]]:
-    """Of one batch, the rows that can be summed by blocks, and the others."""
-    parts = [[r for r in rows if (str(r["output_method"]).strip().upper() in SWEPT) == which] for which in (True, False)]
-    return [p for p in parts if p]
-
-
 def sql_file_exists_and_contains(path: str, text: str) -> bool:
     """A .sql file whose code, comments aside, has the text, with or without brackets."""
     if not str(path).lower().endswith(".sql") or not os.path.exists(path):
@@ -310,7 +311,7 @@ def run_assembly(
     of it; a batch that fails leaves the master as it was, and the others go on;
     times that can't be read are counted, and warned of.
     With ``sweep``, uids of more than so many events are summed by blocks of time
-    instead of meeting each period in pairs (not for DISTINCT).
+    instead of meeting each period in pairs.
     With ``write_to``, the name of the master's table in the catalog, each batch
     runs too and that table gets the new columns, in place (``sources.tables.replace_table``).
     Otherwise the result is one plan, and rows that compile are said to be planned.
@@ -331,8 +332,7 @@ def run_assembly(
     execute = (by_path if execute is None else execute) or bool(write_to)
     done: dict[tuple, dict] = {}
     waiting: list[tuple[list[dict], DataFrame]] = []
-    parts = batches(entity_rows(on.rows))
-    for rows in parts if sweep is None else [p for rows in parts for p in _swept_apart(rows)]:
+    for rows in batches(entity_rows(on.rows)):
         if waiting and _reads(rows[0]) & {output_name(r).lower() for w, _ in waiting for r in w}:
             df, waiting = attach(df, waiting), []  # these keys are outputs of batches before
 
@@ -354,9 +354,7 @@ def run_assembly(
         if got["result"] is not None:
             waiting.append((rows, got["result"]))
         got["status"] = PLANNED if got["status"] == SUCCESS and not execute else got["status"]
-        key = tuple(str(rows[0][k]) for k in KEYS)
-        if key not in done or done[key]["status"] in (SUCCESS, PLANNED):  # of a batch in parts, one that failed counts
-            done[key] = got
+        done[tuple(str(rows[0][k]) for k in KEYS)] = got
     df = attach(df, waiting) if waiting else df
     if write_to and any(d["result"] is not None for d in done.values()):
         df = replace_table(spark, write_to, df)

@@ -21,20 +21,32 @@ events that end in the period give their own end, those that last over the gap
 after it give pe, and likewise for starts.
 
 Events or periods that end before they begin do not fit the tree; they meet in
-pairs as before. DISTINCT is no sum over events and is left to the join.
+pairs as before.
+
+DISTINCT is a sum over steps. An event overlaps a period if it starts by pe and
+ends from ps on. Of one uid's events with one value, those are kept that end later
+than all that start before them; sorted by start, they are sorted by end too, so
+those that overlap a period follow one another, and counting each, less each
+neighbouring pair of which both overlap, gives one for the value. Both of a pair
+overlap a period if it holds from the later start to the earlier end, so a pair is
+an event to be subtracted: one that fits the tree, or one that ends before it
+begins, which overlaps the periods that it lies in. Steps are summed by start and end
+over all values (whole numbers, so sums are exact), and those that lie in periods
+meet by the block of their first time, which tells all but their last.
 """
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.sources.work import stored
 
-#: Methods that are sums, least or greatest values over events.
-SWEPT = ("MIN", "MAX", "EXISTS", "COUNT", "MEAN", "SUM", "SUM_WITHIN", "DURATION")
+#: Methods that are sums, least or greatest values over events, or over steps of events.
+SWEPT = ("MIN", "MAX", "EXISTS", "COUNT", "MEAN", "SUM", "SUM_WITHIN", "DURATION", "DISTINCT")
 #: Uids with very many events that may be broadcast.
 MOST_HOT = 100_000
 _WITHIN = ("SUM_WITHIN", "DURATION")
@@ -96,11 +108,14 @@ class _Row:
             return F.when(self.v.isNotNull(), F.lit(1).cast("long"))
         return self.v.cast("double") / F.col("days")
 
+    def count(self) -> Column:
+        return (F.sum(self.v) if self.method == "DISTINCT" else F.count(self.v)).alias(self.n)
+
     def starts(self) -> list[Column]:
         """Of events that start in a block."""
         if self.within:
             return [F.count(self.v).alias(self.n), F.sum(-self.weight() * F.col("first_day")).alias(self.t)]
-        return [F.count(self.v).alias(self.n), *self._own()]
+        return [self.count(), *self._own()]
 
     def ends(self) -> list[Column]:
         return [F.sum(self.weight() * (F.col("last_day") + 1)).alias(self.t)] if self.within else []
@@ -109,14 +124,14 @@ class _Row:
         """Of events that last over a block of gaps."""
         if self.within:
             return [F.count(self.v).alias(self.n), F.sum(self.weight()).alias(self.w)]
-        return [F.count(self.v).alias(self.n), *self._own()]
+        return [self.count(), *self._own()]
 
     def pairs(self) -> list[Column]:
         overlap = F.datediff(F.least("pe", "me"), F.greatest("ps", "ms")) + 1
         if self.within:
             share = F.when(self.v.isNotNull(), overlap) if self.method == "DURATION" else overlap.cast("double") / F.nullif(F.col("days"), F.lit(0)) * self.v
             return [F.count(share).alias(self.n), F.sum(share).alias(self.t)]
-        return [F.count(self.v).alias(self.n), *self._own()]
+        return [self.count(), *self._own()]
 
     def _own(self) -> list[Column]:
         fn = {"MIN": F.min, "MAX": F.max, "SUM": F.sum, "MEAN": F.sum}.get(self.method)
@@ -132,30 +147,84 @@ class _Row:
         n = F.coalesce(self.n, F.lit(0).cast("long"))
         if self.within:
             return F.when(n > 0, F.col(self.t))
-        if self.method == "COUNT":
+        if self.method in ("COUNT", "DISTINCT"):
             return n
         if self.method == "EXISTS":
             return F.when(n >= 1, F.lit(1))
         return F.try_divide(self.own, self.n) if self.method == "MEAN" else F.col(self.own)
 
 
-def swept(keys: DataFrame, events: DataFrame, methods: list[str], kind: str) -> DataFrame:
-    """uid, ps, pe and out0, out1, ... of each period that events overlap.
+def swept(keys: DataFrame, events: DataFrame, methods: Mapping[int, str], kind: str) -> DataFrame:
+    """uid, ps, pe and out0, out1, ... of each period that events overlap, by the numbers of the methods.
 
     ``keys``: distinct uid, ps, pe; ``events``: muid, ms, me, v0, v1, ...; times of
     type ``kind``. Both are stored, as several blocks are made of each.
     """
-    rows = [_Row(i, m) for i, m in enumerate(methods)]
+    rows = [_Row(i, m) for i, m in methods.items()]
     asked = keys.where("uid is not null and ps is not null and pe is not null")
     asked = stored(asked.withColumns({"p": _number("ps", kind), "q": _number("pe", kind)}), "sweep-periods")
     r = asked.where("p <= q").agg(F.max(F.col("q") - F.col("p")) + 1, F.min(F.unix_date(F.to_date("ps")))).first()
     longest, origin = r[0], r[1] or 0
     # small numbers of days, as they are factors of what is added
     day = lambda c: F.unix_date(F.to_date(c)).cast("long") - origin
-    timed = events.where("muid is not null and ms is not null and me is not null").withColumns(
-        {"a": _number("ms", kind), "b": _number("me", kind), "first_day": day("ms"), "last_day": day("me"), "days": F.datediff("me", "ms") + 1}
-    )
-    timed = stored(timed, "sweep-events")
+    matches = []
+    if sums := [x for x in rows if x.method != "DISTINCT"]:
+        timed = events.where("muid is not null and ms is not null and me is not null").withColumns(
+            {"a": _number("ms", kind), "b": _number("me", kind), "first_day": day("ms"), "last_day": day("me"), "days": F.datediff("me", "ms") + 1}
+        )
+        timed = stored(timed, "sweep-events")
+        matches += _by_blocks(asked, timed, sums, longest, day)
+        for k, e in ((asked, timed.where("a > b")), (asked.where("p > q"), timed.where("a <= b"))):
+            pairs = k.join(e, _same(k, e) & (F.col("ps") <= F.col("me")) & (F.col("ms") <= F.col("pe")))
+            matches.append(pairs.groupBy("uid", "ps", "pe").agg(*(c for x in sums for c in x.pairs())))
+    for x in rows:
+        if x.method == "DISTINCT":
+            steps = stored(_steps(events, x, kind), "sweep-steps")
+            matches += _by_blocks(asked, steps, [x], longest, day)
+            matches.append(_lying_in(asked, steps.where("a > b"), longest).groupBy("uid", "ps", "pe").agg(*x.pairs()))
+            matches.append(_paired(asked.where("p > q"), steps, x))
+    every = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), matches)
+    return every.groupBy("uid", "ps", "pe").agg(*(c for x in rows for c in x.again())).select("uid", "ps", "pe", *(x.total().alias(f"out{x.i}") for x in rows))
+
+
+def stepped(keys: DataFrame, events: DataFrame, i: int, kind: str) -> DataFrame:
+    """uid, ps, pe and the count of distinct values, by pairs of periods and steps: sums have a group for each period, not for each pair."""
+    row = _Row(i, "DISTINCT")
+    asked = keys.withColumns({"p": _number("ps", kind), "q": _number("pe", kind)})
+    return _paired(asked, _steps(events, row, kind), row).select("uid", "ps", "pe", row.total().alias(f"out{i}"))
+
+
+def _paired(asked: DataFrame, steps: DataFrame, row: _Row) -> DataFrame:
+    pairs = asked.join(steps, _same(asked, steps) & (F.col("p") <= F.col("b")) & (F.col("a") <= F.col("q")))
+    return pairs.groupBy("uid", "ps", "pe").agg(*row.pairs())
+
+
+def _steps(events: DataFrame, row: _Row, kind: str) -> DataFrame:
+    """muid, a, b and the row's value: how often to count what starts at a and ends at b, less how often not to.
+
+    A missing value counts nothing, but its events overlap periods all the same. Of
+    one uid and value what moves are its distinct starts, each with its latest end.
+    """
+    known = events.where("muid is not null and ms is not null and me is not null")
+    seen = known.select("muid", row.v.alias("v"), _number("ms", kind).alias("a"), _number("me", kind).alias("b")).groupBy("muid", "v", "a").agg(F.max("b").alias("b"))
+    before = Window.partitionBy("muid", "v").orderBy("a").rowsBetween(Window.unboundedPreceding, -1)
+    kept = seen.withColumn("last", F.max("b").over(before)).where("last is null or b > last")
+    one = F.when(F.col("v").isNull(), F.lit(0)).otherwise(F.lit(1)).cast("long")
+    step = lambda b, n: F.struct("a", F.col(b).alias("b"), n.alias("n"))
+    both = F.array_compact(F.array(step("b", one), F.when(F.col("last").isNotNull(), step("last", -one))))
+    return kept.select("muid", F.explode(both).alias("step")).groupBy("muid", "step.a", "step.b").agg(F.sum("step.n").alias(f"v{row.i}"))
+
+
+def _lying_in(asked: DataFrame, steps: DataFrame, longest: int | None) -> DataFrame:
+    """Ordered periods with the steps from b up to a that lie in them; a step that is longer than every period lies in none."""
+    top = _levels(longest)
+    held = steps.where(F.col("a") - F.col("b") < F.lit(longest or 0)).withColumn("level", _all_levels(top)).withColumn("block", _block_at(F.col("b")))
+    want = asked.where("p <= q").withColumn("level", _all_levels(top)).withColumn("block", _blocks_of(F.col("p"), F.col("q")))
+    return _meet(want, held).where("a <= q")
+
+
+def _by_blocks(asked: DataFrame, timed: DataFrame, rows: list[_Row], longest: int | None, day) -> list[DataFrame]:
+    """What ordered periods get from events that do not end before they begin."""
     proper, ordered = timed.where("a <= b"), asked.where("p <= q")
     lasting = proper.agg(F.max(F.col("b") - F.col("a"))).first()[0]
     top, gap_top = _levels(longest), _levels(lasting)
@@ -192,12 +261,7 @@ def swept(keys: DataFrame, events: DataFrame, methods: list[str], kind: str) ->
             elif r.method in ("MIN", "MAX", "SUM", "MEAN"):
                 columns.append(before(r.own))
         matches.append(over.select("uid", "ps", "pe", *columns))
-
-    for k, e in ((asked, timed.where("a > b")), (asked.where("p > q"), proper)):
-        pairs = k.join(e, _same(k, e) & (F.col("ps") <= F.col("me")) & (F.col("ms") <= F.col("pe")))
-        matches.append(pairs.groupBy("uid", "ps", "pe").agg(*(c for r in rows for c in r.pairs())))
-    every = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), matches)
-    return every.groupBy("uid", "ps", "pe").agg(*sums).select("uid", "ps", "pe", *(r.total().alias(f"out{r.i}") for r in rows))
+    return matches
 
 
 def _same(keys: DataFrame, events: DataFrame) -> Column:

@@ -104,6 +104,22 @@ def test_plans_of_blocks_have_no_pairs(spark):
     assert "of_block" in plan and "CartesianProduct" not in plan
 
 
+def test_distinct_of_a_hot_uid_needs_no_pairs(spark):
+    """Values that come back after a gap, within it and over it count once; the uids by blocks make no pairs of events and periods."""
+    base, events = made(spark, False, 4)
+    row = control(output_method="DISTINCT", output_type="BIGINT")
+    plan = measure_batch(base, events, [row], sweep=200)._jdf.queryExecution().optimizedPlan().toString()
+    assert "of_block" in plan and "distinct" not in plan
+    day = lambda n: dt.date(2020, 1, 1) + dt.timedelta(days=n)
+    spells = [(0, 3, 1.0), (2, 2, 1.0), (5, 6, 1.0), (6, 9, 1.0), (15, 14, 1.0), (30, 31, 1.0), (4, 4, None), (8, 8, float("nan")), (10, 10, float("nan")), (12, 7, 2.0), (11, 11, -0.0), (12, 12, 0.0), (40, 40, None)]
+    events = spark.createDataFrame([(1, day(s), day(e), v) for s, e, v in spells], "id long, s date, e date, v double")
+    base = spark.createDataFrame([(1, day(a), day(b)) for a in range(-1, 42) for b in range(a - 2, 43)], "uid int, start date, stop date")
+    plain, swept = (run_assembly(spark, [row], base, {"events": events}, sweep=n).df for n in (None, 0))
+    assert rows_of(swept) == rows_of(plain)
+    want = {(day(a), day(b)): len({"nan" if v != v else v for s, e, v in spells if v is not None and a <= e and s <= b}) if any(a <= e and s <= b for s, e, _ in spells) else None for a in range(-1, 42) for b in range(a - 2, 43)}
+    assert {(r.start, r.stop): r.out for r in swept.collect()} == want
+
+
 def test_one_join_to_the_master_for_all_batches(spark):
     base, events = made(spark, False, 6)
     tables = {f"t{i}": events for i in range(4)}
